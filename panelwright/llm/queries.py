@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelwright.llm import decontamination, packing, quality_rules, token_counts, tokens
+from panelwright.llm import decontamination, ngram_join, packing, quality_rules, suffix_dedup, token_counts, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_classes(spark, table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each line of each document."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokens.public_vocabulary())
@@ -32,8 +36,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.RepeatedPassages(spark, table(spark, sf_dir, "documents")).digests()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op4_quality_rules, op6_packing, op8_decontamination)}
+    return {f.__name__: f for f in (op2_ngram_join, op3_token_counts, op4_quality_rules, op6_packing, op8_decontamination, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
