@@ -1,17 +1,85 @@
-"""The corpus pipeline: quality rules, near-duplicate join, repeated passages, benchmark leaks, packing."""
+"""The corpus pipeline: quality rules, near-duplicate join, repeated passages, benchmark leaks, packing.
+
+Each stage takes the documents that the one before it left, as written and read back, and its decisions take effect.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelwright.llm import queries as llm_queries
+from panelwright.llm import decontamination, ngram_join, packing, quality_rules, suffix_dedup, tokens
+from panelwright.llm.queries import table
+from panelwright.llm.shared import Workspace
 
-STAGES: list = []
+#: The analysis of several stages (identical ids, hash order) can't be put as SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
+_last: list[Workspace] = []
+
+
+def _workspace(spark: SparkSession, docs: DataFrame, name: str) -> Workspace:
+    """A new workspace. That of the stage before is deleted, unless ``docs`` still reads it: its result has been written."""
+    files = docs.inputFiles() if _last else ()
+    for old in [w for w in _last if not any(w.path in f for f in files)]:
+        old.drop()
+        _last.remove(old)
+    _last.append(Workspace(spark, name))
+    return _last[-1]
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.join(ids.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the quality rules go."""
+    ws = _workspace(spark, docs, "stage-quality")
+    judged = quality_rules.apply_quality_rules(spark, docs, workspace=ws)
+    return _without(docs, ws.save(judged.where(~F.col("kept")), "rejected"))
+
+
+def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document of least id stays."""
+    ws = _workspace(spark, docs, "stage-ngram")
+    classes = ngram_join.ngram_classes(spark, docs, workspace=ws)
+    return _without(docs, ws.save(classes.where("doc_id <> component_id"), "further"))
+
+
+def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 400 bytes or more that occur elsewhere are cut out; a document that loses all its text stays, empty."""
+    ws = _workspace(spark, docs, "stage-suffix")
+    cut = ws.save(suffix_dedup.RepeatedPassages(spark, docs, workspace=ws).texts().select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text")), "cut")
+    df = docs.join(cut, docs["doc_id"] == cut["_doc"], "left")
+    text = F.when(F.col("_doc").isNotNull(), F.col("_text")).otherwise(F.col("text"))
+    return df.withColumns({"text": text, "n_chars": F.when(F.col("_doc").isNotNull(), F.length("_text").cast("bigint")).otherwise(F.col("n_chars"))}).select(*docs.columns)
+
+
+def reject_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of a benchmark item go."""
+    ws = _workspace(spark, docs, "stage-benchmark")
+    leaks = decontamination.find_leaks(spark, docs, table(spark, sf_dir, "benchmark"), workspace=ws)
+    return _without(docs, ws.save(leaks, "leaks"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    _workspace(spark, docs, "stage-packing")
+    df = packing.pack_documents(docs, tokens.public_vocabulary())
+    return df.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens", "step_group")
+
+
+STAGES = [
+    ("quality_rules", reject_low_quality),
+    ("ngram_join", keep_one_of_each_class),
+    ("suffix_dedup", remove_repeated_passages),
+    ("decontamination", reject_benchmark_leaks),
+    ("packing", pack),
+]
+
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = llm_queries.table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over ``documents``; each one's result is written to the shared folder and read back."""
+    docs, ws = table(spark, sf_dir, "documents"), Workspace(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = ws.save(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -364,11 +364,11 @@ class RepeatedPassages:
         self.covered = ws.save(covered, "covered")
 
     def _cut(self, texts: DataFrame) -> DataFrame:
-        """``doc_id, spans, kept`` from ``doc_id, raw, found``."""
+        """``doc_id, spans, kept, text`` from ``doc_id, raw, found``."""
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                docs, spans, kept = [], [], []
+                docs, spans, kept, text = [], [], [], []
                 for doc, raw, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                     body, at, parts = raw.as_py(), 0, []
                     runs = merge_spans([(x["s"], x["e"]) for x in found or ()])
@@ -378,10 +378,11 @@ class RepeatedPassages:
                     docs.append(doc)
                     spans.append([{"s": s, "e": e} for s, e in runs])
                     kept.append(b"".join([*parts, body[at:]]))
+                    text.append(kept[-1].decode("utf-8", "ignore"))
                 span = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=["doc_id", "spans", "kept"])
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary()), pa.array(text, pa.string())], names=["doc_id", "spans", "kept", "text"])
 
-        return texts.mapInArrow(cut, "doc_id bigint, spans array<struct<s:bigint,e:bigint>>, kept binary")
+        return texts.mapInArrow(cut, "doc_id bigint, spans array<struct<s:bigint,e:bigint>>, kept binary, text string")
 
     def _spans_by_doc(self) -> DataFrame:
         return self.covered.groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("found"))
@@ -407,8 +408,11 @@ class RepeatedPassages:
         )
 
     def texts(self) -> DataFrame:
-        """``doc_id, spans, kept`` (bytes) of the documents that lose some; all others are whole."""
+        """``doc_id, spans, kept, text`` of the documents that lose some; all others are whole.
+
+        ``kept``: the remaining bytes. ``text``: the same without parts of characters that a cut went through.
+        """
         spans = self._spans_by_doc()
-        every = self._with_copies().where("copied").select("doc_id", F.array(F.struct(F.lit(0).cast("bigint").alias("s"), F.col("n_bytes").alias("e"))).alias("spans"), F.lit("").cast("binary").alias("kept"))
+        every = self._with_copies().where("copied").select("doc_id", F.array(F.struct(F.lit(0).cast("bigint").alias("s"), F.col("n_bytes").alias("e"))).alias("spans"), F.lit("").cast("binary").alias("kept"), F.lit("").alias("text"))
         partly = self.searched.join(spans, self.searched["doc_id"] == spans["doc"]).select("doc_id", "raw", "found")
         return every.union(self._cut(partly.join(every.select("doc_id"), "doc_id", "left_anti")))
