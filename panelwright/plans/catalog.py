@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelwright.plans.registry import QUERIES, SQL
 
-MODULES = ("q_metrics",)
+MODULES = ("q_metrics", "q_align", "q_matrix", "q_nav")
 for _m in MODULES:
     import_module(f"panelwright.plans.{_m}")
 
