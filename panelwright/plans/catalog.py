@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelwright.plans.registry import QUERIES, SQL
 
-MODULES = ("q_metrics", "q_align", "q_matrix", "q_nav", "q_screen")
+MODULES = ("q_metrics", "q_align", "q_matrix", "q_nav", "q_screen", "q_walk")
 for _m in MODULES:
     import_module(f"panelwright.plans.{_m}")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["metrics_report"](spark, sf_dir)
+    return QUERIES["score_rank"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
