@@ -56,6 +56,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, *, sections: Column | None =
     table gives no row; other columns are not read. No shuffle; a text is in memory only while it is counted.
     """
     names = [x.split()[0] for x in SCHEMA.split(", ")]
+    by_line = sections is None
     types = (pa.int64(), pa.int32(), pa.string(), *[pa.int64()] * 5)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +65,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, *, sections: Column | None =
             out: list[tuple] = []
             for r, doc in enumerate(batch.column(0).to_pylist()):
                 text = batch.column(1)[r].as_py() or ""
-                if sections is None:
+                if by_line:
                     kinds, hi = line_sections(text)
                 else:
                     given = batch.column(2)[r].as_py() or []
