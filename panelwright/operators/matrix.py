@@ -193,8 +193,8 @@ def agglomerate(distance: np.ndarray, linkage: str) -> list[tuple[int, int, floa
     return merges
 
 
-def hierarchical_clusters(distances: DataFrame, *, key: str = "method", cut: float = 0.5) -> DataFrame:
-    """``key, symbol, cluster_id`` by the linkage that the key names; clusters are numbered by their first member.
+def hierarchical_clusters(distances: DataFrame, *, key: str = "method", cut: float = 0.5, linkage: str | None = None) -> DataFrame:
+    """``key, symbol, cluster_id`` by ``linkage``, or by the one that the key names; clusters are numbered by their first member.
 
     A grouped dense job: one key holds one universe's pairs, which the caller bounds.
     """
@@ -206,7 +206,7 @@ def hierarchical_clusters(distances: DataFrame, *, key: str = "method", cut: flo
         for a, b, c in zip(pdf["a"], pdf["b"], pdf["distance"], strict=True):
             m[at[a], at[b]] = m[at[b], at[a]] = c
         groups = {i: [i] for i in range(len(names))}
-        for node, (a, b, dist, _) in enumerate(agglomerate(m, pdf[key].iloc[0]), len(names)):
+        for node, (a, b, dist, _) in enumerate(agglomerate(m, linkage or pdf[key].iloc[0]), len(names)):
             if dist <= cut and a in groups and b in groups:
                 groups[node] = groups.pop(a) + groups.pop(b)
         ordered = sorted(sorted(names[i] for i in g) for g in groups.values())
@@ -254,3 +254,67 @@ def redundancy_verdict(evidence: DataFrame, *, high: float = 0.85, medium: float
     confidence = F.when(known == 4, "HIGH").when(known >= 3, "MEDIUM").otherwise("LOW")
     return evidence.withColumns({"verdict": verdict, "confidence": confidence})
 
+
+
+def cocluster_share(clusters: DataFrame, key: str) -> DataFrame:
+    """``a, b, share, n``: share of the keys (windows, replicates) in which two symbols have one cluster."""
+    c = clusters.select(key, "symbol", "cluster_id")
+    x, y = c.withColumnsRenamed({"symbol": "a", "cluster_id": "_a"}), c.withColumnsRenamed({"symbol": "b", "cluster_id": "_b"})
+    j = x.join(y, key).where("a < b")
+    return j.groupBy("a", "b").agg(F.avg((F.col("_a") == F.col("_b")).cast("double")).alias("share"), F.count(F.lit(1)).alias("n"))
+
+
+def experiment_variants(members: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``variant_id, symbol``: the base set, and one set per symbol removed, candidate added, and symbol replaced."""
+    base = members.select("symbol").distinct()
+    own = base.agg(F.array_sort(F.collect_list("symbol")).alias("m"))  # a refinery's universe is bounded
+    out, new = base.select(F.col("symbol").alias("o")), candidates.select(F.col("symbol").alias("c")).distinct()
+    sets = own.select(F.lit("base").alias("variant_id"), F.col("m").alias("s"))
+    sets = sets.union(out.join(F.broadcast(own)).select(F.concat(F.lit("-"), "o"), F.array_remove("m", F.col("o"))))
+    sets = sets.union(new.join(F.broadcast(own)).select(F.concat(F.lit("+"), "c"), F.array_sort(F.array_union("m", F.array("c")))))
+    sets = sets.union(out.crossJoin(new).join(F.broadcast(own)).select(F.concat(F.lit("-"), "o", F.lit("+"), "c"), F.array_sort(F.array_union(F.array_remove("m", F.col("o")), F.array("c")))))
+    return sets.select("variant_id", F.explode("s").alias("symbol"))
+
+
+def structural_snapshot(returns: DataFrame, variants: DataFrame) -> DataFrame:
+    """``variant_id, n, participation_ratio, mean_rho`` of each variant on one frozen sample; the covariance is made once."""
+    cov = sample_covariance(returns)
+    v = variants.select("variant_id", "symbol")
+    c = cov.join(v.withColumnRenamed("symbol", "a"), "a").join(v.withColumnsRenamed({"symbol": "b", "variant_id": "_v"}), "b").where("variant_id = _v")
+    sd = cov.where("a = b").select("a", F.sqrt("cov").alias("s"))
+    c = c.join(F.broadcast(sd), "a").join(F.broadcast(sd.withColumnsRenamed({"a": "b", "s": "_s"})), "b")
+    on = F.col("a") == F.col("b")
+    g = c.groupBy("variant_id").agg(F.count_if(on).alias("n"), F.sum(F.when(on, F.col("cov"))).alias("tr"), F.sum(F.when(on, 1.0).otherwise(2.0) * F.col("cov") * F.col("cov")).alias("ss"), F.avg(F.when(~on, safe_ratio(F.col("cov"), F.col("s") * F.col("_s")))).alias("mean_rho"))
+    return g.select("variant_id", "n", safe_ratio(F.col("tr") * F.col("tr"), F.col("ss")).alias("participation_ratio"), "mean_rho")
+
+
+def marginal_experiments(snapshot: DataFrame) -> DataFrame:
+    """Each variant's differences to the base set's."""
+    base = snapshot.where("variant_id = 'base'").select(F.col("participation_ratio").alias("_p"), F.col("mean_rho").alias("_r"))
+    df = snapshot.where("variant_id <> 'base'").join(F.broadcast(base))
+    return df.select("variant_id", "n", (F.col("participation_ratio") - F.col("_p")).alias("d_participation"), (F.col("mean_rho") - F.col("_r")).alias("d_rho"))
+
+
+def allocate_erc(cov: DataFrame, members: DataFrame, *, tolerance: float = 1e-8, rounds: int = 1000) -> DataFrame:
+    """``portfolio_id, symbol, weight, budget_error``: equal risk contributions by cyclic coordinate descent.
+
+    Spark makes each portfolio's covariance; a grouped job solves the small systems in parallel.
+    """
+    m = members.select("portfolio_id", "symbol")
+    full = _both_ways(cov).join(m.withColumnRenamed("symbol", "a"), "a").join(m.withColumnsRenamed({"symbol": "b", "portfolio_id": "_p"}), "b").where("portfolio_id = _p")
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(set(pdf["a"]))
+        s = pdf.pivot(index="a", columns="b", values="cov").loc[names, names].to_numpy()
+        n, x = len(names), 1 / np.sqrt(np.diag(s))
+        for _ in range(rounds):
+            for i in range(n):
+                rest = s[i] @ x - s[i, i] * x[i]
+                x[i] = (-rest + np.sqrt(rest**2 + 4 * s[i, i] / n)) / (2 * s[i, i])
+            share = x * (s @ x)
+            error = abs(share / share.sum() - 1 / n).max()
+            if error <= tolerance:
+                break
+        return pd.DataFrame({"portfolio_id": pdf["portfolio_id"].iloc[0], "symbol": names, "weight": x / x.sum(), "budget_error": error})
+
+    return full.select("portfolio_id", "a", "b", "cov").groupBy("portfolio_id").applyInPandas(solve, "portfolio_id string, symbol string, weight double, budget_error double")

@@ -65,3 +65,47 @@ def xirr_batch(flows: DataFrame, *, low: float = -0.99, high: float = 4.0, point
     rate = F.expm1((F.col("_b.x") + F.col("_b.y")) / 2)
     status = F.when(F.col("n_roots") == 1, "unique").when(F.col("n_roots") > 1, "multiple").otherwise("no_solution")
     return df.select("portfolio_id", status.alias("status"), F.when(F.col("n_roots") == 1, rate).alias("rate"))
+
+
+def factor_implied_corr(betas: DataFrame, factor_cov: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """``a, b, rho``: correlation of ``B S_f B'``, clipped to [-1, 1]; ``betas`` as from :func:`gram_ols`."""
+    long = betas.select("symbol", F.explode(F.array(*[F.struct(F.lit(n).alias("f"), F.col(f"beta_{n}").alias("beta")) for n in names])).alias("x")).select("symbol", "x.f", "x.beta")
+    both = factor_cov.select("a", "b", "cov").union(factor_cov.where("a <> b").select("b", "a", "cov"))
+    left = long.join(F.broadcast(both), long["f"] == both["a"]).groupBy("symbol", "b").agg(F.sum(F.col("beta") * F.col("cov")).alias("bs"))
+    right = long.select(F.col("symbol").alias("other"), "f", "beta")
+    c = left.join(right, left["b"] == right["f"]).groupBy("symbol", "other").agg(F.sum(F.col("bs") * F.col("beta")).alias("cov"))
+    sd = c.where("symbol = other").select(F.col("symbol").alias("s"), F.sqrt("cov").alias("sd"))
+    j = c.where("symbol < other").join(F.broadcast(sd), F.col("symbol") == F.col("s")).withColumnRenamed("sd", "sa").drop("s").join(F.broadcast(sd), F.col("other") == F.col("s"))
+    return j.select(F.col("symbol").alias("a"), F.col("other").alias("b"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), safe_ratio(F.col("cov"), F.col("sa") * F.col("sd")))).alias("rho"))
+
+
+def style_weights(rows: DataFrame, proxies: tuple[str, ...], *, key: str = "portfolio_id", y: str = "y", least: int = 24) -> DataFrame:
+    """``key, n, w_<proxy>..., sse``: non-negative weights that sum to 1 with the least squared error.
+
+    Exact: Gram sums by key, then the equality-constrained solution of every support, of which the best feasible one is taken.
+    """
+    x = list(proxies)
+    df = rows.dropna(subset=[y, *x])
+    sums = [F.sum(F.col(a) * F.col(b)).alias(f"xx_{i}_{j}") for i, a in enumerate(x) for j, b in enumerate(x) if i <= j] + [F.sum(F.col(a) * F.col(y)).alias(f"xy_{i}") for i, a in enumerate(x)]
+    g = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y) * F.col(y)).alias("yy"), *sums).where(F.col("n") >= least)
+
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                k = len(x)
+                a = np.array([[r[f"xx_{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+                b = np.array([r[f"xy_{i}"] for i in range(k)])
+                best = None
+                for bits in range(1, 1 << k):
+                    s = [i for i in range(k) if bits >> i & 1]
+                    kkt = np.block([[a[np.ix_(s, s)], np.ones((len(s), 1))], [np.ones((1, len(s))), np.zeros((1, 1))]])
+                    w = np.zeros(k)
+                    w[s] = np.linalg.lstsq(kkt, np.append(b[s], 1.0), rcond=None)[0][:-1]
+                    sse = r["yy"] - 2 * w @ b + w @ a @ w
+                    if w.min() >= -1e-12 and (best is None or sse < best[0]):
+                        best = sse, w
+                out.append([r[key], r["n"], *np.clip(best[1], 0, None), best[0]])
+            yield pd.DataFrame(out, columns=[key, "n", *[f"w_{p}" for p in x], "sse"])
+
+    return g.mapInPandas(solve, f"{key} string, n bigint, {', '.join(f'w_{p} double' for p in x)}, sse double")

@@ -135,3 +135,28 @@ def material_transitions(levels: DataFrame, *keys: str, ratio: float = 1.8) -> D
     keys = keys or ("symbol",)
     step = F.col("value") / F.lag("value").over(by_symbol(*keys))
     return levels.withColumn("_s", step).groupBy(*keys).agg(F.count_if((F.col("_s") > ratio) | (F.col("_s") < 1 / ratio)).alias("n"))
+
+
+def direction_regime(series: DataFrame, low: str, high: str, *, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
+    """``yoy, regime``: year-on-year change against its own median and its direction: ``high rising``, ``high falling``, ``low ...``."""
+    w = by_symbol(*keys)
+    df = series.withColumn("yoy", F.col("value") / F.lag("value", 12).over(w) - 1)
+    df = df.withColumn("_d", F.col("yoy") - F.lag("yoy").over(w))
+    middle = df.groupBy(*keys).agg(F.percentile("yoy", 0.5).alias("_m"))
+    level = F.when(F.col("yoy") >= F.col("_m"), high).otherwise(low)
+    way = F.when(F.col("_d") >= 0, "rising").otherwise("falling")
+    return df.join(middle, list(keys)).withColumn("regime", F.when(F.col("_d").isNotNull(), F.concat_ws(" ", level, way))).drop("_d", "_m")
+
+
+def delayed_flags(flags: DataFrame, delay: int) -> DataFrame:
+    """A signal at a date trades ``delay`` dates later."""
+    w = Window.partitionBy(F.lit(0)).orderBy("dt")
+    return flags.select("dt", F.coalesce(F.lag("flag", delay).over(w), F.lit(False)).alias("flag"))
+
+
+def inflation_adjusted(nav: DataFrame, prices: DataFrame) -> DataFrame:
+    """``real``: value over the price index (last known), in units of the first date."""
+    j = nav.join(prices.select("dt", F.col("value").alias("_p")), "dt", "left")
+    w = by_symbol("portfolio_id")
+    j = j.withColumn("_p", F.last("_p", ignorenulls=True).over(running(w)))
+    return j.withColumn("real", F.col("nav") / (F.col("_p") / F.first("_p", ignorenulls=True).over(w))).drop("_p")
