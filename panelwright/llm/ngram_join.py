@@ -8,7 +8,7 @@ Posting lists stream through sorted shuffle partitions; a list never has to fit
 (each member against the list's first), not pairs. A candidate block is then searched for its pivot: the pivot's shingles are
 posting lists over the block, short ones are merged by a heap, the longest are binary-probed (DivideSkip), and documents that
 reach the required overlap are retained. Lists that still hold several classes after that are joined with themselves across
-classes, so no link between different classes is lost.
+classes, so no link between different classes is lost; pairs that share too few prefix shingles to link are not searched.
 """
 
 from __future__ import annotations
@@ -174,7 +174,7 @@ def _verify(spark: SparkSession, ws: Workspace, pairs: DataFrame, texts: DataFra
     return ws.save(blocks.mapInArrow(_streamed(search, fields), "u bigint, v bigint, overlap bigint"), "links")
 
 
-def ngram_classes(spark: SparkSession, docs: DataFrame, *, n: int = 5, percent: int = 80, frequent: int = 50_000, one_in: int = 16, workspace: Workspace | None = None) -> DataFrame:
+def ngram_classes(spark: SparkSession, docs: DataFrame, *, words: int = 5, percent: int = 80, frequent: int = 50_000, one_in: int = 16, workspace: Workspace | None = None) -> DataFrame:
     """``doc_id, n_shingles, component_id``: one row per row of ``docs(doc_id, text)``; ids are whole and not null.
 
     ``component_id``: the least ``doc_id`` that links reach. Null texts, and texts without words, have no shingle and link with
@@ -183,12 +183,12 @@ def ngram_classes(spark: SparkSession, docs: DataFrame, *, n: int = 5, percent:
     """
     ws = workspace or Workspace(spark, "ngram-join")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    often = spark.sparkContext.broadcast(_frequent_shingles(docs, n, frequent, one_in))
+    often = spark.sparkContext.broadcast(_frequent_shingles(docs, words, frequent, one_in))
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = shingles(text.as_py(), n)
+                own = shingles(text.as_py(), words)
                 yield doc, len(own), hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None
 
     fields = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary())]
@@ -201,7 +201,7 @@ def ngram_classes(spark: SparkSession, docs: DataFrame, *, n: int = 5, percent:
         for batch in batches:
             rows = [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = shingles(text.as_py(), n)
+                own = shingles(text.as_py(), words)
                 if not len(own):
                     continue
                 sig = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
@@ -252,9 +252,19 @@ def ngram_classes(spark: SparkSession, docs: DataFrame, *, n: int = 5, percent:
     wanted = lists.select(F.col("doc").alias("doc_id")).distinct()
     texts = ws.save(docs.join(wanted, "doc_id").dropDuplicates(["doc_id"]), "texts")
 
-    star = lists.where((F.col("doc") != F.col("pivot")) & fits(F.col("n"), F.col("pivot_n"))).groupBy("doc", "pivot").count()
+    def enough(common, a, b):
+        """Sets of sizes ``a`` and ``b`` with so many common prefix shingles can link.
+
+        Of the two prefixes, the one that ends first in the common order meets the other set in its prefix only; what follows
+        it adds at most its set's remaining ``T - 1`` shingles.
+        """
+        rest = lambda n: F.ceil(n * percent / 100) - 1
+        return common >= F.ceil((a + b) * percent / (100 + percent)) - F.greatest(rest(a), rest(b))
+
+    n, m = F.col("n"), F.col("pivot_n")
+    star = lists.where((F.col("doc") != F.col("pivot")) & fits(n, m)).groupBy("doc", "pivot", "n", "pivot_n").count().where(enough(F.col("count"), n, m))
     star = star.groupBy("doc").agg(F.max(F.struct("count", (-F.col("pivot")).alias("p"))).alias("best")).select("doc", (-F.col("best.p")).alias("pivot"))
-    links = _verify(spark, ws, ws.save(star, "stars"), texts, n, percent)
+    links = _verify(spark, ws, ws.save(star, "stars"), texts, words, percent)
     known = ws.save(components(links, ws), "first")
 
     of = lambda df: df.join(known, df["doc"] == known["v"], "left").select(*df.columns, F.coalesce("component", "doc").alias("component"))
@@ -263,8 +273,9 @@ def ngram_classes(spark: SparkSession, docs: DataFrame, *, n: int = 5, percent:
     still = ws.save(still.join(mixed, "key", "left_semi"), "mixed")
     x, y = (still.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "component")]) for s in "xy")
     pairs = x.join(y, "key").where((F.col("component_x") < F.col("component_y")) & fits(F.col("n_x"), F.col("n_y")))
-    pairs = pairs.select(F.col("doc_x").alias("pivot"), F.col("doc_y").alias("doc")).distinct()
-    more = _verify(spark, ws, ws.save(pairs, "pairs"), texts, n, percent)
+    pairs = pairs.groupBy(F.col("doc_x").alias("pivot"), F.col("doc_y").alias("doc"), "n_x", "n_y").count()
+    pairs = pairs.where(enough(F.col("count"), F.col("n_x"), F.col("n_y"))).select("pivot", "doc")
+    more = _verify(spark, ws, ws.save(pairs, "pairs"), texts, words, percent)
     joined = components(links.select("u", "v").union(more.select("u", "v")), ws)
 
     final = classes.join(joined, classes["rep"] == joined["v"], "left").select(F.col("sig").alias("_sig"), F.coalesce("component", "rep").alias("component_id"))
