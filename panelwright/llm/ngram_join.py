@@ -5,7 +5,7 @@ and so on one of the first ``n - T + 1`` of either in any fixed order; the order
 last, so long posting lists are rarely needed to find a candidate. Equal sets are one class from the start.
 
 Posting lists stream through sorted shuffle partitions; a list never has to fit in memory. From a list come star candidates
-(each member against the list's first), not pairs. A candidate block is then searched for its pivot: the pivot's shingles are
+(each member against the list's most central one), not pairs. A candidate block is then searched for its pivot: the pivot's shingles are
 posting lists over the block, short ones are merged by a heap, the longest are binary-probed (DivideSkip), and documents that
 reach the required overlap are retained. Lists that still hold several classes after that are joined with themselves across
 classes, so no link between different classes is lost; pairs that share too few prefix shingles to link are not searched.
@@ -214,40 +214,33 @@ def ngram_classes(spark: SparkSession, docs: DataFrame, *, words: int = 5, perce
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in rows], names=["key", "doc", "sig", "n"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of lists with two sets at least, one per set, with the list's first document as ``pivot``."""
-        last = np.zeros((5, 0), dtype=np.int64)  # the open list's first row, until a second comes
-        key = pivot = pivot_n = None
+        """Rows of lists with two sets at least, one row per set."""
+        held = before = None  # an open list's only row so far; the last row seen
         for batch in batches:
-            k, doc, sig, size = (batch.column(i).to_numpy() for i in range(4))
-            k, doc, sig, size = (np.concatenate([last[i], x]) for i, x in enumerate((k, doc, sig, size)))
-            if not len(k):
+            rows = np.stack([batch.column(i).to_numpy() for i in range(4)])
+            if not rows.shape[1]:
                 continue
-            fresh = np.ones(len(k), dtype=bool)
-            fresh[1:] = (k[1:] != k[:-1]) | (sig[1:] != sig[:-1])
-            if not last.shape[1] and key is not None and k[0] == key:
-                fresh[0] = sig[0] != key_sig
-            key_sig = sig[-1]
-            k, doc, sig, size = k[fresh], doc[fresh], sig[fresh], size[fresh]
-            if not len(k):
+            ident = rows[[0, 2]]  # key and set
+            fresh = np.ones(rows.shape[1], dtype=bool)
+            fresh[1:] = (ident[:, 1:] != ident[:, :-1]).any(axis=0)
+            fresh[0] = before is None or (ident[:, 0] != before[[0, 2]]).any()
+            open_key = before[0] if before is not None and held is None else None
+            before, rows = rows[:, -1].copy(), rows[:, fresh]
+            if held is not None:
+                rows, held = np.concatenate([held[:, None], rows], axis=1), None
+            if not rows.shape[1]:
                 continue
-            begins = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            lengths = np.diff(np.append(begins, len(k)))
-            p, pn = np.repeat(doc[begins], lengths), np.repeat(size[begins], lengths)
-            single = np.repeat(lengths == 1, lengths)
-            if key is not None and k[0] == key and pivot is not None:  # the list goes on
-                p[: lengths[0]], pn[: lengths[0]], single[: lengths[0]] = pivot, pivot_n, False
-            last = np.zeros((5, 0), dtype=np.int64)
-            if single[-1]:
-                last = np.stack([k[-1:], doc[-1:], sig[-1:], size[-1:], size[-1:]])
-                key = pivot = pivot_n = None
-            else:
-                key, pivot, pivot_n = k[-1], p[-1], pn[-1]
-            out = ~single
-            if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (k, doc, size, p, pn)], names=["key", "doc", "n", "pivot", "pivot_n"])
+            same = rows[0, 1:] == rows[0, :-1]
+            many = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            if open_key is not None:
+                many |= rows[0] == open_key
+            if not many[-1]:
+                held = rows[:, -1].copy()
+            if many.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows[[0, 1, 3]][:, many]], names=["key", "doc", "n"])
 
     listed = docs.mapInArrow(keys, "key bigint, doc bigint, sig bigint, n bigint").repartition(F.col("key")).sortWithinPartitions("key", "sig", "doc")
-    lists = ws.save(listed.mapInArrow(shared, "key bigint, doc bigint, n bigint, pivot bigint, pivot_n bigint"), "lists")
+    lists = ws.save(listed.mapInArrow(shared, "key bigint, doc bigint, n bigint"), "lists")
     fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
     wanted = lists.select(F.col("doc").alias("doc_id")).distinct()
     texts = ws.save(docs.join(wanted, "doc_id").dropDuplicates(["doc_id"]), "texts")
@@ -261,8 +254,12 @@ def ngram_classes(spark: SparkSession, docs: DataFrame, *, words: int = 5, perce
         rest = lambda n: F.ceil(n * percent / 100) - 1
         return common >= F.ceil((a + b) * percent / (100 + percent)) - F.greatest(rest(a), rest(b))
 
+    # A list's pivot is its most central set: the one that meets most others over all of its lists.
+    met = lists.join(lists.groupBy("key").agg((F.count(F.lit(1)) - 1).alias("others")), "key").groupBy("doc").agg(F.sum("others").alias("met"))
+    ranked = ws.save(lists.join(met, "doc"), "ranked")
+    pivots = ranked.groupBy("key").agg(F.max(F.struct("met", (-F.col("doc")).alias("p"), "n")).alias("best")).select("key", (-F.col("best.p")).alias("pivot"), F.col("best.n").alias("pivot_n"))
     n, m = F.col("n"), F.col("pivot_n")
-    star = lists.where((F.col("doc") != F.col("pivot")) & fits(n, m)).groupBy("doc", "pivot", "n", "pivot_n").count().where(enough(F.col("count"), n, m))
+    star = ranked.join(pivots, "key").where((F.col("doc") != F.col("pivot")) & fits(n, m)).groupBy("doc", "pivot", "n", "pivot_n").count().where(enough(F.col("count"), n, m))
     star = star.groupBy("doc").agg(F.max(F.struct("count", (-F.col("pivot")).alias("p"))).alias("best")).select("doc", (-F.col("best.p")).alias("pivot"))
     links = _verify(spark, ws, ws.save(star, "stars"), texts, words, percent)
     known = ws.save(components(links, ws), "first")
