@@ -7,8 +7,9 @@ last, so long posting lists are rarely needed to find a candidate. Equal sets ar
 Posting lists stream through sorted shuffle partitions; a list never has to fit in memory. From a list come star candidates
 (each member against the list's most central one), not pairs. A candidate block is then searched for its pivot: the pivot's shingles are
 posting lists over the block, short ones are merged by a heap, the longest are binary-probed (DivideSkip), and documents that
-reach the required overlap are retained. Lists that still hold several classes after that are joined with themselves across
-classes, so no link between different classes is lost; pairs that share too few prefix shingles to link are not searched.
+reach the required overlap are retained. Members that do not link to their pivot are searched for in blocks of its other
+candidates the same way. Lists that still hold several classes of different pivots are joined with themselves across those, so
+no link between different classes is lost; pairs that share too few prefix shingles to link are not searched.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from panelwright.llm.decontamination import small
 from panelwright.llm.graph import components
 from panelwright.llm.shared import Workspace
 
@@ -174,12 +176,46 @@ def _verify(spark: SparkSession, ws: Workspace, pairs: DataFrame, texts: DataFra
     return ws.save(blocks.mapInArrow(_streamed(search, fields), "u bigint, v bigint, overlap bigint"), "links")
 
 
-def ngram_classes(spark: SparkSession, docs: DataFrame, *, words: int = 5, percent: int = 80, frequent: int = 50_000, one_in: int = 16, workspace: Workspace | None = None) -> DataFrame:
+def _search_families(spark: SparkSession, ws: Workspace, star: DataFrame, links: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links inside a pivot's family: each member that does not link to the pivot against all others.
+
+    Members are dealt to blocks of about 64, and the blocks are searched for each such member. Links to the pivot need no search.
+    """
+    blocks = star.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / 64).cast("int").alias("n_blocks"))
+    lone = star.join(links.select(F.col("v").alias("doc")), "doc", "left_anti")
+    busy = lone.select("pivot").distinct().join(blocks, "pivot")
+    member = star.join(busy, "pivot").select("pivot", F.pmod(F.xxhash64("doc"), F.col("n_blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "doc")
+    asked = lone.join(busy, "pivot").select("pivot", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), F.lit(1).alias("role"), "doc")
+    both = member.union(asked)
+    rows = both.join(texts, both["doc"] == texts["doc_id"]).select("pivot", "block", "role", "doc", "text")
+    rows = rows.repartition(F.col("pivot"), F.col("block")).sortWithinPartitions("pivot", "block", "role", "doc")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        at, ids, block = None, [], []
+        for batch in batches:
+            for p, b, role, doc, text in zip(*[batch.column(i).to_pylist() for i in range(4)], batch.column(4), strict=True):
+                if (p, b) != at:
+                    at, ids, block = (p, b), [], []
+                own = shingles(text.as_py(), n)
+                if role == 0:
+                    ids.append(doc)
+                    block.append(own)
+                else:
+                    for d, count in t_occurrence(own, block, percent):
+                        if ids[d] != doc:
+                            yield min(doc, ids[d]), max(doc, ids[d]), count
+
+    fields = [("u", pa.int64()), ("v", pa.int64()), ("overlap", pa.int64())]
+    return ws.save(rows.mapInArrow(_streamed(search, fields), "u bigint, v bigint, overlap bigint"), "family_links")
+
+
+def ngram_classes(spark: SparkSession, docs: DataFrame, *, words: int = 5, percent: int = 80, frequent: int = 50_000, one_in: int = 16, ids_at_once: int = 1_000_000, workspace: Workspace | None = None) -> DataFrame:
     """``doc_id, n_shingles, component_id``: one row per row of ``docs(doc_id, text)``; ids are whole and not null.
 
     ``component_id``: the least ``doc_id`` that links reach. Null texts, and texts without words, have no shingle and link with
     nothing. Rows repeated with their id are one document, returned as often as they are there. Empty tables give no row. Other
-    columns are not read. ``frequent``: at most so many 8-byte hashes are broadcast to order the shingles.
+    columns are not read. ``frequent``: at most so many 8-byte hashes are broadcast to order the shingles. ``ids_at_once``: so many
+    candidates' ids at most are broadcast to fetch their texts; more come by a shuffle.
     """
     ws = workspace or Workspace(spark, "ngram-join")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
@@ -242,8 +278,8 @@ def ngram_classes(spark: SparkSession, docs: DataFrame, *, words: int = 5, perce
     listed = docs.mapInArrow(keys, "key bigint, doc bigint, sig bigint, n bigint").repartition(F.col("key")).sortWithinPartitions("key", "sig", "doc")
     lists = ws.save(listed.mapInArrow(shared, "key bigint, doc bigint, n bigint"), "lists")
     fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
-    wanted = lists.select(F.col("doc").alias("doc_id")).distinct()
-    texts = ws.save(docs.join(wanted, "doc_id").dropDuplicates(["doc_id"]), "texts")
+    wanted = ws.save(lists.select(F.col("doc").alias("doc_id")).distinct(), "wanted")
+    texts = ws.save(docs.join(small(wanted, ids_at_once), "doc_id"), "texts")
 
     def enough(common, a, b):
         """Sets of sizes ``a`` and ``b`` with so many common prefix shingles can link.
@@ -261,19 +297,28 @@ def ngram_classes(spark: SparkSession, docs: DataFrame, *, words: int = 5, perce
     n, m = F.col("n"), F.col("pivot_n")
     star = ranked.join(pivots, "key").where((F.col("doc") != F.col("pivot")) & fits(n, m)).groupBy("doc", "pivot", "n", "pivot_n").count().where(enough(F.col("count"), n, m))
     star = star.groupBy("doc").agg(F.max(F.struct("count", (-F.col("pivot")).alias("p"))).alias("best")).select("doc", (-F.col("best.p")).alias("pivot"))
-    links = _verify(spark, ws, ws.save(star, "stars"), texts, words, percent)
-    known = ws.save(components(links, ws), "first")
-
-    of = lambda df: df.join(known, df["doc"] == known["v"], "left").select(*df.columns, F.coalesce("component", "doc").alias("component"))
-    still = ws.save(of(lists.select("key", "doc", "n")), "listed")
+    star = ws.save(star, "stars")
+    links = _verify(spark, ws, star, texts, words, percent)
+    near = _search_families(spark, ws, star, links, texts, words, percent)
+    found = links.select("u", "v").union(near.select("u", "v"))
+    known = found.groupBy("v").agg(F.min("u").alias("component"))
+    for _ in range(2):  # a label two links up is as good here: it only says what need not be compared again
+        up = known.select(F.col("v").alias("component"), F.col("component").alias("_up"))
+        known = known.join(up, "component", "left").select("v", F.coalesce("_up", "component").alias("component"))
+    known = ws.save(known, "labels")
+
+    still = lists.join(known, lists["doc"] == known["v"], "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("component"))
+    still = still.join(star.select("doc", F.col("pivot").alias("family")), "doc", "left")
+    still = ws.save(still.select("key", "doc", "n", "component", F.coalesce("family", -1 - F.col("doc")).alias("family")), "listed")
     mixed = still.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
     still = ws.save(still.join(mixed, "key", "left_semi"), "mixed")
-    x, y = (still.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "component")]) for s in "xy")
-    pairs = x.join(y, "key").where((F.col("component_x") < F.col("component_y")) & fits(F.col("n_x"), F.col("n_y")))
+    x, y = (still.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "component", "family")]) for s in "xy")
+    apart = (F.col("component_x") < F.col("component_y")) & (F.col("family_x") != F.col("family_y"))
+    pairs = x.join(y, "key").where(apart & fits(F.col("n_x"), F.col("n_y")))
     pairs = pairs.groupBy(F.col("doc_x").alias("pivot"), F.col("doc_y").alias("doc"), "n_x", "n_y").count()
     pairs = pairs.where(enough(F.col("count"), F.col("n_x"), F.col("n_y"))).select("pivot", "doc")
     more = _verify(spark, ws, ws.save(pairs, "pairs"), texts, words, percent)
-    joined = components(links.select("u", "v").union(more.select("u", "v")), ws)
+    joined = components(found.union(more.select("u", "v")), ws)
 
     final = classes.join(joined, classes["rep"] == joined["v"], "left").select(F.col("sig").alias("_sig"), F.coalesce("component", "rep").alias("component_id"))
     return signed.join(final, signed["sig"] == final["_sig"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
