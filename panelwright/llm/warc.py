@@ -8,6 +8,7 @@ several; in each range a loser tree merges the runs.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from base64 import b32encode
 from collections.abc import Iterator
@@ -67,14 +68,14 @@ def records(pages: DataFrame, *, least_bytes: int = 0) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, folder: str, *, records_per_file: int = 1000, least_bytes: int = 0) -> None:
-    """Writes ``pages(page_id, url, html, fetched_at)`` as WARC files of at most so many records, each file a sorted run."""
+    """Writes ``pages(page_id, url, html, fetched_at)`` as gzipped WARC files of at most so many records, each file a sorted run."""
     rows = records(pages, least_bytes=least_bytes).sortWithinPartitions("url_key", "fetched_at", "page_id")
-    rows.select("value").write.option("lineSep", BREAK).option("maxRecordsPerFile", records_per_file).text(folder)
+    rows.select("value").write.option("lineSep", BREAK).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(folder)
 
 
-def parse_records(content: memoryview) -> Iterator[tuple[int, dict[str, str], memoryview]]:
-    """``offset, headers, payload`` of each record of an archive."""
-    raw, at, mark = bytes(content), 0, BREAK.encode()
+def parse_records(raw: bytes) -> Iterator[tuple[int, dict[str, str], memoryview]]:
+    """``offset, headers, payload`` of each record of an archive; offsets are those of the unpacked bytes."""
+    at, mark = 0, BREAK.encode()
     while at < len(raw):
         body = raw.index(mark, at) + len(mark)
         version, *lines = raw[at : body - len(mark)].decode().split("\r\n")
@@ -98,7 +99,7 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows = []
-                for at, head, payload in parse_records(memoryview(content.as_buffer())):
+                for at, head, payload in parse_records(gzip.decompress(content.as_buffer())):
                     size, digest = len(payload), b32encode(hashlib.sha1(payload).digest()).decode()
                     if head["WARC-Type"] == "revisit":
                         size, digest = int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha1:")
