@@ -76,22 +76,22 @@ def read_fundamentals(spark, sf):
     return S.read_fundamentals(spark, at, least=100)
 
 
-@query("month_end", "mkt rf", sql="SELECT dt AS month_end, round(value, 4) / 100 AS mkt, 0.001 AS rf FROM x_bm")
+@query("month_end", "mkt rf", sql="SELECT dt AS month_end, floor(value * 10000 + 0.5) / 10000 / 100 AS mkt, 0.001 AS rf FROM x_bm")
 def read_monthly_factors(spark, sf):
     from pyspark.sql.window import Window
 
     b = A.benchmark_monthly(spark, sf).withColumn("n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("dt")))
-    rows = b.select("n", F.concat_ws(",", F.date_format("dt", "yyyyMM"), F.round("value", 4).cast("decimal(18,4)").cast("string"), F.lit("0.1")).alias("value"))
+    rows = b.select("n", F.concat_ws(",", F.date_format("dt", "yyyyMM"), (F.floor(F.col("value") * 10_000 + 0.5) / 10_000).cast("decimal(18,4)").cast("string"), F.lit("0.1")).alias("value"))
     head = A.table(spark, sf, "region").where("r_regionkey < 2").select((F.col("r_regionkey") - 5).alias("n"), F.when(F.col("r_regionkey") == 0, "A header").otherwise(",Mkt,RF").alias("value"))
     annual = b.where("month(dt) = 12").select((F.col("n") + 10_000).alias("n"), F.concat(F.date_format("dt", "  yyyy"), F.lit(",1,2")).alias("value"))
     df = S.parse_factor_text(head.union(rows).union(annual))
     return df.select("month_end", F.col("values")[0].alias("mkt"), F.col("values")[1].alias("rf"))
 
 
-@query("series_id dt", "value", sql="SELECT symbol AS series_id, dt, CASE WHEN month(dt) <> 2 THEN round(value, 4) END AS value FROM x_monthly")
+@query("series_id dt", "value", sql="SELECT symbol AS series_id, dt, CASE WHEN month(dt) <> 2 THEN floor(value * 10000 + 0.5) / 10000 END AS value FROM x_monthly")
 def read_macro_series(spark, sf):
     m = A.monthly_levels(spark, sf)
-    text = F.when(F.month("dt") == 2, ".").otherwise(F.round("value", 4).cast("decimal(18,4)").cast("string"))
+    text = F.when(F.month("dt") == 2, ".").otherwise((F.floor(F.col("value") * 10_000 + 0.5) / 10_000).cast("decimal(18,4)").cast("string"))
     obs = F.struct(F.date_format("dt", "yyyy-MM-dd").alias("date"), text.alias("value"))
     first = F.struct(F.date_format("dt", "yyyy-MM-dd").alias("date"), F.lit("1").alias("value"))
     j = m.groupBy(F.col("symbol").alias("series_id")).agg(F.to_json(F.struct(F.concat(F.collect_list(first), F.collect_list(obs)).alias("observations"))).alias("json"))
