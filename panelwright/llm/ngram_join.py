@@ -147,12 +147,13 @@ def _streamed(make, fields: list[tuple[str, pa.DataType]], size: int = 50_000):
     return run
 
 
-def _verify(spark: SparkSession, ws: Workspace, pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+def _verify(spark: SparkSession, ws: Workspace, pairs: DataFrame, texts: DataFrame, n: int, percent: int, rows_at_once: int = 500_000) -> DataFrame:
     """The pairs ``(pivot, doc)`` that link, by :func:`t_occurrence` over blocks of at most 64 of a pivot's candidates."""
     salt = F.pmod(F.xxhash64("doc"), F.lit(64)).cast("int").alias("salt")
     asked = pairs.select("pivot", salt, "doc")
     members = asked.select("pivot", "salt", "doc", F.lit(1).alias("role")).union(asked.select("pivot", "salt", F.col("pivot").alias("doc"), F.lit(0).alias("role")).distinct())
-    blocks = members.join(texts, members["doc"] == texts["doc_id"]).select("pivot", "salt", "role", "doc", "text")
+    members = small(ws.save(members, "members"), rows_at_once)
+    blocks = texts.join(members, members["doc"] == texts["doc_id"]).select("pivot", "salt", "role", "doc", "text")
     blocks = blocks.repartition(F.col("pivot"), F.col("salt")).sortWithinPartitions("pivot", "salt", "role", "doc")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -176,7 +177,7 @@ def _verify(spark: SparkSession, ws: Workspace, pairs: DataFrame, texts: DataFra
     return ws.save(blocks.mapInArrow(_streamed(search, fields), "u bigint, v bigint, overlap bigint"), "links")
 
 
-def _search_families(spark: SparkSession, ws: Workspace, star: DataFrame, links: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+def _search_families(spark: SparkSession, ws: Workspace, star: DataFrame, links: DataFrame, texts: DataFrame, n: int, percent: int, rows_at_once: int = 500_000) -> DataFrame:
     """Links inside a pivot's family: each member that does not link to the pivot against all others.
 
     Members are dealt to blocks of about 64, and the blocks are searched for each such member. Links to the pivot need no search.
@@ -186,8 +187,8 @@ def _search_families(spark: SparkSession, ws: Workspace, star: DataFrame, links:
     busy = lone.select("pivot").distinct().join(blocks, "pivot")
     member = star.join(busy, "pivot").select("pivot", F.pmod(F.xxhash64("doc"), F.col("n_blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "doc")
     asked = lone.join(busy, "pivot").select("pivot", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), F.lit(1).alias("role"), "doc")
-    both = member.union(asked)
-    rows = both.join(texts, both["doc"] == texts["doc_id"]).select("pivot", "block", "role", "doc", "text")
+    both = small(ws.save(member.union(asked), "family"), rows_at_once)
+    rows = texts.join(both, both["doc"] == texts["doc_id"]).select("pivot", "block", "role", "doc", "text")
     rows = rows.repartition(F.col("pivot"), F.col("block")).sortWithinPartitions("pivot", "block", "role", "doc")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -215,7 +216,7 @@ def ngram_classes(spark: SparkSession, docs: DataFrame, *, words: int = 5, perce
     ``component_id``: the least ``doc_id`` that links reach. Null texts, and texts without words, have no shingle and link with
     nothing. Rows repeated with their id are one document, returned as often as they are there. Empty tables give no row. Other
     columns are not read. ``frequent``: at most so many 8-byte hashes are broadcast to order the shingles. ``ids_at_once``: so many
-    candidates' ids at most are broadcast to fetch their texts; more come by a shuffle.
+    ids and their tags at most are broadcast to the lists and texts; more are joined by a shuffle.
     """
     ws = workspace or Workspace(spark, "ngram-join")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
@@ -290,9 +291,9 @@ def ngram_classes(spark: SparkSession, docs: DataFrame, *, words: int = 5, perce
         rest = lambda n: F.ceil(n * percent / 100) - 1
         return common >= F.ceil((a + b) * percent / (100 + percent)) - F.greatest(rest(a), rest(b))
 
-    # A list's pivot is its most central set: the one that meets most others over all of its lists.
-    met = lists.join(lists.groupBy("key").agg((F.count(F.lit(1)) - 1).alias("others")), "key").groupBy("doc").agg(F.sum("others").alias("met"))
-    ranked = ws.save(lists.join(met, "doc"), "ranked")
+    # A list's pivot is its most central set: the one with most shingles that others have too.
+    met = ws.save(lists.groupBy("doc").agg(F.count(F.lit(1)).alias("met")), "met")
+    ranked = lists.join(small(met, ids_at_once), "doc")
     pivots = ranked.groupBy("key").agg(F.max(F.struct("met", (-F.col("doc")).alias("p"), "n")).alias("best")).select("key", (-F.col("best.p")).alias("pivot"), F.col("best.n").alias("pivot_n"))
     n, m = F.col("n"), F.col("pivot_n")
     star = ranked.join(pivots, "key").where((F.col("doc") != F.col("pivot")) & fits(n, m)).groupBy("doc", "pivot", "n", "pivot_n").count().where(enough(F.col("count"), n, m))
@@ -307,11 +308,11 @@ def ngram_classes(spark: SparkSession, docs: DataFrame, *, words: int = 5, perce
         known = known.join(up, "component", "left").select("v", F.coalesce("_up", "component").alias("component"))
     known = ws.save(known, "labels")
 
-    still = lists.join(known, lists["doc"] == known["v"], "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("component"))
-    still = still.join(star.select("doc", F.col("pivot").alias("family")), "doc", "left")
-    still = ws.save(still.select("key", "doc", "n", "component", F.coalesce("family", -1 - F.col("doc")).alias("family")), "listed")
+    tags = known.join(star.select(F.col("doc").alias("v"), F.col("pivot").alias("family")), "v", "full")
+    tags = small(ws.save(tags, "tags"), ids_at_once)
+    still = lists.join(tags, lists["doc"] == tags["v"], "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("component"), F.coalesce("family", -1 - F.col("doc")).alias("family"))
     mixed = still.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
-    still = ws.save(still.join(mixed, "key", "left_semi"), "mixed")
+    still = ws.save(still.join(small(ws.save(mixed, "mixed"), ids_at_once), "key", "left_semi"), "between")
     x, y = (still.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "component", "family")]) for s in "xy")
     apart = (F.col("component_x") < F.col("component_y")) & (F.col("family_x") != F.col("family_y"))
     pairs = x.join(y, "key").where(apart & fits(F.col("n_x"), F.col("n_y")))
