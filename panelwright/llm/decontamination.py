@@ -1,13 +1,14 @@
 """Benchmark decontamination by spaced seeds: word windows hashed under fixed masks that ignore some positions.
 
-Built-in functions only. A seed hit says that a document and a test item agree on a mask's positions; several hits on one
-diagonal (document position minus item position) are verified by the words around: the best local alignment without gaps has
-to hold enough equal words, at four equal words of five or better.
+Built-in functions only. A seed hit says that a document and a test item agree on a mask's positions; each diagonal (document
+position minus item position) with a hit is verified by the words around: of all its segments with four equal words of five or
+better, the one with most equal words has to hold enough of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -16,6 +17,9 @@ from panelwright.llm.shared import Workspace
 
 #: 1: the position counts, 0: it is ignored. Two windows of five words out of six, mirrored.
 MASKS = ("110111", "111011")
+#: Seeds beside the masks. An overlap of at least 13 words, or of four fifths of an item of six words or more, holds four equal
+#: words in a row or a window of a mask; the masks alone miss runs of 5, 1, 5, 1 and 5 words, or a six-word item's first word.
+RUN = "1111"
 #: Rows up to which a table of a few numbers and short lists is sent to all executors; beyond it the join shuffles.
 BROADCAST_ROWS = 100_000
 
@@ -42,8 +46,8 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, min_words: int = 13, min_share: float = 0.8, masks: tuple[str, ...] = MASKS, workspace: Workspace | None = None) -> DataFrame:
     """Verified overlaps: ``doc_id, item_id, matched, span, item_words``, one row per document and item (the best diagonal).
 
-    Words are compared in lower case. An overlap counts if its best segment (equal words +1, others ``-min_share / (1 -
-    min_share)``) has at least ``min_words`` equal words, or ``min_share`` of a shorter item's.
+    Words are compared in lower case. An overlap counts if the segment with most equal words, of all whose share of equal words
+    is at least ``min_share``, has at least ``min_words`` of them, or ``min_share`` of a shorter item's.
 
     Items of fewer words than the longest mask mark nothing; null texts have no words; null ids are left out; rows repeated in
     either table count once; either table may be empty; other columns are not read.
@@ -52,11 +56,10 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, mi
     lower = lambda c: words_of(F.lower(F.col(c)))
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("bigint").alias("item_id"), lower("text").alias("item"))
     items = ws.save(items.where(F.size("item") >= max(map(len, masks))).dropDuplicates(), "items")
-    seeds = items.select("item_id", F.size("item").alias("n"), F.inline(seeds_of("item", masks))).withColumnRenamed("p", "j")
+    seeds = items.select("item_id", F.size("item").alias("n"), F.inline(seeds_of("item", (*masks, RUN)))).withColumnRenamed("p", "j")
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), lower("text").alias("words"))
-    seeded = texts.select("doc_id", F.inline(seeds_of("words", masks)))
+    seeded = texts.select("doc_id", F.inline(seeds_of("words", (*masks, RUN))))
     hits = seeded.join(small(ws.save(seeds, "seeds")), "h").select("doc_id", "item_id", "n", (F.col("p") - F.col("j")).alias("d"))
-    hits = hits.groupBy("doc_id", "item_id", "n", "d").count().where("count >= 2")
     hits = ws.save(hits.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "n", "d")).alias("hits")), "hits")
     placed = texts.join(small(hits), "doc_id")
     window = lambda h: F.slice(
@@ -65,21 +68,27 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, mi
     placed = placed.select("doc_id", F.inline(F.transform("hits", lambda h: F.struct(h["item_id"].alias("item_id"), h["d"].alias("d"), window(h).alias("part")))))
     aligned = placed.join(small(items), "item_id")
     theirs = F.slice("item", F.greatest(-F.col("d"), F.lit(0)) + 1, F.size("part"))
-    loss = -min_share / (1 - min_share)
-    state = lambda score, words, span: F.struct(score.cast("double").alias("score"), words.cast("bigint").alias("matched"), span.cast("bigint").alias("span"))
-
-    def step(acc: Column, same: Column) -> Column:
-        """Best segment that ends here, then the best of all by matched words, with the lower span first."""
-        score = acc["here"]["score"] + F.when(same, 1.0).otherwise(loss)
-        grown = state(score, acc["here"]["matched"] + same.cast("bigint"), acc["here"]["span"] + 1)
-        here = F.when(score > 0, grown).otherwise(state(F.lit(0), F.lit(0), F.lit(0)))
-        better = same & ((here["matched"] > acc["best"]["matched"]) | ((here["matched"] == acc["best"]["matched"]) & (here["span"] < acc["best"]["span"])))
-        return F.struct(here.alias("here"), F.when(better, here).otherwise(acc["best"]).alias("best"))
-
-    zero = state(F.lit(0), F.lit(0), F.lit(0))
-    best = F.aggregate(F.zip_with("part", theirs, lambda a, b: a == b), F.struct(zero.alias("here"), zero.alias("best")), step, lambda acc: acc["best"])
-    df = aligned.select("doc_id", "item_id", best.alias("best"), F.size("item").alias("item_words"))
-    df = df.where(F.col("best.matched") >= F.least(F.lit(min_words), F.ceil(min_share * F.col("item_words"))))
+    share = Fraction(min_share).limit_denominator(1000)
+    gain = lambda k, at: share.denominator * k - share.numerator * at
+
+    def step(acc: Column, x: Column) -> Column:
+        """Most equal words of a segment that ends at an equal word; ``lows``: the equal words of less gain than all before."""
+        here = gain(x["k"], x["at"])
+        low = (F.size(acc["lows"]) == 0) | (here < F.element_at(acc["lows"], -1)["gain"])
+        lows = F.when(low, F.concat(acc["lows"], F.array(F.struct(x["k"].alias("k"), here.alias("gain"))))).otherwise(acc["lows"])
+        first = F.filter(lows, lambda y: y["gain"] <= here + share.denominator - share.numerator)[0]["k"]
+        return F.struct(lows.alias("lows"), F.greatest(acc["matched"], x["k"] - first + 1).alias("matched"))
+
+    equal = F.filter(F.transform(F.zip_with("part", theirs, lambda a, b: a == b), lambda same, i: F.when(same, i)), lambda i: i.isNotNull())
+    numbered = F.transform("equal", lambda at, k: F.struct(k.cast("bigint").alias("k"), at.cast("bigint").alias("at")))
+    zero = F.struct(F.array().cast("array<struct<k:bigint,gain:bigint>>").alias("lows"), F.lit(0).cast("bigint").alias("matched"))
+    matched = F.aggregate(numbered, zero, step, lambda acc: acc["matched"])
+    df = aligned.select("doc_id", "item_id", equal.alias("equal"), F.size("item").alias("item_words")).where(F.size("equal") > 0)
+    df = df.select("doc_id", "item_id", "equal", matched.alias("matched"), "item_words")
+    df = df.where(F.col("matched") >= F.least(F.lit(min_words), F.ceil(min_share * F.col("item_words"))))
+    many = F.col("matched").cast("int")
+    spans = F.transform(F.slice("equal", many, F.size("equal") - many + 1), lambda at, k: at - F.get("equal", k) + 1)
+    df = df.select("doc_id", "item_id", "item_words", F.struct("matched", F.array_min(spans).cast("bigint").alias("span")).alias("best"))
     best_of = F.max_by(F.struct(F.col("best.matched").alias("matched"), F.col("best.span").alias("span")), F.struct("best.matched", -F.col("best.span"))).alias("b")
     return df.groupBy("doc_id", "item_id", "item_words").agg(best_of).select("doc_id", "item_id", "b.matched", "b.span", F.col("item_words").cast("bigint").alias("item_words"))
 

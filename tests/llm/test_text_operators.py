@@ -164,6 +164,36 @@ def test_leaks_equal_brute_force(spark):
     assert not any(r.contaminated for r in decontamination.decontaminate(spark, frame(spark, docs), none).collect())
 
 
+def leak_segments(docs, items, min_words=13):
+    """All segments of all diagonals of all pairs, at four equal words of five: most equal words, then the lower span."""
+    out = {}
+    for d, t in docs:
+        w = brute.WORD.findall((t or "").lower())
+        for i, x in items:
+            v = brute.WORD.findall((x or "").lower())
+            for g in range(-len(v) + 1, len(w)) if len(v) >= 6 else ():
+                same = [w[g + j] == v[j] for j in range(max(0, -g), min(len(v), len(w) - g))]
+                for a in range(len(same)):
+                    for b in range(a, len(same)):
+                        n = sum(same[a : b + 1])
+                        if 5 * n >= 4 * (b - a + 1) and n >= min(min_words, -(-len(v) * 4 // 5)):
+                            out[d, i] = max(out.get((d, i), (0, 0)), (n, a - b - 1))
+    return {k: (n, -span) for k, (n, span) in out.items()}
+
+
+def test_leaks_with_replaced_words_anywhere(spark):
+    """One word replaced at any place, or two, or runs of 5, 1, 5, 1 and 5 equal words, which no mask hits."""
+    items = [(n, " ".join(f"v{n}x{j}" for j in range(n))) for n in (6, 7, 8, 10, 13, 15, 16, 17, 21)]
+    docs, rng = [], random.Random(7)
+    for n, x in items:
+        places = [(j,) for j in range(n)] + [tuple(rng.sample(range(n), r)) for r in (2, 2, 2, 2, 3, 4, 5)] + [(5, 7, 13, 15)]
+        for at in places:
+            docs.append((len(docs), "before it " + " ".join("zzz" if j in at else y for j, y in enumerate(x.split())) + " after it"))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.matched, r.span) for r in decontamination.find_leaks(spark, frame(spark, docs), bench).collect()}
+    assert got == leak_segments(docs, items)
+
+
 def test_toxicity_learns_from_positives_alone(spark):
     rng = random.Random(3)
     bad = ["grumble", "snarl", "spite"]
