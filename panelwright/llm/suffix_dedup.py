@@ -49,7 +49,7 @@ def window_hashes(raw: np.ndarray, k: int) -> np.ndarray:
 
 
 def anchors(raw: np.ndarray, length: int, k: int) -> np.ndarray:
-    """Rows ``key, anchor, first start, last start``: each window start of ``length`` bytes is in one row's range."""
+    """Rows ``key, anchor, first start, last start``: each window start of ``length`` bytes is in one row's range, each anchor in one row."""
     out = []
     for at in range(0, len(raw) - length + 1, _SEGMENT):
         part = raw[at : at + _SEGMENT + length - 1]
@@ -65,7 +65,11 @@ def anchors(raw: np.ndarray, length: int, k: int) -> np.ndarray:
         ends = np.append(begins[1:], len(where)) - 1
         a = where[begins]
         out.append(np.stack([h[a].view(np.int64), a + at, begins + at, ends + at]))
-    return np.concatenate(out, axis=1) if out else np.zeros((4, 0), dtype=np.int64)
+    if not out:
+        return np.zeros((4, 0), dtype=np.int64)
+    rows = np.concatenate(out, axis=1)
+    begins = np.flatnonzero(np.concatenate([[True], rows[1, 1:] != rows[1, :-1]]))  # an anchor goes on in the next segment
+    return np.concatenate([rows[:3, begins], rows[3:, np.append(begins[1:], rows.shape[1]) - 1]])
 
 
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:

@@ -79,6 +79,20 @@ def test_suffix_dedup_of_periodic_and_long_texts(spark):
     assert suffix_dedup.RepeatedPassages(spark, frame(spark, [])).digests().count() == 0
 
 
+def test_suffix_dedup_at_segment_boundaries(spark):
+    """Passages of digits that start at, or just after, the second and third segment of a text of over 2 MiB."""
+    rng = random.Random(11)
+    text = lambda letters, n: "".join(rng.choices(letters, k=n))
+    one, two, segment = text("0123456789", 400), text("0123456789", 450), suffix_dedup._SEGMENT
+    long = text("abcdefgh", segment) + one + text("abcdefgh", segment - 300) + two + text("abcdefgh", 900)
+    docs = [(1, long), (2, text("ijklmnop", 700) + one + text("ijklmnop", 50)), (3, two + text("qrstuvwx", 500))]
+    rows = suffix_dedup.anchors(np.frombuffer(long.encode(), dtype=np.uint8), 400, 32)
+    assert len(np.unique(rows[1])) == rows.shape[1] and (rows[2, 1:] == rows[3, :-1] + 1).all() and rows[3, -1] == len(long) - 400
+    found = suffix_dedup.RepeatedPassages(spark, frame(spark, docs))
+    assert {r.doc_id: (r.n_removed, r.n_spans) for r in found.digests().collect()} == {1: (850, 2), 2: (400, 1), 3: (450, 1)}
+    assert {r.doc_id: [(s.s, s.e) for s in r.spans] for r in found.texts().collect()}[1] == [(segment, segment + 400), (2 * segment + 100, 2 * segment + 550)]
+
+
 def test_deep_shallow_order_sorts():
     rng = random.Random(4)
     for _ in range(40):
