@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from panelwright.operators import combos as C, metrics as M, regress as R, walk as K, windows as W
@@ -18,6 +20,15 @@ CTES["x_cnav"] = "SELECT combo_rank, s0, s1, s2, a.dt, (a.g + b.g + c.g) / 3 AS
 CTES["x_cret"] = "SELECT *, nav / lag(nav) OVER w - 1 AS ret, nav / max(nav) OVER (PARTITION BY combo_rank ORDER BY dt) - 1 AS dd FROM x_cnav WINDOW w AS (PARTITION BY combo_rank ORDER BY dt)"
 CTES["x_cmet"] = "SELECT combo_rank, s0 || '|' || s1 || '|' || s2 AS members, arg_max(nav, c.dt) - 1 AS total_return, pow(arg_max(nav, c.dt), 365.25 / date_diff('day', min(c.dt), max(c.dt))) - 1 AS cagr, min(dd) AS max_drawdown, stddev_samp(ret) * sqrt(12) AS volatility, avg(ret) * 12 / (sqrt(avg(CASE WHEN ret IS NOT NULL THEN pow(least(ret, 0), 2) END)) * sqrt(12)) AS sortino, covar_samp(ret, bret) / var_samp(CASE WHEN ret IS NOT NULL THEN bret END) AS beta FROM x_cret c JOIN x_bret b ON b.dt = c.dt GROUP BY combo_rank, s0, s1, s2"
 _SCORES = "SELECT *, sortino AS score_1, CASE WHEN cagr > -1 THEN sortino * cagr END AS score_2, CASE WHEN max_drawdown < 0 AND cagr > -1 THEN sortino * cagr / abs(max_drawdown) END AS score_3, CASE WHEN beta > 0 AND max_drawdown < 0 AND cagr > -1 THEN sortino * cagr / abs(max_drawdown) / beta END AS score_4 FROM x_cmet"
+
+
+
+def _whole(sql):
+    """The SQL of a combination query over all symbols, not the first twelve."""
+    return re.sub(r"\bx_(pos|combo|cnav|cret|cmet)\b", r"x_all_\1", sql)
+
+
+CTES |= {_whole(x): _whole(CTES[x]).replace(" LIMIT 12", "") for x in ("x_pos", "x_combo", "x_cnav", "x_cret", "x_cmet")}
 _METRICS = "total_return cagr max_drawdown volatility sortino beta"
 
 
@@ -38,11 +49,12 @@ def recommended_holdings(spark, sf):
     return C.recommended_holdings(universes(spark, sf))
 
 
-def positions(spark, sf):
+def positions(spark, sf, most=12):
     from pyspark.sql.window import Window
 
     s = A.monthly_levels(spark, sf).select("symbol").distinct()
-    return s.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("symbol")).cast("bigint") - 1).where("pos < 12")
+    df = s.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("symbol")).cast("bigint") - 1)
+    return df if most is None else df.where(F.col("pos") < most)
 
 
 @query("combo_rank members", sql="SELECT combo_rank, s0 || '|' || s1 || '|' || s2 AS members FROM x_combo")
@@ -50,12 +62,16 @@ def enumerate_combos(spark, sf):
     return C.enumerate_combos(positions(spark, sf), 3).withColumn("members", F.array_join("members", "|"))
 
 
-def evaluated(spark, sf, resets=None):
+def evaluated(spark, sf, resets=None, most=12, ranks=None):
+    """Metrics of the triples of the first ``most`` symbols (``None``: of all), or of those in the table ``ranks``."""
+    combos = C.enumerate_combos(positions(spark, sf, most), 3)
+    if ranks is not None:
+        combos = combos.join(ranks, "combo_rank", "left_semi")
     panel = q_nav.filled(spark, sf)
     span = panel.agg(F.datediff(F.max("dt"), F.min("dt")).alias("d"), F.min("dt").alias("a")).first()  # two numbers
     b = M.with_previous(A.benchmark_monthly(spark, sf)).where(F.col("dt") > span.a)
     bench = b.agg(F.transform(F.array_sort(F.collect_list(F.struct("dt", "bret"))), lambda x: x["bret"]).alias("bret"))
-    df = C.evaluate_combos(C.enumerate_combos(positions(spark, sf), 3), C.price_arrays(panel), bench, days=span.d, resets=resets)
+    df = C.evaluate_combos(combos, C.price_arrays(panel), bench, days=span.d, resets=resets)
     return df.withColumn("members", F.array_join("members", "|"))
 
 
@@ -88,7 +104,48 @@ def combo_sort_page(spark, sf):
 
 @query("combo_rank members", _METRICS, sql="SELECT * FROM x_cmet WHERE combo_rank % 50 = 0")
 def combo_materialize(spark, sf):
-    return evaluated(spark, sf).where("combo_rank % 50 = 0")
+    ranks = C.enumerate_combos(positions(spark, sf), 3).where("combo_rank % 50 = 0").select("combo_rank")
+    return evaluated(spark, sf, ranks=ranks)
+
+
+@query("combo_rank members", sql=_whole("SELECT combo_rank, s0 || '|' || s1 || '|' || s2 AS members FROM x_combo"))
+def enumerate_all_combos(spark, sf):
+    """This query and the following ones search all symbols; those above, with their SQL, the first twelve."""
+    return C.enumerate_combos(positions(spark, sf, None), 3).withColumn("members", F.array_join("members", "|"))
+
+
+@query("combo_rank members", _METRICS, sql=_whole("SELECT * FROM x_cmet"))
+def evaluate_all_combos(spark, sf):
+    return evaluated(spark, sf, most=None)
+
+
+@query("combo_rank", "score_1 score_2 score_3 score_4", sql=_whole(_SCORES))
+def all_combo_scores(spark, sf):
+    return C.combo_scores(evaluated(spark, sf, most=None))
+
+
+@query("combo_rank members", "score_3", sql=_whole(f"SELECT * FROM ({_SCORES}) ORDER BY score_3 DESC NULLS LAST, combo_rank LIMIT 1"))
+def best_of_all_combos(spark, sf):
+    return C.best_combo(C.combo_scores(evaluated(spark, sf, most=None)), "score_3")
+
+
+@query("combo_rank", _METRICS, sql=_whole("SELECT * FROM x_cmet WHERE sortino >= 0.5 AND abs(max_drawdown) <= 0.6"))
+def all_combos_metric_filter(spark, sf):
+    return C.combo_metric_filter(evaluated(spark, sf, most=None), sortino=0.5, drawdown=0.6)
+
+
+@query("combo_rank position", "max_drawdown", sql=_whole("SELECT * FROM (SELECT combo_rank, max_drawdown, row_number() OVER (ORDER BY abs(max_drawdown) DESC NULLS LAST, combo_rank) AS position FROM x_cmet) WHERE position BETWEEN 21 AND 40"))
+def all_combos_sort_page(spark, sf):
+    from panelwright.operators.screen import sort_page
+
+    return sort_page(evaluated(spark, sf, most=None), F.abs("max_drawdown"), 1, 20, tie="combo_rank")
+
+
+@query("combo_rank members", _METRICS, sql=_whole(f"SELECT * FROM x_cmet WHERE combo_rank IN (SELECT combo_rank FROM ({_SCORES}) ORDER BY score_3 DESC NULLS LAST, combo_rank LIMIT 20)"))
+def materialize_best_combos(spark, sf):
+    """The metrics of the twenty best triples, whose ranks alone are kept of the search."""
+    top = C.combo_scores(evaluated(spark, sf, most=None)).orderBy(F.desc_nulls_last("score_3"), "combo_rank").limit(20)
+    return evaluated(spark, sf, most=None, ranks=top.select("combo_rank"))
 
 
 def periods(spark):

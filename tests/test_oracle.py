@@ -42,6 +42,20 @@ def test_query_equals_sql(spark, con, name):
     assert ordered(df.select(*columns).collect()) == ordered(con.sql(f"SELECT {', '.join(columns)} FROM want").fetchall())
 
 
+WHOLE = "enumerate_all_combos evaluate_all_combos all_combo_scores best_of_all_combos all_combos_metric_filter all_combos_sort_page materialize_best_combos".split()
+
+
+@pytest.mark.parametrize("name", ["combo_materialize", *WHOLE])
+def test_combination_query_equals_sql(spark, con, name):
+    test_query_equals_sql(spark, con, name)
+
+
+def test_combinations_of_all_symbols(spark):
+    n = spark.read.parquet(f"{DENSER}/part.parquet").select("p_brand").distinct().count()
+    assert n > 12 and QUERIES["enumerate_all_combos"](spark, DENSER).count() == n * (n - 1) * (n - 2) // 6
+    assert QUERIES["evaluate_all_combos"](spark, DENSER).count() == n * (n - 1) * (n - 2) // 6
+
+
 @pytest.mark.parametrize("name", ["hierarchical_clusters", "factor_ols", "xirr_batch", "retention_plan"])
 def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, DENSER).count() > 0
