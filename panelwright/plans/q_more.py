@@ -95,9 +95,9 @@ _GROWTH = "SELECT period_id, symbol, arg_max(value, dt) / arg_min(value, dt) AS
 
 
 @query("period_id a b", "score", sql=f"SELECT x.period_id, x.symbol AS a, y.symbol AS b, (x.g + y.g) / 2 - 1 AS score FROM ({_GROWTH}) x JOIN ({_GROWTH}) y ON x.period_id = y.period_id AND x.symbol < y.symbol QUALIFY row_number() OVER (PARTITION BY x.period_id ORDER BY round((x.g + y.g) / 2, 9) DESC, x.symbol, y.symbol) = 1")
-def pick_combo_winner(spark, sf):
+def pick_combo_winner(spark, sf, months=q_walk.periods):
     """The best equal-weight pair of each period on training data alone."""
-    t = K.slice_panel(A.weekly_levels(spark, sf), q_walk.periods(spark), "train_start", "train_end").groupBy("period_id", "symbol").agg((F.max_by("value", "dt") / F.min_by("value", "dt")).alias("g"))
+    t = K.slice_panel(A.weekly_levels(spark, sf), months(spark, sf), "train_start", "train_end").groupBy("period_id", "symbol").agg((F.max_by("value", "dt") / F.min_by("value", "dt")).alias("g"))
     pairs = t.select("period_id", F.col("symbol").alias("a"), F.col("g").alias("_x")).join(t.select("period_id", F.col("symbol").alias("b"), F.col("g").alias("_y")), "period_id").where("a < b")
     score = (F.col("_x") + F.col("_y")) / 2
     order = Window.partitionBy("period_id").orderBy(F.round(score, 9).desc(), "a", "b")
@@ -105,7 +105,7 @@ def pick_combo_winner(spark, sf):
 
 
 def tuned(spark, sf):
-    return K.tune_parameters(A.weekly_levels(spark, sf), q_walk.periods(spark), q_walk.risky(spark, sf), [(6, 2, 0.0), (6, 4, 0.1), (3, 4, 0.1)])
+    return K.tune_parameters(A.weekly_levels(spark, sf), q_walk.panel_periods(spark, sf), q_walk.risky(spark, sf), [(6, 2, 0.0), (6, 4, 0.1), (3, 4, 0.1)])
 
 
 @query("lookback k rank", "threshold")
@@ -117,19 +117,23 @@ def candidate_rank(spark, sf):
 def refit_winner(spark, sf):
     """The best candidate applied to the full training span of every period."""
     best = tuned(spark, sf).where("rank = 1").first()  # one row
-    d = K.dual_momentum(K.trailing_momentum(A.weekly_levels(spark, sf), q_walk.periods(spark), best.lookback, tolerance=31), q_walk.risky(spark, sf), k=best.k, threshold=best.threshold)
+    d = K.dual_momentum(K.trailing_momentum(A.weekly_levels(spark, sf), q_walk.panel_periods(spark, sf), best.lookback, tolerance=31), q_walk.risky(spark, sf), k=best.k, threshold=best.threshold)
     return d.withColumns({"lookback": F.lit(best.lookback), "k": F.lit(best.k)})
 
 
 @query("period_id reason", sql="SELECT period_id, 'gap' AS reason FROM x_periods WHERE period_id = '1998-06'")
 def validate_monthly_schedule(spark, sf):
-    return K.schedule_violations(q_walk.periods(spark).where("period_id <> '1998-05'"))
+    return K.schedule_violations(q_walk.panel_periods(spark, sf).where("period_id <> '1998-05'"))
 
 
 @query("period_id inner_start", sql="SELECT period_id, CAST(date_trunc('month', train_end) - INTERVAL 3 MONTH - INTERVAL 6 MONTH AS DATE) AS inner_start FROM x_periods")
-def tuning_training_start(spark, sf):
+def tuning_training_start(spark, sf, months=q_walk.periods):
     """The earliest training start that serves four inner folds of six months."""
-    return q_walk.periods(spark).select("period_id", F.add_months(F.trunc("train_end", "MONTH"), -3 - 6).alias("inner_start"))
+    return months(spark, sf).select("period_id", F.add_months(F.trunc("train_end", "MONTH"), -3 - 6).alias("inner_start"))
+
+
+q_walk._over_panel(pick_combo_winner, "period_id a b", "score")
+q_walk._over_panel(tuning_training_start, "period_id inner_start")
 
 
 @query("ticker name", "weight", sql="SELECT ticker, name, market_cap AS weight FROM x_fund WHERE sector <> 'SMALL'")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from panelwright.operators import combos as C, metrics as M, regress as R, walk as K, windows as W
 from panelwright.plans import q_nav
 from panelwright.plans.q_matrix import returns
-from panelwright.plans.registry import CTES, query
+from panelwright.plans.registry import CTES, SQL, query
 from panelwright.sources import adapters as A
 
 CTES["x_uni"] = "SELECT DISTINCT l_returnflag AS universe_id, symbol FROM x_sales"
@@ -148,10 +148,18 @@ def materialize_best_combos(spark, sf):
     return evaluated(spark, sf, most=None, ranks=top.select("combo_rank"))
 
 
-def periods(spark):
+def periods(spark, sf=None):
     return A.periods(spark)
 
 
+def panel_periods(spark, sf):
+    """All months with a year of the panel before the decision and a complete month after it."""
+    day = F.to_date("l_shipdate")
+    a, b = A.table(spark, sf, "lineitem").agg(F.min(day), F.max(day)).first()  # two dates
+    n = 12 * (b.year - a.year) + b.month - a.month if a else 0
+    return K.monthly_periods(spark.range(1).select(F.lit(b).cast("date").alias("dt")), max(n, 1)).where(F.col("train_start") >= F.lit(a))
+
+
 @query("period_id train_start train_end decision_date eval_start eval_end", sql="SELECT strftime(e, '%Y-%m') AS period_id, CAST(last_day(CAST(e - INTERVAL 12 MONTH AS DATE)) + 1 AS DATE) AS train_start, e AS train_end, e AS decision_date, CAST(e + 1 AS DATE) AS eval_start, last_day(CAST(e + 1 AS DATE)) AS eval_end FROM (SELECT last_day(CAST(d - to_months(CAST(i AS INTEGER)) AS DATE)) AS e FROM (SELECT CAST(date_trunc('month', max(dt)) AS DATE) - 1 AS d FROM x_bd), (SELECT unnest(range(1, 25)) AS i))")
 def monthly_periods(spark, sf):
     return K.monthly_periods(A.benchmark_daily(spark, sf), 24)
@@ -159,18 +167,18 @@ def monthly_periods(spark, sf):
 
 @query("period_id reason", sql="SELECT period_id, 'overlap' AS reason FROM x_periods WHERE period_id IN ('1998-01', '1998-07') UNION ALL SELECT period_id, 'evaluation_before_decision' FROM x_periods WHERE period_id IN ('1998-01', '1998-07') UNION ALL SELECT period_id, 'too_long' FROM x_periods WHERE period_id IN ('1998-01', '1998-07')")
 def validate_schedule(spark, sf):
-    p = periods(spark)
+    p = panel_periods(spark, sf)
     return K.schedule_violations(p.withColumn("eval_start", F.when(F.col("period_id").isin("1998-01", "1998-07"), F.date_sub("eval_start", 20)).otherwise(F.col("eval_start"))))
 
 
 @query("period_id fold inner_start inner_end eval_start eval_end", sql="SELECT * FROM (SELECT period_id, i AS fold, CAST(date_trunc('month', e) - INTERVAL 6 MONTH AS DATE) AS inner_start, CAST(CAST(date_trunc('month', e) AS DATE) - 1 AS DATE) AS inner_end, CAST(date_trunc('month', e) AS DATE) AS eval_start, e AS eval_end, train_start, train_end FROM (SELECT *, last_day(CAST(train_end - to_months(CAST(i AS INTEGER)) AS DATE)) AS e FROM x_periods, (SELECT unnest(range(0, 8)) AS i))) WHERE inner_start >= train_start AND eval_end <= train_end")
-def inner_folds(spark, sf):
-    return K.inner_folds(periods(spark), 8, 6)
+def inner_folds(spark, sf, months=periods):
+    return K.inner_folds(months(spark, sf), 8, 6)
 
 
 @query("period_id symbol n", sql="SELECT period_id, symbol, count(*) AS n FROM x_daily d JOIN x_periods p ON d.dt BETWEEN p.train_start AND p.train_end GROUP BY 1, 2")
-def slice_panel(spark, sf):
-    return K.slice_panel(A.daily_levels(spark, sf), periods(spark), "train_start", "train_end").groupBy("period_id", "symbol").agg(F.count(F.lit(1)).alias("n"))
+def slice_panel(spark, sf, months=periods):
+    return K.slice_panel(A.daily_levels(spark, sf), months(spark, sf), "train_start", "train_end").groupBy("period_id", "symbol").agg(F.count(F.lit(1)).alias("n"))
 
 
 CTES["x_mom"] = "SELECT period_id, symbol, y / x - 1 AS momentum FROM (SELECT period_id, symbol, arg_min(value, dt) AS x, arg_max(value, dt) AS y, min(dt) AS a, max(dt) AS b, any_value(s) AS s, any_value(decision_date) AS d FROM x_weekly w JOIN (SELECT *, CAST(decision_date - INTERVAL 6 MONTH AS DATE) AS s FROM x_periods) p ON w.dt BETWEEN p.s AND p.decision_date GROUP BY 1, 2) WHERE date_diff('day', s, a) <= 7 AND date_diff('day', b, d) <= 7"
@@ -178,8 +186,8 @@ _RISKY = "CAST(regexp_extract(symbol, '(\\d+)$', 1) AS INTEGER) % 3 <> 0"
 CTES["x_dual"] = f"SELECT period_id, symbol, 1.0 / count(*) OVER (PARTITION BY period_id) AS weight, CASE WHEN on_ THEN 'risky' ELSE 'defensive' END AS regime FROM (SELECT * FROM (SELECT *, bool_or({_RISKY} AND momentum > 0.1) OVER (PARTITION BY period_id) AS on_ FROM x_mom) WHERE CASE WHEN on_ THEN {_RISKY} AND momentum > 0.1 ELSE NOT ({_RISKY}) END QUALIFY row_number() OVER (PARTITION BY period_id ORDER BY momentum DESC, symbol) <= 4)"
 
 
-def momentum(spark, sf):
-    return K.trailing_momentum(A.weekly_levels(spark, sf), periods(spark), 6)
+def momentum(spark, sf, months=periods):
+    return K.trailing_momentum(A.weekly_levels(spark, sf), months(spark, sf), 6)
 
 
 def risky(spark, sf):
@@ -188,27 +196,27 @@ def risky(spark, sf):
 
 
 @query("period_id symbol", "momentum", sql="SELECT * FROM x_mom")
-def trailing_momentum(spark, sf):
-    return momentum(spark, sf)
+def trailing_momentum(spark, sf, months=periods):
+    return momentum(spark, sf, months)
 
 
 @query("period_id symbol rank", sql="SELECT period_id, symbol, row_number() OVER (PARTITION BY period_id ORDER BY momentum DESC, symbol) AS rank FROM x_mom")
-def relative_momentum_rank(spark, sf):
-    return K.momentum_rank(momentum(spark, sf))
+def relative_momentum_rank(spark, sf, months=periods):
+    return K.momentum_rank(momentum(spark, sf, months))
 
 
 @query("period_id symbol rank", sql="SELECT period_id, symbol, row_number() OVER (PARTITION BY period_id ORDER BY momentum DESC, symbol) AS rank FROM x_mom QUALIFY row_number() OVER (PARTITION BY period_id ORDER BY momentum DESC, symbol) <= 4")
-def momentum_top_k(spark, sf):
-    return K.momentum_rank(momentum(spark, sf)).where("rank <= 4")
+def momentum_top_k(spark, sf, months=periods):
+    return K.momentum_rank(momentum(spark, sf, months)).where("rank <= 4")
 
 
-def decided(spark, sf):
-    return K.dual_momentum(momentum(spark, sf), risky(spark, sf), k=4, threshold=0.1)
+def decided(spark, sf, months=periods):
+    return K.dual_momentum(momentum(spark, sf, months), risky(spark, sf), k=4, threshold=0.1)
 
 
 @query("period_id symbol regime", "weight", sql="SELECT * FROM x_dual")
-def dual_momentum(spark, sf):
-    return decided(spark, sf)
+def dual_momentum(spark, sf, months=periods):
+    return decided(spark, sf, months)
 
 
 @query("period_id decision_hash", sql="SELECT period_id, sha256(string_agg(symbol || '=' || CAST(CAST(floor(weight * 1000000 + 0.5) AS BIGINT) AS VARCHAR), '|' ORDER BY symbol || '=' || CAST(CAST(floor(weight * 1000000 + 0.5) AS BIGINT) AS VARCHAR))) AS decision_hash FROM x_dual GROUP BY 1")
@@ -230,8 +238,8 @@ _LEGS = "SELECT i, d.period_id, d.symbol, d.weight, (SELECT arg_max(value, dt) F
     "growth turnover cost index equity",
     sql=f"WITH l AS (SELECT *, weight * b / a AS g FROM ({_LEGS})), g AS (SELECT period_id, i, sum(g) AS growth FROM l GROUP BY 1, 2), t AS (SELECT i, sum(abs(coalesce(new, 0) - coalesce(old, 0))) AS turnover FROM (SELECT coalesce(x.i, y.i) AS i, x.weight AS new, y.old FROM l x FULL JOIN (SELECT l.i + 1 AS i, symbol, g.growth, l.g / g.growth AS old FROM l JOIN g ON g.i = l.i) y ON y.i = x.i AND y.symbol = x.symbol) GROUP BY 1) SELECT *, index AS equity FROM (SELECT period_id, growth, turnover, turnover * 0.001 AS cost, exp(sum(ln(growth) + ln(1 - turnover * 0.001)) OVER (ORDER BY g.i)) AS index FROM g JOIN t ON t.i = g.i)",
 )
-def oos_chain(spark, sf):
-    return K.oos_chain(A.weekly_levels(spark, sf), periods(spark), decided(spark, sf))
+def oos_chain(spark, sf, months=periods):
+    return K.oos_chain(A.weekly_levels(spark, sf), months(spark, sf), decided(spark, sf, months))
 
 
 @query("period_id symbol", "weight", sql="SELECT period_id, symbol, 1.0 / count(*) OVER (PARTITION BY period_id) AS weight FROM x_periods, (SELECT DISTINCT symbol FROM x_monthly WHERE symbol < 'Brand#15')")
@@ -243,6 +251,31 @@ def configured_equal_weight(spark, sf):
     return df.withColumn("weight", 1 / F.count(F.lit(1)).over(Window.partitionBy("period_id")))
 
 
+#: The periods of :func:`panel_periods`.
+_PANEL_PERIODS = "SELECT strftime(e, '%Y-%m') AS period_id, CAST(last_day(CAST(e - INTERVAL 12 MONTH AS DATE)) + 1 AS DATE) AS train_start, e AS train_end, e AS decision_date, CAST(e + 1 AS DATE) AS eval_start, last_day(CAST(e + 1 AS DATE)) AS eval_end FROM (SELECT last_day(CAST(unnest(generate_series(date_trunc('month', a), date_trunc('month', b) - INTERVAL 2 MONTH, INTERVAL 1 MONTH)) AS DATE)) AS e, a FROM (SELECT CAST(min(l_shipdate) AS DATE) AS a, CAST(max(l_shipdate) AS DATE) AS b FROM lineitem)) WHERE last_day(CAST(e - INTERVAL 12 MONTH AS DATE)) + 1 >= a"
+
+
+def _over_panel(f, keys, doubles=""):
+    """Registers ``f`` a second time, over all months of the panel, with its SQL over the same months."""
+    name = f"{f.__name__}_all_months"
+
+    def run(spark, sf):
+        return f(spark, sf, panel_periods)
+
+    run.__name__, run.__doc__ = name, f.__doc__
+    query(keys, doubles)(run)
+    SQL[name] = SQL[f.__name__].replace(CTES["x_periods"], _PANEL_PERIODS)
+
+
+_over_panel(inner_folds, "period_id fold inner_start inner_end eval_start eval_end")
+_over_panel(slice_panel, "period_id symbol n")
+_over_panel(trailing_momentum, "period_id symbol", "momentum")
+_over_panel(relative_momentum_rank, "period_id symbol rank")
+_over_panel(momentum_top_k, "period_id symbol rank")
+_over_panel(dual_momentum, "period_id symbol regime", "weight")
+_over_panel(oos_chain, "period_id", "growth turnover cost index equity")
+
+
 @query("symbol", "weight", sql=None)
 def allocate_inverse_vol(spark, sf):
     return K.allocate_inverse_vol(returns(spark, sf))
@@ -251,7 +284,7 @@ def allocate_inverse_vol(spark, sf):
 @query("lookback k n_periods rank", "threshold total_return worst")
 def tune_parameters(spark, sf):
     grid = [(6, 2, 0.0), (6, 4, 0.1), (3, 4, 0.1)]
-    return K.tune_parameters(A.weekly_levels(spark, sf), periods(spark), risky(spark, sf), grid)
+    return K.tune_parameters(A.weekly_levels(spark, sf), panel_periods(spark, sf), risky(spark, sf), grid)
 
 
 @query("symbol n", "beta alpha r2", sql="SELECT symbol, count(*) AS n, regr_slope(ret, bret) AS beta, regr_intercept(ret, bret) AS alpha, regr_r2(ret, bret) AS r2 FROM x_pair GROUP BY symbol")

@@ -50,6 +50,20 @@ def test_combination_query_equals_sql(spark, con, name):
     test_query_equals_sql(spark, con, name)
 
 
+@pytest.mark.parametrize("name", ["validate_schedule", "validate_monthly_schedule", *(x for x in QUERIES if x.endswith("_all_months"))])
+def test_query_over_all_months_equals_sql(spark, con, name):
+    test_query_equals_sql(spark, con, name)
+
+
+def test_periods_follow_the_panel(spark):
+    months = {r.period_id for r in QUERIES["tuning_training_start_all_months"](spark, DENSER).collect()}
+    days = spark.read.parquet(f"{DENSER}/lineitem.parquet").selectExpr("min(l_shipdate)", "max(l_shipdate)").first()
+    assert {"1996-03", "1999-12", "2000-06"} <= months and len(months) > 36
+    assert str(days[0])[:7] < min(months) and max(months) < str(days[1])[:7]
+    rows = QUERIES["tune_parameters"](spark, DENSER).collect()
+    assert max(r.n_periods for r in rows) > 36
+
+
 def test_combinations_of_all_symbols(spark):
     n = spark.read.parquet(f"{DENSER}/part.parquet").select("p_brand").distinct().count()
     assert n > 12 and QUERIES["enumerate_all_combos"](spark, DENSER).count() == n * (n - 1) * (n - 2) // 6
