@@ -5,11 +5,13 @@ and so on one of the first ``n - T + 1`` of either in any fixed order; the order
 last, so long posting lists are rarely needed to find a candidate. Equal sets are one class from the start.
 
 Posting lists stream through sorted shuffle partitions; a list never has to fit in memory. From a list come star candidates
-(each member against the list's most central one), not pairs. A candidate block is then searched for its pivot: the pivot's shingles are
-posting lists over the block, short ones are merged by a heap, the longest are binary-probed (DivideSkip), and documents that
-reach the required overlap are retained. Members that do not link to their pivot are searched for in blocks of its other
-candidates the same way. Lists that still hold several classes of different pivots are joined with themselves across those, so
-no link between different classes is lost; pairs that share too few prefix shingles to link are not searched.
+(each member against the list's most central one), not pairs. Stars chain into families with one top. A block of a pivot's
+candidates is searched for it: the pivot's shingles are posting lists over the block, short ones are merged by a heap, the longest
+are binary-probed (DivideSkip), and documents that reach the required overlap are retained. Members that do not link to their
+top are compared inside the family through what tells them from the top (:func:`_within_families`), so a large group of near
+copies makes short lists. Lists that still hold several families are joined with themselves across those, so no link between
+different classes is lost; pairs that share too few prefix shingles to link are not searched. All pairs found are verified by
+the same search.
 """
 
 from __future__ import annotations
@@ -177,46 +179,101 @@ def _verify(spark: SparkSession, ws: Workspace, pairs: DataFrame, texts: DataFra
     return ws.save(blocks.mapInArrow(_streamed(search, fields), "u bigint, v bigint, overlap bigint"), "links")
 
 
-def _search_families(spark: SparkSession, ws: Workspace, star: DataFrame, links: DataFrame, texts: DataFrame, n: int, percent: int, rows_at_once: int = 500_000) -> DataFrame:
-    """Links inside a pivot's family: each member that does not link to the pivot against all others.
+def residual(own: np.ndarray, reference: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The symmetric difference of ``own`` and ``reference``: first what only ``own`` has and few documents hold."""
+    added, missed = np.setdiff1d(own, reference, assume_unique=True), np.setdiff1d(reference, own, assume_unique=True)
+    often = np.zeros(len(added), dtype=bool)
+    if len(frequent) and len(added):
+        often = frequent[np.minimum(np.searchsorted(frequent, added), len(frequent) - 1)] == added
+    return np.concatenate([added[~often], np.sort(np.concatenate([added[often], missed]))])
 
-    Members are dealt to blocks of about 64, and the blocks are searched for each such member. Links to the pivot need no search.
+
+def residual_prefix(n: int, reference_n: int, size: int, linked: bool, percent: int) -> int:
+    """How many elements of a residual of ``size`` any link through it can need (see :func:`_within_families`).
+
+    ``T`` grows by ``percent / (100 + percent)`` a shingle, rounded up, which bounds how far the difference that a link allows
+    differs between two partners.
+    """
+    if linked:
+        slack = abs(n - reference_n) // 9 + 2
+        return min(size, size - max(1, -(-(size + 1 - slack) // 2)) + 1)
+    other = n * 100 // percent
+    return min(size, n + other - 2 * required_overlap(n, other, percent) + 2)
+
+
+def _search_stars(spark: SparkSession, ws: Workspace, pairs: DataFrame, texts: DataFrame, often, n: int, percent: int, rows_at_once: int = 500_000) -> DataFrame:
+    """``pivot, doc, top, linked, n, size, heads`` of the pairs ``(pivot, doc, top)``: whether they link, by :func:`t_occurrence`
+    over blocks of at most 64; where the pivot is the family's ``top``, also the size and first elements of the residual.
     """
-    blocks = star.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / 64).cast("int").alias("n_blocks"))
-    lone = star.join(links.select(F.col("v").alias("doc")), "doc", "left_anti")
-    busy = lone.select("pivot").distinct().join(blocks, "pivot")
-    member = star.join(busy, "pivot").select("pivot", F.pmod(F.xxhash64("doc"), F.col("n_blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "doc")
-    asked = lone.join(busy, "pivot").select("pivot", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), F.lit(1).alias("role"), "doc")
-    both = small(ws.save(member.union(asked), "family"), rows_at_once)
-    rows = texts.join(both, both["doc"] == texts["doc_id"]).select("pivot", "block", "role", "doc", "text")
-    rows = rows.repartition(F.col("pivot"), F.col("block")).sortWithinPartitions("pivot", "block", "role", "doc")
+    asked = pairs.select("pivot", F.pmod(F.xxhash64("doc"), F.lit(64)).cast("int").alias("salt"), "doc", "top")
+    members = asked.select("pivot", "salt", "doc", F.lit(1).alias("role"), "top").union(asked.select("pivot", "salt", F.col("pivot").alias("doc"), F.lit(0).alias("role"), F.lit(False).alias("top")).distinct())
+    members = small(ws.save(members, "members"), rows_at_once)
+    blocks = texts.join(members, members["doc"] == texts["doc_id"]).select("pivot", "salt", "role", "doc", "top", "text")
+    blocks = blocks.repartition(F.col("pivot"), F.col("salt")).sortWithinPartitions("pivot", "salt", "role", "doc")
+
+    def judged(pivot: int, query: np.ndarray, held: list[tuple[int, bool, np.ndarray]]) -> Iterator[tuple]:
+        hits = {d for d, _ in t_occurrence(query, [own for _, _, own in held], percent)} if held else ()
+        for d, (doc, top, own) in enumerate(held):
+            rest = residual(own, query, often.value) if top else own[:0]
+            heads = rest[: residual_prefix(len(own), len(query), len(rest), d in hits, percent)] if top else rest
+            yield pivot, doc, top, d in hits, len(own), len(rest), heads.view(np.int64)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        at, ids, block = None, [], []
+        pivot, query, held = None, None, []
         for batch in batches:
-            for p, b, role, doc, text in zip(*[batch.column(i).to_pylist() for i in range(4)], batch.column(4), strict=True):
-                if (p, b) != at:
-                    at, ids, block = (p, b), [], []
+            for p, role, doc, top, text in zip(batch.column(0).to_pylist(), *[batch.column(i).to_pylist() for i in (2, 3, 4)], batch.column(5), strict=True):
                 own = shingles(text.as_py(), n)
+                if role == 0 or len(held) == 64:
+                    yield from judged(pivot, query, held)
+                    held = []
                 if role == 0:
-                    ids.append(doc)
-                    block.append(own)
+                    pivot, query = p, own
                 else:
-                    for d, count in t_occurrence(own, block, percent):
-                        if ids[d] != doc:
-                            yield min(doc, ids[d]), max(doc, ids[d]), count
+                    held.append((doc, top, own))
+        yield from judged(pivot, query, held)
 
-    fields = [("u", pa.int64()), ("v", pa.int64()), ("overlap", pa.int64())]
-    return ws.save(rows.mapInArrow(_streamed(search, fields), "u bigint, v bigint, overlap bigint"), "family_links")
+    fields = [("pivot", pa.int64()), ("doc", pa.int64()), ("top", pa.bool_()), ("linked", pa.bool_()), ("n", pa.int64()), ("size", pa.int64()), ("heads", pa.list_(pa.int64()))]
+    return ws.save(blocks.mapInArrow(_streamed(search, fields, 2_000), "pivot bigint, doc bigint, top boolean, linked boolean, n bigint, size bigint, heads array<bigint>"), "stars_searched")
 
 
-def ngram_classes(spark: SparkSession, docs: DataFrame, *, words: int = 5, percent: int = 80, frequent: int = 50_000, one_in: int = 16, ids_at_once: int = 1_000_000, workspace: Workspace | None = None) -> DataFrame:
-    """``doc_id, n_shingles, component_id``: one row per row of ``docs(doc_id, text)``; ids are whole and not null.
+def _families(ws: Workspace, star: DataFrame, ids_at_once: int) -> DataFrame:
+    """``star(doc, pivot, top)`` with ``top`` followed up to eight steps: any reference is right, a common one is best."""
+    for _ in range(3):
+        up = star.select(F.col("doc").alias("top"), F.col("top").alias("_up"))
+        star = ws.save(star.join(small(up, ids_at_once), "top", "left").select("doc", "pivot", F.coalesce("_up", "top").alias("top")), "tops")
+    return star
+
+
+def _within_families(ws: Workspace, searched: DataFrame, labels: DataFrame, percent: int, ids_at_once: int) -> DataFrame:
+    """Pairs ``(pivot, doc)`` of one family, one of which does not link to the family's top, that can link.
+
+    With ``A`` and ``B`` the residuals of two sets against the same reference, the sets differ in exactly what ``A`` and ``B``
+    differ in, and may differ in ``n_a + n_b - 2 T`` elements. As one set does not link to the reference, its residual is larger than
+    that, so ``A`` and ``B`` must share ``t = (size_a + size_b - allowed) / 2 >= 1`` elements, and one of the first
+    ``size - t + 1`` of either. What all copies of a text have in common is in no residual, so these lists stay short.
+    """
+    tops = searched.where("top").select("pivot", "doc", "linked", "n", "size", "heads")
+    busy = small(ws.save(tops.where(~F.col("linked")).select("pivot").distinct(), "busy"), ids_at_once)
+    tops = tops.join(busy, "pivot").join(labels, tops["doc"] == labels["v"], "left").select("pivot", "doc", "linked", "n", "size", "heads", F.coalesce("component", "doc").alias("component"))
+    listed = ws.save(tops.select("pivot", "doc", "linked", "n", "size", "component", F.posexplode("heads").alias("pos", "key")), "residuals")
+    x, y = (listed.select("pivot", "key", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "linked", "n", "size", "component", "pos")]) for s in "xy")
+    allowed = F.expr(f"n_x + n_y - 2 * cast(ceil((n_x + n_y) * {percent} / {100 + percent}) as bigint)")
+    common = F.ceil((F.col("size_x") + F.col("size_y") - allowed) / 2)
+    may = (F.col("component_x") != F.col("component_y")) & (F.col("linked_y") | (F.col("doc_x") < F.col("doc_y")))
+    may &= (F.abs(F.col("size_x") - F.col("size_y")) <= allowed) & (F.col("pos_x") <= F.col("size_x") - common) & (F.col("pos_y") <= F.col("size_y") - common)
+    on = (x["pivot"] == y["pivot"]) & (x["key"] == y["key"])
+    return x.where(~F.col("linked_x")).join(y, on & may).select(F.col("doc_x").alias("pivot"), F.col("doc_y").alias("doc")).distinct()
+
+
+def ngram_classes(spark: SparkSession, docs: DataFrame, *, words: int = 5, percent: int = 80, frequent: int = 50_000, one_in: int = 16, ids_at_once: int = 1_000_000, long_list: int = 32, workspace: Workspace | None = None) -> DataFrame:
+    """``doc_id, n_shingles, component_id``: one row per row of ``docs(doc_id, text)``.
 
     ``component_id``: the least ``doc_id`` that links reach. Null texts, and texts without words, have no shingle and link with
-    nothing. Rows repeated with their id are one document, returned as often as they are there. Empty tables give no row. Other
-    columns are not read. ``frequent``: at most so many 8-byte hashes are broadcast to order the shingles. ``ids_at_once``: so many
-    ids and their tags at most are broadcast to the lists and texts; more are joined by a shuffle.
+    nothing. Rows repeated with their id are one document, returned as often as they are there; if their texts differ, its links
+    are those of any. Rows without an id take part in no link and get the class of the documents of equal set, or null. Empty
+    tables give no row. Other columns are not read. ``frequent``: at most so many 8-byte hashes are broadcast to order the shingles. ``ids_at_once``: so many
+    ids and their tags at most are broadcast to the lists and texts; more are joined by a shuffle. ``long_list``: a member of a list
+    this long belongs to a family even where it cannot link to the list's pivot.
     """
     ws = workspace or Workspace(spark, "ngram-join")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
@@ -230,7 +287,8 @@ def ngram_classes(spark: SparkSession, docs: DataFrame, *, words: int = 5, perce
 
     fields = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary())]
     signed = ws.save(docs.mapInArrow(_streamed(signatures, fields), "doc_id bigint, n_shingles bigint, sig binary"), "signed")
-    classes = ws.save(signed.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    docs = docs.where("doc_id is not null")
+    classes = ws.save(signed.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     large = classes.where("copies > 32").orderBy(F.desc("copies"), "rep").limit(20_000).select("sig", "rep").collect()
     skip = spark.sparkContext.broadcast({bytes(r.sig): r.rep for r in large})  # large groups of copies: only the first goes on
 
@@ -294,31 +352,39 @@ def ngram_classes(spark: SparkSession, docs: DataFrame, *, words: int = 5, perce
     # A list's pivot is its most central set: the one with most shingles that others have too.
     met = ws.save(lists.groupBy("doc").agg(F.count(F.lit(1)).alias("met")), "met")
     ranked = lists.join(small(met, ids_at_once), "doc")
-    pivots = ranked.groupBy("key").agg(F.max(F.struct("met", (-F.col("doc")).alias("p"), "n")).alias("best")).select("key", (-F.col("best.p")).alias("pivot"), F.col("best.n").alias("pivot_n"))
-    n, m = F.col("n"), F.col("pivot_n")
-    star = ranked.join(pivots, "key").where((F.col("doc") != F.col("pivot")) & fits(n, m)).groupBy("doc", "pivot", "n", "pivot_n").count().where(enough(F.col("count"), n, m))
-    star = star.groupBy("doc").agg(F.max(F.struct("count", (-F.col("pivot")).alias("p"))).alias("best")).select("doc", (-F.col("best.p")).alias("pivot"))
-    star = ws.save(star, "stars")
-    links = _verify(spark, ws, star, texts, words, percent)
-    near = _search_families(spark, ws, star, links, texts, words, percent)
-    found = links.select("u", "v").union(near.select("u", "v"))
-    known = found.groupBy("v").agg(F.min("u").alias("component"))
+    pivots = ranked.groupBy("key").agg(F.max(F.struct("met", (-F.col("doc")).alias("p"), "n")).alias("best"), F.count(F.lit(1)).alias("listed"))
+    pivots = pivots.select("key", (-F.col("best.p")).alias("pivot"), F.col("best.n").alias("pivot_n"), "listed")
+    star = ranked.join(pivots, "key").where(F.col("doc") != F.col("pivot")).groupBy("doc", "pivot", "n", "pivot_n").agg(F.count(F.lit(1)).alias("count"), F.max("listed").alias("listed"))
+    strong = fits(F.col("n"), F.col("pivot_n")) & enough(F.col("count"), F.col("n"), F.col("pivot_n"))
+    choice = F.struct("count", (-F.col("pivot")).alias("p"))
+    star = star.groupBy("doc").agg(F.max(F.when(strong, choice)).alias("strong"), F.max(F.when(F.col("listed") >= long_list, choice)).alias("weak"))
+    star = ws.save(star.select("doc", (-F.col("strong.p")).alias("pivot"), (-F.col("weak.p")).alias("weak")), "stars")
+    led = star.groupBy(F.col("pivot").alias("doc")).count().where(F.col("count") >= 64).select("doc")
+    weak = star.where("pivot is null and weak is not null").join(led, "doc", "left_anti").select("doc", "pivot", F.col("weak").alias("top"))
+    star = star.where("pivot is not null").select("doc", "pivot", F.col("pivot").alias("top")).union(weak)
+    star = _families(ws, ws.save(star, "stars"), ids_at_once)
+    near = star.where("pivot is not null")
+    asked = star.select(F.col("top").alias("pivot"), "doc", F.lit(True).alias("top")).union(near.where("pivot <> top").select("pivot", "doc", F.lit(False)))
+    searched = _search_stars(spark, ws, asked, texts, often, words, percent)
+    found = searched.where("linked").select(F.col("pivot").alias("u"), F.col("doc").alias("v"))
+    known = searched.where("linked").groupBy(F.col("doc").alias("v")).agg(F.coalesce(F.max(F.when(F.col("top"), F.col("pivot"))), F.min("pivot")).alias("component"))
     for _ in range(2):  # a label two links up is as good here: it only says what need not be compared again
         up = known.select(F.col("v").alias("component"), F.col("component").alias("_up"))
         known = known.join(up, "component", "left").select("v", F.coalesce("_up", "component").alias("component"))
     known = ws.save(known, "labels")
+    inside = _within_families(ws, searched, known, percent, ids_at_once)
 
-    tags = known.join(star.select(F.col("doc").alias("v"), F.col("pivot").alias("family")), "v", "full")
+    tags = known.join(star.select(F.col("doc").alias("v"), F.col("top").alias("family")), "v", "full")
     tags = small(ws.save(tags, "tags"), ids_at_once)
-    still = lists.join(tags, lists["doc"] == tags["v"], "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("component"), F.coalesce("family", -1 - F.col("doc")).alias("family"))
-    mixed = still.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
+    still = lists.join(tags, lists["doc"] == tags["v"], "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("component"), F.coalesce("family", "doc").alias("family"))
+    mixed = still.groupBy("key").agg(F.min("family").alias("a"), F.max("family").alias("b")).where("a < b").select("key")
     still = ws.save(still.join(small(ws.save(mixed, "mixed"), ids_at_once), "key", "left_semi"), "between")
     x, y = (still.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "component", "family")]) for s in "xy")
     apart = (F.col("component_x") < F.col("component_y")) & (F.col("family_x") != F.col("family_y"))
     pairs = x.join(y, "key").where(apart & fits(F.col("n_x"), F.col("n_y")))
     pairs = pairs.groupBy(F.col("doc_x").alias("pivot"), F.col("doc_y").alias("doc"), "n_x", "n_y").count()
     pairs = pairs.where(enough(F.col("count"), F.col("n_x"), F.col("n_y"))).select("pivot", "doc")
-    more = _verify(spark, ws, ws.save(pairs, "pairs"), texts, words, percent)
+    more = _verify(spark, ws, ws.save(inside.union(pairs), "pairs"), texts, words, percent)
     joined = components(found.union(more.select("u", "v")), ws)
 
     final = classes.join(joined, classes["rep"] == joined["v"], "left").select(F.col("sig").alias("_sig"), F.coalesce("component", "rep").alias("component_id"))

@@ -26,6 +26,44 @@ def test_ngram_classes_with_frequent_shingles_first_or_last(spark):
     assert got == brute.near_classes(docs)
 
 
+def variants(rng: random.Random, words: list[str], many: int, most: float) -> list[str]:
+    """Copies with random words exchanged, cut off or put in, up to a share of ``most``."""
+    out = []
+    for _ in range(many):
+        w = list(words)
+        for _ in range(int(rng.random() * most * len(w))):
+            at = rng.randrange(len(w))
+            w[at : at + rng.choice([0, 1, 1, 3])] = [brute.prose(rng, 1)] * rng.choice([0, 1])
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("long_list", [3, 32])
+def test_ngram_classes_of_large_groups_of_near_copies(spark, long_list):
+    """Most members do not link to the original, many to a few others; a passage joins two groups, and prefixes of one text."""
+    rng = random.Random(21)
+    one, two = (brute.prose(rng, 140).split() for _ in range(2))
+    texts = variants(rng, one, 130, 0.12) + variants(rng, two, 40, 0.2) + variants(rng, one[:60] + two[:70], 40, 0.1) + [" ".join(one[:k]) for k in range(60, 140, 4)]
+    texts += variants(rng, variants(rng, one, 1, 0.2)[0].split(), 60, 0.06) + [brute.prose(rng, 60) + " " + " ".join(one[20:60]) for _ in range(25)]
+    rng.shuffle(texts)
+    docs = list(enumerate(texts, 1))
+    got = ngram_join.ngram_classes(spark, frame(spark, docs), one_in=1, frequent=200, long_list=long_list)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute.near_classes(docs)
+
+
+def test_ngram_classes_of_rows_without_id_and_small_batches(spark):
+    docs = brute.corpus(6)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = ngram_join.ngram_classes(spark, frame(spark, [*docs, (None, docs[20][1]), (None, "nobody else has these words here"), (None, None)])).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = brute.near_classes(docs)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows if r.doc_id is not None} == want
+    copies = [want[d][1] for d, t in docs if t == docs[20][1]]
+    assert sorted(str(r.component_id) for r in rows if r.doc_id is None) == sorted([str(copies[0]), "None", "None"]) and len(rows) == len(docs) + 3
+
+
 def test_ngram_edge_cases(spark):
     assert ngram_join.ngram_classes(spark, frame(spark, [])).count() == 0
     rows = [(1, None, "a"), (2, "", "b"), (3, "Same words", "c"), (4, "same  WORDS", "d"), (4, "same  WORDS", "d")]
