@@ -203,9 +203,10 @@ def residual_prefix(n: int, reference_n: int, size: int, linked: bool, percent:
 
 def _search_stars(spark: SparkSession, ws: Workspace, pairs: DataFrame, texts: DataFrame, often, n: int, percent: int, rows_at_once: int = 500_000) -> DataFrame:
     """``pivot, doc, top, linked, n, size, heads`` of the pairs ``(pivot, doc, top)``: whether they link, by :func:`t_occurrence`
-    over blocks of at most 64; where the pivot is the family's ``top``, also the size and first elements of the residual.
+    over blocks of about 64; where the pivot is the family's ``top``, also the size and first elements of the residual.
     """
-    asked = pairs.select("pivot", F.pmod(F.xxhash64("doc"), F.lit(64)).cast("int").alias("salt"), "doc", "top")
+    blocks = small(ws.save(pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / 64).cast("int").alias("n_blocks")), "blocks"), rows_at_once)
+    asked = pairs.join(blocks, "pivot").select("pivot", F.pmod(F.xxhash64("doc"), F.col("n_blocks")).cast("int").alias("salt"), "doc", "top")
     members = asked.select("pivot", "salt", "doc", F.lit(1).alias("role"), "top").union(asked.select("pivot", "salt", F.col("pivot").alias("doc"), F.lit(0).alias("role"), F.lit(False).alias("top")).distinct())
     members = small(ws.save(members, "members"), rows_at_once)
     blocks = texts.join(members, members["doc"] == texts["doc_id"]).select("pivot", "salt", "role", "doc", "top", "text")
@@ -223,7 +224,7 @@ def _search_stars(spark: SparkSession, ws: Workspace, pairs: DataFrame, texts: D
         for batch in batches:
             for p, role, doc, top, text in zip(batch.column(0).to_pylist(), *[batch.column(i).to_pylist() for i in (2, 3, 4)], batch.column(5), strict=True):
                 own = shingles(text.as_py(), n)
-                if role == 0 or len(held) == 64:
+                if role == 0 or len(held) == 128:
                     yield from judged(pivot, query, held)
                     held = []
                 if role == 0:
@@ -265,7 +266,7 @@ def _within_families(ws: Workspace, searched: DataFrame, labels: DataFrame, perc
     return x.where(~F.col("linked_x")).join(y, on & may).select(F.col("doc_x").alias("pivot"), F.col("doc_y").alias("doc")).distinct()
 
 
-def ngram_classes(spark: SparkSession, docs: DataFrame, *, words: int = 5, percent: int = 80, frequent: int = 50_000, one_in: int = 16, ids_at_once: int = 1_000_000, long_list: int = 32, workspace: Workspace | None = None) -> DataFrame:
+def ngram_classes(spark: SparkSession, docs: DataFrame, *, words: int = 5, percent: int = 80, frequent: int = 50_000, one_in: int = 16, ids_at_once: int = 1_000_000, long_list: int = 256, workspace: Workspace | None = None) -> DataFrame:
     """``doc_id, n_shingles, component_id``: one row per row of ``docs(doc_id, text)``.
 
     ``component_id``: the least ``doc_id`` that links reach. Null texts, and texts without words, have no shingle and link with
