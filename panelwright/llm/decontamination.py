@@ -20,6 +20,8 @@ MASKS = ("110111", "111011")
 #: Seeds beside the masks. An overlap of at least 13 words, or of four fifths of an item of six words or more, holds four equal
 #: words in a row or a window of a mask; the masks alone miss runs of 5, 1, 5, 1 and 5 words, or a six-word item's first word.
 RUN = "1111"
+#: Items of fewer words must be there whole.
+LEAST_WORDS = 6
 #: Rows up to which a table of a few numbers and short lists is sent to all executors; beyond it the join shuffles.
 BROADCAST_ROWS = 100_000
 
@@ -27,14 +29,14 @@ BROADCAST_ROWS = 100_000
 def seeds_of(words: str, masks: tuple[str, ...] = MASKS) -> Column:
     """All masks' hashes at all positions of the array column ``words``: ``array<struct<p, h>>``."""
 
-    def hashed(m: int, mask: str) -> Callable[[Column], Column]:
+    def hashed(mask: str) -> Callable[[Column], Column]:
         care = [k for k, x in enumerate(mask) if x == "1"]
-        return lambda i: F.struct(i.alias("p"), F.xxhash64(F.lit(m), *[F.get(F.col(words), i + k) for k in care]).alias("h"))
+        return lambda i: F.struct(i.alias("p"), F.xxhash64(F.lit(mask), *[F.get(F.col(words), i + k) for k in care]).alias("h"))
 
     none, every = F.array().cast("array<struct<p:int,h:bigint>>"), []
-    for m, mask in enumerate(masks):
+    for mask in masks:
         starts = F.sequence(F.lit(0), F.size(words) - len(mask))
-        every.append(F.when(F.size(words) >= len(mask), F.transform(starts, hashed(m, mask))).otherwise(none))
+        every.append(F.when(F.size(words) >= len(mask), F.transform(starts, hashed(mask))).otherwise(none))
     return F.concat(*every)
 
 
@@ -49,16 +51,18 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, mi
     Words are compared in lower case. An overlap counts if the segment with most equal words, of all whose share of equal words
     is at least ``min_share``, has at least ``min_words`` of them, or ``min_share`` of a shorter item's.
 
-    Items of fewer words than the longest mask mark nothing; null texts have no words; null ids are left out; rows repeated in
+    Items of fewer than six words count where they are found whole; items without words mark nothing; null texts have no words; null ids are left out; rows repeated in
     either table count once; either table may be empty; other columns are not read.
     """
     ws = workspace or Workspace(spark, "decontamination")
     lower = lambda c: words_of(F.lower(F.col(c)))
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("bigint").alias("item_id"), lower("text").alias("item"))
-    items = ws.save(items.where(F.size("item") >= max(map(len, masks))).dropDuplicates(), "items")
-    seeds = items.select("item_id", F.size("item").alias("n"), F.inline(seeds_of("item", (*masks, RUN)))).withColumnRenamed("p", "j")
+    items = ws.save(items.where(F.size("item") > 0).dropDuplicates(), "items")
+    short = [r.n for r in items.select(F.size("item").alias("n")).where(F.col("n") < len(RUN)).distinct().collect()]  # three numbers at most
+    whole = [F.when(F.size("item") == n, seeds_of("item", ("1" * n,))).otherwise(F.array().cast("array<struct<p:int,h:bigint>>")) for n in short]
+    seeds = items.select("item_id", F.size("item").alias("n"), F.inline(F.concat(seeds_of("item", (*masks, RUN)), *whole))).withColumnRenamed("p", "j")
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), lower("text").alias("words"))
-    seeded = texts.select("doc_id", F.inline(seeds_of("words", (*masks, RUN))))
+    seeded = texts.select("doc_id", F.inline(seeds_of("words", (*masks, RUN, *["1" * n for n in short]))))
     hits = seeded.join(small(ws.save(seeds, "seeds")), "h").select("doc_id", "item_id", "n", (F.col("p") - F.col("j")).alias("d"))
     hits = ws.save(hits.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "n", "d")).alias("hits")), "hits")
     placed = texts.join(small(hits), "doc_id")
@@ -85,7 +89,8 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, mi
     matched = F.aggregate(numbered, zero, step, lambda acc: acc["matched"])
     df = aligned.select("doc_id", "item_id", equal.alias("equal"), F.size("item").alias("item_words")).where(F.size("equal") > 0)
     df = df.select("doc_id", "item_id", "equal", matched.alias("matched"), "item_words")
-    df = df.where(F.col("matched") >= F.least(F.lit(min_words), F.ceil(min_share * F.col("item_words"))))
+    needed = F.when(F.col("item_words") < LEAST_WORDS, F.col("item_words")).otherwise(F.ceil(min_share * F.col("item_words")))
+    df = df.where(F.col("matched") >= F.least(F.lit(min_words), needed))
     many = F.col("matched").cast("int")
     spans = F.transform(F.slice("equal", many, F.size("equal") - many + 1), lambda at, k: at - F.get("equal", k) + 1)
     df = df.select("doc_id", "item_id", "item_words", F.struct("matched", F.array_min(spans).cast("bigint").alias("span")).alias("best"))

@@ -1,7 +1,8 @@
 """Quality rules whose thresholds follow the data: quantile sketches by language and source, then a joined filter.
 
 Built-in functions only. Each document's base figures are one projection. Mergeable quantile sketches of its ratios are built
-by language and source (map side first, so a source with a third of all rows sends one small sketch per task). A group with
+by language and source (map side first, so a source with a third of all rows sends one small sketch per task). Most texts have no symbol
+and no repeated line, so these two are judged by the logarithm of a smoothed rate, whose spread no mass at zero hides. A group with
 few documents borrows the merged sketch of its language, or of all rows. The fences join back to the figures by group.
 """
 
@@ -12,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from panelwright.llm.shared import Workspace
 
 SPACE = r"[\x20\x09-\x0D]+"
-#: name -> (ratio of the base figures, least spread that counts, share of a standard error's allowance)
-RATIOS = {"word_length": ("word_chars", 0.25, 4.0), "symbol": ("n_symbols", 0.02, 0.0), "dup_line": ("n_dup_lines", 0.01, 0.0)}
+#: name -> (base figure, interquartile ranges from a quartile to its fence)
+RATIOS = {"word_length": ("word_chars", 4.0), "symbol": ("n_symbols", 2.0), "dup_line": ("n_dup_lines", 2.0)}
 
 
 def words_of(text: Column) -> Column:
@@ -47,15 +48,16 @@ def base_figures(docs: DataFrame, *, text_col: str = "text", keys: tuple[str, ..
 
 
 def ratio(name: str) -> Column:
-    return F.col(RATIOS[name][0]) / F.greatest("n_words", F.lit(1))
+    """Mean word length; for the other two ``ln((count + 1) / (n_words + 10))``."""
+    count = F.col(RATIOS[name][0])
+    return count / F.greatest("n_words", F.lit(1)) if name == "word_length" else F.log((count + 1) / (F.col("n_words") + 10))
 
 
-def fences(figures: DataFrame, *, fence: float = 5.0, least_docs: int = 200) -> DataFrame:
+def fences(figures: DataFrame, *, least_docs: int = 200) -> DataFrame:
     """Upper and lower limits by (``lang``, ``source``) from mergeable sketches of the documents that pass the base rules.
 
-    Limit: upper quartile plus ``fence`` interquartile ranges (of at least the ratio's own least spread); the lower limit
-    mirrors it. Groups of fewer than ``least_docs`` documents take the sketch merged over their language, if that is as few,
-    over all.
+    Limit: upper quartile plus a number of interquartile ranges (:data:`RATIOS`); the lower limit mirrors it. Groups of fewer
+    than ``least_docs`` documents take the sketch merged over their language, if that is as few, over all.
     """
     sketch = lambda agg, of: [getattr(F, agg)(of(n)).alias(n) for n in RATIOS]
     passed = figures.where(~F.col("base_failed"))
@@ -66,8 +68,8 @@ def fences(figures: DataFrame, *, fence: float = 5.0, least_docs: int = 200) ->
 
     def limits() -> list[Column]:
         out = []
-        for n, (_, spread, _) in RATIOS.items():
-            reach = fence * F.greatest(at(n, 0.75) - at(n, 0.25), F.lit(spread))
+        for n, (_, fence) in RATIOS.items():
+            reach = fence * (at(n, 0.75) - at(n, 0.25))
             out += [(at(n, 0.75) + reach).alias(f"{n}_high"), (at(n, 0.25) - reach).alias(f"{n}_low")]
         return out
 
@@ -82,22 +84,23 @@ def fences(figures: DataFrame, *, fence: float = 5.0, least_docs: int = 200) ->
     return df.select("g_lang", "g_source", *[F.coalesce(c, spare(c)).alias(c) for c in df.columns[2:]])
 
 
-def apply_quality_rules(spark: SparkSession, docs: DataFrame, *, fence: float = 5.0, least_docs: int = 200, workspace: Workspace | None = None) -> DataFrame:
+def apply_quality_rules(spark: SparkSession, docs: DataFrame, *, least_docs: int = 200, workspace: Workspace | None = None) -> DataFrame:
     """``doc_id, lang, source``, the base figures, ``base_failed``, ``reasons`` and ``kept``, one row per input row.
 
     ``kept`` is false if the base rules fail or a ratio lies beyond its group's fence. Mean word length has an allowance of
-    ``4 / sqrt(n_words)`` at each end, because short texts scatter more. Null and empty texts have no word and fail the base
+    ``4 / sqrt(n_words)`` at each end, because short texts scatter more; symbols and repeated lines have only an upper limit, and
+    a text without any passes. Null and empty texts have no word and fail the base
     rules; null languages and sources are groups of their own; repeated rows are judged each; an empty table gives no row;
     columns other than ``doc_id, text, lang, source`` are not read. A group with no document that passes the base rules and no
     sketch to borrow has no fence, and none of its rows is kept, since they all fail the base rules.
     """
     ws = workspace or Workspace(spark, "quality-rules")
     figures = ws.save(base_figures(docs), "figures")
-    limits = ws.save(fences(figures, fence=fence, least_docs=least_docs), "fences")
+    limits = ws.save(fences(figures, least_docs=least_docs), "fences")
     df = figures.join(limits, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
+    slack = 4 / F.sqrt(F.greatest("n_words", F.lit(1)))
     reasons = [F.when(F.col("base_failed"), "base")]
-    for n, (_, _, allowance) in RATIOS.items():
-        slack = allowance / F.sqrt(F.greatest("n_words", F.lit(1)))
-        reasons += [F.when(ratio(n) > F.col(f"{n}_high") + slack, f"{n}_high"), F.when(ratio(n) < F.col(f"{n}_low") - slack, f"{n}_low")]
+    reasons += [F.when(ratio("word_length") > F.col("word_length_high") + slack, "word_length_high"), F.when(ratio("word_length") < F.col("word_length_low") - slack, "word_length_low")]
+    reasons += [F.when((F.col(RATIOS[n][0]) > 0) & (ratio(n) > F.col(f"{n}_high")), f"{n}_high") for n in ("symbol", "dup_line")]
     df = df.withColumn("reasons", F.array_compact(F.array(*reasons)))
     return df.select(*figures.columns, "reasons", (F.size("reasons") == 0).alias("kept"))

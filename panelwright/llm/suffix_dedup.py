@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from panelwright.llm.decontamination import small
+from panelwright.llm.quality_rules import SPACE
 from panelwright.llm.shared import Workspace
 
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
@@ -230,22 +232,40 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 class RepeatedPassages:
-    """The repeated passages of ``docs(doc_id, text)``; ids are unique and not null, null texts are empty.
+    """The repeated passages of ``docs(doc_id, text)``; null texts are empty.
 
     Texts are UTF-8 bytes; matches stay inside a document. Texts shorter than ``length`` have none. A text that is there more
-    than once is repeated as a whole (if it is long enough), and only its first copy is searched. Empty tables give no row;
-    other columns are not read.
+    than once is repeated as a whole (if it is long enough), and only its first copy is searched. Each row is a place of its own,
+    also where its id is null or there before: such tables are numbered anew for the search. With ``min_words``, runs of fewer
+    words (parts of words at the ends count) stay. Empty tables give no row; other columns are not read.
     """
 
-    def __init__(self, spark: SparkSession, docs: DataFrame, *, length: int = 400, k: int = 32, group_bound: int = 20_000, workspace: Workspace | None = None) -> None:
-        self.spark, self.length, self.k, self.bound = spark, length, k, group_bound
+    def __init__(self, spark: SparkSession, docs: DataFrame, *, length: int = 400, k: int = 32, min_words: int = 0, group_bound: int = 20_000, ids_at_once: int = 1_000_000, workspace: Workspace | None = None) -> None:
+        self.spark, self.length, self.k, self.min_words, self.bound, self.ids_at_once = spark, length, k, min_words, group_bound, ids_at_once
         self.ws = workspace or Workspace(spark, "suffix-dedup")
         self.docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))
+        self.numbered = None
+        signed = self._sign()
+        rows, ids = signed.agg(F.count(F.lit(1)), F.countDistinct("doc_id")).first()
+        if rows != ids:
+            own = self.ws.save(self.docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "raw"), "numbered")
+            self.numbered, self.docs = own.select("row", F.col("doc_id").alias("given")), own.select(F.col("row").alias("doc_id"), "raw")
+            signed = self._sign()
+        self.signed = signed
         self._find()
 
+    def _sign(self) -> DataFrame:
+        return self.ws.save(self.docs.select("doc_id", F.length("raw").cast("bigint").alias("n_bytes"), F.unhex(F.sha2("raw", 256)).alias("sha")), "signed")
+
+    def _given(self, df: DataFrame) -> DataFrame:
+        """``df`` under the ids that the rows came with."""
+        if self.numbered is None:
+            return df
+        joined = df.join(self.numbered, df["doc_id"] == self.numbered["row"])
+        return joined.select(*[F.col("given").alias(c) if c == "doc_id" else F.col(c) for c in df.columns])
+
     def _find(self) -> None:
         ws, length, k = self.ws, self.length, self.k
-        self.signed = ws.save(self.docs.select("doc_id", F.length("raw").cast("bigint").alias("n_bytes"), F.unhex(F.sha2("raw", 256)).alias("sha")), "signed")
         copies = self.signed.where(F.col("n_bytes") >= length).groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
         self.copies = ws.save(copies, "copies")
         large = self.copies.where("copies > 32").orderBy(F.desc("copies"), "rep").limit(20_000).collect()
@@ -301,7 +321,9 @@ class RepeatedPassages:
         hot = shared.groupBy("key").count().where(F.col("count") > self.bound).select(F.col("key").alias("hot_key"))
         marked = shared.join(hot, shared["key"] == hot["hot_key"], "left").select(*shared.columns, F.col("hot_key").isNotNull().alias("hot"))
         by_doc = marked.groupBy("doc").agg(F.collect_list(F.struct("key", "a", "lo", "hi", "hot")).alias("anchors"))
-        self.searched = ws.save(by_doc.join(self.docs, by_doc["doc"] == self.docs["doc_id"]).select("doc_id", "raw", "anchors"), "searched")
+        wanted = small(ws.save(shared.select(F.col("doc").alias("doc_id")).distinct(), "wanted"), self.ids_at_once)
+        texts = self.docs.join(wanted, "doc_id", "left_semi")
+        self.searched = ws.save(by_doc.join(texts, by_doc["doc"] == texts["doc_id"]).select("doc_id", "raw", "anchors"), "searched")
 
         def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -369,6 +391,7 @@ class RepeatedPassages:
 
     def _cut(self, texts: DataFrame) -> DataFrame:
         """``doc_id, spans, kept, text`` from ``doc_id, raw, found``."""
+        min_words = self.min_words
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -376,6 +399,7 @@ class RepeatedPassages:
                 for doc, raw, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                     body, at, parts = raw.as_py(), 0, []
                     runs = merge_spans([(x["s"], x["e"]) for x in found or ()])
+                    runs = [(s, e) for s, e in runs if not min_words or len(body[s:e].split()) >= min_words]
                     for s, e in runs:
                         parts.append(body[at:s])
                         at = e
@@ -396,27 +420,38 @@ class RepeatedPassages:
         return self.signed.join(copies, self.signed["sha"] == copies["_sha"], "left").select("doc_id", "n_bytes", "sha", F.col("_sha").isNotNull().alias("copied"))
 
     def digests(self) -> DataFrame:
-        """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document; only searched texts are read again."""
+        """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row; only searched texts are read again."""
         spans = self._spans_by_doc()
-        cut = self._cut(self.searched.join(spans, self.searched["doc_id"] == spans["doc"]).select("doc_id", "raw", "found"))
-        cut = cut.select(F.col("doc_id").alias("doc"), F.length("kept").cast("bigint").alias("left"), F.size("spans").cast("bigint").alias("n"), F.sha2("kept", 256).alias("hex"))
         every = self._with_copies()
+        once = every.where(~F.col("copied")).select(F.col("doc_id").alias("once"))
+        cut = self.searched.join(spans, self.searched["doc_id"] == spans["doc"]).join(once, F.col("doc_id") == F.col("once"), "left_semi").select("doc_id", "raw", "found")
+        cut = self._cut(cut).select(F.col("doc_id").alias("doc"), F.length("kept").cast("bigint").alias("left"), F.size("spans").cast("bigint").alias("n"), F.sha2("kept", 256).alias("hex"))
         df = every.join(cut, every["doc_id"] == cut["doc"], "left")
         zero, copied = F.lit(0).cast("bigint"), F.col("copied")
-        return df.select(
+        df = df.select(
             "doc_id",
             "n_bytes",
             F.when(copied, F.col("n_bytes")).otherwise(F.coalesce(F.col("n_bytes") - F.col("left"), zero)).alias("n_removed"),
             F.when(copied, F.lit(1).cast("bigint")).otherwise(F.coalesce("n", zero)).alias("n_spans"),
             F.when(copied, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("hex", F.lower(F.hex("sha")))).alias("kept_sha256"),
         )
+        return self._given(df)
 
     def texts(self) -> DataFrame:
-        """``doc_id, spans, kept, text`` of the documents that lose some; all others are whole.
+        """``doc_id, sha, spans, kept, text`` of the rows that lose some; all others are whole.
 
-        ``kept``: the remaining bytes. ``text``: the same without parts of characters that a cut went through.
+        ``sha``: SHA-256 of the input text, which alone decides what a row loses. ``kept``: the remaining bytes. ``text``: the same
+        without parts of characters that a cut went through. A text that is there more than once and has fewer than ``min_words``
+        words is whole.
         """
         spans = self._spans_by_doc()
-        every = self._with_copies().where("copied").select("doc_id", F.array(F.struct(F.lit(0).cast("bigint").alias("s"), F.col("n_bytes").alias("e"))).alias("spans"), F.lit("").cast("binary").alias("kept"), F.lit("").alias("text"))
-        partly = self.searched.join(spans, self.searched["doc_id"] == spans["doc"]).select("doc_id", "raw", "found")
-        return every.union(self._cut(partly.join(every.select("doc_id"), "doc_id", "left_anti")))
+        every = self._with_copies()
+        whole = F.array(F.struct(F.lit(0).cast("bigint").alias("s"), F.col("n_bytes").alias("e")))
+        copied = every.where("copied").select("doc_id", "sha", whole.alias("spans"), F.lit("").cast("binary").alias("kept"), F.lit("").alias("text"))
+        if self.min_words:
+            enough = self.docs.where(F.size(F.array_remove(F.split(F.col("raw").cast("string"), SPACE), "")) >= self.min_words).select("doc_id")
+            copied = copied.join(enough, "doc_id", "left_semi")
+        once = every.where(~F.col("copied")).select(F.col("doc_id").alias("once"), "sha")
+        partly = self.searched.join(spans, self.searched["doc_id"] == spans["doc"]).join(once.select("once"), F.col("doc_id") == F.col("once"), "left_semi").select("doc_id", "raw", "found")
+        partly = self._cut(partly).where(F.size("spans") > 0).join(once, F.col("doc_id") == F.col("once")).select("doc_id", "sha", "spans", "kept", "text")
+        return self._given(copied.union(partly))

@@ -65,7 +65,7 @@ def near_classes(docs: list[tuple[int, str | None]]) -> dict[int, tuple[int, int
     return {d: (len(s), find(d)) for d, s in sets.items()}
 
 
-def repeats(docs: list[tuple[int, str | None]], length: int = 400) -> dict[int, tuple[int, int, int, str]]:
+def repeats(docs: list[tuple[int, str | None]], length: int = 400, min_words: int = 0) -> dict[int, tuple[int, int, int, str]]:
     count: Counter = Counter()
     for _, t in docs:
         b = (t or "").encode()
@@ -77,6 +77,9 @@ def repeats(docs: list[tuple[int, str | None]], length: int = 400) -> dict[int,
         for p in range(len(b) - length + 1):
             if count[b[p : p + length]] > 1:
                 hit[p : p + length] = b"\1" * length
+        for run in list(re.finditer(b"\1+", hit)):
+            if len(b[slice(*run.span())].split()) < min_words:
+                hit[slice(*run.span())] = bytes(run.end() - run.start())
         kept = bytes(x for x, h in zip(b, hit, strict=True) if not h)
         spans = sum(1 for i in range(len(b)) if hit[i] and (not i or not hit[i - 1]))
         out[d] = (len(b), sum(hit), spans, hashlib.sha256(kept).hexdigest())

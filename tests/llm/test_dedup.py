@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 
 import numpy as np
@@ -117,6 +118,28 @@ def test_suffix_dedup_of_periodic_and_long_texts(spark):
     assert suffix_dedup.RepeatedPassages(spark, frame(spark, [])).digests().count() == 0
 
 
+def test_suffix_dedup_of_short_runs_by_words(spark):
+    docs = brute.corpus(8)
+    found = suffix_dedup.RepeatedPassages(spark, frame(spark, docs), length=200, min_words=51)
+    want = brute.repeats(docs, 200, 51)
+    texts = {r.doc_id: r for r in found.texts().collect()}
+    assert {d: sum(s.e - s.s for s in r.spans) for d, r in texts.items()} == {d: x[1] for d, x in want.items() if x[1]}
+    assert all(hashlib.sha256(r.kept).hexdigest() == want[d][3] for d, r in texts.items())
+
+
+def test_suffix_dedup_of_rows_without_or_with_the_same_id(spark):
+    """Every row is a place of its own."""
+    docs = brute.corpus(4)[:60]
+    odd = [(None if k % 5 == 0 else d // 20, t) for k, (d, t) in enumerate(docs)] + [docs[3], docs[3]]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = [tuple(r) for r in suffix_dedup.RepeatedPassages(spark, frame(spark, odd)).digests().collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = brute.repeats([(i, t) for i, (_, t) in enumerate(odd)])
+    assert sorted(map(str, got)) == sorted(str((d, *want[i])) for i, (d, _) in enumerate(odd))
+
+
 def test_suffix_dedup_at_segment_boundaries(spark):
     """Passages of digits that start at, or just after, the second and third segment of a text of over 2 MiB."""
     rng = random.Random(11)

@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 from tests.llm import brute
-from tests.llm.test_text_operators import leak_brute
+from tests.llm.test_text_operators import leak_segments
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -40,13 +40,14 @@ def test_stages_act_on_what_came_before(spark, tmp_path):
     assert {r.doc_id for r in after.collect()} == {d for d, (_, c) in brute.near_classes(list(before.items())).items() if c == d}
 
     before, after = seen["suffix_dedup"]
-    want = brute.repeats(list(before.items()))
+    want = brute.repeats(list(before.items()), 200, 51)
+    assert any(x[1] for x in want.values())
     for r in after.collect():
         assert len(r.text.encode()) == want[r.doc_id][0] - want[r.doc_id][1] or "�" not in r.text and abs(len(r.text.encode()) - want[r.doc_id][0] + want[r.doc_id][1]) < 8 * (1 + want[r.doc_id][2])
         assert r.n_chars == len(r.text)
 
     before, after = seen["decontamination"]
-    leaks = {d for d, _ in leak_brute(list(before.items()), items)}
+    leaks = {d for d, _ in leak_segments(list(before.items()), items)}
     assert leaks and {r.doc_id for r in after.collect()} == set(before) - leaks
 
     before, after = seen["packing"]
@@ -54,3 +55,34 @@ def test_stages_act_on_what_came_before(spark, tmp_path):
     assert {r.doc_id for r in pieces} == set(before)
     assert sum(r.length for r in pieces) == sum(r.doc_tokens for r in pieces if r.start == 0)
     assert {(r.doc_id, r.start, r.length, r.ids_crc32) for r in pieces} and corpus_pipeline.run(spark, str(tmp_path)).count() == len(pieces)
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null ids and columns, rows that are there twice, one id with two texts, columns with clashing names, and no row at all."""
+    rng = random.Random(5)
+    item, passage = brute.prose(rng, 30), brute.prose(rng, 60)
+    spark.createDataFrame([(1, item), (None, item), (2, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    text = lambda n=70: brute.prose(rng, n)
+    twice, near = text(), text(200)
+    rows = [(1, twice), (1, twice), (2, twice), (None, twice), (3, None), (None, None), (4, ""), (5, near), (None, near + " more"), (7, text()), (7, text())]
+    rows += [(8, text() + " " + passage + " " + text()), (None, text() + " " + passage + " " + text()), (None, text() + " " + item), (10, text(20_000))]
+    rows = [(d, t, None if i % 4 == 0 else "en", None, i, f"t{i}", i) for i, (d, t) in enumerate(rows)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, _text string, row int"
+    for name, data in (("some", rows), ("none", [])):
+        now, left = spark.createDataFrame(data, schema), {}
+        for step, stage in corpus_pipeline.STAGES:
+            stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{name}-{step}")
+            now = spark.read.parquet(f"{tmp_path}/{name}-{step}")
+            if step != "packing":
+                assert now.columns == [c.split()[0] for c in schema.split(", ")]
+                left[step] = {r.row: r for r in now.collect()}
+        if not data:
+            assert not left["decontamination"] and not now.count()
+            continue
+        assert set(left["quality_rules"]) == set(range(len(rows))) - {4, 5, 6}
+        once = set(left["ngram_join"])
+        assert len(once & {0, 1, 2, 3}) == 1 and len(once & {7, 8}) == 1 and {9, 10, 11, 12, 13, 14} <= once
+        cut = left["suffix_dedup"]
+        assert all(passage[9:-9] not in cut[k].text and cut[k]._text == f"t{k}" and cut[k].n_chars == len(cut[k].text) for k in (11, 12)) and cut[14].text == rows[14][1]
+        assert set(left["decontamination"]) == once - {13}
+        assert {r.doc_id for r in now.collect()} == {r.doc_id for r in left["decontamination"].values()}

@@ -1,13 +1,16 @@
 from __future__ import annotations
 
+import math
 import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from panelwright.llm import decontamination, packing, quality_rules, token_counts, tokens, toxicity
+from panelwright.llm.shared import Workspace
 from tests.llm import brute
 
 
@@ -20,11 +23,14 @@ EDGES = [(1, None), (2, ""), (3, "x"), (4, "a  b\n\nc"), (5, "é中   !!?"), (6
 
 def test_rank_and_json_vocabularies_agree():
     rank, plain = tokens.encoder(tokens.public_vocabulary()), tokens.encoder(tokens.public_vocabulary("byte_bpe_50k.json"))
+    untouched = Tokenizer.from_file(tokens.public_vocabulary("byte_bpe_50k.json"))
+    assert rank.ids("foo <|endoftext|> bar").tolist() == [21943, 220, 50256, 2318]
     rng = random.Random(1)
     texts = [t or "" for _, t in EDGES] + [t or "" for _, t in brute.corpus()]
+    texts += ["foo <|endoftext|> bar", "<|endoftext|><|endoftext|>a", "a  <|endoftext|>\n", "<|endoftext", "x<|endoftext|>y <|endoftext|>  "]
     texts += ["".join(rng.choice("aB 9\n\t'.é中 　🙂") for _ in range(200)) for _ in range(100)]
     for t in texts:
-        assert rank.ids(t).tolist() == plain.ids(t).tolist()
+        assert rank.ids(t).tolist() == plain.ids(t).tolist() == untouched.encode(t, add_special_tokens=False).ids
         assert (rank.byte_ends(t)[-1] if t else 0) == len(t.encode())
 
 
@@ -100,7 +106,7 @@ def test_quality_base_figures(spark):
 
 def test_quality_keeps_clean_and_drops_junk(spark):
     rng = random.Random(8)
-    clean = [(i, brute.prose(rng, 120)) for i in range(300)]
+    clean = [(100 + i, brute.prose(rng, 120)) for i in range(300)]
     junk = [(1000 + i, " ".join(w + "***" for w in brute.prose(rng, 80).split())) for i in range(60)]
     rows = quality_rules.apply_quality_rules(spark, frame(spark, clean + junk + EDGES)).collect()
     kept = {r.doc_id for r in rows if r.kept}
@@ -111,6 +117,53 @@ def test_quality_keeps_clean_and_drops_junk(spark):
     assert quality_rules.apply_quality_rules(spark, frame(spark, [])).count() == 0
 
 
+def kept_brute(rows, least_docs):
+    """``kept`` by sorted lists; a quantile is the smallest value that ``q`` of all do not exceed."""
+    figures, groups, langs = {}, defaultdict(list), defaultdict(list)
+    for d, t, lang, source in rows:
+        n, chars, symbols, dups, repeats = brute.base_figures(t)
+        failed = n < 10 or 100 * repeats > 20 * n
+        x = (chars / max(n, 1), *(math.log((c + 1) / (n + 10)) for c in (symbols, dups)))
+        figures[d] = lang, source, n, symbols, dups, failed, x
+        if not failed:
+            groups[lang, source].append(x)
+            langs[lang].append(x)
+    every = [x for g in groups.values() for x in g]
+    at = lambda v, q: sorted(v)[math.ceil(q * len(v)) - 1]
+    out = {}
+    for d, (lang, source, n, symbols, dups, failed, x) in figures.items():
+        own = next((g for g in (groups[lang, source], langs[lang]) if len(g) >= least_docs), every)
+        limits = []
+        for k, fence in enumerate((4.0, 2.0, 2.0)):
+            low, high = (at([y[k] for y in own], q) for q in (0.25, 0.75))
+            limits.append((low - fence * (high - low), high + fence * (high - low)))
+        slack = 4 / math.sqrt(max(n, 1))
+        far = x[0] > limits[0][1] + slack or x[0] < limits[0][0] - slack or symbols > 0 and x[1] > limits[1][1] or dups > 0 and x[2] > limits[2][1]
+        out[d] = not failed and not far
+    return out
+
+
+def test_quality_verdict_equals_brute_force(spark):
+    """Groups are small enough for their sketches to hold every value."""
+    rng, rows = random.Random(15), []
+    for i in range(420):
+        t = brute.prose(rng, rng.randint(5, 200))
+        if i % 9 == 0:
+            t += " & | #" * rng.randint(1, 40)
+        if i % 7 == 0:
+            t += ("\n" + brute.prose(rng, 3)) * rng.randint(2, 4)
+        if i % 31 == 0:
+            t = t.replace(" ", "") + " " + brute.prose(rng, 12)
+        rows.append((i, None if i == 50 else t, rng.choice(["en", "en", "de", None]), rng.choice(["a", "b", None])))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = {r.doc_id: r.kept for r in quality_rules.apply_quality_rules(spark, df.repartition(3), least_docs=40).collect()}
+    want = kept_brute(rows, 40)
+    assert got == want and 60 < sum(want.values()) < 400
+    figures = Workspace(spark, "test").save(quality_rules.base_figures(df), "figures")
+    limits = quality_rules.fences(figures, least_docs=40).collect()
+    assert all(len({round(r[c], 6) for r in limits}) > 3 for c in ("symbol_high", "dup_line_high", "word_length_high"))
+
+
 def test_small_groups_borrow_a_sketch(spark):
     rng = random.Random(6)
     rows = [(i, brute.prose(rng, 100), "en", "big") for i in range(220)] + [(500, brute.prose(rng, 100), "en", None), (501, brute.prose(rng, 100), None, "rare")]
@@ -119,27 +172,25 @@ def test_small_groups_borrow_a_sketch(spark):
     assert all(got.values())
 
 
-def leak_brute(docs, items, min_words=13, share=0.8):
-    """All diagonals of all pairs, the best segment of each by dynamic programming."""
-    out = set()
+def leak_segments(docs, items, min_words=13):
+    """All segments of all diagonals of all pairs, at four equal words of five: most equal words, then the lower span."""
+    out = {}
     for d, t in docs:
         w = brute.WORD.findall((t or "").lower())
         for i, x in items:
             v = brute.WORD.findall((x or "").lower())
-            if len(v) < 6:
-                continue
-            need = min(min_words, -(-len(v) * 4 // 5))
+            least = min(min_words, -(-len(v) * 4 // 5) if len(v) >= 6 else len(v))
             for g in range(-len(v) + 1, len(w)):
-                score, n = 0.0, 0
-                for j in range(max(0, -g), min(len(v), len(w) - g)):
-                    same = w[g + j] == v[j]
-                    score += 1.0 if same else -share / (1 - share)
-                    n += same
-                    if score <= 0:
-                        score, n = 0.0, 0
-                    if n >= need and same:
-                        out.add((d, i))
-    return out
+                same = [w[g + j] == v[j] for j in range(max(0, -g), min(len(v), len(w) - g))]
+                if sum(same) < least:
+                    continue
+                for a in range(len(same)):
+                    n = 0
+                    for b in range(a, len(same)):
+                        n += same[b]
+                        if 5 * n >= 4 * (b - a + 1) and n >= least:
+                            out[d, i] = max(out.get((d, i), (0, 0)), (n, a - b - 1))
+    return {k: (n, -span) for k, (n, span) in out.items()}
 
 
 def test_leaks_equal_brute_force(spark):
@@ -156,7 +207,7 @@ def test_leaks_equal_brute_force(spark):
     docs += [(500, None), (501, "")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(spark, frame(spark, docs), bench).collect()}
-    assert got == leak_brute(docs, items)
+    assert got == set(leak_segments(docs, items))
     every = decontamination.decontaminate(spark, frame(spark, docs), bench).collect()
     assert len(every) == len(docs) and {r.doc_id for r in every if r.contaminated} == {d for d, _ in got}
     assert decontamination.decontaminate(spark, frame(spark, []), bench).count() == 0
@@ -164,29 +215,12 @@ def test_leaks_equal_brute_force(spark):
     assert not any(r.contaminated for r in decontamination.decontaminate(spark, frame(spark, docs), none).collect())
 
 
-def leak_segments(docs, items, min_words=13):
-    """All segments of all diagonals of all pairs, at four equal words of five: most equal words, then the lower span."""
-    out = {}
-    for d, t in docs:
-        w = brute.WORD.findall((t or "").lower())
-        for i, x in items:
-            v = brute.WORD.findall((x or "").lower())
-            for g in range(-len(v) + 1, len(w)) if len(v) >= 6 else ():
-                same = [w[g + j] == v[j] for j in range(max(0, -g), min(len(v), len(w) - g))]
-                for a in range(len(same)):
-                    for b in range(a, len(same)):
-                        n = sum(same[a : b + 1])
-                        if 5 * n >= 4 * (b - a + 1) and n >= min(min_words, -(-len(v) * 4 // 5)):
-                            out[d, i] = max(out.get((d, i), (0, 0)), (n, a - b - 1))
-    return {k: (n, -span) for k, (n, span) in out.items()}
-
-
 def test_leaks_with_replaced_words_anywhere(spark):
     """One word replaced at any place, or two, or runs of 5, 1, 5, 1 and 5 equal words, which no mask hits."""
-    items = [(n, " ".join(f"v{n}x{j}" for j in range(n))) for n in (6, 7, 8, 10, 13, 15, 16, 17, 21)]
+    items = [(n, " ".join(f"v{n}x{j}" for j in range(n))) for n in (1, 2, 3, 4, 5, 6, 7, 8, 10, 13, 15, 16, 17, 21)]
     docs, rng = [], random.Random(7)
     for n, x in items:
-        places = [(j,) for j in range(n)] + [tuple(rng.sample(range(n), r)) for r in (2, 2, 2, 2, 3, 4, 5)] + [(5, 7, 13, 15)]
+        places = [(j,) for j in range(n)] + [tuple(rng.sample(range(n), r)) for r in (0, 2, 2, 2, 2, 3, 4, 5) if r <= n] + [(5, 7, 13, 15)]
         for at in places:
             docs.append((len(docs), "before it " + " ".join("zzz" if j in at else y for j, y in enumerate(x.split())) + " after it"))
     bench = spark.createDataFrame(items, "item_id bigint, text string")
