@@ -27,37 +27,51 @@ def _workspace(spark: SparkSession, docs: DataFrame, name: str) -> Workspace:
     return _last[-1]
 
 
+def _by_id(docs: DataFrame) -> DataFrame:
+    """``row``, a struct of all columns, and ``doc_id``, which for rows without an id is a negative number made of the text."""
+    made = -1 - F.shiftrightunsigned(F.xxhash64(F.lit("no id"), "text"), 1)
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs["doc_id"].cast("bigint"), made).alias("doc_id"))
+
+
+def _operand(docs: DataFrame) -> DataFrame:
+    """The columns that operators read, each row with an id."""
+    return _by_id(docs).select("doc_id", *[F.col("row").getField(c).alias(c) for c in ("text", "lang", "source")])
+
+
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return _by_id(docs).join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select("row.*")
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the quality rules go."""
     ws = _workspace(spark, docs, "stage-quality")
-    judged = quality_rules.apply_quality_rules(spark, docs, workspace=ws)
+    judged = quality_rules.apply_quality_rules(spark, _operand(docs), workspace=ws)
     return _without(docs, ws.save(judged.where(~F.col("kept")), "rejected"))
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document of least id stays."""
+    """Of each class of near duplicates the document of least id stays; of rows that are there more than once, one."""
     ws = _workspace(spark, docs, "stage-ngram")
-    classes = ngram_join.ngram_classes(spark, docs, workspace=ws)
-    return _without(docs, ws.save(classes.where("doc_id <> component_id"), "further"))
+    classes = ws.save(ngram_join.ngram_classes(spark, _operand(docs), workspace=ws), "classes")
+    rows, ids = classes.agg(F.count(F.lit(1)), F.countDistinct("doc_id")).first()
+    return _without(docs if rows == ids else docs.dropDuplicates(["doc_id", "text"]), classes.where("doc_id <> component_id"))
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes or more that occur elsewhere are cut out; a document that loses all its text stays, empty."""
+    """Passages of over 50 words (and 200 bytes) that occur elsewhere are cut out; a document that loses all its text stays, empty."""
     ws = _workspace(spark, docs, "stage-suffix")
-    cut = ws.save(suffix_dedup.RepeatedPassages(spark, docs, workspace=ws).texts().select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text")), "cut")
-    df = docs.join(cut, docs["doc_id"] == cut["_doc"], "left")
-    text = F.when(F.col("_doc").isNotNull(), F.col("_text")).otherwise(F.col("text"))
-    return df.withColumns({"text": text, "n_chars": F.when(F.col("_doc").isNotNull(), F.length("_text").cast("bigint")).otherwise(F.col("n_chars"))}).select(*docs.columns)
+    found = suffix_dedup.RepeatedPassages(spark, _operand(docs), length=200, min_words=51, workspace=ws)
+    cut = ws.save(found.texts().select("sha", F.struct("text").alias("cut")).dropDuplicates(["sha"]), "cut")
+    rows = _by_id(docs).select("row", F.unhex(F.sha2(F.coalesce("row.text", F.lit("")).cast("binary"), 256)).alias("sha"))
+    own = {c: F.col("row").getField(c) for c in docs.columns}
+    now = own | {"text": F.when(F.col("cut").isNotNull(), F.col("cut.text")).otherwise(own["text"]), "n_chars": F.when(F.col("cut").isNotNull(), F.length("cut.text").cast("bigint")).otherwise(own["n_chars"])}
+    return rows.join(cut, "sha", "left").select(*[now[c].alias(c) for c in docs.columns])
 
 
 def reject_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of a benchmark item go."""
     ws = _workspace(spark, docs, "stage-benchmark")
-    leaks = decontamination.find_leaks(spark, docs, table(spark, sf_dir, "benchmark"), workspace=ws)
+    leaks = decontamination.find_leaks(spark, _operand(docs), table(spark, sf_dir, "benchmark"), workspace=ws)
     return _without(docs, ws.save(leaks, "leaks"))
 
 
