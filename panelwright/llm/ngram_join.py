@@ -26,7 +26,7 @@ from math import log2
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from panelwright.llm.decontamination import small
 from panelwright.llm.graph import components
@@ -255,8 +255,13 @@ def _within_families(ws: Workspace, searched: DataFrame, labels: DataFrame, perc
     """
     tops = searched.where("top").select("pivot", "doc", "linked", "n", "size", "heads")
     busy = small(ws.save(tops.where(~F.col("linked")).select("pivot").distinct(), "busy"), ids_at_once)
-    tops = tops.join(busy, "pivot").join(labels, tops["doc"] == labels["v"], "left").select("pivot", "doc", "linked", "n", "size", "heads", F.coalesce("component", "doc").alias("component"))
-    listed = ws.save(tops.select("pivot", "doc", "linked", "n", "size", "component", F.posexplode("heads").alias("pos", "key")), "residuals")
+    tops = tops.join(busy, "pivot")
+    rows = tops.select(F.posexplode("heads").alias("pos", "key"), "pivot", "doc").select(F.xxhash64("pivot", "key").alias("key"), "doc", "pos")
+    rows = rows.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("key")) > 1).where("many").drop("many")  # most elements are one set's own
+    own = tops.join(labels, tops["doc"] == labels["v"], "left").select("pivot", F.col("doc").alias("_doc"), "linked", "n", "size", F.coalesce("component", "doc").alias("component"))
+    own = small(ws.save(own, "members"), ids_at_once)
+    rows = ws.save(rows, "residuals")
+    listed = ws.save(rows.join(own, rows["doc"] == own["_doc"]).drop("_doc"), "listed")
     x, y = (listed.select("pivot", "key", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "linked", "n", "size", "component", "pos")]) for s in "xy")
     allowed = F.expr(f"n_x + n_y - 2 * cast(ceil((n_x + n_y) * {percent} / {100 + percent}) as bigint)")
     common = F.ceil((F.col("size_x") + F.col("size_y") - allowed) / 2)
@@ -266,7 +271,7 @@ def _within_families(ws: Workspace, searched: DataFrame, labels: DataFrame, perc
     return x.where(~F.col("linked_x")).join(y, on & may).select(F.col("doc_x").alias("pivot"), F.col("doc_y").alias("doc")).distinct()
 
 
-def ngram_classes(spark: SparkSession, docs: DataFrame, *, words: int = 5, percent: int = 80, frequent: int = 50_000, one_in: int = 16, ids_at_once: int = 1_000_000, long_list: int = 256, workspace: Workspace | None = None) -> DataFrame:
+def ngram_classes(spark: SparkSession, docs: DataFrame, *, words: int = 5, percent: int = 80, frequent: int = 50_000, one_in: int = 16, ids_at_once: int = 1_000_000, long_list: int = 512, workspace: Workspace | None = None) -> DataFrame:
     """``doc_id, n_shingles, component_id``: one row per row of ``docs(doc_id, text)``.
 
     ``component_id``: the least ``doc_id`` that links reach. Null texts, and texts without words, have no shingle and link with
