@@ -2,7 +2,7 @@
 
 Operators cut lineage by writing Parquet below the folder named in ``spark.checkpoint.dir`` and reading it back, so a lost
 executor costs a re-run of its tasks and never a stored intermediate. A folder of this session's own is used only where the
-setting is absent, as in tests.
+setting is absent in local mode, as in tests; a cluster without the setting is an error.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not root:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="panelwright-"))
         root = spark.sparkContext.getCheckpointDir()
