@@ -8,18 +8,21 @@ from pyspark.sql import Column, functions as F
 NO_NUMBER = ("N/A", "NA", "NONE", "-", "")
 #: Quote units and the currencies they are a hundredth of.
 MINOR_UNITS = {"GBp": "GBP", "GBX": "GBP", "ZAc": "ZAR", "ILA": "ILS"}
-#: Index provider's spellings of share classes.
-TICKER_ALIASES = {"BRKB": "BRK-B", "BFB": "BF-B", "BRK.B": "BRK-B", "BF.B": "BF-B"}
-#: Sector names as sources spell them.
+#: An index provider's spellings of share classes.
+TICKER_ALIASES = {"BRKA": "BRK-A", "BRKB": "BRK-B", "BFA": "BF-A", "BFB": "BF-B"}
+#: An exchange's sector names and those that screens use.
 SECTORS = {
-    "Technology": "Information Technology",
-    "Health Care": "Health Care",
-    "Healthcare": "Health Care",
-    "Financial Services": "Financials",
-    "Finance": "Financials",
-    "Consumer Cyclical": "Consumer Discretionary",
-    "Consumer Defensive": "Consumer Staples",
-    "Basic Materials": "Materials",
+    "Technology": "Technology",
+    "Telecommunications": "Communication Services",
+    "Health Care": "Healthcare",
+    "Consumer Discretionary": "Consumer Cyclical",
+    "Consumer Staples": "Consumer Defensive",
+    "Finance": "Financial Services",
+    "Industrials": "Industrials",
+    "Energy": "Energy",
+    "Real Estate": "Real Estate",
+    "Basic Materials": "Basic Materials",
+    "Utilities": "Utilities",
 }
 TICKER = r"^[A-Z0-9.^=_-]{1,20}$"
 EPSILON = 1e-12

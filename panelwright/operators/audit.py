@@ -95,7 +95,8 @@ def bar_repair(bars: DataFrame, tolerance: float = 1.005) -> DataFrame:
     df = bars.withColumn("_ok", F.coalesce(trusted, F.lit(False)))
     mark = F.when(F.col("_ok"), F.struct("dt", "close"))
     a = F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    b = F.first(mark, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    back = Window.partitionBy("symbol").orderBy(F.desc("dt"))  # the next trusted close is the last one seen from the end: a running state
+    b = F.last(mark, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     df = df.withColumns({"_a": a, "_b": b})
     share = F.datediff("dt", "_a.dt") / F.datediff("_b.dt", "_a.dt")
     line = F.exp(F.log("_a.close") * (1 - share) + F.log("_b.close") * share)

@@ -40,7 +40,7 @@ def simple_ols(pairs: DataFrame, least: int = 3) -> DataFrame:
     return g.where(F.col("n") >= least).select("symbol", "n", "beta", (F.col("a") - F.col("beta") * F.col("b")).alias("alpha"), (F.col("_r") * F.col("_r")).alias("r2"))
 
 
-def xirr_batch(flows: DataFrame, *, low: float = -0.99, high: float = 4.0, points: int = 400, rounds: int = 5) -> DataFrame:
+def xirr_batch(flows: DataFrame, *, low: float = -0.999999, high: float = 1_000_000.0, points: int = 2_400, rounds: int = 5) -> DataFrame:
     """``portfolio_id, status, rate`` of ``(portfolio_id, dt, amount)``: roots of the net present value on a grid of log rates.
 
     All portfolios at once: a grid over the log rate, sign changes between neighbours, then nested grids of 40 points inside the

@@ -45,9 +45,11 @@ def normalize_ticker(spark, sf):
     return A.table(spark, sf, "part").select(t.alias("ticker")).groupBy("ticker").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("ticker n", sql="SELECT translate(upper(p_brand), '#', '-') AS ticker, count(*) AS n FROM part GROUP BY 1")
+@query("ticker n", sql="SELECT CASE p_partkey % 5 WHEN 0 THEN 'BRK-A' WHEN 1 THEN 'BRK-B' WHEN 2 THEN 'BF-A' WHEN 3 THEN 'BF-B' ELSE translate(upper(p_brand), '#', '-') END AS ticker, count(*) AS n FROM part GROUP BY 1")
 def normalize_universe_ticker(spark, sf):
-    return A.table(spark, sf, "part").select(S.universe_ticker(F.translate("p_brand", "#", ".")).alias("ticker")).groupBy("ticker").agg(F.count(F.lit(1)).alias("n"))
+    k = F.col("p_partkey") % 5
+    spelt = F.when(k == 0, " brka").when(k == 1, "BRKB").when(k == 2, "bfa ").when(k == 3, "BFB").otherwise(F.translate("p_brand", "#", "."))
+    return A.table(spark, sf, "part").select(S.universe_ticker(spelt).alias("ticker")).groupBy("ticker").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("ticker n", sql="SELECT CASE WHEN length(CAST(o_orderkey AS VARCHAR)) BETWEEN 4 AND 6 THEN o_orderkey || '.TW' ELSE CAST(o_orderkey AS VARCHAR) END AS ticker, count(*) AS n FROM orders GROUP BY 1")
@@ -72,9 +74,11 @@ def parse_optional_number(spark, sf):
     return A.table(spark, sf, "part").select(text.alias("text")).distinct().withColumn("number", S.optional_number(F.col("text")))
 
 
-@query("sector n", sql="SELECT p_type AS sector, count(*) AS n FROM part GROUP BY 1")
+@query("sector n", sql="SELECT CASE p_partkey % 6 WHEN 0 THEN 'Communication Services' WHEN 1 THEN 'Healthcare' WHEN 2 THEN 'Consumer Cyclical' WHEN 3 THEN 'Consumer Defensive' WHEN 4 THEN 'Financial Services' ELSE p_type END AS sector, count(*) AS n FROM part GROUP BY 1")
 def normalize_sector(spark, sf):
-    return A.table(spark, sf, "part").select(S.normalize_sector(F.concat(F.lit("  "), "p_type", F.lit(" "))).alias("sector")).groupBy("sector").agg(F.count(F.lit(1)).alias("n"))
+    k = F.col("p_partkey") % 6
+    spelt = F.when(k == 0, "Telecommunications").when(k == 1, "Health  Care").when(k == 2, "Consumer Discretionary").when(k == 3, "Consumer Staples").when(k == 4, "Finance").otherwise(F.col("p_type"))
+    return A.table(spark, sf, "part").select(S.normalize_sector(F.concat(F.lit("  "), spelt, F.lit(" "))).alias("sector")).groupBy("sector").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("parsed n", sql="SELECT CAST(o_orderdate AS DATE) AS parsed, count(*) AS n FROM orders GROUP BY 1")

@@ -148,9 +148,10 @@ def test_gram_ols_equals_lstsq(spark):
 
 
 def test_xirr(spark):
-    f = [("A", D0, -100.0), ("A", D0 + timedelta(days=365), 110.0), ("B", D0, 1.0), ("C", D0, -100.0), ("C", D0 + timedelta(days=365), 230.0), ("C", D0 + timedelta(days=730), -132.0)]
+    f = [("R", D0, -1.0), ("R", D0 + timedelta(days=365), 500.0), ("L", D0, -100.0), ("L", D0 + timedelta(days=365), 0.1), ("A", D0, -100.0), ("A", D0 + timedelta(days=365), 110.0), ("B", D0, 1.0), ("C", D0, -100.0), ("C", D0 + timedelta(days=365), 230.0), ("C", D0 + timedelta(days=730), -132.0)]
     got = {r.portfolio_id: (r.status, r.rate) for r in regress.xirr_batch(spark.createDataFrame(f, "portfolio_id string, dt date, amount double")).collect()}
     assert got["A"][0] == "unique" and got["A"][1] == pytest.approx(1.1 ** (365.2425 / 365) - 1, abs=1e-8)
+    assert all(got[p][0] == "unique" and 1 + got[p][1] == pytest.approx(x ** (365.2425 / 365), rel=1e-8) for p, x in (("R", 500.0), ("L", 0.001)))
     assert got["B"] == ("no_solution", None) and got["C"][0] == "multiple"
 
 
