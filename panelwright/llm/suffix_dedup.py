@@ -161,17 +161,19 @@ def deep_shallow_order(strings: list[bytes], depth: int = 0, shallow: int = 8) -
     return order
 
 
-def repeated_windows(contexts: list[bytes], offsets: list[int], length: int, k: int) -> list[tuple[int, int] | None]:
-    """For each context (bytes around an anchor of one ``k``-gram) the bytes before and after the anchor that are repeated.
+def repeated_windows(contexts: list[bytes], offsets: list[int], lengths: tuple[int, ...], k: int) -> list[list[tuple[int, int] | None]]:
+    """For each length and context (bytes around an anchor of one ``k``-gram) the bytes before and after the anchor that are repeated.
 
-    ``offsets``: of the anchors. ``None`` where no window of ``length`` bytes over the anchor occurs in another context.
+    ``offsets``: of the anchors. ``None`` where no window of that length over the anchor occurs in another context.
     """
     first: dict[tuple[bytes, int], int] = {}
     twin = [first.setdefault(x, i) for i, x in enumerate(zip(contexts, offsets, strict=True))]
-    found: list[tuple[int, int] | None] = [None] * len(contexts)
+    every: list[list[tuple[int, int] | None]] = [[None] * len(contexts) for _ in lengths]
     for i, t in enumerate(twin):
         if t != i:
-            found[i] = found[t] = offsets[i], len(contexts[i]) - offsets[i]
+            for found, length in zip(every, lengths, strict=True):
+                if len(contexts[i]) >= length:
+                    found[i] = found[t] = offsets[i], len(contexts[i]) - offsets[i]
     own = list(first.values())
     right: dict[bytes, list[int]] = {}
     for i in own:
@@ -183,41 +185,45 @@ def repeated_windows(contexts: list[bytes], offsets: list[int], length: int, k:
     if len(order) <= 16:
         left = {i: contexts[i][: offsets[i]][::-1] for i in order}
         for x, a in enumerate(order):
-            r = length
+            r = len(suffix[a])
             for y in range(x + 1, len(order)):
                 r, b = min(r, lcp[y - 1]), order[y]
                 reach = common_prefix(left[a], left[b])
-                if reach + r >= length:
-                    for i in (a, b):
-                        was = found[i] or (0, 0)
-                        found[i] = max(was[0], reach), max(was[1], r)
-        return found
-    width = length - k + 1
+                for found, length in zip(every, lengths, strict=True):
+                    if reach + r >= length:
+                        for i in (a, b):
+                            was = found[i] or (0, 0)
+                            found[i] = max(was[0], reach), max(was[1], r)
+        return every
+    reach = np.array([offsets[i] for i in order])
+    width = int(reach.max()) + 1
     table = np.zeros((len(order), width), dtype=np.uint8)
     for x, i in enumerate(order):
-        back = np.frombuffer(contexts[i][: offsets[i]][::-1], dtype=np.uint8)[: width - 1]
+        back = np.frombuffer(contexts[i][: offsets[i]][::-1], dtype=np.uint8)
         table[x, 1 : 1 + len(back)] = back
-    reach = np.array([offsets[i] for i in order])
     room, lcps = np.array([len(suffix[i]) for i in order]), np.array(lcp)
-    low, high = np.full(len(order), length), np.full(len(order), -1)
+    low, high = [np.full(len(order), n) for n in lengths], [np.full(len(order), -1) for _ in lengths]
     hashes, base = np.zeros(len(order), dtype=np.uint64), np.uint64(_BASE)
     for o in range(width):  # windows that begin o bytes before the anchor
         if o:
             hashes = hashes * base + table[:, o] + np.uint64(1)
-        runs = np.concatenate([[0], np.cumsum(lcps < length - o)]).astype(np.uint64)
-        key = (hashes ^ (hashes >> np.uint64(32))) * _MIX + runs * np.uint64(0xD6E8FEB86659FD93)
-        may = np.flatnonzero((room >= length - o) & (reach >= o))
-        if len(may) < 2:
-            continue
-        _, where, counts = np.unique(key[may], return_inverse=True, return_counts=True)
-        hit = may[counts[where] > 1]
-        low[hit] = np.minimum(low[hit], o)
-        high[hit] = np.maximum(high[hit], o)
-    for x, i in enumerate(order):
-        if high[x] >= 0:
-            was = found[i] or (0, 0)
-            found[i] = max(was[0], int(high[x])), max(was[1], length - int(low[x]))
-    return found
+        mixed = (hashes ^ (hashes >> np.uint64(32))) * _MIX
+        for n, length in enumerate(lengths):
+            may = np.flatnonzero((room >= length - o) & (reach >= o))
+            if len(may) < 2:
+                continue
+            runs = np.concatenate([[0], np.cumsum(lcps < length - o)]).astype(np.uint64)
+            key = mixed + runs * np.uint64(0xD6E8FEB86659FD93)
+            _, where, counts = np.unique(key[may], return_inverse=True, return_counts=True)
+            hit = may[counts[where] > 1]
+            low[n][hit] = np.minimum(low[n][hit], o)
+            high[n][hit] = np.maximum(high[n][hit], o)
+    for n, length in enumerate(lengths):
+        for x, i in enumerate(order):
+            if high[n][x] >= 0:
+                was = every[n][i] or (0, 0)
+                every[n][i] = max(was[0], int(high[n][x])), max(was[1], length - int(low[n][x]))
+    return every
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -238,10 +244,17 @@ class RepeatedPassages:
     than once is repeated as a whole (if it is long enough), and only its first copy is searched. Each row is a place of its own,
     also where its id is null or there before: such tables are numbered anew for the search. With ``min_words``, runs of fewer
     words (parts of words at the ends count) stay. Empty tables give no row; other columns are not read.
+
+    ``passages``, two numbers ``(bytes, words)`` of which the first is at most ``length``, lets the same search report a second
+    thing beside what is cut: the runs of that many words that strings of that many bytes cover which occur elsewhere too.
     """
 
-    def __init__(self, spark: SparkSession, docs: DataFrame, *, length: int = 400, k: int = 32, min_words: int = 0, group_bound: int = 20_000, ids_at_once: int = 1_000_000, workspace: Workspace | None = None) -> None:
+    def __init__(self, spark: SparkSession, docs: DataFrame, *, length: int = 400, k: int = 32, min_words: int = 0, passages: tuple[int, int] | None = None, group_bound: int = 20_000, ids_at_once: int = 1_000_000, workspace: Workspace | None = None) -> None:
         self.spark, self.length, self.k, self.min_words, self.bound, self.ids_at_once = spark, length, k, min_words, group_bound, ids_at_once
+        self.passages = passages
+        self.lengths = tuple(sorted({length, *(passages or ())[:1]}))
+        if self.lengths[-1] != length:
+            raise ValueError("passages can't be longer than length")
         self.ws = workspace or Workspace(spark, "suffix-dedup")
         self.docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))
         self.numbered = None
@@ -255,7 +268,8 @@ class RepeatedPassages:
         self._find()
 
     def _sign(self) -> DataFrame:
-        return self.ws.save(self.docs.select("doc_id", F.length("raw").cast("bigint").alias("n_bytes"), F.unhex(F.sha2("raw", 256)).alias("sha")), "signed")
+        words = [F.size(F.array_remove(F.split(F.col("raw").cast("string"), SPACE), "")).cast("bigint").alias("n_words")] if self.passages else []
+        return self.ws.save(self.docs.select("doc_id", F.length("raw").cast("bigint").alias("n_bytes"), F.unhex(F.sha2("raw", 256)).alias("sha"), *words), "signed")
 
     def _given(self, df: DataFrame) -> DataFrame:
         """``df`` under the ids that the rows came with."""
@@ -265,8 +279,9 @@ class RepeatedPassages:
         return joined.select(*[F.col("given").alias(c) if c == "doc_id" else F.col(c) for c in df.columns])
 
     def _find(self) -> None:
-        ws, length, k = self.ws, self.length, self.k
-        copies = self.signed.where(F.col("n_bytes") >= length).groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+        ws, lengths, k = self.ws, self.lengths, self.k
+        least, length = lengths[0], lengths[-1]
+        copies = self.signed.where(F.col("n_bytes") >= least).groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
         self.copies = ws.save(copies, "copies")
         large = self.copies.where("copies > 32").orderBy(F.desc("copies"), "rep").limit(20_000).collect()
         skip = self.spark.sparkContext.broadcast({bytes(r.sha): r.rep for r in large})  # large groups of copies: only the first goes on
@@ -276,12 +291,12 @@ class RepeatedPassages:
                 rows = []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     raw = text.as_buffer()
-                    if raw is None or raw.size < length:
+                    if raw is None or raw.size < least:
                         continue
                     sha = hashlib.sha256(raw).digest()
                     if skip.value.get(sha, doc) != doc:
                         continue
-                    found = anchors(np.frombuffer(raw, dtype=np.uint8), length, k)
+                    found = anchors(np.frombuffer(raw, dtype=np.uint8), least, k)
                     rows.append(np.concatenate([found, np.full((1, found.shape[1]), doc), np.full((1, found.shape[1]), int.from_bytes(sha[:8], "little", signed=True))]))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(rows, axis=1)], names=["key", "a", "lo", "hi", "doc", "sha"])
@@ -343,16 +358,15 @@ class RepeatedPassages:
 
         def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, docs, at, offsets, around = None, [], [], [], []
-            out: list[tuple[int, int, int]] = []
+            out: list[tuple[int, int, int, int]] = []
 
             def close() -> None:
                 if len(docs) > 1:
-                    for doc, a, x in zip(docs, at, repeated_windows(around, offsets, length, k), strict=True):
-                        if x is not None:
-                            out.append((doc, a - x[0], a + x[1]))
+                    for n, found in zip(lengths, repeated_windows(around, offsets, lengths, k), strict=True):
+                        out.extend((doc, a - x[0], a + x[1], n) for doc, a, x in zip(docs, at, found, strict=True) if x is not None)
 
             def batch_of() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["doc", "s", "e"])
+                return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["doc", "s", "e", "n"])
 
             for batch in batches:
                 for now, doc, a, o, text in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
@@ -374,31 +388,31 @@ class RepeatedPassages:
             for batch in batches:
                 for doc, raw, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                     body = np.frombuffer(raw.as_buffer(), dtype=np.uint8)
-                    for x in found:
-                        if x["hot"]:
-                            part = body[x["lo"] : x["hi"] + length]
-                            one, two = window_hashes(part, length), window_hashes(part ^ np.uint8(0x5A), length)
-                            starts = np.arange(x["lo"], x["hi"] + 1)
-                            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.full(len(starts), doc)), pa.array(starts)], names=["one", "two", "doc", "s"])
+                    for x, n in ((x, n) for x in found if x["hot"] for n in lengths):
+                        part = body[x["lo"] : x["hi"] + n]
+                        if len(part) >= n:
+                            one, two = window_hashes(part, n), window_hashes(part ^ np.uint8(0x5A), n)
+                            starts = np.arange(x["lo"], x["lo"] + len(one))
+                            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.full(len(starts), doc)), pa.array(starts), pa.array(np.full(len(starts), n))], names=["one", "two", "doc", "s", "n"])
 
         near = self.searched.mapInArrow(contexts, "key bigint, doc bigint, a bigint, o int, around binary").repartition(F.col("key")).sortWithinPartitions("key")
-        covered = near.mapInArrow(cover, "doc bigint, s bigint, e bigint")
+        covered = near.mapInArrow(cover, "doc bigint, s bigint, e bigint, n bigint")
         if not hot.isEmpty():
-            windows = ws.save(self.searched.where(F.exists("anchors", lambda x: x["hot"])).mapInArrow(window_rows, "one bigint, two bigint, doc bigint, s bigint"), "windows")
-            twice = windows.groupBy("one", "two").count().where("count > 1")
-            covered = covered.union(windows.join(twice, ["one", "two"]).select("doc", "s", (F.col("s") + length).alias("e")))
+            windows = ws.save(self.searched.where(F.exists("anchors", lambda x: x["hot"])).mapInArrow(window_rows, "one bigint, two bigint, doc bigint, s bigint, n bigint"), "windows")
+            twice = windows.groupBy("one", "two", "n").count().where("count > 1")
+            covered = covered.union(windows.join(twice, ["one", "two", "n"]).select("doc", "s", (F.col("s") + F.col("n")).alias("e"), "n"))
         self.covered = ws.save(covered, "covered")
 
     def _cut(self, texts: DataFrame) -> DataFrame:
-        """``doc_id, spans, kept, text`` from ``doc_id, raw, found``."""
-        min_words = self.min_words
+        """``doc_id, spans, kept, text, passage_words`` from ``doc_id, raw, found``."""
+        min_words, length, (passage_bytes, passage_words) = self.min_words, self.length, self.passages or (0, 0)
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                docs, spans, kept, text = [], [], [], []
+                docs, spans, kept, text, words = [], [], [], [], []
                 for doc, raw, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                     body, at, parts = raw.as_py(), 0, []
-                    runs = merge_spans([(x["s"], x["e"]) for x in found or ()])
+                    runs = merge_spans([(x["s"], x["e"]) for x in found or () if x["n"] == length])
                     runs = [(s, e) for s, e in runs if not min_words or len(body[s:e].split()) >= min_words]
                     for s, e in runs:
                         parts.append(body[at:s])
@@ -407,33 +421,43 @@ class RepeatedPassages:
                     spans.append([{"s": s, "e": e} for s, e in runs])
                     kept.append(b"".join([*parts, body[at:]]))
                     text.append(kept[-1].decode("utf-8", "ignore"))
+                    counts = [len(body[s:e].split()) for s, e in merge_spans([(x["s"], x["e"]) for x in found or () if x["n"] == passage_bytes])]
+                    words.append(sum(n for n in counts if n >= passage_words))
                 span = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary()), pa.array(text, pa.string())], names=["doc_id", "spans", "kept", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary()), pa.array(text, pa.string()), pa.array(words, pa.int64())], names=["doc_id", "spans", "kept", "text", "passage_words"])
 
-        return texts.mapInArrow(cut, "doc_id bigint, spans array<struct<s:bigint,e:bigint>>, kept binary, text string")
+        return texts.mapInArrow(cut, "doc_id bigint, spans array<struct<s:bigint,e:bigint>>, kept binary, text string, passage_words bigint")
 
     def _spans_by_doc(self) -> DataFrame:
-        return self.covered.groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("found"))
+        return self.covered.groupBy("doc").agg(F.collect_list(F.struct("s", "e", "n")).alias("found"))
 
     def _with_copies(self) -> DataFrame:
         copies = self.copies.select(F.col("sha").alias("_sha"))
-        return self.signed.join(copies, self.signed["sha"] == copies["_sha"], "left").select("doc_id", "n_bytes", "sha", F.col("_sha").isNotNull().alias("copied"))
+        return self.signed.join(copies, self.signed["sha"] == copies["_sha"], "left").select(*self.signed.columns, F.col("_sha").isNotNull().alias("copied"))
 
     def digests(self) -> DataFrame:
-        """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row; only searched texts are read again."""
+        """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row; only searched texts are read again.
+
+        With ``passages`` also ``n_passage_words``: words in its runs; a text that is there more than once is one run.
+        """
         spans = self._spans_by_doc()
         every = self._with_copies()
         once = every.where(~F.col("copied")).select(F.col("doc_id").alias("once"))
         cut = self.searched.join(spans, self.searched["doc_id"] == spans["doc"]).join(once, F.col("doc_id") == F.col("once"), "left_semi").select("doc_id", "raw", "found")
-        cut = self._cut(cut).select(F.col("doc_id").alias("doc"), F.length("kept").cast("bigint").alias("left"), F.size("spans").cast("bigint").alias("n"), F.sha2("kept", 256).alias("hex"))
+        cut = self._cut(cut).select(F.col("doc_id").alias("doc"), F.length("kept").cast("bigint").alias("left"), F.size("spans").cast("bigint").alias("n"), F.sha2("kept", 256).alias("hex"), "passage_words")
         df = every.join(cut, every["doc_id"] == cut["doc"], "left")
-        zero, copied = F.lit(0).cast("bigint"), F.col("copied")
+        zero, copied = F.lit(0).cast("bigint"), F.col("copied") & (F.col("n_bytes") >= self.length)
+        more = []
+        if self.passages:
+            whole = F.when(F.col("n_words") >= self.passages[1], F.col("n_words")).otherwise(zero)
+            more = [F.when(F.col("copied"), whole).otherwise(F.coalesce("passage_words", zero)).alias("n_passage_words")]
         df = df.select(
             "doc_id",
             "n_bytes",
             F.when(copied, F.col("n_bytes")).otherwise(F.coalesce(F.col("n_bytes") - F.col("left"), zero)).alias("n_removed"),
             F.when(copied, F.lit(1).cast("bigint")).otherwise(F.coalesce("n", zero)).alias("n_spans"),
             F.when(copied, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("hex", F.lower(F.hex("sha")))).alias("kept_sha256"),
+            *more,
         )
         return self._given(df)
 
@@ -447,7 +471,7 @@ class RepeatedPassages:
         spans = self._spans_by_doc()
         every = self._with_copies()
         whole = F.array(F.struct(F.lit(0).cast("bigint").alias("s"), F.col("n_bytes").alias("e")))
-        copied = every.where("copied").select("doc_id", "sha", whole.alias("spans"), F.lit("").cast("binary").alias("kept"), F.lit("").alias("text"))
+        copied = every.where(F.col("copied") & (F.col("n_bytes") >= self.length)).select("doc_id", "sha", whole.alias("spans"), F.lit("").cast("binary").alias("kept"), F.lit("").alias("text"))
         if self.min_words:
             enough = self.docs.where(F.size(F.array_remove(F.split(F.col("raw").cast("string"), SPACE), "")) >= self.min_words).select("doc_id")
             copied = copied.join(enough, "doc_id", "left_semi")

@@ -127,6 +127,21 @@ def test_suffix_dedup_of_short_runs_by_words(spark):
     assert all(hashlib.sha256(r.kept).hexdigest() == want[d][3] for d, r in texts.items())
 
 
+@pytest.mark.parametrize("bound", [20_000, 4])
+def test_suffix_dedup_with_passages_equals_brute_force(spark, bound):
+    """One search gives both what 400-byte strings cover and the words that 200-byte strings of over 50 words cover."""
+    docs = brute.corpus(12)
+    short = " ".join([w for w in brute.prose(random.Random(6), 400).split() if len(w) <= 6][:55])  # more than 50 words, fewer than 400 bytes
+    assert 200 <= len(short.encode()) < 400
+    docs += [(9000 + i, brute.prose(random.Random(60 + i), 80) + " " + short + " " + brute.prose(random.Random(70 + i), 80)) for i in range(3)] + [(9100, short), (9101, short)]
+    found = suffix_dedup.RepeatedPassages(spark, frame(spark, docs), passages=(200, 51), group_bound=bound)
+    rows = {r.doc_id: r for r in found.digests().collect()}
+    assert {d: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for d, r in rows.items()} == brute.repeats(docs)
+    want = brute.repeats(docs, 200, 51)
+    assert {d for d, r in rows.items() if r.n_passage_words} == {d for d, x in want.items() if x[1]}
+    assert all(r.n_passage_words >= 51 for d, r in rows.items() if d >= 9000)
+
+
 def test_suffix_dedup_of_rows_without_or_with_the_same_id(spark):
     """Every row is a place of its own."""
     docs = brute.corpus(4)[:60]
