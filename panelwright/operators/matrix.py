@@ -6,9 +6,12 @@ Matrices are long and hold ``a <= b``.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from panelwright.functions.scalars import EPSILON, safe_ratio
@@ -196,15 +199,19 @@ def agglomerate(distance: np.ndarray, linkage: str) -> list[tuple[int, int, floa
 def hierarchical_clusters(distances: DataFrame, *, key: str = "method", cut: float = 0.5, linkage: str | None = None) -> DataFrame:
     """``key, symbol, cluster_id`` by ``linkage``, or by the one that the key names; clusters are numbered by their first member.
 
-    A grouped dense job: one key holds one universe's pairs, which the caller bounds.
+    A grouped dense job: one key holds one universe's pairs, which the caller bounds. A key with a pair whose distance is not
+    known gives no row: an unknown distance is neither near nor far.
     """
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         names = sorted(set(pdf["a"]) | set(pdf["b"]))
         at = {x: i for i, x in enumerate(names)}
-        m = np.zeros((len(names), len(names)))
+        m = np.full((len(names), len(names)), np.nan)
+        np.fill_diagonal(m, 0)
         for a, b, c in zip(pdf["a"], pdf["b"], pdf["distance"], strict=True):
             m[at[a], at[b]] = m[at[b], at[a]] = c
+        if np.isnan(m).any():
+            return pd.DataFrame({key: pd.Series(dtype=object), "symbol": pd.Series(dtype=object), "cluster_id": pd.Series(dtype="int64")})
         groups = {i: [i] for i in range(len(names))}
         for node, (a, b, dist, _) in enumerate(agglomerate(m, linkage or pdf[key].iloc[0]), len(names)):
             if dist <= cut and a in groups and b in groups:
@@ -212,7 +219,7 @@ def hierarchical_clusters(distances: DataFrame, *, key: str = "method", cut: flo
         ordered = sorted(sorted(names[i] for i in g) for g in groups.values())
         return pd.DataFrame([{key: pdf[key].iloc[0], "symbol": s, "cluster_id": k} for k, g in enumerate(ordered) for s in g])
 
-    return distances.where("distance is not null").select(key, "a", "b", "distance").groupBy(key).applyInPandas(solve, f"{key} string, symbol string, cluster_id bigint")
+    return distances.select(key, "a", "b", "distance").groupBy(key).applyInPandas(solve, f"{key} string, symbol string, cluster_id bigint")
 
 
 def cluster_summary(correlation: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -225,11 +232,11 @@ def cluster_summary(correlation: DataFrame, clusters: DataFrame) -> DataFrame:
 def bootstrap_index(spark, n: int, *, block: int = 4, replicates: int = 200, seed: int = 7) -> DataFrame:
     """``replicate, step, pos``: circular block bootstrap of ``n`` positions; block starts are hashes of seed, replicate and block."""
     blocks = -(-n // block)
-    base = spark.range(replicates).select(F.col("id").alias("replicate")).withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    start = F.pmod(F.xxhash64(F.lit(seed), "replicate", "blk"), F.lit(n))
+    base = spark.range(replicates if n else 0).select(F.col("id").alias("replicate")).withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(max(blocks - 1, 0)))))
+    start = F.pmod(F.xxhash64(F.lit(seed), "replicate", "blk"), F.lit(max(n, 1)))
     steps = base.withColumn("start", start).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(block - 1))))
     step = (F.col("blk") * block + F.col("k")).cast("bigint")
-    return steps.select("replicate", step.alias("step"), F.pmod(F.col("start") + F.col("k"), F.lit(n)).cast("bigint").alias("pos")).where(F.col("step") < n)
+    return steps.select("replicate", step.alias("step"), F.pmod(F.col("start") + F.col("k"), F.lit(max(n, 1))).cast("bigint").alias("pos")).where(F.col("step") < n)
 
 
 def bootstrap_pair_corr(returns: DataFrame, index: DataFrame) -> DataFrame:
@@ -245,16 +252,70 @@ def pair_stability(boot: DataFrame, threshold: float = 0.5) -> DataFrame:
     return boot.groupBy("a", "b").agg(F.avg((F.col("rho") >= threshold).cast("double")).alias("stability"), F.count("rho").alias("n"))
 
 
-def redundancy_verdict(evidence: DataFrame, *, high: float = 0.85, medium: float = 0.65) -> DataFrame:
-    """``verdict``: HIGH, MEDIUM, LOW or UNCERTAIN from structural, medium, downside and stress correlations; nulls are never zero."""
-    known = sum((F.col(c).isNotNull().cast("int") for c in ("structural", "medium", "downside", "stress")), F.lit(0))
-    strong = sum((F.coalesce(F.col(c) >= high, F.lit(False)).cast("int") for c in ("structural", "medium", "downside", "stress")), F.lit(0))
-    some = F.greatest(*[F.col(c) for c in ("structural", "medium", "downside", "stress")])
-    verdict = F.when(F.col("structural").isNull() | (known < 2), "UNCERTAIN").when((strong >= 2) & F.col("same_cluster"), "HIGH").when(some >= medium, "MEDIUM").otherwise("LOW")
-    confidence = F.when(known == 4, "HIGH").when(known >= 3, "MEDIUM").otherwise("LOW")
+#: Least (for LOW: greatest) evidence of each verdict, and least windows and replicates of each confidence.
+HIGH_EVIDENCE = {"structural": 0.80, "bootstrap": 0.75, "window_share": 2 / 3, "medium": 0.70}
+MEDIUM_EVIDENCE = {"structural": 0.65, "bootstrap": 0.60}
+SUPPORT = {"medium": 0.60, "downside": 0.65, "stress": 0.65, "factor": 0.65}
+LOW_EVIDENCE = {"structural": 0.35, "bootstrap": 0.35}
+CONFIDENCE = {"HIGH": {"n_windows": 3, "n_replicates": 190}, "MEDIUM": {"n_windows": 2, "n_replicates": 160}}
+
+
+def _at_least(bounds: dict[str, float]) -> list[Column]:
+    return [F.coalesce(F.col(c) >= bound, F.lit(False)) for c, bound in bounds.items()]
+
+
+def redundancy_verdict(evidence: DataFrame) -> DataFrame:
+    """``verdict`` (HIGH, MEDIUM, LOW, UNCERTAIN) and ``confidence`` of pairs; what is not known speaks neither for nor against.
+
+    ``evidence``: as from ``pair_evidence``. HIGH needs all of ``HIGH_EVIDENCE`` and one cluster by both linkages. MEDIUM needs
+    ``MEDIUM_EVIDENCE``, one average-linkage cluster and any one ``SUPPORT``, of which the factor model's counts only for eligible
+    pairs. LOW is a finding of its own, not the rest: weak correlation, apart in clusters and in replicates.
+    """
+    needed = F.col("structural").isNotNull() & F.col("bootstrap").isNotNull() & F.col("same_average").isNotNull()
+    both = F.col("same_average") & F.coalesce("same_complete", F.lit(False))
+    support = [c & F.coalesce("factor_eligible", F.lit(False)) if name == "factor" else c for name, c in zip(SUPPORT, _at_least(SUPPORT), strict=True)]
+    weak = [F.col(c) <= bound for c, bound in LOW_EVIDENCE.items()]
+    verdict = (
+        F.when(~needed, "UNCERTAIN")
+        .when(reduce(and_, _at_least(HIGH_EVIDENCE), both), "HIGH")
+        .when(reduce(and_, _at_least(MEDIUM_EVIDENCE), F.col("same_average")) & reduce(or_, support), "MEDIUM")
+        .when(reduce(and_, weak, ~F.col("same_average")), "LOW")
+        .otherwise("UNCERTAIN")
+    )
+    valid = F.col("structural").isNotNull() & F.col("medium").isNotNull()
+    confidence = F.lit("LOW")
+    for name, bounds in reversed(CONFIDENCE.items()):
+        confidence = F.when(reduce(and_, _at_least(bounds), valid), name).otherwise(confidence)
     return evidence.withColumns({"verdict": verdict, "confidence": confidence})
 
 
+def same_cluster(clusters: DataFrame) -> DataFrame:
+    """``a, b, same_average, same_complete`` from ``method, symbol, cluster_id``."""
+    c = clusters.select("method", "symbol", "cluster_id")
+    x, y = c.withColumnsRenamed({"symbol": "a", "cluster_id": "_a"}), c.withColumnsRenamed({"symbol": "b", "cluster_id": "_b"})
+    same = {m: F.max(F.when(F.col("method") == m, F.col("_a") == F.col("_b"))).alias(f"same_{m}") for m in ("average", "complete")}
+    return x.join(y, "method").where("a < b").groupBy("a", "b").agg(*same.values())
+
+
+def pair_evidence(correlations: dict[str, DataFrame], clusters: DataFrame, bootstrap: DataFrame, windows: DataFrame, factor: DataFrame, eligible: DataFrame) -> DataFrame:
+    """All that is known about each pair of the ``structural`` correlations.
+
+    ``correlations``: ``structural``, ``medium``, ``downside`` and ``stress`` with ``a, b, rho``; ``clusters``: by both linkages;
+    ``bootstrap``, ``windows``: from ``cocluster_share``; ``factor``: ``a, b, rho`` that a factor model implies; ``eligible``: the
+    symbols whose exposures may be used.
+    """
+    df = correlations["structural"].select("a", "b", F.col("rho").alias("structural"))
+    for name in ("medium", "downside", "stress"):
+        df = df.join(correlations[name].select("a", "b", F.col("rho").alias(name)), ["a", "b"], "left")
+    df = df.join(factor.select("a", "b", F.col("rho").alias("factor")), ["a", "b"], "left").join(same_cluster(clusters), ["a", "b"], "left")
+    df = df.join(bootstrap.select("a", "b", F.col("share").alias("bootstrap"), F.col("n").alias("n_replicates")), ["a", "b"], "left")
+    df = df.join(windows.select("a", "b", F.col("share").alias("window_share"), F.col("n").alias("n_windows")), ["a", "b"], "left")
+    e = eligible.select("symbol").distinct()
+    for c in ("a", "b"):
+        df = df.join(e.select(F.col("symbol").alias(c), F.lit(True).alias(f"_{c}")), c, "left")
+    both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    return df.withColumn("factor_eligible", both).na.fill(0, ["n_replicates", "n_windows"]).drop("_a", "_b")
+
 
 def cocluster_share(clusters: DataFrame, key: str) -> DataFrame:
     """``a, b, share, n``: share of the keys (windows, replicates) in which two symbols have one cluster."""

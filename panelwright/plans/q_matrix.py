@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from panelwright.operators import matrix as X, metrics as M, windows as W
@@ -160,39 +162,69 @@ def bootstrap_index(spark, sf):
 
 @query("a b n", "stability")
 def bootstrap_pair_corr(spark, sf):
-    r = returns(spark, sf)
-    return X.pair_stability(X.bootstrap_pair_corr(r, X.bootstrap_index(spark, r.select("dt").distinct().count(), replicates=50)), 0.2)
+    return X.pair_stability(bootstrapped(spark, sf), 0.2)
 
 
 _EV = f"""
-SELECT a, b, structural, medium, downside, stress, a[-1] = b[-1] AS same_cluster FROM ({_CORR.replace('AS rho', 'AS structural')}) s
+SELECT a, b, structural, medium, downside, stress FROM ({_CORR.replace('AS rho', 'AS structural')}) s
 JOIN (SELECT a AS a1, b AS b1, corr(x, y) AS medium FROM ({_P}) WHERE a < b AND dt IN (SELECT DISTINCT dt FROM ({_C}) ORDER BY dt DESC LIMIT 36) GROUP BY a, b) m ON a = a1 AND b = b1
 JOIN (SELECT a AS a2, b AS b2, CASE WHEN count(*) >= 20 THEN corr(x, y) END AS downside FROM ({_P}) WHERE a < b AND dt IN (SELECT dt FROM x_bret WHERE bret < 0) GROUP BY a, b) d ON a = a2 AND b = b2
 JOIN (SELECT a AS a3, b AS b3, CASE WHEN count(*) >= 9 THEN corr(x, y) END AS stress FROM ({_P}) WHERE a < b AND dt IN (SELECT dt FROM x_bret WHERE bret <= (SELECT quantile_cont(bret, 0.1) FROM x_bret)) GROUP BY a, b) t ON a = a3 AND b = b3
 """
 
 
-@query(
-    "a b verdict confidence",
-    "structural medium downside stress",
-    sql=f"""
-SELECT *, CASE WHEN structural IS NULL OR known < 2 THEN 'UNCERTAIN' WHEN strong >= 2 AND same_cluster THEN 'HIGH' WHEN greatest(structural, medium, downside, stress) >= 0.2 THEN 'MEDIUM' ELSE 'LOW' END AS verdict,
-  CASE WHEN known = 4 THEN 'HIGH' WHEN known >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM (
-  SELECT *, CAST(structural IS NOT NULL AS INTEGER) + CAST(medium IS NOT NULL AS INTEGER) + CAST(downside IS NOT NULL AS INTEGER) + CAST(stress IS NOT NULL AS INTEGER) AS known,
-    CAST(coalesce(structural >= 0.25, false) AS INTEGER) + CAST(coalesce(medium >= 0.25, false) AS INTEGER) + CAST(coalesce(downside >= 0.25, false) AS INTEGER) + CAST(coalesce(stress >= 0.25, false) AS INTEGER) AS strong FROM ({_EV}))""",
-)
-def redundancy_verdict(spark, sf):
-    return X.redundancy_verdict(evidence(spark, sf), high=0.25, medium=0.2)
+def correlations(spark, sf):
+    r, b = returns(spark, sf), bench(spark, sf)
+    return {"structural": X.correlations(r), "medium": X.correlation_matrix(r, 36), "downside": X.downside_correlation(r, b), "stress": X.stress_correlation(r, b, least=9)}
+
+
+@query("a b", "structural medium downside stress", sql=_EV)
+def pair_correlations(spark, sf):
+    """The correlations of ``pair_evidence``; an inner join, as all pairs have a row in each."""
+    parts = [df.select("a", "b", F.col("rho").alias(c)) for c, df in correlations(spark, sf).items()]
+    return reduce(lambda x, y: x.join(y, ["a", "b"]), parts)
+
+
+def weekly(spark, sf, weeks=156):
+    """The last complete weekly returns."""
+    r = complete_case(W.daily_returns(A.weekly_levels(spark, sf)).where("ret is not null").select("symbol", "dt", "ret"), "ret")
+    last = r.select("dt").distinct().orderBy(F.desc("dt")).limit(weeks)
+    return r.join(F.broadcast(last), "dt", "left_semi")
+
+
+def window_clusters(spark, sf):
+    r = weekly(spark, sf)
+    d = X.correlation_distance(X.multi_horizon_correlation({f"{n} weeks": (r, n, 52) for n in (52, 104, 156)}))
+    return X.hierarchical_clusters(d, key="horizon", linkage="average")
+
+
+def bootstrapped(spark, sf):
+    r = weekly(spark, sf)
+    return X.bootstrap_pair_corr(r, X.bootstrap_index(spark, r.select("dt").distinct().count()))
+
+
+def bootstrap_clusters(spark, sf):
+    boot = bootstrapped(spark, sf).withColumn("replicate", F.col("replicate").cast("string"))
+    return X.hierarchical_clusters(X.correlation_distance(boot), key="replicate", linkage="average")
 
 
 def evidence(spark, sf):
-    r, b = returns(spark, sf), bench(spark, sf)
-    named = lambda df, c: df.select("a", "b", F.col("rho").alias(c))
-    e = named(X.correlations(r), "structural").join(named(X.correlation_matrix(r, 36), "medium"), ["a", "b"], "left")
-    e = e.join(named(X.downside_correlation(r, b), "downside"), ["a", "b"], "left").join(named(X.stress_correlation(r, b, least=9), "stress"), ["a", "b"], "left")
-    return e.withColumn("same_cluster", F.substring("a", -1, 1) == F.substring("b", -1, 1))
+    from panelwright.plans import q_more
+
+    d = X.correlation_distance(X.correlations(weekly(spark, sf)))
+    groups = X.hierarchical_clusters(d.withColumn("method", F.explode(F.array(F.lit("average"), F.lit("complete")))))
+    boot, windows = X.cocluster_share(bootstrap_clusters(spark, sf), "replicate"), X.cocluster_share(window_clusters(spark, sf), "horizon")
+    return X.pair_evidence(correlations(spark, sf), groups, boot, windows, q_more.implied(spark, sf), q_more.eligibility(spark, sf).where("reason is null"))
 
 
-@query("a b same_cluster", "structural medium downside stress", sql=_EV)
+_EVIDENCE = "structural medium downside stress factor bootstrap window_share"
+
+
+@query("a b same_average same_complete factor_eligible n_windows n_replicates", _EVIDENCE)
 def pair_evidence(spark, sf):
     return evidence(spark, sf)
+
+
+@query("a b verdict confidence", _EVIDENCE)
+def redundancy_verdict(spark, sf):
+    return X.redundancy_verdict(evidence(spark, sf))

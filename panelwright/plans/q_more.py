@@ -188,7 +188,7 @@ def pairs_touching(spark, sf):
 
 @query("confidence n", sql=None)
 def redundancy_confidence(spark, sf):
-    return X.redundancy_verdict(q_matrix.evidence(spark, sf), high=0.25, medium=0.2).groupBy("confidence").agg(F.count(F.lit(1)).alias("n"))
+    return X.redundancy_verdict(q_matrix.evidence(spark, sf)).groupBy("confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("symbol n_daily n_weekly status", sql="SELECT d.symbol, n AS n_daily, m AS n_weekly, CASE WHEN n < 60 OR m < 357 THEN 'insufficient' ELSE 'ready' END AS status FROM (SELECT symbol, count(*) AS n FROM x_daily GROUP BY 1) d JOIN (SELECT symbol, count(*) AS m FROM x_weekly GROUP BY 1) w ON d.symbol = w.symbol")
@@ -200,16 +200,12 @@ def refinery_readiness(spark, sf):
 
 @query("a b n", "share")
 def window_cluster_agreement(spark, sf):
-    r = q_matrix.returns(spark, sf)
-    d = X.correlation_distance(X.multi_horizon_correlation({"short": (r, 24, 6), "medium": (r, 36, 24), "long": (r, 72, 48)}))
-    return X.cocluster_share(X.hierarchical_clusters(d, key="horizon", cut=0.6, linkage="average"), "horizon")
+    return X.cocluster_share(q_matrix.window_clusters(spark, sf), "horizon")
 
 
 @query("a b n", "share")
 def bootstrap_cocluster(spark, sf):
-    r = q_matrix.returns(spark, sf)
-    boot = X.bootstrap_pair_corr(r, X.bootstrap_index(spark, r.select("dt").distinct().count(), replicates=20)).withColumn("replicate", F.col("replicate").cast("string"))
-    return X.cocluster_share(X.hierarchical_clusters(X.correlation_distance(boot), key="replicate", cut=0.6, linkage="average"), "replicate")
+    return X.cocluster_share(q_matrix.bootstrap_clusters(spark, sf), "replicate")
 
 
 def _factor_rows(spark, sf):
@@ -220,6 +216,10 @@ def _factor_rows(spark, sf):
 
 @query("a b", "rho")
 def factor_implied_corr(spark, sf):
+    return implied(spark, sf)
+
+
+def implied(spark, sf):
     rows, names = _factor_rows(spark, sf)
     cov = X.sample_covariance(W.daily_returns(A.kind_levels(spark, sf)).where("ret is not null"))
     return R.factor_implied_corr(R.gram_ols(rows, names), cov, names)
@@ -247,6 +247,10 @@ def style_weights(spark, sf):
 
 @query("symbol reason n", sql="SELECT c.symbol, CASE WHEN NOT is_base THEN 'currency' WHEN n < 80 THEN 'short_history' END AS reason, n FROM x_conv c JOIN (SELECT symbol, count(ret) AS n FROM x_ret GROUP BY 1) r ON r.symbol = c.symbol")
 def factor_eligibility(spark, sf):
+    return eligibility(spark, sf)
+
+
+def eligibility(spark, sf):
     n = W.daily_returns(A.monthly_levels(spark, sf)).groupBy("symbol").agg(F.count("ret").alias("n"))
     j = A.quote_conventions(spark, sf).join(n, "symbol")
     return j.withColumn("reason", F.when(~F.col("is_base"), "currency").when(F.col("n") < 80, "short_history"))
