@@ -174,6 +174,8 @@ def repeated_windows(contexts: list[bytes], offsets: list[int], lengths: tuple[i
             for found, length in zip(every, lengths, strict=True):
                 if len(contexts[i]) >= length:
                     found[i] = found[t] = offsets[i], len(contexts[i]) - offsets[i]
+    if len(first) == 1:
+        return every
     own = list(first.values())
     right: dict[bytes, list[int]] = {}
     for i in own:
@@ -340,21 +342,27 @@ class RepeatedPassages:
         texts = self.docs.join(wanted, "doc_id", "left_semi")
         self.searched = ws.save(by_doc.join(texts, by_doc["doc"] == texts["doc_id"]).select("doc_id", "raw", "anchors"), "searched")
 
+        def anchor_rows(found: pa.ListScalar, hot: bool) -> np.ndarray:
+            """``key, a, lo, hi`` of a text's anchors whose groups are hot, or of those whose groups are not."""
+            fields = found.values
+            of = fields.field("hot").to_numpy(zero_copy_only=False) == hot
+            return np.stack([fields.field(c).to_numpy()[of] for c in ("key", "a", "lo", "hi")])
+
         def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, rows = [], 0
             for batch in batches:
-                keys, docs, at, offsets, around = [], [], [], [], []
-                for doc, raw, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                    body = raw.as_buffer()
-                    for x in found:
-                        if not x["hot"]:
-                            keys.append(x["key"])
-                            docs.append(doc)
-                            at.append(x["a"])
-                            offsets.append(x["a"] - x["lo"])
-                            around.append(body[x["lo"] : x["hi"] + length].to_pybytes())
-                for i in range(0, len(keys), 20_000):
-                    part = slice(i, i + 20_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[part], pa.int64()), pa.array(docs[part], pa.int64()), pa.array(at[part], pa.int64()), pa.array(offsets[part], pa.int32()), pa.array(around[part], pa.binary())], names=["key", "doc", "a", "o", "around"])
+                for doc, raw, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                    x, body = anchor_rows(found, False), memoryview(raw.as_buffer())
+                    for i in range(0, x.shape[1], 20_000):
+                        key, a, lo, hi = x[:, i : i + 20_000]
+                        around = pa.array([body[i:j].tobytes() for i, j in zip(lo.tolist(), (hi + length).tolist(), strict=True)], pa.binary())
+                        held.append(pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), doc)), pa.array(a), pa.array((a - lo).astype(np.int32)), around], names=["key", "doc", "a", "o", "around"]))
+                        rows += len(key)
+                        if rows >= 20_000:
+                            yield pa.concat_batches(held)
+                            held, rows = [], 0
+            if held:
+                yield pa.concat_batches(held)
 
         def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, docs, at, offsets, around = None, [], [], [], []
@@ -384,16 +392,26 @@ class RepeatedPassages:
             if out:
                 yield batch_of()
 
+        def window_batch(held: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(held, axis=1)], names=["one", "two", "doc", "s", "n"])
+
         def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, rows = [], 0
             for batch in batches:
-                for doc, raw, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                    body = np.frombuffer(raw.as_buffer(), dtype=np.uint8)
-                    for x, n in ((x, n) for x in found if x["hot"] for n in lengths):
-                        part = body[x["lo"] : x["hi"] + n]
+                for doc, raw, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                    body, (_, _, begins, ends) = np.frombuffer(raw.as_buffer(), dtype=np.uint8), anchor_rows(found, True)
+                    for lo, hi, n in ((lo, hi, n) for lo, hi in zip(begins.tolist(), ends.tolist(), strict=True) for n in lengths):
+                        part = body[lo : hi + n]
                         if len(part) >= n:
                             one, two = window_hashes(part, n), window_hashes(part ^ np.uint8(0x5A), n)
-                            starts = np.arange(x["lo"], x["lo"] + len(one))
-                            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.full(len(starts), doc)), pa.array(starts), pa.array(np.full(len(starts), n))], names=["one", "two", "doc", "s", "n"])
+                            starts = np.arange(lo, lo + len(one))
+                            held.append(np.stack([one.view(np.int64), two.view(np.int64), np.full(len(starts), doc), starts, np.full(len(starts), n)]))
+                            rows += len(starts)
+                            if rows >= 20_000:
+                                yield window_batch(held)
+                                held, rows = [], 0
+            if held:
+                yield window_batch(held)
 
         near = self.searched.mapInArrow(contexts, "key bigint, doc bigint, a bigint, o int, around binary").repartition(F.col("key")).sortWithinPartitions("key")
         covered = near.mapInArrow(cover, "doc bigint, s bigint, e bigint, n bigint")
