@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from panelwright.operators import walk as K
@@ -13,17 +11,9 @@ from panelwright.sources import adapters as A, files as S
 from panelwright.streaming.ingest import ingest_snapshots as ingest
 
 
-def folder(spark, name: str) -> str:
-    """A new folder below the shared checkpoint folder, or a temporary one where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="panelwright-files-")
-    import uuid
-
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("symbol dt", "close dividends", sql="SELECT symbol, dt, close, dividends FROM x_bars WHERE symbol IN ('Brand#1', 'Brand#7', 'Brand#13') AND dt >= DATE '1997-01-01' AND dt < DATE '1998-01-01'")
 def read_bars(spark, sf):
-    at = folder(spark, "bars")
+    at = S.shared_folder(spark, "bars")
     A.bars(spark, sf).withColumns({"capital_gains": F.lit(0.0), "repaired": F.lit(False)}).write.parquet(at)
     return S.read_bars(spark, at, ["Brand#1", "Brand#7", "Brand#13", "None"], "1997-01-01", "1998-01-01")[0]
 
@@ -49,7 +39,7 @@ def unpivot_bars(spark, sf):
 
 @query("as_of ticker sector", "weight", sql="SELECT DATE '2024-03-05' AS as_of, 'P' || p_partkey AS ticker, p_type AS sector, p_size / 10.0 AS weight FROM part WHERE p_size % 2 = 0")
 def read_holdings_csv(spark, sf):
-    at = folder(spark, "holdings-csv")
+    at = S.shared_folder(spark, "holdings-csv")
     p = A.table(spark, sf, "part")
     row = F.concat_ws(",", F.concat(F.lit('"P'), F.col("p_partkey").cast("string"), F.lit('"')), F.concat(F.lit('"'), "p_name", F.lit('"')), "p_type", F.when(F.col("p_size") % 2 == 0, "Equity").otherwise("Cash"), (F.col("p_size") / 10).cast("string"))
     one = p.groupBy(F.col("p_type")).agg(F.concat(F.lit('Fund Holdings as of,"Mar 5"\nMarch 5, 2024\n\nTicker,Name,Sector,Asset Class,Weight (%)\n'), F.array_join(F.collect_list(row), "\n")).alias("value"))
@@ -59,7 +49,7 @@ def read_holdings_csv(spark, sf):
 
 @query("ticker name", "weight", sql="SELECT 'P' || p_partkey AS ticker, p_name AS name, p_size * 1.0 AS weight FROM part WHERE p_type <> 'SMALL' OR p_size % 2 = 0")
 def read_holdings_json(spark, sf):
-    at = folder(spark, "holdings-json")
+    at = S.shared_folder(spark, "holdings-json")
     p = A.table(spark, sf, "part").select("p_type", F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("ticker"), F.col("p_name").alias("name"), F.col("p_size").cast("double").alias("weight"), F.when(F.col("p_size") % 2 == 0, "COM").otherwise("CASH").alias("type"))
     g = p.groupBy("p_type").agg(F.collect_list(F.struct("ticker", "name", "weight", "type")).alias("items"))
     table = F.to_json(F.struct(F.transform("items", lambda x: F.array(x["ticker"], x["name"], x["weight"].cast("string"))).alias("aaData"), F.size("items").alias("count")))
@@ -70,7 +60,7 @@ def read_holdings_json(spark, sf):
 
 @query("ticker sector", "market_cap trailing_pe", sql="SELECT ticker, sector, market_cap, trailing_pe FROM x_fund")
 def read_fundamentals(spark, sf):
-    at = folder(spark, "fundamentals")
+    at = S.shared_folder(spark, "fundamentals")
     f = A.fundamentals(spark, sf).select("ticker", "name", "sector", "industry", F.concat(F.lit("$"), F.col("market_cap").cast("string")).alias("market_cap"), F.coalesce(F.col("trailing_pe").cast("string"), F.lit("N/A")).alias("trailing_pe"))
     f.groupBy("sector").agg(F.to_json(F.struct(F.collect_list(F.struct(*f.columns)).alias("data"))).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(at)
     return S.read_fundamentals(spark, at, least=100)
@@ -100,7 +90,7 @@ def read_macro_series(spark, sf):
 
 @query("universe_id source_as_of member_count", sql="SELECT universe_id, source_as_of, count(*) AS member_count FROM x_snap GROUP BY 1, 2")
 def write_snapshot_archive(spark, sf):
-    at = folder(spark, "archive")
+    at = S.shared_folder(spark, "archive")
     staged = q_screen.lists(spark, sf).withColumn("version", F.date_format("fetched_date", "yyyyMMdd"))
     S.write_snapshot_archive(staged, at)
     S.write_snapshot_archive(staged, at, spark.read.parquet(at))  # once more: nothing is added
@@ -117,7 +107,7 @@ def export_scan_csv(spark, sf):
 
 @query("start_dt end_dt n_symbols n_rows", sql="SELECT min(dt) AS start_dt, max(dt) AS end_dt, count(DISTINCT symbol) AS n_symbols, count(*) AS n_rows FROM x_daily")
 def write_prepared_panel(spark, sf):
-    at = folder(spark, "panel")
+    at = S.shared_folder(spark, "panel")
     A.daily_levels(spark, sf).write.parquet(at)
     return S.prepared_panel_manifest(spark.read.parquet(at))
 
@@ -134,7 +124,7 @@ def list_research_runs(spark, sf):
 
 @query("library_id n", sql="SELECT o_orderpriority AS library_id, count(*) AS n FROM orders GROUP BY 1")
 def append_research_run(spark, sf):
-    at = folder(spark, "runs")
+    at = S.shared_folder(spark, "runs")
     S.append_research_run(_runs(spark, sf), at)
     return spark.read.parquet(at).groupBy("library_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -146,7 +136,7 @@ def get_research_run(spark, sf):
 
 @query("universe_id source_as_of", sql="SELECT universe_id, source_as_of FROM x_snap GROUP BY 1, 2 HAVING count(*) BETWEEN 20 AND 1000 AND source_as_of <= DATE '2001-05-03'")
 def ingest_snapshots(spark, sf):
-    at = folder(spark, "stream")
+    at = S.shared_folder(spark, "stream")
     cols = ["universe_id", "source_as_of", "fetched_date", "is_proxy", "members", "member_count", "checksum"]
     q_screen.lists(spark, sf).select(cols).write.parquet(f"{at}/landing")
     ingest(spark, f"{at}/landing", f"{at}/archive", f"{at}/rejects", f"{at}/checkpoint", "2001-05-01", low=20, most_turnover=1.0)

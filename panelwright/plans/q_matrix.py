@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from panelwright.operators import matrix as X, metrics as M, windows as W
 from panelwright.operators.clean import complete_case
 from panelwright.plans.registry import query
-from panelwright.sources import adapters as A
+from panelwright.sources import adapters as A, files as S
 
 _C = "SELECT symbol, dt, ret FROM x_ret WHERE ret IS NOT NULL AND dt IN (SELECT dt FROM x_ret WHERE ret IS NOT NULL GROUP BY dt HAVING count(*) = (SELECT count(DISTINCT symbol) FROM x_ret WHERE ret IS NOT NULL))"
 _P = f"SELECT p.symbol AS a, q.symbol AS b, p.dt, p.ret AS x, q.ret AS y FROM ({_C}) p JOIN ({_C}) q ON p.dt = q.dt"
@@ -162,7 +162,7 @@ def bootstrap_index(spark, sf):
 
 @query("a b n", "stability")
 def bootstrap_pair_corr(spark, sf):
-    return X.pair_stability(bootstrapped(spark, sf), 0.2)
+    return X.pair_stability(bootstrapped(spark, weekly(spark, sf)), 0.2)
 
 
 _EV = f"""
@@ -174,7 +174,7 @@ JOIN (SELECT a AS a3, b AS b3, CASE WHEN count(*) >= 9 THEN corr(x, y) END AS st
 
 
 def correlations(spark, sf):
-    r, b = returns(spark, sf), bench(spark, sf)
+    r, b = S.landed(spark, returns(spark, sf), "monthly"), S.landed(spark, bench(spark, sf), "benchmark")
     return {"structural": X.correlations(r), "medium": X.correlation_matrix(r, 36), "downside": X.downside_correlation(r, b), "stress": X.stress_correlation(r, b, least=9)}
 
 
@@ -186,35 +186,37 @@ def pair_correlations(spark, sf):
 
 
 def weekly(spark, sf, weeks=156):
-    """The last complete weekly returns."""
+    """The last complete weekly returns, landed once for the windows and replicates made of them."""
     r = complete_case(W.daily_returns(A.weekly_levels(spark, sf)).where("ret is not null").select("symbol", "dt", "ret"), "ret")
     last = r.select("dt").distinct().orderBy(F.desc("dt")).limit(weeks)
-    return r.join(F.broadcast(last), "dt", "left_semi")
+    return S.landed(spark, r.join(F.broadcast(last), "dt", "left_semi"), "weekly")
 
 
-def window_clusters(spark, sf):
-    r = weekly(spark, sf)
+def window_clusters(r):
     d = X.correlation_distance(X.multi_horizon_correlation({f"{n} weeks": (r, n, 52) for n in (52, 104, 156)}))
     return X.hierarchical_clusters(d, key="horizon", linkage="average")
 
 
-def bootstrapped(spark, sf):
-    r = weekly(spark, sf)
+def bootstrapped(spark, r):
     return X.bootstrap_pair_corr(r, X.bootstrap_index(spark, r.select("dt").distinct().count()))
 
 
-def bootstrap_clusters(spark, sf):
-    boot = bootstrapped(spark, sf).withColumn("replicate", F.col("replicate").cast("string"))
+def bootstrap_clusters(spark, r):
+    boot = bootstrapped(spark, r).withColumn("replicate", F.col("replicate").cast("string"))
     return X.hierarchical_clusters(X.correlation_distance(boot), key="replicate", linkage="average")
 
 
 def evidence(spark, sf):
+    """The evidence of all pairs. What rests on many scans or replicates is landed, so that no plan holds more than a few of them."""
     from panelwright.plans import q_more
 
-    d = X.correlation_distance(X.correlations(weekly(spark, sf)))
+    r = weekly(spark, sf)
+    d = X.correlation_distance(X.correlations(r))
     groups = X.hierarchical_clusters(d.withColumn("method", F.explode(F.array(F.lit("average"), F.lit("complete")))))
-    boot, windows = X.cocluster_share(bootstrap_clusters(spark, sf), "replicate"), X.cocluster_share(window_clusters(spark, sf), "horizon")
-    return X.pair_evidence(correlations(spark, sf), groups, boot, windows, q_more.implied(spark, sf), q_more.eligibility(spark, sf).where("reason is null"))
+    boot = S.landed(spark, X.cocluster_share(bootstrap_clusters(spark, r), "replicate"), "replicates")
+    windows = S.landed(spark, X.cocluster_share(window_clusters(r), "horizon"), "windows")
+    implied = S.landed(spark, q_more.implied(spark, sf), "implied")
+    return X.pair_evidence(correlations(spark, sf), S.landed(spark, groups, "clusters"), boot, windows, implied, q_more.eligibility(spark, sf).where("reason is null"))
 
 
 _EVIDENCE = "structural medium downside stress factor bootstrap window_share"

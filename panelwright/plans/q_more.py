@@ -200,12 +200,12 @@ def refinery_readiness(spark, sf):
 
 @query("a b n", "share")
 def window_cluster_agreement(spark, sf):
-    return X.cocluster_share(q_matrix.window_clusters(spark, sf), "horizon")
+    return X.cocluster_share(q_matrix.window_clusters(q_matrix.weekly(spark, sf)), "horizon")
 
 
 @query("a b n", "share")
 def bootstrap_cocluster(spark, sf):
-    return X.cocluster_share(q_matrix.bootstrap_clusters(spark, sf), "replicate")
+    return X.cocluster_share(q_matrix.bootstrap_clusters(spark, q_matrix.weekly(spark, sf)), "replicate")
 
 
 def _factor_rows(spark, sf):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
@@ -10,6 +13,21 @@ from panelwright.functions.scalars import optional_number, source_date
 BARS = "symbol string, dt date, open double, high double, low double, close double, adj_close double, dividends double, splits double, capital_gains double, repaired boolean"
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``; a temporary one only in local mode, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(root or tempfile.mkdtemp(prefix='panelwright-files-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def landed(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that what uses it more than once scans its sources once."""
+    at = shared_folder(spark, name)
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
 def read_bars(spark: SparkSession, path: str, symbols: list[str], start: str, end_exclusive: str, *, form: str = "parquet") -> tuple[DataFrame, DataFrame]:
     """Bars of the requested symbols and dates, and ``symbol, status`` of every request; the filter reaches the scan."""
     df = spark.read.schema(BARS).format(form).options(**({"header": "true"} if form == "csv" else {})).load(path)
