@@ -151,10 +151,12 @@ class LoserTree:
                 node //= 2
 
 
-def merge_index(index: DataFrame) -> DataFrame:
+def merge_index(index: DataFrame, *, rows_per_range: int = 100_000) -> DataFrame:
     """The index in global order: ``range_id`` (ascending) and ``range_position`` order all captures by key, time and page.
 
-    Nulls go first in each column. Equal rows of two runs keep the runs' order.
+    A task holds the runs' parts of one range. Their number grows with the index, so a range has about ``rows_per_range`` captures at
+    any size (the cuts come from Spark's sample of the keys; a URL with more captures spans several). Nulls go first in each column.
+    Equal rows of two runs keep the runs' order.
     """
     names = [x.split()[0] for x in INDEX.split(", ")]
     kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64())
@@ -174,7 +176,8 @@ def merge_index(index: DataFrame) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[*names, "range_id", "range_position"])
 
-    ranged = index.repartitionByRange("url_key", "fetched_at", "page_id").sortWithinPartitions("run", "url_key", "fetched_at", "page_id", "at")
+    ranges = max(1, -(-index.count() // rows_per_range))
+    ranged = index.repartitionByRange(ranges, "url_key", "fetched_at", "page_id").sortWithinPartitions("run", "url_key", "fetched_at", "page_id", "at")
     return ranged.mapInArrow(merge, f"{INDEX}, range_id int, range_position bigint")
 
 
