@@ -103,7 +103,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, max_positive
     """The averaged model and the class prior, from rows that are not held out.
 
     Bounds: at most ``max_positive`` confirmed toxic and ``max_unlabelled`` other texts, those of least ``xxhash64(doc_id)``.
-    The prior is the toxic share of all training labels. The decision point is set on the sampled training labels.
+    The prior is the toxic share of all training labels. The decision point is set
+    on the same positives and unlabelled texts; no negative label is read.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = known.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("p")).first()
@@ -135,29 +136,29 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, max_positive
     to = np.full(DIMENSIONS, -1)
     to[kept] = np.arange(len(kept))
     small = lambda x: to[x][to[x] >= 0]
-    short = [small(x) for x in every]
     fitted = [train_nnpu([small(x) for x in positive], [small(x) for x in mixed], prior, len(kept), seed=s) for s in range(models)]
     weights = np.mean([x.weights for x in fitted], axis=0)
     bias = float(np.mean([x.bias for x in fitted]))
-    judged = [(float(weights[x].sum()), t) for x, t in zip(short, toxic, strict=True) if t >= 0]
+    sums = lambda rows: np.array([weights[small(x)].sum() for x in rows])
     out = np.zeros(DIMENSIONS)
     out[kept] = weights
-    return Model(out, _decision_bias(judged, bias)), prior
+    return Model(out, _decision_bias(sums(positive), sums(mixed), prior, bias)), prior
 
 
-def _decision_bias(judged: list[tuple[float, int]], bias: float) -> float:
-    """The bias with the best F1 on labelled training rows; the middle of the best range, the learned bias where it is as good."""
-    z, t = np.array([x for x, _ in judged]), np.array([y for _, y in judged])
-    if len(set(t)) < 2:
-        return bias
-    f1 = lambda b: 2 * ((z + b >= 0) & (t == 1)).sum() / max(1, (z + b >= 0).sum() + (t == 1).sum())
-    cuts = np.unique(z)
+def _decision_bias(positive: np.ndarray, unlabelled: np.ndarray, prior: float, bias: float) -> float:
+    """The bias that is best by what positives and unlabelled rows alone can tell: ``recall ** 2 / share predicted``.
+
+    That ratio is proportional to precision times recall, whose negatives are unknown. The share is at least that of the positives
+    found, ``prior * recall``. The learned bias stays where it is as good; else the middle of the best range is taken.
+    """
+    cuts = np.unique(np.append(positive, unlabelled))
     tries = np.append(-(cuts[1:] + cuts[:-1]) / 2, bias)
-    if len(tries) > 4000:
-        tries = np.append(-np.quantile(z, np.linspace(0, 1, 3001)), bias)
-    value = np.array([f1(b) for b in tries])
-    best = tries[value >= value.max() - 1e-12]
-    return bias if f1(bias) >= value.max() - 1e-12 else float(np.median(best))
+    p, u = np.sort(positive), np.sort(unlabelled)
+    above = lambda z: 1 - np.searchsorted(z, -tries) / len(z)
+    recall, share = above(p), above(u)
+    value = np.where(recall > 0, recall**2 / np.maximum(np.maximum(share, prior * recall), 1e-12), 0.0)
+    best = value >= value.max() - 1e-12
+    return bias if best[-1] else float(np.median(tries[best]))
 
 
 def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
