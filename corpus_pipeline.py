@@ -38,8 +38,10 @@ def _operand(docs: DataFrame) -> DataFrame:
     return _by_id(docs).select("doc_id", *[F.col("row").getField(c).alias(c) for c in ("text", "lang", "source")])
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return _by_id(docs).join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select("row.*")
+def _without(docs: DataFrame, ids: DataFrame, ids_at_once: int = 1_000_000) -> DataFrame:
+    """``docs`` without these ids. So many ids at most (eight bytes each) are broadcast to the texts; more are joined by a shuffle."""
+    gone = decontamination.small(ids.select("doc_id").distinct(), ids_at_once)
+    return _by_id(docs).join(gone, "doc_id", "left_anti").select("row.*")
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
