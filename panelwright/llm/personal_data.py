@@ -32,8 +32,8 @@ STRING = rf"(?<![^{EDGE}])(?:[+(]*+[0-9](?:[\x20()./-]{{0,2}}[0-9])*+(?![^{EDGE}
 #: What an unknown string must look like to be taken as of a kind (digits alone are counted besides).
 SHAPES = {
     "email": r"^[^@]+@[^@]+$",
-    "ip": r"^[0-9]+(\.[0-9]+){3}$",
-    "card": r"^[0-9]([\x20-]?[0-9])+$",
+    "ip": r"^[0-9]++(?:\.[0-9]++){3}$",
+    "card": r"^[0-9](?:[\x20-]?[0-9])++$",
     "phone": r"^[+(]*[0-9][\x20()./0-9-]*[0-9]$",
 }
 DIGITS = {"card": (12, 19), "phone": (7, 15)}
