@@ -85,22 +85,31 @@ def scan_summary(rows: DataFrame) -> DataFrame:
 
 
 def sort_page(rows: DataFrame, by: Column, page: int, size: int, *, tie: str = "symbol") -> DataFrame:
-    """``position`` and the rows of one page; nulls last, ties by ``tie``."""
-    n = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(by.desc_nulls_last(), tie)).cast("bigint")
-    return rows.withColumn("position", n).where(F.col("position").between(page * size + 1, (page + 1) * size))
-
-
-def retention_plan(rows: DataFrame, n: int, *, primary: str, secondary: tuple[str, ...], key: str, seed: int = 1) -> DataFrame:
-    """``n`` rows and why each stays: 60% best by ``primary``, 5% by each secondary score, 10% by hash, the rest by ``primary``."""
-    every = Window.partitionBy(F.lit(0))
-    place = lambda order: F.row_number().over(every.orderBy(order, key))
-    quota = {"primary": int(n * 0.6), **{c: int(n * 0.05) for c in secondary}, "diversity": int(n * 0.1)}
-    df = rows.withColumns({"_primary": place(F.col(primary).desc_nulls_last()), **{f"_{c}": place(F.col(c).desc_nulls_last()) for c in secondary}, "_diversity": place(F.xxhash64(F.lit(seed), key))})
-    code = F.lit(None).cast("string")
-    priority = F.lit(99)
-    for i, (name, q) in reversed(list(enumerate(quota.items()))):
-        hit = F.col(f"_{name}") <= q
-        code, priority = F.when(hit, name).otherwise(code), F.when(hit, i).otherwise(priority)
-    df = df.withColumns({"_p": priority, "reason": F.coalesce(code, F.lit("refill"))})
-    order = F.row_number().over(every.orderBy("_p", "_primary"))
-    return df.withColumn("_n", order).where(F.col("_n") <= n).select(*rows.columns, "reason")
+    """``position`` and the rows of one page; nulls last, ties by ``tie``. Tasks keep the rows up to the page's end, which are merged."""
+    order = [by.desc_nulls_last(), F.col(tie)]
+    first = rows.orderBy(*order).limit((page + 1) * size)
+    n = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("bigint")
+    return first.withColumn("position", n).where(F.col("position") > page * size)
+
+
+def retention_plan(rows: DataFrame, n: int, *, primary: Column, secondary: dict[str, Column], key: str, seed: int = 1, primary_share: float = 0.6, secondary_share: float = 0.3) -> DataFrame:
+    """``n`` rows and the ``reason`` why each stays: the best by ``primary``, equal numbers of the best by each secondary score, a part by hash.
+
+    Shares are rounded down and the hash takes what they leave. A row is kept for the first list that holds it; the places
+    which that frees go to the next best by ``primary``. Nulls come last, ties go to the smaller ``key``. Each list is a bounded
+    top-k merge of the tasks' best rows, so no task sorts all rows.
+    """
+    best, each = int(n * primary_share), int(n * secondary_share) // max(len(secondary), 1)
+    spread = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    lists = [("primary", [primary.desc_nulls_last()], best), *[(r, [c.desc_nulls_last()], each) for r, c in secondary.items()], ("diversity", [spread], n - best - each * len(secondary)), ("primary", [primary.desc_nulls_last()], n)]
+
+    def listed(i: int) -> DataFrame:
+        reason, order, most = lists[i]
+        top = rows.orderBy(*order, key).limit(most)
+        return top.select("*", F.lit(reason).alias("reason"), F.lit(i).alias("_list"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order, key)).alias("_n"))
+
+    every = listed(0)
+    for i in range(1, len(lists)):
+        every = every.union(listed(i))
+    first = F.row_number().over(Window.partitionBy(key).orderBy("_list"))
+    return every.withColumn("_first", first).where("_first = 1").orderBy("_list", "_n").limit(n).select(*rows.columns, "reason")

@@ -49,6 +49,11 @@ def inner_folds(periods: DataFrame, folds: int, lookback: int) -> DataFrame:
     return f.where((F.col("inner_start") >= F.col("train_start")) & (F.col("eval_end") <= F.col("train_end"))).select("period_id", "fold", "inner_start", F.date_sub("eval_start", 1).alias("inner_end"), "eval_start", "eval_end")
 
 
+def tuning_training_start(periods: DataFrame, folds: int, lookback: int) -> DataFrame:
+    """``period_id, inner_start``: where training must begin to serve the newest ``folds`` months with ``lookback`` months before each."""
+    return periods.select("period_id", F.add_months(F.trunc("train_end", "MONTH"), 1 - folds - lookback).alias("inner_start"))
+
+
 def slice_panel(levels: DataFrame, periods: DataFrame, start: str, end: str) -> DataFrame:
     """``period_id`` and the panel's rows inside each period's span: one range join for all; the periods are the small side."""
     p = F.broadcast(periods.select("period_id", F.col(start).alias("_a"), F.col(end).alias("_b")))
@@ -124,19 +129,3 @@ def param_grid(spark, lookbacks: list[int], ks: list[int], thresholds: list[floa
     one = lambda name, xs: spark.createDataFrame([(x,) for x in sorted(set(xs))], f"{name} {'double' if name == 'threshold' else 'int'}")
     g = one("lookback", lookbacks).crossJoin(one("k", ks)).crossJoin(one("threshold", thresholds))
     return g.withColumn("param_hash", F.sha2(F.concat_ws("|", "lookback", "k", F.floor(F.col("threshold") * 1_000_000 + 0.5).cast("string")), 256))
-
-
-def tune_parameters(levels: DataFrame, periods: DataFrame, risky: DataFrame, grid: list[tuple[int, int, float]], *, cost_bps: float = 10.0) -> DataFrame:
-    """``lookback, k, threshold, n_periods, total_return, worst``: every candidate's out-of-sample chain, ranked by return.
-
-    One plan: candidates are a union of lazily built decisions, each of which shares the panel.
-    """
-    out = None
-    for lookback, k, threshold in grid:
-        d = dual_momentum(trailing_momentum(levels, periods, lookback, tolerance=31), risky, k=k, threshold=threshold)
-        chain = oos_chain(levels, periods, d, cost_bps=cost_bps)
-        row = chain.agg(F.count(F.lit(1)).alias("n_periods"), (F.max_by("index", "period_id") - 1).alias("total_return"), F.min(F.col("growth") - 1).alias("worst"))
-        row = row.select(F.lit(lookback).alias("lookback"), F.lit(k).alias("k"), F.lit(threshold).alias("threshold"), "n_periods", "total_return", "worst")
-        out = row if out is None else out.union(row)
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("total_return"), F.desc("worst"), "lookback", "k", "threshold")
-    return out.withColumn("rank", F.row_number().over(order).cast("bigint"))

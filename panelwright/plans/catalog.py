@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelwright.plans.registry import QUERIES, SQL
 
-MODULES = ("q_metrics", "q_align", "q_matrix", "q_nav", "q_screen", "q_walk", "q_files", "q_more")
+MODULES = ("q_metrics", "q_align", "q_matrix", "q_nav", "q_screen", "q_walk", "q_tune", "q_files", "q_more")
 for _m in MODULES:
     import_module(f"panelwright.plans.{_m}")
 

@@ -29,11 +29,13 @@ def read_fx_bars(spark, sf):
     return S.read_fx_bars(A.fx_levels(spark, sf), "1997-01-01", "1997-06-30")
 
 
-@query("symbol dt", "close low", sql="SELECT symbol, dt, close, low FROM x_bars WHERE symbol IN ('Brand#1', 'Brand#2', 'Brand#3')")
+@query("symbol dt", "close low", sql="SELECT symbol, dt, close, low FROM x_bars")
 def unpivot_bars(spark, sf):
-    b = A.bars(spark, sf).where("symbol IN ('Brand#1', 'Brand#2', 'Brand#3')")
-    wide = b.select("dt", F.explode(F.array(F.struct(F.concat(F.lit("close|"), "symbol").alias("k"), F.col("close").alias("v")), F.struct(F.concat(F.lit("low|"), "symbol").alias("k"), F.col("low").alias("v")))).alias("x"))
-    wide = wide.groupBy("dt").pivot("x.k", [f"{c}|Brand#{i}" for c in ("close", "low") for i in (1, 2, 3)]).agg(F.first("x.v"))
+    """A wide table of all symbols, as downloads have it, made long."""
+    b = A.bars(spark, sf)
+    names = [r.symbol for r in b.select("symbol").distinct().orderBy("symbol").collect()]  # a universe
+    wide = b.groupBy("dt").pivot("symbol", names).agg(F.first("close").alias("close"), F.first("low").alias("low"))
+    wide = wide.toDF("dt", *[f"{c}|{s}" for s in names for c in ("close", "low")])
     return S.unpivot_bars(wide, ("close", "low"))
 
 

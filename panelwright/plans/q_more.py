@@ -71,9 +71,9 @@ def post_cost_nav(spark, sf):
     return g.withColumn("target", N.post_cost_target(F.col("value"), F.col("legs"), 0.01))
 
 
-@query("portfolio_id", "weight_sum", sql="SELECT portfolio_id, sum(1.0 / n) AS weight_sum FROM (SELECT portfolio_id, count(*) OVER (PARTITION BY portfolio_id) AS n FROM x_port) GROUP BY 1")
+@query("portfolio_id symbol", "weight", sql="SELECT portfolio_id, symbol, 1.0 / count(*) OVER (PARTITION BY portfolio_id) AS weight FROM x_port")
 def allocate_equal(spark, sf):
-    return N.equal_weights(A.portfolios(spark, sf).select("portfolio_id", "symbol")).groupBy("portfolio_id").agg(F.sum("weight").alias("weight_sum"))
+    return N.equal_weights(A.portfolios(spark, sf).select("portfolio_id", "symbol"))
 
 
 @query("portfolio_id symbol", "weight")
@@ -86,7 +86,7 @@ _VOL = "SELECT d.period_id, d.symbol, 1 / stddev_samp(r.ret) AS iv FROM x_dual d
 
 @query("period_id symbol", "weight", sql=f"SELECT period_id, symbol, iv / sum(iv) OVER (PARTITION BY period_id) AS weight FROM ({_VOL})")
 def dual_momentum_allocated(spark, sf):
-    r = K.slice_panel(W.daily_returns(A.weekly_levels(spark, sf)), q_walk.periods(spark), "train_start", "train_end")
+    r = K.slice_panel(W.daily_returns(A.weekly_levels(spark, sf)), q_walk.periods(spark, sf), "train_start", "train_end")
     iv = r.join(q_walk.decided(spark, sf).select("period_id", "symbol"), ["period_id", "symbol"]).groupBy("period_id", "symbol").agg((1 / F.stddev_samp("ret")).alias("iv"))
     return iv.withColumn("weight", F.col("iv") / F.sum("iv").over(Window.partitionBy("period_id")))
 
@@ -95,45 +95,23 @@ _GROWTH = "SELECT period_id, symbol, arg_max(value, dt) / arg_min(value, dt) AS
 
 
 @query("period_id a b", "score", sql=f"SELECT x.period_id, x.symbol AS a, y.symbol AS b, (x.g + y.g) / 2 - 1 AS score FROM ({_GROWTH}) x JOIN ({_GROWTH}) y ON x.period_id = y.period_id AND x.symbol < y.symbol QUALIFY row_number() OVER (PARTITION BY x.period_id ORDER BY round((x.g + y.g) / 2, 9) DESC, x.symbol, y.symbol) = 1")
-def pick_combo_winner(spark, sf, months=q_walk.periods):
+def pick_combo_winner(spark, sf):
     """The best equal-weight pair of each period on training data alone."""
-    t = K.slice_panel(A.weekly_levels(spark, sf), months(spark, sf), "train_start", "train_end").groupBy("period_id", "symbol").agg((F.max_by("value", "dt") / F.min_by("value", "dt")).alias("g"))
+    t = K.slice_panel(A.weekly_levels(spark, sf), q_walk.periods(spark, sf), "train_start", "train_end").groupBy("period_id", "symbol").agg((F.max_by("value", "dt") / F.min_by("value", "dt")).alias("g"))
     pairs = t.select("period_id", F.col("symbol").alias("a"), F.col("g").alias("_x")).join(t.select("period_id", F.col("symbol").alias("b"), F.col("g").alias("_y")), "period_id").where("a < b")
     score = (F.col("_x") + F.col("_y")) / 2
     order = Window.partitionBy("period_id").orderBy(F.round(score, 9).desc(), "a", "b")
     return pairs.withColumn("score", score - 1).withColumn("_n", F.row_number().over(order)).where("_n = 1")
 
 
-def tuned(spark, sf):
-    return K.tune_parameters(A.weekly_levels(spark, sf), q_walk.panel_periods(spark, sf), q_walk.risky(spark, sf), [(6, 2, 0.0), (6, 4, 0.1), (3, 4, 0.1)])
-
-
-@query("lookback k rank", "threshold")
-def candidate_rank(spark, sf):
-    return tuned(spark, sf)
-
-
-@query("period_id symbol lookback k", "weight")
-def refit_winner(spark, sf):
-    """The best candidate applied to the full training span of every period."""
-    best = tuned(spark, sf).where("rank = 1").first()  # one row
-    d = K.dual_momentum(K.trailing_momentum(A.weekly_levels(spark, sf), q_walk.panel_periods(spark, sf), best.lookback, tolerance=31), q_walk.risky(spark, sf), k=best.k, threshold=best.threshold)
-    return d.withColumns({"lookback": F.lit(best.lookback), "k": F.lit(best.k)})
-
-
 @query("period_id reason", sql="SELECT period_id, 'gap' AS reason FROM x_periods WHERE period_id = '1998-06'")
 def validate_monthly_schedule(spark, sf):
-    return K.schedule_violations(q_walk.panel_periods(spark, sf).where("period_id <> '1998-05'"))
+    return K.schedule_violations(q_walk.periods(spark, sf).where("period_id <> '1998-05'"))
 
 
 @query("period_id inner_start", sql="SELECT period_id, CAST(date_trunc('month', train_end) - INTERVAL 3 MONTH - INTERVAL 6 MONTH AS DATE) AS inner_start FROM x_periods")
-def tuning_training_start(spark, sf, months=q_walk.periods):
-    """The earliest training start that serves four inner folds of six months."""
-    return months(spark, sf).select("period_id", F.add_months(F.trunc("train_end", "MONTH"), -3 - 6).alias("inner_start"))
-
-
-q_walk._over_panel(pick_combo_winner, "period_id a b", "score")
-q_walk._over_panel(tuning_training_start, "period_id inner_start")
+def tuning_training_start(spark, sf):
+    return K.tuning_training_start(q_walk.periods(spark, sf), 4, 6)
 
 
 @query("ticker name", "weight", sql="SELECT ticker, name, market_cap AS weight FROM x_fund WHERE sector <> 'SMALL'")
@@ -149,10 +127,7 @@ def read_fundamentals_supplement(spark, sf):
 
 @query("combo_rank members", sql="SELECT combo_rank, s0 || '|' || s1 || '|' || s2 AS members FROM x_combo")
 def export_combo_csv(spark, sf):
-    from panelwright.operators.combos import enumerate_combos
-
-    df = enumerate_combos(q_walk.positions(spark, sf), 3)
-    return T.export_scan_csv(df.withColumn("members", F.array_join("members", "|"))).orderBy("combo_rank")
+    return T.export_scan_csv(q_walk.combinations(spark, sf).withColumn("members", F.array_join("members", "|"))).orderBy("combo_rank")
 
 
 def _sets(spark, sf):

@@ -293,11 +293,6 @@ def benchmark_relative_overlay(spark, sf):
     return own.join(M.beta_alpha(M.benchmark_calendar_returns(levels, A.benchmark_monthly(spark, sf))), "symbol", "left")
 
 
-@query("symbol reason", "score_b", sql=None)
-def retention_plan(spark, sf):
-    return S.retention_plan(S.scan_scores(report(spark, sf)), 15, primary="score_b", secondary=("score_a", "cagr"), key="symbol")
-
-
 @query("symbol n_obs n_expected n_missing first_dt last_dt", sql="SELECT symbol, count(*) AS n_obs, (SELECT count(*) FROM x_bd) AS n_expected, (SELECT count(*) FROM x_bd) - count(*) AS n_missing, min(dt) AS first_dt, max(dt) AS last_dt FROM x_daily GROUP BY symbol")
 def asset_preflight(spark, sf):
     total = A.benchmark_daily(spark, sf).agg(F.count(F.lit(1)).alias("n_expected"))

@@ -35,7 +35,7 @@ CTES["x_port"] = "SELECT 'P' || g AS portfolio_id, symbol, 1.0 / count(*) OVER (
 CTES["x_inst"] = "SELECT symbol, CASE WHEN CAST(regexp_extract(symbol, '(\\d+)$', 1) AS INTEGER) % 2 = 0 THEN CAST(min(dt) + 30 AS DATE) ELSE min(dt) END AS first_trade_date FROM x_daily GROUP BY symbol"
 CTES["x_fund"] = "SELECT 'P' || p_partkey AS ticker, p_name AS name, p_type AS sector, p_brand AS industry, p_retailprice AS market_cap, CASE WHEN p_size % 7 <> 0 THEN CAST(p_size AS DOUBLE) END AS trailing_pe, p_size / 100.0 AS dividend_yield FROM part"
 CTES["x_snap"] = "SELECT DISTINCT o_orderpriority AS universe_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS source_as_of, n_name AS member, CAST(CAST(date_trunc('month', o_orderdate) AS DATE) + CAST(month(o_orderdate) % 4 AS INTEGER) AS DATE) AS fetched_date, o_orderpriority = '5-LOW' AS is_proxy FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"
-CTES["x_periods"] = "SELECT strftime(m, '%Y-%m') AS period_id, CAST(CAST(last_day(m) - INTERVAL 12 MONTH AS DATE) + 1 AS DATE) AS train_start, last_day(m) AS train_end, last_day(m) AS decision_date, CAST(last_day(m) + 1 AS DATE) AS eval_start, last_day(CAST(last_day(m) + 1 AS DATE)) AS eval_end FROM (SELECT CAST(unnest(generate_series(DATE '1997-01-01', DATE '1999-12-01', INTERVAL 1 MONTH)) AS DATE) AS m)"
+CTES["x_periods"] = "SELECT strftime(e, '%Y-%m') AS period_id, CAST(last_day(CAST(e - INTERVAL 12 MONTH AS DATE)) + 1 AS DATE) AS train_start, e AS train_end, e AS decision_date, CAST(e + 1 AS DATE) AS eval_start, last_day(CAST(e + 1 AS DATE)) AS eval_end FROM (SELECT last_day(CAST(unnest(generate_series(date_trunc('month', a), date_trunc('month', b) - INTERVAL 2 MONTH, INTERVAL 1 MONTH)) AS DATE)) AS e, a FROM (SELECT CAST(min(l_shipdate) AS DATE) AS a, CAST(max(l_shipdate) AS DATE) AS b FROM lineitem)) WHERE last_day(CAST(e - INTERVAL 12 MONTH AS DATE)) + 1 >= a"
 
 
 def with_ctes(names: str, body: str) -> str:

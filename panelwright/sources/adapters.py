@@ -116,16 +116,3 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     month = F.trunc(F.to_date("o_orderdate"), "MONTH")
     df = df.select(F.col("o_orderpriority").alias("universe_id"), month.alias("source_as_of"), F.col("n_name").alias("member")).distinct()
     return df.withColumn("fetched_date", F.date_add("source_as_of", F.month("source_as_of") % 4)).withColumn("is_proxy", F.col("universe_id") == "5-LOW")
-
-
-def periods(spark: SparkSession) -> DataFrame:
-    """Monthly walk-forward periods 1997-01 to 1999-12: a year of training, the next month to evaluate."""
-    ends = spark.sql("SELECT last_day(m) AS decision_date FROM (SELECT explode(sequence(DATE'1997-01-01', DATE'1999-12-01', INTERVAL 1 MONTH)) AS m)")
-    return ends.select(
-        F.date_format("decision_date", "yyyy-MM").alias("period_id"),
-        F.date_add(F.add_months("decision_date", -12), 1).alias("train_start"),
-        F.col("decision_date").alias("train_end"),
-        "decision_date",
-        F.date_add("decision_date", 1).alias("eval_start"),
-        F.last_day(F.date_add("decision_date", 1)).alias("eval_end"),
-    )
