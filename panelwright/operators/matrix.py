@@ -1,16 +1,17 @@
 """Covariance, correlation and risk as pair aggregates on long panels ``(symbol, dt, ret)``.
 
-A pair join on the date is an aggregate over dates of symbols squared; it is partitioned by date first and summed by pair.
-Matrices are long and hold ``a <= b``.
+Pairs are never joined by date: rows are dealt out by blocks of dates, each block's cross products are one small matrix product,
+and the products are added by pair. Matrices are long and hold ``a <= b``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
-from operator import and_, or_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -18,16 +19,58 @@ from panelwright.functions.scalars import EPSILON, safe_ratio
 from panelwright.operators.clean import complete_case
 
 
-def pairs(returns: DataFrame, *, diagonal: bool = True, keys: tuple[str, ...] = ()) -> DataFrame:
-    """``keys, a, b, dt, x, y`` for ``a <= b`` (or ``a < b``) on each date."""
-    left = returns.select(*keys, "dt", F.col("symbol").alias("a"), F.col("ret").alias("x"))
-    right = returns.select(*keys, "dt", F.col("symbol").alias("b"), F.col("ret").alias("y"))
-    return left.join(right, [*keys, "dt"]).where(F.col("a") <= F.col("b") if diagonal else F.col("a") < F.col("b"))
+SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy", "sxxyy")
+
+
+def pairs(returns: DataFrame) -> DataFrame:
+    """``a, b, dt, x, y`` for ``a <= b`` on each date."""
+    left = returns.select("dt", F.col("symbol").alias("a"), F.col("ret").alias("x"))
+    right = returns.select("dt", F.col("symbol").alias("b"), F.col("ret").alias("y"))
+    return left.join(right, "dt").where(F.col("a") <= F.col("b"))
+
+
+def gram(returns: DataFrame, *, keys: tuple[str, ...] = (), tile: int = 512) -> DataFrame:
+    """``keys, a, b`` (``a <= b``) and :data:`SUMS` over the dates on which both have a return.
+
+    Rows of one date meet in one task (``keys`` and date are the partitioning); a task multiplies its dates' matrices tile by tile
+    of the symbols and gives out one row a pair, and these rows, not the dates, are what is added up. Rows without a
+    return count nowhere; a symbol twice on a date is an error of the panel and its last row counts.
+    """
+    kinds = ", ".join(f"{c} {returns.schema[c].dataType.simpleString()}" for c in keys)
+    schema = f"{kinds + ', ' if keys else ''}a string, b string, {', '.join(f'{c} double' for c in SUMS)}"
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [b.to_pandas() for b in batches if b.num_rows]
+        if not rows:
+            return
+        rows = pd.concat(rows)
+        for key, part in rows.groupby(list(keys), dropna=False) if keys else [((), rows)]:
+            names, at = np.unique(part["symbol"].to_numpy(), return_inverse=True)
+            dates, on = np.unique(part["dt"].to_numpy(), return_inverse=True)
+            x = np.full((len(dates), len(names)), np.nan)
+            x[on, at] = part["ret"].to_numpy()
+            known = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x)
+            for i in range(0, len(names), tile):
+                for j in range(i, len(names), tile):
+                    p, q, mp, mq = x[:, i : i + tile], x[:, j : j + tile], known[:, i : i + tile], known[:, j : j + tile]
+                    made = (mp.T @ mq, p.T @ mq, mp.T @ q, (p * p).T @ mq, mp.T @ (q * q), p.T @ q, (p * p).T @ (q * q))
+                    r, c = np.nonzero(made[0])
+                    r, c = r[i + r <= j + c], c[i + r <= j + c]
+                    own = [pa.array([k] * len(r)) for k in key]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(names[i + r], pa.string()), pa.array(names[j + c], pa.string()), *[pa.array(m[r, c]) for m in made]], [*keys, "a", "b", *SUMS])
+
+    dealt = returns.where("ret is not null").select(*keys, "symbol", "dt", F.col("ret").cast("double").alias("ret")).repartition(*keys, "dt")
+    return dealt.mapInArrow(sums, schema).groupBy(*keys, "a", "b").agg(*[F.sum(c).alias(c) for c in SUMS])
+
+
+def _covar(x: str, y: str, xy: str) -> Column:
+    return (F.col(xy) - F.col(x) * F.col(y) / F.col("n")) / F.nullif(F.col("n") - 1, F.lit(0.0))
 
 
 def sample_covariance(returns: DataFrame, periods: int = 252, *, keys: tuple[str, ...] = ()) -> DataFrame:
     """Pairwise sample covariance of complete cases, annualised."""
-    return pairs(returns, keys=keys).groupBy(*keys, "a", "b").agg((F.covar_samp("x", "y") * periods).alias("cov"))
+    return gram(returns, keys=keys).select(*keys, "a", "b", (_covar("sx", "sy", "sxy") * periods).alias("cov"))
 
 
 def ledoit_wolf(returns: DataFrame, periods: int = 252) -> DataFrame:
@@ -37,7 +80,7 @@ def ledoit_wolf(returns: DataFrame, periods: int = 252) -> DataFrame:
     """
     mean = returns.groupBy("symbol").agg(F.avg("ret").alias("_m"))
     centred = returns.join(F.broadcast(mean), "symbol").select("symbol", "dt", (F.col("ret") - F.col("_m")).alias("ret"))
-    p = pairs(centred).groupBy("a", "b").agg(F.avg(F.col("x") * F.col("y")).alias("s"), F.avg(F.col("x") * F.col("x") * F.col("y") * F.col("y")).alias("q"), F.count(F.lit(1)).alias("n"))
+    p = gram(centred).select("a", "b", (F.col("sxy") / F.col("n")).alias("s"), (F.col("sxxyy") / F.col("n")).alias("q"), "n")
     twice = F.when(F.col("a") == F.col("b"), 1.0).otherwise(2.0)
     on = F.col("a") == F.col("b")
     t = p.agg(F.count_if(on).alias("p"), F.sum(F.when(on, F.col("s"))).alias("tr"), F.sum(twice * F.col("s") * F.col("s")).alias("ss"), F.sum(twice * F.col("q")).alias("qq"), F.max("n").alias("n"))
@@ -63,10 +106,9 @@ def ewma_covariance(returns: DataFrame, decay: float = 0.94, periods: int = 252)
 
 def correlations(returns: DataFrame, *, least: int = 3, keys: tuple[str, ...] = ()) -> DataFrame:
     """``keys, a, b, n, rho`` for ``a < b``; null under ``least`` dates or without variation."""
-    spread = F.stddev_samp("x") * F.stddev_samp("y")
-    enough = (F.count(F.lit(1)) >= least) & (F.stddev_samp("x") > 1e-15) & (F.stddev_samp("y") > 1e-15)
-    g = pairs(returns, diagonal=False, keys=keys).groupBy(*keys, "a", "b")
-    return g.agg(F.count(F.lit(1)).alias("n"), F.when(enough, F.covar_samp("x", "y") / F.when(spread > 0, spread)).alias("rho"))
+    x, y = F.sqrt(F.greatest(_covar("sx", "sx", "sxx"), F.lit(0.0))), F.sqrt(F.greatest(_covar("sy", "sy", "syy"), F.lit(0.0)))
+    enough = (F.col("n") >= least) & (x > 1e-15) & (y > 1e-15)
+    return gram(returns, keys=keys).where("a < b").select(*keys, "a", "b", F.col("n").cast("bigint").alias("n"), F.when(enough, _covar("sx", "sy", "sxy") / (x * y)).alias("rho"))
 
 
 def correlation_matrix(returns: DataFrame, n: int, *, least: int = 3) -> DataFrame:
@@ -178,21 +220,33 @@ def top_abs_correlations(correlation: DataFrame, k: int) -> DataFrame:
 
 
 def agglomerate(distance: np.ndarray, linkage: str) -> list[tuple[int, int, float, int]]:
-    """Merges ``(left, right, distance, size)`` by average or complete linkage; ties go to the smaller node ids."""
+    """Merges ``(left, right, distance, size)`` by average or complete linkage; ties go to the smaller node ids.
+
+    Every node keeps its nearest later node. A merge looks at all nodes once, and anew only at those whose nearest is gone.
+    """
     n = len(distance)
-    alive, size = list(range(n)), {i: 1 for i in range(n)}
-    d = {(i, j): float(distance[i, j]) for i in range(n) for j in range(i + 1, n)}
+    most = 2 * n - 1
+    d = np.full((most, most), np.inf)  # d[i, j], i < j, by node
+    d[:n, :n] = np.where(np.triu(np.ones((n, n), bool), 1), distance, np.inf)
+    near = np.argmin(d, axis=1) if n > 1 else np.zeros(most, int)
+    gap, size, alive = d[np.arange(most), near], np.ones(most, int), np.arange(most) < n
     merges = []
-    for node in range(n, 2 * n - 1):
-        (a, b), best = min(d.items(), key=lambda kv: (kv[1], kv[0]))
-        for c in alive:
-            if c not in (a, b):
-                x, y = d.pop((min(a, c), max(a, c))), d.pop((min(b, c), max(b, c)))
-                d[(c, node)] = max(x, y) if linkage == "complete" else (x * size[a] + y * size[b]) / (size[a] + size[b])
-        del d[(a, b)]
-        alive = [c for c in alive if c not in (a, b)] + [node]
+    for node in range(n, most):
+        a = int(np.argmin(gap))
+        b, best = int(near[a]), float(gap[a])
+        alive[[a, b]] = False
+        c = np.flatnonzero(alive)
+        x, y = d[np.minimum(a, c), np.maximum(a, c)], d[np.minimum(b, c), np.maximum(b, c)]
         size[node] = size[a] + size[b]
-        merges.append((a, b, best, size[node]))
+        to = np.maximum(x, y) if linkage == "complete" else (x * size[a] + y * size[b]) / size[node]
+        d[[a, b], :], d[:, [a, b]], gap[[a, b]] = np.inf, np.inf, np.inf
+        d[c, node], alive[node] = to, True
+        nearer = to < gap[c]
+        near[c[nearer]], gap[c[nearer]] = node, to[nearer]
+        for i in c[~nearer & ((near[c] == a) | (near[c] == b))]:
+            near[i] = np.argmin(d[i])
+            gap[i] = d[i, near[i]]
+        merges.append((a, b, best, int(size[node])))
     return merges
 
 
@@ -252,41 +306,23 @@ def pair_stability(boot: DataFrame, threshold: float = 0.5) -> DataFrame:
     return boot.groupBy("a", "b").agg(F.avg((F.col("rho") >= threshold).cast("double")).alias("stability"), F.count("rho").alias("n"))
 
 
-#: Least (for LOW: greatest) evidence of each verdict, and least windows and replicates of each confidence.
-HIGH_EVIDENCE = {"structural": 0.80, "bootstrap": 0.75, "window_share": 2 / 3, "medium": 0.70}
-MEDIUM_EVIDENCE = {"structural": 0.65, "bootstrap": 0.60}
-SUPPORT = {"medium": 0.60, "downside": 0.65, "stress": 0.65, "factor": 0.65}
-LOW_EVIDENCE = {"structural": 0.35, "bootstrap": 0.35}
-CONFIDENCE = {"HIGH": {"n_windows": 3, "n_replicates": 190}, "MEDIUM": {"n_windows": 2, "n_replicates": 160}}
-
-
-def _at_least(bounds: dict[str, float]) -> list[Column]:
-    return [F.coalesce(F.col(c) >= bound, F.lit(False)) for c, bound in bounds.items()]
-
-
 def redundancy_verdict(evidence: DataFrame) -> DataFrame:
     """``verdict`` (HIGH, MEDIUM, LOW, UNCERTAIN) and ``confidence`` of pairs; what is not known speaks neither for nor against.
 
-    ``evidence``: as from ``pair_evidence``. HIGH needs all of ``HIGH_EVIDENCE`` and one cluster by both linkages. MEDIUM needs
-    ``MEDIUM_EVIDENCE``, one average-linkage cluster and any one ``SUPPORT``, of which the factor model's counts only for eligible
-    pairs. LOW is a finding of its own, not the rest: weak correlation, apart in clusters and in replicates.
+    ``evidence``: as from ``pair_evidence``. LOW is a finding of its own, not the rest: weak correlation, apart in clusters and in replicates.
     """
-    needed = F.col("structural").isNotNull() & F.col("bootstrap").isNotNull() & F.col("same_average").isNotNull()
-    both = F.col("same_average") & F.coalesce("same_complete", F.lit(False))
-    support = [c & F.coalesce("factor_eligible", F.lit(False)) if name == "factor" else c for name, c in zip(SUPPORT, _at_least(SUPPORT), strict=True)]
-    weak = [F.col(c) <= bound for c, bound in LOW_EVIDENCE.items()]
-    verdict = (
-        F.when(~needed, "UNCERTAIN")
-        .when(reduce(and_, _at_least(HIGH_EVIDENCE), both), "HIGH")
-        .when(reduce(and_, _at_least(MEDIUM_EVIDENCE), F.col("same_average")) & reduce(or_, support), "MEDIUM")
-        .when(reduce(and_, weak, ~F.col("same_average")), "LOW")
-        .otherwise("UNCERTAIN")
-    )
+    least = lambda c, bound: F.coalesce(F.col(c) >= bound, F.lit(False))
+    true = lambda c: F.coalesce(F.col(c), F.lit(False))
+    # The bounds of each verdict and of each confidence.
+    high = true("same_average") & true("same_complete") & least("structural", 0.80) & least("bootstrap", 0.75) & least("window_share", 2 / 3) & least("medium", 0.70)
+    support = least("medium", 0.60) | least("downside", 0.65) | least("stress", 0.65) | (true("factor_eligible") & least("factor", 0.65))
+    medium = true("same_average") & least("structural", 0.65) & least("bootstrap", 0.60) & support
+    low = ~F.col("same_average") & (F.col("structural") <= 0.35) & (F.col("bootstrap") <= 0.35)
+    known = F.col("structural").isNotNull() & F.col("bootstrap").isNotNull() & F.col("same_average").isNotNull()
+    verdict = F.when(~known, "UNCERTAIN").when(high, "HIGH").when(medium, "MEDIUM").when(low, "LOW").otherwise("UNCERTAIN")
     valid = F.col("structural").isNotNull() & F.col("medium").isNotNull()
-    confidence = F.lit("LOW")
-    for name, bounds in reversed(CONFIDENCE.items()):
-        confidence = F.when(reduce(and_, _at_least(bounds), valid), name).otherwise(confidence)
-    return evidence.withColumns({"verdict": verdict, "confidence": confidence})
+    sure = F.when(valid & least("n_windows", 3) & least("n_replicates", 190), "HIGH").when(valid & least("n_windows", 2) & least("n_replicates", 160), "MEDIUM").otherwise("LOW")
+    return evidence.withColumns({"verdict": verdict, "confidence": sure})
 
 
 def same_cluster(clusters: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ range over the panel.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
@@ -92,19 +94,21 @@ def inner_returns(panel: DataFrame, folds: DataFrame, decisions: DataFrame, *, c
     return df.select(*keys, "dt", (F.col("nav") / F.coalesce("_before", F.lit(1.0)) * F.when(first, 1 - F.col("_cost")).otherwise(1.0) - 1).alias("ret"), F.when(first, F.col("_cost")).otherwise(0.0).alias("cost"))
 
 
-def tune_parameters(panel: DataFrame, periods: DataFrame, folds: DataFrame, risky: DataFrame, grid: DataFrame, *, n_folds: int, per_year: int = 52, cost_bps: float = 10.0) -> DataFrame:
+def tune_parameters(panel: DataFrame, periods: DataFrame, folds: DataFrame, risky: DataFrame, grid: DataFrame, *, n_folds: int, per_year: int = 52, cost_bps: float = 10.0, land: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> DataFrame:
     """``period_id, param_hash, CANDIDATE, status, reason, n_folds, sortino, max_drawdown, cagr, costs, rank``: all candidates of all periods.
 
     ``folds``: of :func:`panelwright.operators.walk.inner_folds`. A candidate fails, with a reason and without a rank, where the training holds
     fewer than ``n_folds`` folds (``insufficient_training``), a fold has no decision or price (``no_selection``) or a metric is
     unavailable (``metrics_unavailable``). Rank: Sortino, then the smaller drawdown, the larger CAGR, the smaller costs, the hash.
+    ``land`` may write a table that the plan reads more than once and give it back as read.
     """
     full = folds.groupBy("period_id").agg(F.count(F.lit(1)).alias("_folds"))
     used = folds.join(F.broadcast(full.where(F.col("_folds") == n_folds)), "period_id", "left_semi").withColumnRenamed("inner_end", "decision_date")
     used = used.join(F.broadcast(periods.select("period_id", "train_start")), "period_id").select("period_id", "fold", "train_start", "decision_date", "eval_start")
     asks = used.crossJoin(F.broadcast(grid))  # periods x folds x a grid of a few rows: the work itself
-    decisions = allocated_decisions(panel, asks, risky, ("period_id", "param_hash", "fold"))
-    r = inner_returns(panel, used, decisions, cost_bps=cost_bps)
+    used, asks = land(used, "folds"), land(asks, "asks")
+    decisions = land(allocated_decisions(panel, asks, risky, ("period_id", "param_hash", "fold")), "decisions")
+    r = land(inner_returns(panel, used, decisions, cost_bps=cost_bps), "returns")
     run = Window.partitionBy("period_id", "param_hash").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
     r = r.withColumn("equity", F.exp(F.sum(F.log1p("ret")).over(run)))
     r = r.withColumns({"peak": F.greatest(F.lit(1.0), F.max("equity").over(run)), "before": F.col("equity") / (1 + F.col("ret"))})

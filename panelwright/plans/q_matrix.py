@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from panelwright.operators import matrix as X, metrics as M, windows as W
 from panelwright.operators.clean import complete_case
-from panelwright.plans.registry import query
+from panelwright.plans.registry import CTES, query
 from panelwright.sources import adapters as A, files as S
 
 _C = "SELECT symbol, dt, ret FROM x_ret WHERE ret IS NOT NULL AND dt IN (SELECT dt FROM x_ret WHERE ret IS NOT NULL GROUP BY dt HAVING count(*) = (SELECT count(DISTINCT symbol) FROM x_ret WHERE ret IS NOT NULL))"
@@ -165,24 +165,39 @@ def bootstrap_pair_corr(spark, sf):
     return X.pair_stability(bootstrapped(spark, weekly(spark, sf)), 0.2)
 
 
-_EV = f"""
-SELECT a, b, structural, medium, downside, stress FROM ({_CORR.replace('AS rho', 'AS structural')}) s
-JOIN (SELECT a AS a1, b AS b1, corr(x, y) AS medium FROM ({_P}) WHERE a < b AND dt IN (SELECT DISTINCT dt FROM ({_C}) ORDER BY dt DESC LIMIT 36) GROUP BY a, b) m ON a = a1 AND b = b1
-JOIN (SELECT a AS a2, b AS b2, CASE WHEN count(*) >= 20 THEN corr(x, y) END AS downside FROM ({_P}) WHERE a < b AND dt IN (SELECT dt FROM x_bret WHERE bret < 0) GROUP BY a, b) d ON a = a2 AND b = b2
-JOIN (SELECT a AS a3, b AS b3, CASE WHEN count(*) >= 9 THEN corr(x, y) END AS stress FROM ({_P}) WHERE a < b AND dt IN (SELECT dt FROM x_bret WHERE bret <= (SELECT quantile_cont(bret, 0.1) FROM x_bret)) GROUP BY a, b) t ON a = a3 AND b = b3
-"""
+def _complete(levels: str) -> str:
+    """Returns of a levels table on the dates on which every symbol has one."""
+    r = f"SELECT symbol, dt, value / lag(value) OVER (PARTITION BY symbol ORDER BY dt) - 1 AS ret FROM {levels}"
+    return f"SELECT * FROM ({r}) WHERE ret IS NOT NULL AND dt IN (SELECT dt FROM ({r}) WHERE ret IS NOT NULL GROUP BY dt HAVING count(*) = (SELECT count(DISTINCT symbol) FROM ({r}) WHERE ret IS NOT NULL))"
+
+
+CTES["x_wcomplete"] = f"SELECT * FROM ({_complete('x_weekly')}) WHERE dt IN (SELECT DISTINCT dt FROM ({_complete('x_weekly')}) ORDER BY dt DESC LIMIT 156)"
+CTES["x_dcomplete"] = _complete("x_daily")
+CTES["x_dbench"] = "SELECT dt, value / lag(value) OVER (ORDER BY dt) - 1 AS bret FROM x_bd"
+
+
+def _rho(rows: str, name: str, least: int) -> str:
+    return f"SELECT p.symbol AS a, q.symbol AS b, CASE WHEN count(*) >= {least} THEN corr(p.ret, q.ret) END AS {name} FROM ({rows}) p JOIN ({rows}) q ON p.dt = q.dt AND p.symbol < q.symbol GROUP BY 1, 2"
+
+
+_FALLEN = "SELECT c.symbol, c.dt, c.ret FROM x_dcomplete c JOIN x_dbench b ON b.dt = c.dt WHERE bret "
+_CUT = "(SELECT quantile_cont(bret, 0.1) FROM x_dbench WHERE bret IS NOT NULL AND dt IN (SELECT dt FROM x_dcomplete))"
+_EV = f"SELECT s.a, s.b, structural, medium, downside, stress FROM ({_rho('SELECT * FROM x_wcomplete', 'structural', 52)}) s LEFT JOIN ({_rho('SELECT * FROM x_dcomplete WHERE dt IN (SELECT DISTINCT dt FROM x_dcomplete ORDER BY dt DESC LIMIT 252)', 'medium', 120)}) m ON m.a = s.a AND m.b = s.b LEFT JOIN ({_rho(_FALLEN + '< 0', 'downside', 20)}) d ON d.a = s.a AND d.b = s.b LEFT JOIN ({_rho(_FALLEN + f'<= {_CUT}', 'stress', 20)}) t ON t.a = s.a AND t.b = s.b"
 
 
-def correlations(spark, sf):
-    r, b = S.landed(spark, returns(spark, sf), "monthly"), S.landed(spark, bench(spark, sf), "benchmark")
-    return {"structural": X.correlations(r), "medium": X.correlation_matrix(r, 36), "downside": X.downside_correlation(r, b), "stress": X.stress_correlation(r, b, least=9)}
+def correlations(spark, sf, weekly_returns):
+    """One frozen sample a horizon: 156 weekly and 252 daily complete returns; falls and the tenth of worst days of the benchmark on all daily ones."""
+    r = S.landed(spark, complete_case(W.daily_returns(A.daily_levels(spark, sf)).where("ret is not null").select("symbol", "dt", "ret"), "ret"), "daily")
+    b = M.with_previous(A.benchmark_daily(spark, sf)).where("bret is not null").select("dt", "bret")
+    b = S.landed(spark, b.join(r.select("dt").distinct(), "dt", "left_semi"), "benchmark")
+    return {"structural": X.correlations(weekly_returns, least=52), "medium": X.correlation_matrix(r, 252, least=120), "downside": X.downside_correlation(r, b), "stress": X.stress_correlation(r, b, least=20)}
 
 
 @query("a b", "structural medium downside stress", sql=_EV)
 def pair_correlations(spark, sf):
-    """The correlations of ``pair_evidence``; an inner join, as all pairs have a row in each."""
-    parts = [df.select("a", "b", F.col("rho").alias(c)) for c, df in correlations(spark, sf).items()]
-    return reduce(lambda x, y: x.join(y, ["a", "b"]), parts)
+    """The correlations of ``pair_evidence``."""
+    parts = [df.select("a", "b", F.col("rho").alias(c)) for c, df in correlations(spark, sf, weekly(spark, sf)).items()]
+    return reduce(lambda x, y: x.join(y, ["a", "b"], "left"), parts)
 
 
 def weekly(spark, sf, weeks=156):
@@ -211,12 +226,13 @@ def evidence(spark, sf):
     from panelwright.plans import q_more
 
     r = weekly(spark, sf)
-    d = X.correlation_distance(X.correlations(r))
+    shared = correlations(spark, sf, r)
+    d = X.correlation_distance(shared["structural"])
     groups = X.hierarchical_clusters(d.withColumn("method", F.explode(F.array(F.lit("average"), F.lit("complete")))))
     boot = S.landed(spark, X.cocluster_share(bootstrap_clusters(spark, r), "replicate"), "replicates")
     windows = S.landed(spark, X.cocluster_share(window_clusters(r), "horizon"), "windows")
     implied = S.landed(spark, q_more.implied(spark, sf), "implied")
-    return X.pair_evidence(correlations(spark, sf), S.landed(spark, groups, "clusters"), boot, windows, implied, q_more.eligibility(spark, sf).where("reason is null"))
+    return X.pair_evidence(shared, S.landed(spark, groups, "clusters"), boot, windows, implied, q_more.eligibility(spark, sf).where("reason is null"))
 
 
 _EVIDENCE = "structural medium downside stress factor bootstrap window_share"

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import partial
 
 from panelwright.operators import align as L, tuning as U, walk as K
 from panelwright.plans import q_walk
 from panelwright.plans.registry import CTES, query
-from panelwright.sources import adapters as A
+from panelwright.sources import adapters as A, files as T
 
 FOLDS, LOOKBACKS, KS, THRESHOLDS, ALLOCATIONS = 4, [3, 6], [2, 4], [0.0, 0.1], ["equal", "inverse_vol"]
 
@@ -40,26 +40,29 @@ CTES["x_tuned"] = f"SELECT *, CASE WHEN status = 'eligible' THEN row_number() OV
 CTES["x_refit_ask"] = "SELECT p.period_id, train_start, decision_date, lookback, k, threshold, allocation FROM x_periods p JOIN x_tuned t ON t.period_id = p.period_id AND t.rank = 1"
 
 
-def panel(spark, sf):
-    return L.union_calendar_ffill(A.weekly_levels(spark, sf), complete=False)
+def inputs(spark, sf):
+    """The dense weekly panel, the periods and the risky symbols, landed once: the plan reads the panel many times."""
+    land = partial(T.landed, spark)
+    return land(L.union_calendar_ffill(A.weekly_levels(spark, sf), complete=False), "panel"), land(q_walk.periods(spark, sf), "periods"), land(q_walk.risky(spark, sf), "risky")
 
 
-def tuned(spark, sf):
-    periods = q_walk.periods(spark, sf)
-    return U.tune_parameters(panel(spark, sf), periods, K.inner_folds(periods, FOLDS, max(LOOKBACKS)), q_walk.risky(spark, sf), U.candidates(spark, LOOKBACKS, KS, THRESHOLDS, ALLOCATIONS), n_folds=FOLDS)
+def tuned(spark, panel, periods, risky):
+    grid = U.candidates(spark, LOOKBACKS, KS, THRESHOLDS, ALLOCATIONS)
+    return U.tune_parameters(panel, periods, K.inner_folds(periods, FOLDS, max(LOOKBACKS)), risky, grid, n_folds=FOLDS, land=partial(T.landed, spark))
 
 
 @query("period_id lookback k allocation status reason n_folds rank", "threshold sortino max_drawdown cagr costs", sql="SELECT * FROM x_tuned")
 def tune_parameters(spark, sf):
     """Sixteen candidates on four inner months of each period's training."""
-    return tuned(spark, sf)
+    return tuned(spark, *inputs(spark, sf))
 
 
 @query("period_id param_hash rank", "sortino", sql="SELECT period_id, param_hash, rank, sortino FROM x_tuned WHERE status = 'eligible'")
 def candidate_rank(spark, sf):
-    return tuned(spark, sf).where("status = 'eligible'")
+    return tuned(spark, *inputs(spark, sf)).where("status = 'eligible'")
 
 
 @query("period_id lookback k allocation symbol regime", "threshold weight", sql=f"SELECT period_id, lookback, k, threshold, allocation, symbol, weight, regime FROM x_refit_ask JOIN ({_decisions('x_refit_ask', 'period_id')}) USING (period_id)")
 def refit_winner(spark, sf):
-    return U.refit_winner(panel(spark, sf), q_walk.periods(spark, sf), tuned(spark, sf), q_walk.risky(spark, sf))
+    panel, periods, risky = inputs(spark, sf)
+    return U.refit_winner(panel, periods, T.landed(spark, tuned(spark, panel, periods, risky), "tuned"), risky)

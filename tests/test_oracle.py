@@ -43,34 +43,39 @@ def test_query_equals_sql(spark, con, name):
     assert ordered(df.select(*columns).collect()) == ordered(con.sql(f"SELECT {', '.join(columns)} FROM want").fetchall())
 
 
-WHOLE = "enumerate_all_combos evaluate_all_combos all_combo_scores best_of_all_combos all_combos_metric_filter all_combos_sort_page materialize_best_combos".split()
+SEARCH = "evaluate_combos combo_scores best_combo combo_metric_filter combo_sort_page combo_materialize retention_plan export_combo_csv".split()
 
 
-@pytest.mark.parametrize("name", ["combo_materialize", *WHOLE])
+@pytest.mark.parametrize("name", SEARCH)
 def test_combination_query_equals_sql(spark, con, name):
     test_query_equals_sql(spark, con, name)
 
 
-@pytest.mark.parametrize("name", ["validate_schedule", "validate_monthly_schedule", *(x for x in QUERIES if x.endswith("_all_months"))])
+MONTHS = "validate_monthly_schedule inner_folds relative_momentum_rank momentum_top_k oos_chain pick_combo_winner tuning_training_start decision_hash evaluation_check configured_equal_weight dual_momentum_allocated tune_parameters candidate_rank refit_winner".split()
+
+
+@pytest.mark.parametrize("name", MONTHS)
 def test_query_over_all_months_equals_sql(spark, con, name):
     test_query_equals_sql(spark, con, name)
 
 
+@pytest.mark.parametrize("name", "unpivot_bars allocate_equal ledoit_wolf downside_correlation stress_correlation pair_correlations".split())
+def test_other_query_equals_sql(spark, con, name):
+    test_query_equals_sql(spark, con, name)
+
+
 def test_periods_follow_the_panel(spark):
-    months = {r.period_id for r in QUERIES["tuning_training_start_all_months"](spark, DENSER).collect()}
+    months = {r.period_id for r in QUERIES["tuning_training_start"](spark, DENSER).collect()}
     days = spark.read.parquet(f"{DENSER}/lineitem.parquet").selectExpr("min(l_shipdate)", "max(l_shipdate)").first()
     assert {"1996-03", "1999-12", "2000-06"} <= months and len(months) > 36
     assert str(days[0])[:7] < min(months) and max(months) < str(days[1])[:7]
-    rows = QUERIES["tune_parameters"](spark, DENSER).collect()
-    assert max(r.n_periods for r in rows) > 36
 
 
 def test_combinations_of_all_symbols(spark):
     n = spark.read.parquet(f"{DENSER}/part.parquet").select("p_brand").distinct().count()
-    assert n > 12 and QUERIES["enumerate_all_combos"](spark, DENSER).count() == n * (n - 1) * (n - 2) // 6
-    assert QUERIES["evaluate_all_combos"](spark, DENSER).count() == n * (n - 1) * (n - 2) // 6
+    assert n > 12 and QUERIES["enumerate_combos"](spark, DENSER).count() == n * (n - 1) * (n - 2) // 6
 
 
-@pytest.mark.parametrize("name", ["hierarchical_clusters", "factor_ols", "xirr_batch", "retention_plan"])
+@pytest.mark.parametrize("name", ["hierarchical_clusters", "factor_ols", "xirr_batch"])
 def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, DENSER).count() > 0
