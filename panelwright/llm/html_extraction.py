@@ -40,6 +40,8 @@ BOILERPLATE = frozenset(
     "sitemap skip social sponsor sponsored subscribe subscription taboola toolbar widget".split()
 )
 HEADERS = frozenset("header masthead topbar".split())
+MODIFIERS = frozenset("has no not non with without free".split())
+COMMENTS = frozenset("comment comments commentlist disqus replies reply respond".split())
 ARTICLE_WORDS = frozenset("articlebody".split())
 
 
@@ -55,6 +57,7 @@ class _Open(NamedTuple):
     path: str
     dropped: bool
     article: bool
+    soft: bool = False  # dropped, but only as a form or for a word of a class, so that an article below can come back
 
 
 def _names(attributes: str) -> tuple[frozenset[str], str, bool, bool]:
@@ -67,7 +70,10 @@ def _names(attributes: str) -> tuple[frozenset[str], str, bool, bool]:
         elif name == "itemprop":
             article |= value == "articlebody"
         else:
-            words.update(_NAME.findall(value))
+            for token in value.split():
+                said = _NAME.findall(token)
+                if not MODIFIERS.intersection(said):  # has-sidebar and ad-free name what is elsewhere
+                    words.update(said)
             article |= name == "role" and value in ("main", "article")
             if name == "class":
                 shown += sorted(value.split())
@@ -75,8 +81,18 @@ def _names(attributes: str) -> tuple[frozenset[str], str, bool, bool]:
 
 
 def parse_page(html: str | None) -> tuple[list[Block], list[tuple[str, str]], bool]:
-    """Blocks of text in page order (those that no tag or class rules out), ``(path, child's tag)`` pairs, and whether an article is marked."""
-    html = html or ""
+    """Blocks of text in page order (those that no tag or class rules out), ``(path, child's tag)`` pairs, and whether an article is marked.
+
+    If all articles of a page lie in branches that were ruled out only as a form or for a class word other than that of comments, they
+    count: the whole page can be a form, or a layout that is named for one of its parts.
+    """
+    blocks, children, marked, lost = _parse(html or "", False)
+    return _parse(html or "", True)[:3] if lost and not marked else (blocks, children, marked)
+
+
+def _parse(html: str, comes_back: bool) -> tuple[list[Block], list[tuple[str, str]], bool, bool]:
+    """As :func:`parse_page`, and whether an article was left out that ``comes_back`` would keep."""
+    lost = False
     stack: list[_Open] = [_Open("", "", False, False)]
     blocks: list[Block] = []
     children: list[tuple[str, str]] = []
@@ -151,6 +167,9 @@ def parse_page(html: str | None) -> tuple[list[Block], list[tuple[str, str]], bo
         words_drop = bool(words & BOILERPLATE) and tag not in ("body", "html") and not (article or tag in HEADINGS)
         header = (tag == "header" or bool(words & HEADERS)) and not up.article and tag not in ("body", "html", *HEADINGS) and not article
         dropped = up.dropped or tag in DROPPED or hidden or words_drop or header
+        if article and up.soft and not hidden and tag not in DROPPED and not words & COMMENTS:
+            lost, dropped = True, not comes_back
+        soft = dropped and (up.soft or not up.dropped) and not hidden and not words & COMMENTS and (tag == "form" or tag not in DROPPED)
         inside = not dropped and (up.article or article)
         marked |= inside
         path = up.path if tag in INLINE else f"{up.path}>{tag}{shown}"
@@ -158,11 +177,9 @@ def parse_page(html: str | None) -> tuple[list[Block], list[tuple[str, str]], bo
             flush()
             if not dropped:
                 children.append((up.path, tag + shown))
-        stack.append(_Open(tag, path, dropped, inside))
+        stack.append(_Open(tag, path, dropped, inside, soft))
         if tag not in INLINE:
             owner = stack[-1]
-        elif dropped and not up.dropped:
-            pass
         if m[3].endswith("/"):
             stack.pop()
         elif tag in RAW:
@@ -170,7 +187,7 @@ def parse_page(html: str | None) -> tuple[list[Block], list[tuple[str, str]], bo
             at = end.end() if end else n
             stack.pop()
     flush()
-    return blocks, children, marked
+    return blocks, children, marked, lost
 
 
 def _hash(*parts: str) -> int:

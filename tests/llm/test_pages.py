@@ -28,6 +28,21 @@ def test_article_is_kept_whole_without_boilerplate(spark):
     assert got[5].startswith("cut")
 
 
+def test_articles_below_named_layouts_come_back(spark):
+    said = "The story is told here."
+    pages_ = [
+        f"<body><form action=x><p>Path</p><article><p>{said}</p></article></form></body>",
+        f"<body><div class='layout has-sidebar'><main><p>{said}</p></main><div class='sidebar'>Links</div></div></body>",
+        f"<body><div class='post single-ad-free'><p>{said}</p></div></body>",
+        f"<body><div class='widget'><div role=main><p>{said}</p><div class='ad'>Buy</div></div></div></body>",
+        f"<body><p>{said}</p><div class='comments'><article class='comment'><p>Nice</p></article></div></body>",
+        f"<body><article><p>{said}</p></article><div class='related'><article><p>More</p></article></div></body>",
+        f"<body><p>{said}</p><aside><article><p>More</p></article></aside></body>",
+    ]
+    got = texts(spark, [(i, f"https://h{i}.example/", h) for i, h in enumerate(pages_)])
+    assert set(got.values()) == {said}
+
+
 def test_style_tree_finds_what_a_site_repeats(spark):
     rng = random.Random(5)
     rows = []
