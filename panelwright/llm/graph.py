@@ -15,19 +15,16 @@ def components(edges: DataFrame, ws: Workspace) -> DataFrame:
     """
     both = lambda e: e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = lambda e: e.groupBy("u").agg(F.min("v").alias("m"))
-    now = ws.save(edges.select("u", "v").where("u <> v").distinct(), "edges")
-    state = None
+    now = ws.save(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     while True:
         sym = both(now)
         large = sym.join(least(sym).select("u", F.least("u", "m").alias("m")), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = ws.save(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "large")
         hooked = large.join(least(large), "u")
         small = hooked.select(F.col("v").alias("u"), F.col("m").alias("v")).union(hooked.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = ws.save(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "small")
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if tuple(seen) == state:
+        before, now = now, ws.save(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "small")
+        if before.count() == now.count() and now.join(before, ["u", "v"], "left_anti").isEmpty():  # both hold an edge once
             break
-        state = tuple(seen)
     stars = now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("v"), "component")
     roots = stars.select(F.col("component").alias("v"), "component").distinct()
     return stars.union(roots)

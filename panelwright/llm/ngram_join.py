@@ -192,10 +192,10 @@ def residual_prefix(n: int, reference_n: int, size: int, linked: bool, percent:
     """How many elements of a residual of ``size`` any link through it can need (see :func:`_within_families`).
 
     ``T`` grows by ``percent / (100 + percent)`` a shingle, rounded up, which bounds how far the difference that a link allows
-    differs between two partners.
+    differs between two partners: by ``(100 - percent) / (100 + percent)`` of the difference of their sizes, and two.
     """
     if linked:
-        slack = abs(n - reference_n) // 9 + 2
+        slack = abs(n - reference_n) * (100 - percent) // (100 + percent) + 2
         return min(size, size - max(1, -(-(size + 1 - slack) // 2)) + 1)
     other = n * 100 // percent
     return min(size, n + other - 2 * required_overlap(n, other, percent) + 2)

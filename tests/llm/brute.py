@@ -46,7 +46,7 @@ def shingle_set(text: str | None) -> frozenset:
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4))
 
 
-def near_classes(docs: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:
+def near_classes(docs: list[tuple[int, str | None]], percent: int = 80) -> dict[int, tuple[int, int]]:
     sets = {d: shingle_set(t) for d, t in docs}
     up = {d: d for d in sets}
 
@@ -59,7 +59,7 @@ def near_classes(docs: list[tuple[int, str | None]]) -> dict[int, tuple[int, int
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
             n = len(sets[a] & sets[b])
-            if n and 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+            if n and 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
                 x, y = find(a), find(b)
                 up[max(x, y)] = min(x, y)
     return {d: (len(s), find(d)) for d, s in sets.items()}

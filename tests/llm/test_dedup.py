@@ -52,6 +52,32 @@ def test_ngram_classes_of_large_groups_of_near_copies(spark, long_list):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute.near_classes(docs)
 
 
+@pytest.mark.parametrize("percent", [50, 60, 70, 90])
+def test_ngram_classes_at_other_similarities(spark, percent):
+    """Families of very unequal sizes: prefixes of a text, variants and mixtures."""
+    rng = random.Random(percent)
+    one, two = (brute.prose(rng, 90).split() for _ in range(2))
+    texts = [" ".join(one[:k]) for k in range(8, 90, 2)] + [" ".join(one[k:]) for k in range(2, 50, 3)] + variants(rng, one, 30, 0.06) + variants(rng, one[:40] + two[:40], 30, 0.04) + variants(rng, two[:30], 30, 0.05)
+    rng.shuffle(texts)
+    docs = list(enumerate(texts, 1))
+    got = ngram_join.ngram_classes(spark, frame(spark, docs), percent=percent, one_in=1, frequent=50, long_list=3)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute.near_classes(docs, percent)
+
+
+@pytest.mark.parametrize("percent", [50, 60, 70, 80, 90])
+def test_residual_prefix_by_enumeration(percent):
+    """A linked member's residual and one that is not linked, of a common reference: what two linked sets must share is in the prefix."""
+    most = lambda a, b: a + b - 2 * ngram_join.required_overlap(a, b, percent)
+    for reference in range(5, 36, 3):
+        for n in range(5, 36):
+            for size in range(1, most(n, reference) + 1):
+                prefix = ngram_join.residual_prefix(n, reference, size, True, percent)
+                for m in range(max(1, n * percent // 100), n * 100 // percent + 1):
+                    least = most(m, reference) + 1  # the other is not linked to the reference
+                    shared = -(-(size + least - most(n, m)) // 2)
+                    assert shared <= 0 or shared > size or prefix >= size - shared + 1, (n, m, reference, size)
+
+
 def test_ngram_classes_of_rows_without_id_and_small_batches(spark):
     docs = brute.corpus(6)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
@@ -97,6 +123,23 @@ def test_components_of_chains_stars_and_loops(spark):
     assert {got[i] for i in (200, 250, 300)} == {200}
 
 
+def test_components_end_when_the_edges_do(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(330)]
+    up = list(range(400))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        up[max(x, y)] = min(x, y)
+    got = {r.v: r.component for r in graph.components(spark.createDataFrame(edges, "u bigint, v bigint"), Workspace(spark, "t")).collect()}
+    assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+
+
 @pytest.mark.parametrize("bound", [20_000, 4])
 def test_suffix_dedup_equals_brute_force(spark, bound):
     """A bound of four sends most groups the way of groups too large for one task."""
