@@ -48,8 +48,9 @@ def allocate(ends: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def count_tokens(docs: DataFrame, vocabulary: str, *, sections: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document and section: ``doc_id, section, kind, char_start, char_end, n_tokens, n_split_tokens, doc_tokens``.
 
-    ``sections``: a column of ``array<struct<kind, char_end>>`` in order, the last one ending where the text ends; each begins
-    where the one before it ends. By default a text's lines.
+    ``sections``: a column of ``array<struct<kind, char_end>>`` in order; each begins where the one before it ends, and the last one
+    ends where the text ends, whatever its ``char_end``. An end before the last one or beyond the text is moved to there; a null
+    one means the text's end; a null or empty array is one section without a kind. By default a text's lines.
     ``n_split_tokens``: how many of a section's tokens also reach into another. ``doc_tokens``: tokens of the whole text.
 
     A null or empty text has one empty section of no token; null ids stay null; repeated rows give repeated results; an empty
@@ -68,8 +69,10 @@ def count_tokens(docs: DataFrame, vocabulary: str, *, sections: Column | None =
                 if by_line:
                     kinds, hi = line_sections(text)
                 else:
-                    given = batch.column(2)[r].as_py() or []
-                    kinds, hi = [x["kind"] for x in given], np.array([x["char_end"] for x in given], dtype=np.int64)
+                    given = [x or {"kind": None, "char_end": None} for x in batch.column(2)[r].as_py() or [None]]
+                    kinds, ends = [x["kind"] for x in given], [len(text) if x["char_end"] is None else x["char_end"] for x in given]
+                    hi = np.maximum.accumulate(np.clip(np.array(ends, dtype=np.int64), 0, len(text)))
+                    hi[-1] = len(text)
                 lo = np.concatenate([[0], hi[:-1]])
                 raw = np.frombuffer(text.encode(), dtype=np.uint8)
                 at = np.concatenate([np.flatnonzero((raw & 0xC0) != 0x80), [len(raw)]])  # character -> byte

@@ -95,6 +95,36 @@ def test_given_sections(spark):
     assert [r.kind for r in rows] == ["a", "b"] and sum(r.n_tokens for r in rows) == rows[0].doc_tokens
 
 
+def test_odd_sections_equal_an_owner_per_token(spark):
+    """Each token belongs to the section with most of its bytes, the earlier one of equals."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(12)
+    rows = [(1, None, None), (2, "", []), (3, "alpha", None), (4, "alpha beta", [("a", 3)]), (5, "alpha beta", [("a", 99), ("b", 2), (None, None)]), (6, "", [("a", 0), ("b", 4)]), (7, "é😀 beta", [None, ("b", 3)])]
+    for i in range(8, 60):
+        text = brute.prose(rng, 12) + " é😀naïve"
+        rows.append((i, text, [(f"k{j}", rng.randrange(-3, len(text) + 5)) for j in range(rng.randrange(1, 9))]))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, spans array<struct<kind:string,char_end:bigint>>")
+    got = defaultdict(list)
+    for r in token_counts.count_tokens(df, tokens.public_vocabulary(), sections=F.col("spans")).collect():
+        got[r.doc_id].append(r)
+    enc = tokens.encoder(tokens.public_vocabulary())
+    for i, text, spans in rows:
+        text, spans = text or "", [x or (None, None) for x in spans or [None]]
+        ends, last = [], 0
+        for _, e in spans[:-1]:
+            last = max(last, min(max(len(text) if e is None else e, 0), len(text)))
+            ends.append(len(text[:last].encode()))
+        ends.append(len(text.encode()))
+        want, before = [0] * len(spans), 0
+        for e in enc.byte_ends(text).tolist() if text else []:
+            held = [max(0, min(e, hi) - max(before, lo)) for lo, hi in zip([0, *ends], ends, strict=False)]
+            want[held.index(max(held))] += 1
+            before = e
+        own = sorted(got[i], key=lambda r: r.section)
+        assert [r.n_tokens for r in own] == want and [r.kind for r in own] == [k for k, _ in spans], (i, text, spans)
+
+
 def test_quality_base_figures(spark):
     docs = brute.corpus() + EDGES[:-1] + [(900, "a b c d e a b c d e a b c d e f g h"), (901, "# x\n# x\n\n \n# x | < >")]
     rows = quality_rules.base_figures(frame(spark, docs)).collect()
