@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelwright.llm import decontamination, ngram_join, packing, quality_rules, suffix_dedup, tokens
+from panelwright.llm import decontamination, key_filter, ngram_join, packing, quality_rules, suffix_dedup, tokens
 from panelwright.llm.queries import table
 from panelwright.llm.shared import Workspace
 
@@ -38,10 +38,9 @@ def _operand(docs: DataFrame) -> DataFrame:
     return _by_id(docs).select("doc_id", *[F.col("row").getField(c).alias(c) for c in ("text", "lang", "source")])
 
 
-def _without(docs: DataFrame, ids: DataFrame, ids_at_once: int = 1_000_000) -> DataFrame:
-    """``docs`` without these ids. So many ids at most (eight bytes each) are broadcast to the texts; more are joined by a shuffle."""
-    gone = decontamination.small(ids.select("doc_id").distinct(), ids_at_once)
-    return _by_id(docs).join(gone, "doc_id", "left_anti").select("row.*")
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without these ids. Texts whose id is surely not among them stay where they are, at any number of ids."""
+    return key_filter.without_keys(_by_id(docs), ids.select("doc_id").distinct(), "doc_id").select("row.*")
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +66,8 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
     rows = _by_id(docs).select("row", F.unhex(F.sha2(F.coalesce("row.text", F.lit("")).cast("binary"), 256)).alias("sha"))
     own = {c: F.col("row").getField(c) for c in docs.columns}
     now = own | {"text": F.when(F.col("cut").isNotNull(), F.col("cut.text")).otherwise(own["text"]), "n_chars": F.when(F.col("cut").isNotNull(), F.length("cut.text").cast("bigint")).otherwise(own["n_chars"])}
-    return rows.join(cut, "sha", "left").select(*[now[c].alias(c) for c in docs.columns])
+    maybe, rest = key_filter.split_by_keys(rows, cut.select("sha"), "sha")
+    return maybe.join(cut, "sha", "left").select(*[now[c].alias(c) for c in docs.columns]).union(rest.select("row.*"))
 
 
 def reject_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
