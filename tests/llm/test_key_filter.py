@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from panelwright.llm import key_filter
 
 
-@pytest.mark.parametrize("bits", [15, 16, 27])
+@pytest.mark.parametrize("bits", [15, 16, 27, None])
 def test_without_keys_is_exact_at_any_size_of_bitmap(spark, bits):
-    rng = random.Random(bits)
+    rng = random.Random(bits or 1)
     rows = [(rng.choice([None, *range(-50, 3000)]), f"t{i}") for i in range(4000)]
     keys = rng.sample(range(-50, 3000), 900)
     df, k = spark.createDataFrame(rows, "k bigint, t string"), spark.createDataFrame([(x,) for x in [*keys, None]], "k bigint")
