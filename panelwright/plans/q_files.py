@@ -107,7 +107,10 @@ def export_scan_csv(spark, sf):
     return S.export_scan_csv(df)
 
 
-@query("start_dt end_dt n_symbols n_rows", sql="SELECT min(dt) AS start_dt, max(dt) AS end_dt, count(DISTINCT symbol) AS n_symbols, count(*) AS n_rows FROM x_daily")
+_ROW_HASH = "CAST('0x' || substr(md5(symbol || '|' || CAST(dt AS VARCHAR) || '|' || CAST(CAST(floor(value * 1000000 + 0.5) AS BIGINT) AS VARCHAR)), 1, 12) AS BIGINT)"
+
+
+@query("symbol start_dt end_dt n_symbols n_rows fingerprint", sql=f"SELECT symbol, min(dt) AS start_dt, max(dt) AS end_dt, count(DISTINCT symbol) AS n_symbols, count(*) AS n_rows, CAST(sum({_ROW_HASH}) AS VARCHAR) AS fingerprint FROM x_daily GROUP BY ROLLUP (symbol)")
 def write_prepared_panel(spark, sf):
     at = S.shared_folder(spark, "panel")
     A.daily_levels(spark, sf).write.parquet(at)

@@ -151,6 +151,12 @@ def get_research_run(runs: DataFrame, run_id: str, request_schema: str) -> DataF
 
 
 def prepared_panel_manifest(panel: DataFrame) -> DataFrame:
-    """One row about a prepared panel: dates, symbols, rows, fingerprint of its counts."""
-    g = panel.agg(F.min("dt").alias("start_dt"), F.max("dt").alias("end_dt"), F.countDistinct("symbol").alias("n_symbols"), F.count(F.lit(1)).alias("n_rows"))
-    return g.withColumn("fingerprint", F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in ("start_dt", "end_dt", "n_symbols", "n_rows")]), 256))
+    """``symbol, start_dt, end_dt, n_symbols, n_rows, fingerprint`` of each symbol, and with a null symbol of the whole panel.
+
+    A fingerprint is a sum of the rows' hashes (48 bits of an MD5 of symbol, date and the value to six places), so that it does not depend
+    on the order of rows or on how they are partitioned, symbols' sums add up to the panel's, and any changed value changes it.
+    """
+    value = F.coalesce(F.floor(F.col("value") * 1_000_000 + 0.5).cast("string"), F.lit("null"))
+    row = F.md5(F.concat_ws("|", "symbol", F.col("dt").cast("string"), value).cast("binary"))
+    df = panel.select("symbol", "dt", F.conv(F.substring(row, 1, 12), 16, 10).cast("decimal(20,0)").alias("_h"))
+    return df.rollup("symbol").agg(F.min("dt").alias("start_dt"), F.max("dt").alias("end_dt"), F.countDistinct("symbol").alias("n_symbols"), F.count(F.lit(1)).alias("n_rows"), F.sum("_h").cast("string").alias("fingerprint"))
