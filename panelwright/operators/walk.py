@@ -54,18 +54,23 @@ def tuning_training_start(periods: DataFrame, folds: int, lookback: int) -> Data
     return periods.select("period_id", F.add_months(F.trunc("train_end", "MONTH"), 1 - folds - lookback).alias("inner_start"))
 
 
+def _within(levels: DataFrame, spans: DataFrame) -> DataFrame:
+    """``levels`` with the rows of ``spans(_a, _b, ..)`` whose dates hold theirs: joined by month, of which a span lists those it touches."""
+    months = F.explode(F.sequence(F.trunc("_a", "MONTH"), F.trunc("_b", "MONTH"), F.expr("INTERVAL 1 MONTH")))
+    p = F.broadcast(spans.where("_a <= _b").withColumn("_month", months))  # periods times their months
+    return levels.withColumn("_month", F.trunc("dt", "MONTH")).join(p, "_month").where(F.col("dt").between(F.col("_a"), F.col("_b"))).drop("_month")
+
+
 def slice_panel(levels: DataFrame, periods: DataFrame, start: str, end: str) -> DataFrame:
-    """``period_id`` and the panel's rows inside each period's span: one range join for all; the periods are the small side."""
-    p = F.broadcast(periods.select("period_id", F.col(start).alias("_a"), F.col(end).alias("_b")))
-    return levels.join(p, F.col("dt").between(F.col("_a"), F.col("_b"))).drop("_a", "_b")
+    """``period_id`` and the panel's rows inside each period's span; the periods are the small side."""
+    return _within(levels, periods.select("period_id", F.col(start).alias("_a"), F.col(end).alias("_b"))).drop("_a", "_b")
 
 
 def trailing_momentum(levels: DataFrame, periods: DataFrame, months: int, *, tolerance: int = 7) -> DataFrame:
     """``period_id, symbol, momentum``: last level by the decision over the first on or after ``months`` earlier, both within
     ``tolerance`` days of those dates."""
-    p = periods.select("period_id", "decision_date", F.add_months("decision_date", -months).alias("_a"))
-    j = levels.join(F.broadcast(p), F.col("dt").between(F.col("_a"), F.col("decision_date")))
-    g = j.groupBy("period_id", "symbol").agg(F.min_by("value", "dt").alias("x"), F.max_by("value", "dt").alias("y"), F.min("dt").alias("a"), F.max("dt").alias("b"), F.max("_a").alias("_a"), F.max("decision_date").alias("_b"))
+    j = _within(levels, periods.select("period_id", F.add_months("decision_date", -months).alias("_a"), F.col("decision_date").alias("_b")))
+    g = j.groupBy("period_id", "symbol").agg(F.min_by("value", "dt").alias("x"), F.max_by("value", "dt").alias("y"), F.min("dt").alias("a"), F.max("dt").alias("b"), F.max("_a").alias("_a"), F.max("_b").alias("_b"))
     return g.where((F.datediff("a", "_a") <= tolerance) & (F.datediff("_b", "b") <= tolerance)).select("period_id", "symbol", (F.col("y") / F.col("x") - 1).alias("momentum"))
 
 
@@ -101,8 +106,12 @@ def oos_chain(levels: DataFrame, periods: DataFrame, decisions: DataFrame, *, co
     w = Window.partitionBy(F.lit(0)).orderBy("decision_date")
     order = periods.withColumn("_i", F.row_number().over(w).cast("bigint")).select("period_id", "decision_date", "eval_end", "_i")
     d = decisions.join(F.broadcast(order), "period_id")
-    p = levels.join(d, "symbol").where(F.col("dt") <= F.col("eval_end"))
-    legs = p.groupBy("period_id", "_i", "symbol", "weight").agg(F.max_by("value", F.when(F.col("dt") <= F.col("decision_date"), F.col("dt"))).alias("a"), F.max_by("value", "dt").alias("b"))
+    asked = d.select("symbol", F.explode(F.array("decision_date", "eval_end")).alias("dt")).distinct()
+    both = levels.select("symbol", "dt", "value", F.lit(0).alias("_asked")).union(asked.select("symbol", "dt", F.lit(None).cast("double"), F.lit(1)))
+    upto = Window.partitionBy("symbol").orderBy("dt", "_asked").rowsBetween(Window.unboundedPreceding, 0)
+    last = both.withColumn("value", F.last("value", ignorenulls=True).over(upto)).where("_asked = 1 and value is not null")
+    legs = d.join(last.select("symbol", F.col("dt").alias("eval_end"), F.col("value").alias("b")), ["symbol", "eval_end"])
+    legs = legs.join(last.select("symbol", F.col("dt").alias("decision_date"), F.col("value").alias("a")), ["symbol", "decision_date"], "left")
     legs = legs.withColumn("g", F.col("weight") * F.col("b") / F.col("a"))
     growth = legs.groupBy("period_id", "_i").agg(F.sum("g").alias("growth"))
     drifted = legs.join(growth.select("period_id", "growth"), "period_id").select((F.col("_i") + 1).alias("_i"), "symbol", (F.col("g") / F.col("growth")).alias("old"))

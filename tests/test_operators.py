@@ -96,15 +96,15 @@ def test_segments_equal_a_day_loop(spark):
 
 def test_combos_equal_held_portfolios(spark):
     rng = random.Random(2)
-    prices = {s: list(np.cumprod([1 + rng.uniform(-0.1, 0.12) for _ in range(40)])) for s in "ABCDE"}
+    prices = {s: list(np.cumprod([1 + rng.uniform(-0.1, 0.12) for _ in range(200)])) for s in "ABCDE"}
     panel = levels(spark, prices)
-    pos = spark.createDataFrame([(s, i) for i, s in enumerate("ABCDE")], "symbol string, pos bigint")
-    c = combos.enumerate_combos(pos, 3)
+    names, dates, matrix_ = combos.price_matrix(panel)
+    ranks = combos.combo_ranks(spark, 5, 3, at_once=4)
+    c = combos.enumerate_combos(ranks, names, 3)
     assert [("".join(r.members)) for r in c.orderBy("combo_rank").collect()] == ["ABC", "ABD", "ABE", "ACD", "ACE", "ADE", "BCD", "BCE", "BDE", "CDE"]
-    bench = spark.createDataFrame([([0.01 * (i % 5 - 2) for i in range(39)],)], "bret array<double>")
-    resets = F.array(*[F.lit(int(i % 7 == 0 and i > 0)) for i in range(40)])
-    for flags, column in (([False] * 40, None), ([i % 7 == 0 and i > 0 for i in range(40)], resets)):
-        for r in combos.evaluate_combos(c, combos.price_arrays(panel), bench, resets=column).collect():
+    firsts = [r.flag for r in nav.rebalance_flags(panel, "MONTH", "first").orderBy("dt").collect()]
+    for mode, flags in (("never", [False] * 200), ("monthly", firsts)):
+        for r in combos.evaluate_combos(ranks.where("combo_rank % 3 = 0"), names, dates, matrix_, np.arange(1.0, 201), 3, modes=(mode,), delay=0).collect():
             want = naive_nav({s: prices[s] for s in r.members}, dict.fromkeys(r.members, 1 / 3), flags, 0.0)
             assert r.total_return == pytest.approx(want[-1] - 1, rel=1e-9)
             assert r.max_drawdown == pytest.approx((np.array(want) / np.maximum.accumulate(want) - 1).min(), abs=1e-12)
