@@ -5,7 +5,7 @@ of least hash), so equal windows have the same anchor at the same place. Anchors
 a sorted shuffle. What is left is grouped by ``k``-gram, and each group's suffixes are ordered by deep-shallow sorting:
 multikey quicksort to a shallow depth, then a blind trie for each set of strings that still agree. The sorted order gives
 common prefixes to the right of the anchors; with what agrees to their left, a window is repeated if both together reach
-``length``. A group has a bound; beyond it windows are compared by hash across tasks instead, which is exact as well.
+``length``. A group has a bound; beyond it windows are compared by hash across tasks instead, equal up to collisions of two 64-bit hashes, the bytes are not compared.
 """
 
 from __future__ import annotations
