@@ -135,9 +135,12 @@ def _sets(spark, sf):
     return s.where("symbol <= 'Brand#18'"), s.where("symbol > 'Brand#6'")
 
 
-@query("variant_id n", sql="WITH s AS (SELECT DISTINCT symbol FROM x_monthly), b AS (SELECT symbol FROM s WHERE symbol <= 'Brand#18'), c AS (SELECT symbol FROM s WHERE symbol > 'Brand#6') SELECT 'base' AS variant_id, count(*) AS n FROM b UNION ALL SELECT '-' || symbol, (SELECT count(*) - 1 FROM b) FROM b UNION ALL SELECT '+' || symbol, (SELECT count(*) + 1 FROM b) FROM c UNION ALL SELECT '-' || b.symbol || '+' || c.symbol, (SELECT count(*) FROM b) FROM b, c")
+_VARIANTS = "WITH s AS (SELECT DISTINCT symbol FROM x_monthly), b AS (SELECT symbol FROM s WHERE symbol <= 'Brand#18'), c AS (SELECT symbol FROM s WHERE symbol > 'Brand#6') SELECT 'base' AS variant_id, symbol FROM b UNION SELECT '-' || x.symbol, b.symbol FROM b x, b WHERE b.symbol <> x.symbol UNION SELECT '+' || c.symbol, b.symbol FROM c, b UNION SELECT '+' || symbol, symbol FROM c UNION SELECT '-' || x.symbol || '+' || c.symbol, b.symbol FROM b x, c, b WHERE b.symbol <> x.symbol UNION SELECT '-' || x.symbol || '+' || c.symbol, c.symbol FROM b x, c"
+
+
+@query("variant_id symbol", sql=_VARIANTS)
 def experiment_variants(spark, sf):
-    return X.experiment_variants(*_sets(spark, sf)).groupBy("variant_id").agg(F.count(F.lit(1)).alias("n"))
+    return X.experiment_variants(*_sets(spark, sf))
 
 
 def snapshot(spark, sf):
