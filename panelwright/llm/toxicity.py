@@ -2,15 +2,17 @@
 
 Confirmed toxic examples are the positives; all other training text is unlabelled, toxic or not. Linear numpy classifiers
 minimise ``prior * R+ + max(0, R_u - prior * R+_neg)``, the risk estimate that the class prior corrects and that is not allowed to go below
-zero. Spark picks the bounded training sample, builds its features and scores every whole text; a text's score is a sum over
-its distinct words, so each word is looked up once in a bounded table.
+zero. Spark counts features, sums losses and gradients over all training texts and scores every whole text; a text's score is a
+sum over its distinct words, so each word is looked up once in a bounded table.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 from math import fsum
 from zlib import crc32
 
@@ -18,9 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from panelwright.llm.shared import Workspace
+
 _WORD = re.compile(r"\w+")
 DIMENSIONS = 1 << 18
 PREFIXES = (4, 5, 6, 7)
+BINS = 64
 
 
 def word_features(word: str) -> list[int]:
@@ -42,56 +47,43 @@ class Model:
         return float(1 / (1 + np.exp(-z)))
 
 
-class _Rows:
-    """Sparse rows as one index array; a feature's value is how often it is there."""
+class PuRisk:
+    """The corrected risk of a linear classifier and its gradient, from sums over positive and unlabelled texts."""
+
+    def __init__(self, prior: float, n_positive: int, n_unlabelled: int) -> None:
+        self.prior, self.n_positive, self.n_unlabelled = prior, n_positive, n_unlabelled
+
+    def parts(self, losses: np.ndarray) -> tuple[float, float]:
+        """``prior * R+`` and ``R_u - prior * R+_neg`` of summed losses (positives as 1, as 0, unlabelled as 0)."""
+        return self.prior * losses[0] / self.n_positive, losses[2] / self.n_unlabelled - self.prior * losses[1] / self.n_positive
 
-    def __init__(self, rows: list[np.ndarray]) -> None:
-        self.index = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
-        self.sizes = np.array([len(r) for r in rows], dtype=np.int64)
-        self.owner = np.repeat(np.arange(len(rows)), self.sizes)
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
+    def gradient(self, losses: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        """The descent direction; ``sums`` holds the three losses' gradients by weight. Below zero the second part alone is undone."""
+        second = sums[2] / self.n_unlabelled - self.prior * sums[1] / self.n_positive
+        return self.prior * sums[0] / self.n_positive + second if self.parts(losses)[1] >= 0 else -second
 
-    def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.owner, weights=w[self.index], minlength=len(self.sizes))
 
-    def back(self, g: np.ndarray, dims: int) -> np.ndarray:
-        return np.bincount(self.index, weights=g[self.owner], minlength=dims)
+def pattern_sums(index: np.ndarray, sizes: np.ndarray, n_positive: np.ndarray, n_texts: np.ndarray, w: np.ndarray, b: float) -> tuple[np.ndarray, np.ndarray]:
+    """The three summed losses of rows of features and their gradients by weight, the bias last. A feature counts as often as it is listed."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    z = np.clip(np.bincount(owner, weights=w[index], minlength=len(sizes)) + b, -60, 60)
+    sig = 1 / (1 + np.exp(-z))
+    losses = np.array([n_positive @ np.logaddexp(0, -z), n_positive @ np.logaddexp(0, z), n_texts @ np.logaddexp(0, z)])
+    slopes = (n_positive * (sig - 1), n_positive * sig, n_texts * sig)
+    return losses, np.array([np.append(np.bincount(index, weights=g[owner], minlength=len(w)), g.sum()) for g in slopes])
 
 
-def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, dims: int, *, seed: int = 0, epochs: int = 60, batches: int = 4, rate: float = 0.05, l1: float = 1e-4) -> Model:
-    """One linear classifier by non-negative PU risk with logistic loss, Adam steps and an L1 shrinkage after each."""
-    rng = np.random.default_rng(seed)
+def train_nnpu(risk: PuRisk, sums: Callable[[np.ndarray, float], tuple[np.ndarray, np.ndarray]], dims: int, *, steps: int = 40, rate: float = 0.15, l1: float = 1e-4) -> Model:
+    """One linear classifier by Adam steps on the whole non-negative PU risk with logistic loss, an L1 shrinkage after each."""
     w, b = np.zeros(dims), 0.0
-    m, v, steps = np.zeros(dims + 1), np.zeros(dims + 1), 0
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-    for _ in range(epochs):
-        pos, unl = rng.permutation(len(positive)), rng.permutation(len(unlabelled))
-        for ps, us in zip(np.array_split(pos, batches), np.array_split(unl, batches), strict=True):
-            if not len(ps) or not len(us):
-                continue
-            p, u = _Rows([positive[i] for i in ps]), _Rows([unlabelled[i] for i in us])
-            zp, zu = p.dot(w) + b, u.dot(w) + b
-            negative_risk = np.mean(np.logaddexp(0, zu)) - prior * np.mean(np.logaddexp(0, zp))
-            gp_neg, gu = prior * sigmoid(zp) / len(ps), sigmoid(zu) / len(us)
-            if negative_risk >= 0:
-                gp, gu = prior * (sigmoid(zp) - 1) / len(ps) - gp_neg, gu
-            else:  # the corrected risk went below zero: step back on that part alone
-                gp, gu = gp_neg, -gu
-            grad = np.append(p.back(gp, dims) + u.back(gu, dims), gp.sum() + gu.sum())
-            steps += 1
-            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-            move = rate * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.999**steps)) + 1e-8)
-            w, b = w - move[:-1], b - move[-1]
-            w = np.sign(w) * np.maximum(np.abs(w) - l1, 0)
-    return Model(w, b)
-
-
-def telling_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], *, lift: float = 2.5, z: float = 4.0) -> np.ndarray:
-    """Features in clearly more of the positives than of the unlabelled: ``lift`` times the share, ``z`` Poisson deviations above it."""
-    count = lambda rows: np.bincount(np.concatenate([np.unique(x) for x in rows]), minlength=DIMENSIONS)
-    p, u = count(positive), (count(unlabelled) + 0.5) / (len(unlabelled) + 1)
-    expected = len(positive) * u
-    return np.flatnonzero((p >= 3) & (p >= lift * expected) & (p - expected >= z * np.sqrt(expected)))
+    m, v = np.zeros(dims + 1), np.zeros(dims + 1)
+    for step in range(1, steps + 1):
+        grad = risk.gradient(*sums(w, b))
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        w, b = w - move[:-1], b - move[-1]
+        w = np.sign(w) * np.maximum(np.abs(w) - l1, 0)
+    return Model(np.round(w, 6), round(b, 6))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -99,89 +91,154 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, max_positive: int = 3000, max_unlabelled: int = 9000, models: int = 3) -> tuple[Model, float]:
-    """The averaged model and the class prior, from rows that are not held out.
-
-    Bounds: at most ``max_positive`` confirmed toxic and ``max_unlabelled`` other texts, those of least ``xxhash64(doc_id)``.
-    The prior is the toxic share of all training labels. The decision point is set
-    on the same positives and unlabelled texts; no negative label is read.
+def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``feature, p, n``: how many distinct words of positive texts, and of all texts, carry a feature."""
+    totals, words = np.zeros((2, DIMENSIONS), dtype=np.int64), (Counter(), Counter())
+
+    def flush() -> None:
+        for total, found in zip(totals, words, strict=True):
+            for word, n in found.items():
+                for x in word_features(word):
+                    total[x] += n
+            found.clear()
+
+    for batch in batches:
+        for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
+            own = distinct_words(text.as_py())
+            words[1].update(own)
+            if toxic.as_py():
+                words[0].update(own)
+        if len(words[1]) > 300_000:
+            flush()
+    flush()
+    seen = np.flatnonzero(totals[1])
+    yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(totals[0][seen]), pa.array(totals[1][seen])], names=["feature", "p", "n"])
+
+
+def telling_features(counts: DataFrame, n_positive: int, n_texts: int, *, lift: float = 2.5, z: float = 4.0) -> DataFrame:
+    """Features clearly commoner in positives than in all texts: ``lift`` times the share, ``z`` Poisson deviations above it."""
+    expected = (F.col("n") + 0.5) / (n_texts + 1) * n_positive
+    return counts.where((F.col("p") >= 3) & (F.col("p") >= lift * expected) & (F.col("p") - expected >= z * F.sqrt(expected)))
+
+
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, prior: float | None = None, steps: int = 40, workspace: Workspace | None = None) -> tuple[Model, float]:
+    """The model and the class prior, from every text that is not held out.
+
+    Confirmed toxic texts are the positives, all training texts the unlabelled population that has them in their share. A text is
+    reduced to those of its features that tell positives apart (counted over all texts), equal reductions are added up, and each
+    step sums losses and gradients over that table in Spark, so no text is left out and the driver holds no more than one
+    number a feature. ``prior`` is the toxic share of all texts; where it is not given, that of all training labels. The decision
+    point is set on the same positives and unlabelled texts.
     """
+    ws = workspace or Workspace(spark, "toxicity")
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = known.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("p")).first()
+    nothing = Model(np.zeros(DIMENSIONS), -60.0)
     if not total.n or not total.p:
-        return Model(np.zeros(DIMENSIONS), -60.0), 0.0
-    prior = min(0.9, total.p / total.n)
-    first = F.xxhash64("doc_id")
-    ids = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").join(known, "doc_id", "left")
-    pick = ids.where("toxic = 1").orderBy(first, "doc_id").limit(max_positive).select("doc_id", "toxic")
-    pick = pick.union(ids.where("toxic is null or toxic <> 1").orderBy(first, "doc_id").limit(max_unlabelled).select("doc_id", "toxic"))
-    chosen = spark.createDataFrame(pick.collect(), "doc_id bigint, toxic int")  # bounded
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return nothing, 0.0
+    prior = min(0.9, total.p / total.n if prior is None else prior)
+    toxic_ids = known.where("toxic = 1").select("doc_id", F.lit(True).alias("toxic"))
+    texts = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text").join(toxic_ids, "doc_id", "left").select("text", F.coalesce("toxic", F.lit(False)).alias("toxic"))
+    size = texts.agg(F.count_if("toxic").alias("p"), F.count(F.lit(1)).alias("n")).first()
+    if not size.p:
+        return nothing, prior
+    counts = texts.mapInArrow(_feature_counts, "feature int, p bigint, n bigint").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    kept = np.array(sorted(r.feature for r in telling_features(counts, size.p, size.n).select("feature").collect()), dtype=np.int64)  # at most DIMENSIONS
+    to = spark.sparkContext.broadcast(dict(zip(kept.tolist(), range(len(kept)), strict=True)))
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = to.value
+
+        def kept_of(word: str) -> list[int]:
+            return [place[x] for x in word_features(word) if x in place]
+
+        get = _WordTable(kept_of).__getitem__
+        for batch in batches:
+            rows = [np.array(sorted(chain.from_iterable(map(get, distinct_words(t.as_py())))), dtype="<i4").tobytes() for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1)], names=["f", "toxic"])
+
+    patterns = ws.save(texts.mapInArrow(reduced, "f binary, toxic boolean").groupBy("f").agg(F.count_if("toxic").alias("p"), F.count(F.lit(1)).alias("n")), "patterns")
+
+    def sums(w: np.ndarray, b: float) -> tuple[np.ndarray, np.ndarray]:
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            losses, grads = np.zeros(3), np.zeros((3, len(w) + 1))
+            for batch in batches:
+                own = pattern_sums(*_rows_of(batch), w, b)
+                losses, grads = losses + own[0], grads + own[1]
+            out = np.column_stack([losses, grads])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.shape[1], dtype=np.int32)), *map(pa.array, out)], names=["i", "a", "b", "c"])
+
+        added = patterns.mapInArrow(part, "i int, a double, b double, c double").groupBy("i").agg(F.sum("a"), F.sum("b"), F.sum("c")).collect()
+        out = np.zeros((3, len(w) + 2))
+        for r in added:  # one row a weight
+            out[:, r[0]] = r[1:]
+        return out[:, 0], out[:, 1:]
+
+    model = train_nnpu(PuRisk(prior, size.p, size.n), sums, len(kept), steps=steps)
+
+    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.array([x for w in sorted(distinct_words(t.as_py())) for x in word_features(w)], dtype=np.int32).tobytes() for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], names=["f", "toxic"])
-
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic").mapInArrow(features, "f binary, toxic int").collect()
-    rows.sort(key=lambda r: (crc32(bytes(r.f)), r.toxic or 0))
-    every = [np.frombuffer(bytes(r.f), dtype=np.int32).astype(np.int64) for r in rows]
-    toxic = np.array([-1 if r.toxic is None else r.toxic for r in rows])
-    positive = [x for x, t in zip(every, toxic, strict=True) if t == 1]
-    if not positive:
-        return Model(np.zeros(DIMENSIONS), -60.0), prior
-    # The unlabelled risk is over a population with the positives in it, in their share.
-    rest = [x for x, t in zip(every, toxic, strict=True) if t != 1]
-    mixed = [*rest, *positive[: round(len(rest) * prior / (1 - prior))]]
-    kept = telling_features(positive, mixed)
-    to = np.full(DIMENSIONS, -1)
-    to[kept] = np.arange(len(kept))
-    small = lambda x: to[x][to[x] >= 0]
-    fitted = [train_nnpu([small(x) for x in positive], [small(x) for x in mixed], prior, len(kept), seed=s) for s in range(models)]
-    weights = np.mean([x.weights for x in fitted], axis=0)
-    bias = float(np.mean([x.bias for x in fitted]))
-    sums = lambda rows: np.array([weights[small(x)].sum() for x in rows])
+            index, sizes, p, n = _rows_of(batch)
+            z = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=model.weights[index], minlength=len(sizes))
+            yield pa.RecordBatch.from_arrays([pa.array(np.floor(np.clip(z, -60, 60) * BINS).astype(np.int32)), pa.array(p), pa.array(n)], names=["bin", "p", "n"])
+
+    binned = np.array(patterns.mapInArrow(bins, "bin int, p bigint, n bigint").groupBy("bin").agg(F.sum("p"), F.sum("n")).orderBy("bin").collect())  # at most 120 * BINS
     out = np.zeros(DIMENSIONS)
-    out[kept] = weights
-    return Model(out, _decision_bias(sums(positive), sums(mixed), prior, bias)), prior
+    out[kept] = model.weights
+    return Model(out, _decision_bias(*binned.T, prior, model.bias)), prior
+
+
+def _rows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A batch of the reduced table as one index array, sizes, and counts of positives and of all texts."""
+    found = batch.column(0).to_pylist()
+    index = np.frombuffer(b"".join(found), dtype="<i4").astype(np.int64)
+    return index, np.array([len(x) // 4 for x in found], dtype=np.int64), batch.column(1).to_numpy(), batch.column(2).to_numpy()
 
 
-def _decision_bias(positive: np.ndarray, unlabelled: np.ndarray, prior: float, bias: float) -> float:
+def _decision_bias(bins: np.ndarray, positive: np.ndarray, texts: np.ndarray, prior: float, bias: float) -> float:
     """The bias that is best by what positives and unlabelled rows alone can tell: ``recall ** 2 / share predicted``.
 
     That ratio is proportional to precision times recall, whose negatives are unknown. The share is at least that of the positives
-    found, ``prior * recall``. The learned bias stays where it is as good; else the middle of the best range is taken.
+    found, ``prior * recall``. Rows come counted by their sum's bin (``BINS`` to one), in order; a cut lies in the middle between
+    two occupied bins. The learned bias stays where it is as good; else the middle of the best cuts is taken.
     """
-    cuts = np.unique(np.append(positive, unlabelled))
-    tries = np.append(-(cuts[1:] + cuts[:-1]) / 2, bias)
-    p, u = np.sort(positive), np.sort(unlabelled)
-    above = lambda z: 1 - np.searchsorted(z, -tries) / len(z)
-    recall, share = above(p), above(u)
+    cuts = (bins[1:] + bins[:-1] + 1) / (2 * BINS)
+    at = np.searchsorted(cuts, -bias)
+    above = lambda n: np.cumsum(n[::-1])[::-1] / n.sum()
+    recall, share = above(positive), above(texts)
     value = np.where(recall > 0, recall**2 / np.maximum(np.maximum(share, prior * recall), 1e-12), 0.0)
     best = value >= value.max() - 1e-12
-    return bias if best[-1] else float(np.median(tries[best]))
+    if best[at] or not best[1:].any():
+        return bias
+    return float(-np.median(cuts[best[1:]]))
+
+
+class _WordTable(dict):
+    """Values of words, each made once; emptied when it has grown large."""
 
+    def __init__(self, make: Callable[[str], object]) -> None:
+        self.make = make
 
-def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
+    def __missing__(self, word: str) -> object:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = value = self.make(word)
+        return value
+
+
+def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, prior: float | None = None, steps: int = 40, workspace: Workspace | None = None) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row; ``predicted`` is 1 from a score of 0.5.
 
     Labels count as in :func:`held_out`; labels, languages, sources and ids are no input of a score. Null and empty texts score
     as a text without words. A document labelled more than once is toxic if one label says so. Without a toxic training label
     every score is 0. Repeated rows are scored each; an empty table gives no row; other columns are not read.
     """
-    model, _ = fit(spark, docs, labels, **bounds)
+    model, _ = fit(spark, docs, labels, prior=prior, steps=steps, workspace=workspace)
     shared = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value.weights
-
-        class Sums(dict):
-            def __missing__(self, word: str) -> float:
-                if len(self) > 300_000:
-                    self.clear()
-                self[word] = s = float(weights[word_features(word)].sum())
-                return s
-
-        get = Sums().__getitem__
+        get = _WordTable(lambda word: float(weights[word_features(word)].sum())).__getitem__
         for batch in batches:
             scores = [shared.value.score(fsum(map(get, distinct_words(t.as_py())))) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])

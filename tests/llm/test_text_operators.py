@@ -3,7 +3,7 @@ from __future__ import annotations
 import math
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -275,12 +275,85 @@ def test_toxicity_learns_from_positives_alone(spark):
     assert not any(r.predicted for r in none)
 
 
-def test_nnpu_risk_step():
-    rng = np.random.default_rng(0)
-    pos = [np.array([0, *rng.integers(1, 20, 4)]) for _ in range(200)]
-    unl = [np.array([0, *rng.integers(1, 20, 4)]) if rng.random() < 0.2 else rng.integers(1, 20, 5) for _ in range(800)]
-    m = toxicity.train_nnpu(pos, unl, 0.2, 20)
-    assert m.weights[0] == max(m.weights) and m.score(m.weights[0]) > 0.5 > m.score(5 * float(np.mean(m.weights[1:])))
+def listed_sums(rows, toxic):
+    """Sums of :func:`toxicity.pattern_sums` from lists of features, a text at a time."""
+
+    def sums(w, b):
+        losses, grads = np.zeros(3), np.zeros((3, len(w) + 1))
+        for row, is_positive in zip(rows, toxic, strict=True):
+            z = min(60.0, max(-60.0, sum(w[x] for x in row) + b))
+            sig = 1 / (1 + np.exp(-z))
+            for k, (n, loss, slope) in enumerate([(is_positive, np.log1p(np.exp(-z)), sig - 1), (is_positive, np.log1p(np.exp(z)), sig), (1, np.log1p(np.exp(z)), sig)]):
+                losses[k] += n * loss
+                for x in [*row, len(w)]:
+                    grads[k][x] += n * slope
+        return losses, grads
+
+    return sums
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.9])
+def test_nnpu_gradient_by_finite_differences(prior):
+    rng = np.random.default_rng(1)
+    rows, toxic = [rng.integers(0, 6, rng.integers(0, 5)).tolist() + [6] * (i < 15) for i in range(60)], [i < 15 for i in range(60)]
+    risk, w = toxicity.PuRisk(prior, 15, 60), np.append(rng.normal(size=6), [3.0, -1.0])
+    losses, grads = toxicity.pattern_sums(np.array([x for r in rows for x in r]), np.array([len(r) for r in rows]), np.array(toxic, dtype=int), np.ones(60, dtype=int), w[:-1], w[-1])
+    by_text = listed_sums(rows, toxic)
+    plain = by_text(w[:-1], w[-1])
+    assert np.allclose(losses, plain[0]) and np.allclose(grads, plain[1])
+    below = risk.parts(losses)[1] < 0
+    assert below == (prior == 0.9)
+
+    def value(at):
+        first, second = risk.parts(by_text(at[:-1], at[-1])[0])
+        return -second if below else first + second
+
+    steps = np.eye(8) * 1e-6
+    slopes = [(value(w + d) - value(w - d)) / 2e-6 for d in steps]
+    assert np.allclose(risk.gradient(losses, grads), slopes, atol=1e-6)
+
+
+def test_toxicity_fit_equals_plain_python_over_all_texts(spark):
+    rng = random.Random(8)
+    docs = [(i, None if i % 50 == 7 else "" if i % 50 == 8 else brute.prose(rng, 25) + (" grumbles grumbled snarl" if i % 5 == 0 else "")) for i in range(400)]
+    docs += [docs[5], docs[5], (None, "snarl"), (401, "snarl " * 30_000)]
+    labels = [(i, int(i % 5 == 0)) for i in range(0, 400, 3)] + [(9, 0), (9, 1), (None, 1), (12, None)]
+    got, prior = toxicity.fit(spark, frame(spark, docs).repartition(5), spark.createDataFrame(labels, "doc_id bigint, toxic int"), steps=15)
+    train = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5
+    known = {}
+    for i, t in labels:
+        if train(i) and t is not None:
+            known[i] = max(t, known.get(i, 0))
+    assert prior == sum(known.values()) / len(known)
+    texts = [(toxicity.distinct_words(t), known.get(i) == 1) for i, t in docs if train(i)]
+    n, p = Counter(), Counter()
+    for words, toxic in texts:
+        for x in (x for w in words for x in toxicity.word_features(w)):
+            n[x] += 1
+            p[x] += toxic
+    positives = sum(t for _, t in texts)
+    expected = {x: (n[x] + 0.5) / (len(texts) + 1) * positives for x in n}
+    kept = sorted(x for x, e in expected.items() if p[x] >= 3 and p[x] >= 2.5 * e and p[x] - e >= 4 * e**0.5)
+    place = {x: j for j, x in enumerate(kept)}
+    rows = [[place[x] for w in words for x in toxicity.word_features(w) if x in place] for words, _ in texts]
+    want = toxicity.train_nnpu(toxicity.PuRisk(prior, positives, len(texts)), listed_sums(rows, [t for _, t in texts]), len(kept), steps=15)
+    assert kept and np.array_equal(np.flatnonzero(got.weights), np.array(kept)[np.flatnonzero(want.weights)])
+    assert np.allclose(got.weights[kept], want.weights, atol=2e-6)
+
+
+def test_toxicity_decision_point():
+    bins, positive, texts = np.array([-64, 0, 64, 128]), np.array([0, 0, 3, 7]), np.array([70, 20, 4, 9])
+    assert toxicity._decision_bias(bins, positive, texts, 0.1, -1.9) == -0.5078125  # below both bins that hold positives
+    assert toxicity._decision_bias(bins, positive, texts, 0.1, -0.6) == -0.6  # as good
+    assert toxicity._decision_bias(bins[:1], texts[:1], texts[:1], 0.1, 0.3) == 0.3
+
+
+def test_toxicity_empty_table_clashing_columns_and_given_prior(spark):
+    labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id bigint, toxic int")
+    assert toxicity.score_toxicity(spark, frame(spark, []), labels).count() == 0
+    docs = spark.createDataFrame([(i, "snarl now" if i < 40 else "fine words", 1, 0.5) for i in range(200)], "doc_id bigint, text string, toxic int, score double")
+    rows = toxicity.score_toxicity(spark, docs, labels, prior=0.2).collect()
+    assert len(rows) == 200 and all(r.predicted == (r.doc_id < 40) for r in rows)
 
 
 @pytest.mark.parametrize("tiers", [(1000, 10), (128, 256), (256, 256)])
