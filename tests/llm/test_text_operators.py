@@ -318,7 +318,8 @@ def test_toxicity_fit_equals_plain_python_over_all_texts(spark):
     docs = [(i, None if i % 50 == 7 else "" if i % 50 == 8 else brute.prose(rng, 25) + (" grumbles grumbled snarl" if i % 5 == 0 else "")) for i in range(400)]
     docs += [docs[5], docs[5], (None, "snarl"), (401, "snarl " * 30_000)]
     labels = [(i, int(i % 5 == 0)) for i in range(0, 400, 3)] + [(9, 0), (9, 1), (None, 1), (12, None)]
-    got, prior = toxicity.fit(spark, frame(spark, docs).repartition(5), spark.createDataFrame(labels, "doc_id bigint, toxic int"), steps=15)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
+    got, prior = toxicity.fit(spark, df, spark.createDataFrame(labels, "doc_id bigint, toxic int"), steps=15)
     train = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5
     known = {}
     for i, t in labels:
