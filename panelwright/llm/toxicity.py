@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from panelwright.llm.key_filter import split_by_keys
 from panelwright.llm.shared import Workspace
 
 _WORD = re.compile(r"\w+")
@@ -91,34 +92,43 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``feature, p, n``: how many distinct words of positive texts, and of all texts, carry a feature."""
-    totals, words = np.zeros((2, DIMENSIONS), dtype=np.int64), (Counter(), Counter())
+def feature_counts(texts: DataFrame, among: np.ndarray | None = None) -> DataFrame:
+    """``feature, n``: how many distinct words of each text carry a feature, summed over all texts; of these features, or of any."""
 
-    def flush() -> None:
-        for total, found in zip(totals, words, strict=True):
-            for word, n in found.items():
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = None if among is None else set(among.tolist())
+        total, words = np.zeros(DIMENSIONS, dtype=np.int64), Counter()
+
+        def flush() -> None:
+            for word, n in words.items():
                 for x in word_features(word):
-                    total[x] += n
-            found.clear()
+                    if wanted is None or x in wanted:
+                        total[x] += n
+            words.clear()
+
+        for batch in batches:
+            for text in batch.column(0):
+                words.update(distinct_words(text.as_py()))
+            if len(words) > 300_000:
+                flush()
+        flush()
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["feature", "n"])
 
-    for batch in batches:
-        for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
-            own = distinct_words(text.as_py())
-            words[1].update(own)
-            if toxic.as_py():
-                words[0].update(own)
-        if len(words[1]) > 300_000:
-            flush()
-    flush()
-    seen = np.flatnonzero(totals[1])
-    yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(totals[0][seen]), pa.array(totals[1][seen])], names=["feature", "p", "n"])
+    return texts.select("text").mapInArrow(count, "feature int, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
-def telling_features(counts: DataFrame, n_positive: int, n_texts: int, *, lift: float = 2.5, z: float = 4.0) -> DataFrame:
-    """Features clearly commoner in positives than in all texts: ``lift`` times the share, ``z`` Poisson deviations above it."""
-    expected = (F.col("n") + 0.5) / (n_texts + 1) * n_positive
-    return counts.where((F.col("p") >= 3) & (F.col("p") >= lift * expected) & (F.col("p") - expected >= z * F.sqrt(expected)))
+def telling_features(positive: DataFrame, texts: DataFrame, n_positive: int, n_texts: int, *, lift: float = 2.5, z: float = 4.0) -> np.ndarray:
+    """Features clearly commoner in positives than in all texts: ``lift`` times the share, ``z`` Poisson deviations above it.
+
+    Only features of three positives' words are counted over all texts. At most ``DIMENSIONS`` rows reach the driver.
+    """
+    p = np.array(feature_counts(positive).where("n >= 3").collect(), dtype=np.int64).reshape(-1, 2)
+    n = np.zeros(DIMENSIONS, dtype=np.int64)
+    for feature, found in feature_counts(texts, p[:, 0]).collect():
+        n[feature] = found
+    expected = (n[p[:, 0]] + 0.5) / (n_texts + 1) * n_positive
+    return np.sort(p[(p[:, 1] >= lift * expected) & (p[:, 1] - expected >= z * np.sqrt(expected)), 0])
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, prior: float | None = None, steps: int = 40, workspace: Workspace | None = None) -> tuple[Model, float]:
@@ -137,13 +147,14 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, prior: float
     if not total.n or not total.p:
         return nothing, 0.0
     prior = min(0.9, total.p / total.n if prior is None else prior)
-    toxic_ids = known.where("toxic = 1").select("doc_id", F.lit(True).alias("toxic"))
-    texts = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text").join(toxic_ids, "doc_id", "left").select("text", F.coalesce("toxic", F.lit(False)).alias("toxic"))
-    size = texts.agg(F.count_if("toxic").alias("p"), F.count(F.lit(1)).alias("n")).first()
-    if not size.p:
+    toxic_ids = known.where("toxic = 1").select("doc_id")
+    texts = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text")
+    maybe, _ = split_by_keys(texts, toxic_ids, "doc_id")  # of the others no text is shuffled
+    positive = ws.save(maybe.join(toxic_ids, "doc_id", "left_semi").select("text"), "positive")
+    n_positive, n_texts = positive.count(), texts.count()
+    if not n_positive:
         return nothing, prior
-    counts = texts.mapInArrow(_feature_counts, "feature int, p bigint, n bigint").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    kept = np.array(sorted(r.feature for r in telling_features(counts, size.p, size.n).select("feature").collect()), dtype=np.int64)  # at most DIMENSIONS
+    kept = telling_features(positive, texts, n_positive, n_texts)
     to = spark.sparkContext.broadcast(dict(zip(kept.tolist(), range(len(kept)), strict=True)))
 
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,9 +166,10 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, prior: float
         get = _WordTable(kept_of).__getitem__
         for batch in batches:
             rows = [np.array(sorted(chain.from_iterable(map(get, distinct_words(t.as_py())))), dtype="<i4").tobytes() for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1)], names=["f", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["f"])
 
-    patterns = ws.save(texts.mapInArrow(reduced, "f binary, toxic boolean").groupBy("f").agg(F.count_if("toxic").alias("p"), F.count(F.lit(1)).alias("n")), "patterns")
+    count = lambda df, p, n: df.select("text").mapInArrow(reduced, "f binary").groupBy("f").agg(F.count(F.lit(1)).alias("c")).select("f", (F.col("c") * p).alias("p"), (F.col("c") * n).alias("n"))
+    patterns = ws.save(count(positive, 1, 0).union(count(texts, 0, 1)).groupBy("f").agg(F.sum("p").alias("p"), F.sum("n").alias("n")), "patterns")
 
     def sums(w: np.ndarray, b: float) -> tuple[np.ndarray, np.ndarray]:
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +186,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, prior: float
             out[:, r[0]] = r[1:]
         return out[:, 0], out[:, 1:]
 
-    model = train_nnpu(PuRisk(prior, size.p, size.n), sums, len(kept), steps=steps)
+    model = train_nnpu(PuRisk(prior, n_positive, n_texts), sums, len(kept), steps=steps)
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
