@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
+from math import exp, isfinite, log
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from panelwright.functions.scalars import safe_ratio
@@ -11,6 +18,10 @@ from panelwright.operators.windows import by_symbol
 #: Split ratios and their reciprocals.
 SPLIT_RATIOS = (2.0, 3.0, 4.0, 5.0, 10.0, 1.5, 0.5, 1 / 3, 0.25, 0.2, 0.1)
 
+#: A one-day change of scale, and how far apart the logarithms of the days around it may be.
+SCALE_RATIO = 3.0
+BRIDGE_LIMIT = log(1.5)
+
 
 def event_columns(bars: DataFrame) -> DataFrame:
     """Bars with the adjustment factor's change and the anomaly flags of each date.
@@ -84,24 +95,98 @@ def total_only_components(returns: DataFrame) -> DataFrame:
 
 
 def bar_repair(bars: DataFrame, tolerance: float = 1.005) -> DataFrame:
-    """``close`` outside ``[low / tolerance, high x tolerance]`` is replaced; ``repaired`` and ``future_assisted`` tell how.
+    """Closes outside their bars, and one-day changes of scale, replaced day by day; ``repaired future_assisted unresolved`` tell how.
 
-    The value lies on the straight line of logarithms between the nearest trusted closes, weighted by days, else it is the
-    open, else the prior trusted close; it is clamped to the bar. One pass: only unrepaired closes are trusted, so runs of bad
-    bars interpolate between their ends, where a sequential repair could also lean on its own clamped values.
+    A bar is valid with a positive open, high and low, low up to high, and the open in ``[low / tolerance, high x tolerance]``; its
+    close is trusted if it lies there too. In date order an untrusted close of a valid bar becomes the point on the straight line of
+    logarithms between the nearest trusted closes, weighted by days, else the open, clamped to the bar, and is trusted from then on. Then a close off both its neighbours
+    by ``SCALE_RATIO`` in opposite directions, where these are within ``BRIDGE_LIMIT``, becomes their bridge if that lies in the bar.
+    Rows whose close is still null or not positive go; ``unresolved`` marks valid bars that do not hold their close.
+
+    The next trusted close is a window; what was repaired before is the state of one pass over a symbol's sorted rows, which holds
+    one row of them. ``(symbol, dt)`` is unique.
     """
-    w = by_symbol()
-    trusted = F.col("close").between(F.col("low") / tolerance, F.col("high") * tolerance)
-    df = bars.withColumn("_ok", F.coalesce(trusted, F.lit(False)))
-    mark = F.when(F.col("_ok"), F.struct("dt", "close"))
-    a = F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    back = Window.partitionBy("symbol").orderBy(F.desc("dt"))  # the next trusted close is the last one seen from the end: a running state
-    b = F.last(mark, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
-    df = df.withColumns({"_a": a, "_b": b})
-    share = F.datediff("dt", "_a.dt") / F.datediff("_b.dt", "_a.dt")
-    line = F.exp(F.log("_a.close") * (1 - share) + F.log("_b.close") * share)
-    value = F.greatest(F.least(F.coalesce(line, "open", "_a.close"), F.col("high")), F.col("low"))
-    return df.select(*[c for c in bars.columns if c != "close"], F.when(F.col("_ok"), F.col("close")).otherwise(value).alias("close"), (~F.col("_ok")).alias("repaired"), (~F.col("_ok") & F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("future_assisted"))
+    inside = lambda c: F.col(c).between(F.col("low") / tolerance, F.col("high") * tolerance)
+    df = bars.repartition("symbol").withColumn("_valid", F.coalesce((F.least("open", "high", "low") > 0) & (F.col("low") <= F.col("high")) & inside("open"), F.lit(False)))
+    df = df.withColumn("_ok", F.col("_valid") & F.coalesce(inside("close"), F.lit(False)))
+    back = Window.partitionBy("symbol").orderBy(F.desc("dt")).rowsBetween(Window.unboundedPreceding, -1)  # a running state from the end
+    df = df.withColumns({"_next": F.last(F.when(F.col("_ok"), F.struct(F.unix_date("dt").alias("day"), F.col("close").cast("double").alias("close"))), ignorenulls=True).over(back), "_day": F.unix_date("dt")})
+    df = df.select(*bars.columns, "_day", "_valid", "_ok", F.col("_next.day").alias("_next_day"), F.col("_next.close").alias("_next_close"))
+    read = ("symbol", "_day", "open", "high", "low", "close", "_valid", "_ok", "_next_day", "_next_close")
+    kept = [c for c in bars.columns if c != "close"]
+
+    def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, done = deque(), []
+
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                if batch.num_rows:
+                    waiting.append(batch)
+                    yield from zip(*[batch.column(c).to_pylist() for c in read], strict=True)
+
+        for row in repaired_rows(rows(), tolerance):
+            done.append(row)
+            if len(done) == waiting[0].num_rows:
+                batch = waiting.popleft()
+                new = [pa.array(x, t) for x, t in zip(zip(*done, strict=True), (pa.float64(), pa.bool_(), pa.bool_(), pa.bool_()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *new], names=[*kept, "close", "repaired", "future_assisted", "unresolved"])
+                done = []
+
+    fields = [*[bars.schema[c] for c in kept], StructField("close", DoubleType()), *[StructField(c, BooleanType()) for c in ("repaired", "future_assisted", "unresolved")]]
+    return df.sortWithinPartitions("symbol", "dt").mapInArrow(repair, StructType(fields)).where("close > 0 AND NOT isnan(close)")
+
+
+@dataclass
+class _Bar:
+    symbol: str
+    day: int
+    high: float
+    low: float
+    close: float | None
+    valid: bool
+    repaired: bool = False
+    ahead: bool = False
+
+
+def _between(a_day: int, a: float, day: int, b_day: int, b: float) -> float:
+    """The point of ``day`` on the straight line of logarithms."""
+    share = (day - a_day) / (b_day - a_day)
+    return exp((1 - share) * log(a) + share * log(b))
+
+
+def repaired_rows(rows: Iterable[tuple], tolerance: float) -> Iterator[tuple[float | None, bool, bool, bool]]:
+    """``close, repaired, future_assisted, unresolved`` of rows in order of symbol and date, each given out once the next is known."""
+    trusted: _Bar | None = None
+    before: _Bar | None = None
+    current: _Bar | None = None
+    for symbol, day, first, high, low, close, valid, ok, next_day, next_close in rows:
+        bar = _Bar(symbol, day, high, low, close, valid)
+        if trusted and trusted.symbol != symbol:
+            trusted = None
+        if valid and not ok:
+            bar.ahead = trusted is not None and next_day is not None
+            value = _between(trusted.day, trusted.close, day, next_day, next_close) if bar.ahead else first
+            bar.close, bar.repaired = min(max(value, low), high), True
+        if valid:
+            trusted = replace(bar)  # as it is now: bridges come after all repairs
+        if current:
+            yield _finished(before, current, bar, tolerance)
+        before, current = current, bar
+    if current:
+        yield _finished(before, current, None, tolerance)
+
+
+def _finished(a: _Bar | None, bar: _Bar, b: _Bar | None, tolerance: float) -> tuple[float | None, bool, bool, bool]:
+    """``bar`` bridged where its neighbours say so; a bridged close is what the next bar sees."""
+    near = a and b and a.symbol == bar.symbol == b.symbol and bar.valid and not bar.repaired
+    if near and all(x.close is not None and x.close > 0 and isfinite(x.close) for x in (a, bar, b)):
+        up, down = log(bar.close / a.close), log(b.close / bar.close)
+        if up * down < 0 and min(abs(up), abs(down)) >= log(SCALE_RATIO) and abs(log(b.close / a.close)) <= BRIDGE_LIMIT:
+            value = _between(a.day, a.close, bar.day, b.day, b.close)
+            if bar.low / tolerance <= value <= bar.high * tolerance:
+                bar.close, bar.repaired, bar.ahead = min(max(value, bar.low), bar.high), True, True
+    held = bar.close is not None and bar.valid and bar.low / tolerance <= bar.close <= bar.high * tolerance
+    return bar.close, bar.repaired, bar.ahead, bar.valid and not held
 
 
 def pulse_repair(levels: DataFrame, *, jump: float = 3.0, bridge: float = 1.5) -> DataFrame:

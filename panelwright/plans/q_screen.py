@@ -250,23 +250,42 @@ def total_only_components(spark, sf):
     return U.total_only_components(W.daily_returns(A.monthly_levels(spark, sf)))
 
 
-_BROKEN = "SELECT symbol, dt, open, high, low, CASE WHEN day(dt) = 20 THEN close * 10 ELSE close END AS close FROM x_bars"
+_BROKEN = "SELECT symbol, dt, open, high, low, CASE WHEN day(dt) IN (20, 21, 22) THEN close * 10 ELSE close END AS close FROM x_bars"
 
 
 @query(
-    "symbol dt repaired future_assisted",
+    "symbol dt repaired future_assisted unresolved",
     "close",
     sql=f"""
-SELECT symbol, dt, NOT ok AS repaired, NOT ok AND a_dt IS NOT NULL AND b_dt IS NOT NULL AS future_assisted,
-  CASE WHEN ok THEN close ELSE greatest(least(coalesce(exp(ln(a_close) * (1 - share) + ln(b_close) * share), open, a_close), high), low) END AS close
-FROM (SELECT *, date_diff('day', a_dt, dt) * 1.0 / date_diff('day', a_dt, b_dt) AS share FROM (
-  SELECT *, last_value(CASE WHEN ok THEN dt END IGNORE NULLS) OVER p AS a_dt, last_value(CASE WHEN ok THEN close END IGNORE NULLS) OVER p AS a_close,
-    first_value(CASE WHEN ok THEN dt END IGNORE NULLS) OVER q AS b_dt, first_value(CASE WHEN ok THEN close END IGNORE NULLS) OVER q AS b_close
-  FROM (SELECT *, close BETWEEN low / 1.005 AND high * 1.005 AS ok FROM ({_BROKEN}))
-  WINDOW p AS (PARTITION BY symbol ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), q AS (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)))""",
+SELECT symbol, dt, close, repaired, future_assisted, valid AND NOT close BETWEEN low / 1.005 AND high * 1.005 AS unresolved FROM (
+WITH RECURSIVE bars AS (
+  SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY dt) AS n, valid AND close BETWEEN low / 1.005 AND high * 1.005 AS ok
+  FROM (SELECT *, least(open, high, low) > 0 AND low <= high AND open BETWEEN low / 1.005 AND high * 1.005 AS valid FROM ({_BROKEN}))),
+marked AS MATERIALIZED (
+  SELECT *, first_value(CASE WHEN ok THEN dt END IGNORE NULLS) OVER q AS b_dt, first_value(CASE WHEN ok THEN close END IGNORE NULLS) OVER q AS b_close
+  FROM bars WINDOW q AS (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+walked AS (
+  SELECT symbol, CAST(0 AS BIGINT) AS n, CAST(NULL AS DATE) AS dt, CAST(NULL AS DATE) AS a_dt, CAST(NULL AS DOUBLE) AS a_close, CAST(NULL AS DOUBLE) AS v, false AS repaired, false AS ahead FROM (SELECT DISTINCT symbol FROM x_bars)
+  UNION ALL
+  SELECT symbol, n, dt, CASE WHEN valid THEN dt ELSE a_dt END, CASE WHEN valid THEN v ELSE a_close END, v, valid AND NOT ok, valid AND NOT ok AND a_dt IS NOT NULL AND b_dt IS NOT NULL
+  FROM (SELECT m.symbol, m.n, m.dt, valid, ok, a_dt, a_close, b_dt,
+      CASE WHEN ok OR NOT valid THEN close ELSE greatest(least(coalesce(exp(ln(a_close) * (1 - date_diff('day', a_dt, m.dt) * 1.0 / date_diff('day', a_dt, b_dt)) + ln(b_close) * (date_diff('day', a_dt, m.dt) * 1.0 / date_diff('day', a_dt, b_dt))), open), high), low) END AS v
+    FROM walked w JOIN marked m ON m.symbol = w.symbol AND m.n = w.n + 1)),
+near AS MATERIALIZED (
+  SELECT w.symbol, w.n, w.dt, w.v, w.repaired, w.ahead, m.valid, m.low, m.high, lead(w.v) OVER o AS b, lead(w.dt) OVER o AS b_dt, lag(w.dt) OVER o AS a_dt
+  FROM walked w JOIN marked m ON m.symbol = w.symbol AND m.n = w.n WINDOW o AS (PARTITION BY w.symbol ORDER BY w.n)),
+bridged AS (
+  SELECT symbol, CAST(0 AS BIGINT) AS n, CAST(NULL AS DATE) AS dt, CAST(NULL AS DOUBLE) AS close, false AS repaired, false AS future_assisted, false AS valid, CAST(NULL AS DOUBLE) AS low, CAST(NULL AS DOUBLE) AS high FROM (SELECT DISTINCT symbol FROM x_bars)
+  UNION ALL
+  SELECT symbol, n, dt, CASE WHEN hit THEN greatest(least(bridge, high), low) ELSE v END, repaired OR hit, ahead OR hit, valid, low, high
+  FROM (SELECT *, coalesce(valid AND NOT repaired AND ln(v / a) * ln(b / v) < 0 AND least(abs(ln(v / a)), abs(ln(b / v))) >= ln(3) AND abs(ln(b / a)) <= ln(1.5) AND bridge BETWEEN low / 1.005 AND high * 1.005, false) AS hit
+    FROM (SELECT x.*, p.close AS a, exp(ln(p.close) * (1 - date_diff('day', a_dt, x.dt) * 1.0 / date_diff('day', a_dt, b_dt)) + ln(b) * (date_diff('day', a_dt, x.dt) * 1.0 / date_diff('day', a_dt, b_dt))) AS bridge
+      FROM bridged p JOIN near x ON x.symbol = p.symbol AND x.n = p.n + 1)))
+SELECT * FROM bridged WHERE close > 0)""",
 )
 def bar_repair(spark, sf):
-    b = A.bars(spark, sf).select("symbol", "dt", "open", "high", "low", F.when(F.dayofmonth("dt") == 20, F.col("close") * 10).otherwise(F.col("close")).alias("close"))
+    """Closes of three days running are put out of their bars, so that repairs lean on repairs."""
+    b = A.bars(spark, sf).select("symbol", "dt", "open", "high", "low", F.when(F.dayofmonth("dt").isin(20, 21, 22), F.col("close") * 10).otherwise(F.col("close")).alias("close"))
     return U.bar_repair(b)
 
 

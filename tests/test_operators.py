@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from datetime import date, timedelta
 
@@ -163,6 +164,54 @@ def test_bar_repair_and_pulse(spark):
     assert [r.value for r in p] == [1, 1, 1, 1, 50]
 
 
+def days_repaired(bars, tolerance=1.005):
+    """Bar repair of one symbol by scanning all days for each: ``dt: (close, repaired, future_assisted, unresolved)``."""
+    n = len(bars)
+    day, level = [b[1].toordinal() for b in bars], [b[5] for b in bars]
+    inside = lambda i, x: x is not None and bars[i][4] / tolerance <= x <= bars[i][3] * tolerance
+    valid = [None not in b[2:5] and min(b[2:5]) > 0 and b[4] <= b[3] and inside(i, b[2]) for i, b in enumerate(bars)]
+    good = [valid[i] and inside(i, level[i]) for i in range(n)]
+    fixed, ahead = [False] * n, [False] * n
+    line = lambda i, p, q: math.exp(math.log(level[p]) + (math.log(level[q]) - math.log(level[p])) * (day[i] - day[p]) / (day[q] - day[p]))
+    for i in range(n):
+        if valid[i] and not good[i]:
+            p, q = max((j for j in range(i) if good[j]), default=None), min((j for j in range(i + 1, n) if good[j]), default=None)
+            ahead[i] = None not in (p, q)
+            level[i] = min(max(line(i, p, q) if ahead[i] else bars[i][2], bars[i][4]), bars[i][3])
+            fixed[i] = good[i] = True
+    for i in range(1, n - 1):
+        a, x, b = level[i - 1 : i + 2]
+        if valid[i] and not fixed[i] and all(y is not None and y > 0 for y in (a, x, b)):
+            jumps = (x > a and x > b and min(x / a, x / b) >= 3) or (x < a and x < b and min(a / x, b / x) >= 3)
+            if jumps and max(a / b, b / a) <= 1.5 and inside(i, line(i, i - 1, i + 1)):
+                level[i], fixed[i], ahead[i] = min(max(line(i, i - 1, i + 1), bars[i][4]), bars[i][3]), True, True
+    return {b[1]: (level[i], fixed[i], ahead[i], valid[i] and not inside(i, level[i])) for i, b in enumerate(bars) if level[i] is not None and level[i] > 0}
+
+
+def test_bar_repair_equals_a_day_loop(spark):
+    rng, bars = random.Random(5), []
+    for symbol in ("A", "B", "C", "D"):
+        dt, price = D0, 10.0
+        for _ in range(150):
+            dt += timedelta(days=rng.choice([1, 1, 1, 3]))
+            price *= math.exp(rng.uniform(-0.1, 0.1))
+            wide = rng.choice([1.02, 1.1, 20.0])
+            close = price * rng.choice([1, 1, 1, 1.3, 10, 0.1, 1 / 30])
+            odd = rng.random()
+            high, low = (None, price) if odd < 0.03 else (price / wide, price * wide) if odd < 0.06 else (price * wide, price / wide)
+            bars.append((symbol, dt, price * (3 if odd > 0.97 else 1), high, low, None if 0.06 < odd < 0.09 else -close if 0.09 < odd < 0.11 else close))
+    df = spark.createDataFrame(bars, "symbol string, dt date, open double, high double, low double, close double").withColumn("_extra", F.lit("x"))
+    got = audit.bar_repair(df.repartition(3))
+    assert got.columns == ["symbol", "dt", "open", "high", "low", "_extra", "close", "repaired", "future_assisted", "unresolved"]
+    rows = {(r.symbol, r.dt): (r.close, r.repaired, r.future_assisted, r.unresolved) for r in got.collect()}
+    want = {(s, d): x for s in "ABCD" for d, x in days_repaired([b for b in bars if b[0] == s]).items()}
+    assert rows.keys() == want.keys() and sum(x[1] for x in want.values()) > 100
+    assert any(x[1] and abs(b[5] / b[2] - 10) < 1 and b[3] > 15 * b[2] for b in bars if (x := want.get(b[:2])) and b[5])  # a bridge in a wide bar
+    for k, w in want.items():
+        assert rows[k] == (pytest.approx(w[0], rel=1e-12), *w[1:]), k
+    assert audit.bar_repair(df.limit(0)).count() == 0
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([(" brk.b ", "$1,234.5%", "3/4/2021", "1e12"), ("a b", "N/A", "2021-02-30", "1600000000"), (None, "inf", "March 5, 2021", "x")], "a string, b string, c string, d string")
     r = df.select(S.normalize_ticker(F.col("a")), S.optional_number(F.col("b")), S.source_date(F.col("c")), S.first_trade_date(F.col("d"), F.lit("America/New_York")), S.universe_ticker(F.col("a"))).collect()
