@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelwright.operators import combos as C, metrics as M, regress as R, walk as K, windows as W
 from panelwright.plans import q_nav
-from panelwright.plans.q_matrix import returns
+from panelwright.plans.q_matrix import _C, _LW, returns
 from panelwright.plans.registry import CTES, SQL, query
 from panelwright.sources import adapters as A
 
@@ -230,7 +230,7 @@ def configured_equal_weight(spark, sf):
     return df.withColumn("weight", 1 / F.count(F.lit(1)).over(Window.partitionBy("period_id")))
 
 
-@query("symbol", "weight", sql=None)
+@query("symbol", "weight", sql=f"SELECT a AS symbol, 1 / sqrt(cov) / sum(1 / sqrt(cov)) OVER () AS weight FROM ({_LW}) WHERE a = b AND a IN (SELECT symbol FROM ({_C}) GROUP BY symbol HAVING count(ret) >= 24)")
 def allocate_inverse_vol(spark, sf):
     return K.allocate_inverse_vol(returns(spark, sf))
 

@@ -70,7 +70,7 @@ def test_query_over_all_months_equals_sql(spark, con, name):
     test_query_equals_sql(spark, con, name)
 
 
-@pytest.mark.parametrize("name", "unpivot_bars allocate_equal ledoit_wolf downside_correlation stress_correlation pair_correlations".split())
+@pytest.mark.parametrize("name", "unpivot_bars allocate_equal allocate_inverse_vol ledoit_wolf downside_correlation stress_correlation pair_correlations".split())
 def test_other_query_equals_sql(spark, con, name):
     test_query_equals_sql(spark, con, name)
 
