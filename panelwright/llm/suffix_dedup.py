@@ -5,14 +5,19 @@ of least hash), so equal windows have the same anchor at the same place. Anchors
 a sorted shuffle. What is left is grouped by ``k``-gram, and each group's suffixes are ordered by deep-shallow sorting:
 multikey quicksort to a shallow depth, then a blind trie for each set of strings that still agree. The sorted order gives
 common prefixes to the right of the anchors; with what agrees to their left, a window is repeated if both together reach
-``length``. A group has a bound; beyond it windows are compared by hash across tasks instead, equal up to collisions of two 64-bit hashes, the bytes are not compared.
+``length``. Bytes are compared throughout; hashes only bring rows together.
+
+A group of more than ``group_bound`` anchors is split until its parts are small. Equal contexts become one class, which is repeated
+as a whole if it has two members. If more classes than the bound are left, each window chooses a further anchor, a longer ``k``-gram,
+and the classes are split by it and by its distance from the last one; at most, a ``k``-gram is a whole window, and windows that still meet
+are classes of equal bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -166,9 +171,20 @@ def repeated_windows(contexts: list[bytes], offsets: list[int], lengths: tuple[i
 
     ``offsets``: of the anchors. ``None`` where no window of that length over the anchor occurs in another context.
     """
+    every: list[list[tuple[int, int] | None]]
+    grams: dict[bytes, list[int]] = {}
+    for i, (text, o) in enumerate(zip(contexts, offsets, strict=True)):
+        grams.setdefault(text[o : o + k], []).append(i)
+    if len(grams) > 1:  # other bytes of one hash
+        every = [[None] * len(contexts) for _ in lengths]
+        for own in grams.values():
+            for n, found in enumerate(repeated_windows([contexts[i] for i in own], [offsets[i] for i in own], lengths, k)):
+                for i, x in zip(own, found, strict=True):
+                    every[n][i] = x
+        return every
     first: dict[tuple[bytes, int], int] = {}
     twin = [first.setdefault(x, i) for i, x in enumerate(zip(contexts, offsets, strict=True))]
-    every: list[list[tuple[int, int] | None]] = [[None] * len(contexts) for _ in lengths]
+    every = [[None] * len(contexts) for _ in lengths]
     for i, t in enumerate(twin):
         if t != i:
             for found, length in zip(every, lengths, strict=True):
@@ -184,8 +200,8 @@ def repeated_windows(contexts: list[bytes], offsets: list[int], lengths: tuple[i
     order = [i for r in deep_shallow_order(texts, k) for i in right[texts[r]]]
     suffix = {i: contexts[i][offsets[i] :] for i in order}
     lcp = [common_prefix(suffix[a], suffix[b], k) for a, b in zip(order, order[1:], strict=False)]
+    left = {i: contexts[i][: offsets[i]][::-1] for i in order}
     if len(order) <= 16:
-        left = {i: contexts[i][: offsets[i]][::-1] for i in order}
         for x, a in enumerate(order):
             r = len(suffix[a])
             for y in range(x + 1, len(order)):
@@ -198,25 +214,20 @@ def repeated_windows(contexts: list[bytes], offsets: list[int], lengths: tuple[i
                             found[i] = max(was[0], reach), max(was[1], r)
         return every
     reach = np.array([offsets[i] for i in order])
-    width = int(reach.max()) + 1
-    table = np.zeros((len(order), width), dtype=np.uint8)
-    for x, i in enumerate(order):
-        back = np.frombuffer(contexts[i][: offsets[i]][::-1], dtype=np.uint8)
-        table[x, 1 : 1 + len(back)] = back
+    backs = sorted(set(left.values()))
+    place = {x: i for i, x in enumerate(backs)}
+    at = np.array([place[left[i]] for i in order])
+    agree = np.array([common_prefix(a, b) for a, b in zip(backs, backs[1:], strict=False)], dtype=np.int64)
     room, lcps = np.array([len(suffix[i]) for i in order]), np.array(lcp)
     low, high = [np.full(len(order), n) for n in lengths], [np.full(len(order), -1) for _ in lengths]
-    hashes, base = np.zeros(len(order), dtype=np.uint64), np.uint64(_BASE)
-    for o in range(width):  # windows that begin o bytes before the anchor
-        if o:
-            hashes = hashes * base + table[:, o] + np.uint64(1)
-        mixed = (hashes ^ (hashes >> np.uint64(32))) * _MIX
+    for o in range(int(reach.max()) + 1):  # windows that begin o bytes before the anchor
+        before = np.concatenate([[0], np.cumsum(agree < o)])[at]  # one number for those that agree on o bytes to the left
         for n, length in enumerate(lengths):
             may = np.flatnonzero((room >= length - o) & (reach >= o))
             if len(may) < 2:
                 continue
-            runs = np.concatenate([[0], np.cumsum(lcps < length - o)]).astype(np.uint64)
-            key = mixed + runs * np.uint64(0xD6E8FEB86659FD93)
-            _, where, counts = np.unique(key[may], return_inverse=True, return_counts=True)
+            runs = np.concatenate([[0], np.cumsum(lcps < length - o)])
+            _, where, counts = np.unique((before * len(order) + runs)[may], return_inverse=True, return_counts=True)
             hit = may[counts[where] > 1]
             low[n][hit] = np.minimum(low[n][hit], o)
             high[n][hit] = np.maximum(high[n][hit], o)
@@ -239,6 +250,97 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+Batches = Iterator[pa.RecordBatch]
+_CONTEXT = ("key", "item", "start", "o", "last", "around")
+
+
+def _contexts(length: int, hot: bool) -> Callable[[Batches], Batches]:
+    """Bytes around the anchors of ``doc_id, raw, anchors`` whose groups are hot, or of those whose groups are not."""
+
+    def contexts(batches: Batches) -> Batches:
+        held, rows = [], 0
+        for batch in batches:
+            for doc, raw, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                of, body = found.values.field("hot").to_numpy(zero_copy_only=False) == hot, memoryview(raw.as_buffer())
+                every = [found.values.field(c).to_numpy()[of] for c in ("key", "a", "lo", "hi")]
+                for i in range(0, len(every[0]), 20_000):
+                    key, a, lo, hi = (x[i : i + 20_000] for x in every)
+                    around = pa.array([body[i:j].tobytes() for i, j in zip(lo.tolist(), (hi + length).tolist(), strict=True)], pa.binary())
+                    columns = [pa.array(key).cast(pa.string()), pa.array(np.full(len(key), doc)), pa.array(lo), pa.array((a - lo).astype(np.int32)), pa.array((hi - lo).astype(np.int32)), around]
+                    held.append(pa.RecordBatch.from_arrays(columns, names=list(_CONTEXT)))
+                    rows += len(key)
+                    if rows >= 20_000:
+                        yield pa.concat_batches(held)
+                        held, rows = [], 0
+        if held:
+            yield pa.concat_batches(held)
+
+    return contexts
+
+
+def _cover(lengths: tuple[int, ...], k: int) -> Callable[[Batches], Batches]:
+    """``item, s, e, n`` from ``key, item, start, o, around`` in order of the key."""
+
+    def cover(batches: Batches) -> Batches:
+        key, items, starts, offsets, around = None, [], [], [], []
+        out: list[tuple] = []
+        kind = pa.int64()
+
+        def close() -> None:
+            if len(items) > 1:
+                for n, found in zip(lengths, repeated_windows(around, offsets, lengths, k), strict=True):
+                    out.extend((item, start + o - x[0], start + o + x[1], n) for item, start, o, x in zip(items, starts, offsets, found, strict=True) if x is not None)
+
+        def batch_of() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (kind, pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["item", "s", "e", "n"])
+
+        for batch in batches:
+            kind = batch.column(1).type
+            for now, item, start, o, text in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
+                if now != key:
+                    close()
+                    key, items, starts, offsets, around = now, [], [], [], []
+                items.append(item)
+                starts.append(start)
+                offsets.append(o)
+                around.append(text)
+            if out:
+                yield batch_of()
+                out.clear()
+        close()
+        if out:
+            yield batch_of()
+
+    return cover
+
+
+def _split(least: int, length: int, k: int) -> Callable[[Batches], Batches]:
+    """Contexts around further anchors, ``k``-grams of the windows that the given contexts hold.
+
+    Equal windows have equal anchors at equal places, so the distance of the new anchor from the last one belongs to the key. It
+    also keeps two anchors of one text apart whose windows share bytes.
+    """
+
+    def split(batches: Batches) -> Batches:
+        out: list[tuple] = []
+
+        def batch_of() -> pa.RecordBatch:
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=list(_CONTEXT))
+
+        for batch in batches:
+            for key, item, start, o, last, text in zip(*[batch.column(c).to_pylist() for c in _CONTEXT], strict=True):
+                for h, a, lo, hi in anchors(np.frombuffer(text[: last + least], dtype=np.uint8), least, k).T.tolist():
+                    out.append((f"{key}:{a - o}:{h}", item, start + lo, a - lo, hi - lo, text[lo : hi + length]))
+                if len(out) >= 10_000:
+                    yield batch_of()
+                    out.clear()
+        if out:
+            yield batch_of()
+
+    return split
+
+
 class RepeatedPassages:
     """The repeated passages of ``docs(doc_id, text)``; null texts are empty.
 
@@ -342,84 +444,56 @@ class RepeatedPassages:
         texts = self.docs.join(wanted, "doc_id", "left_semi")
         self.searched = ws.save(by_doc.join(texts, by_doc["doc"] == texts["doc_id"]).select("doc_id", "raw", "anchors"), "searched")
 
-        def anchor_rows(found: pa.ListScalar, hot: bool) -> np.ndarray:
-            """``key, a, lo, hi`` of a text's anchors whose groups are hot, or of those whose groups are not."""
-            fields = found.values
-            of = fields.field("hot").to_numpy(zero_copy_only=False) == hot
-            return np.stack([fields.field(c).to_numpy()[of] for c in ("key", "a", "lo", "hi")])
+        near = self.searched.mapInArrow(_contexts(length, False), "key string, item bigint, start bigint, o int, last int, around binary")
+        covered = self._compare(near, k, "bigint")
+        if not hot.isEmpty():
+            within = self.searched.where(F.exists("anchors", lambda x: x["hot"]))
+            within = within.mapInArrow(_contexts(length, True), "key string, item bigint, start bigint, o int, last int, around binary")
+            covered = covered.union(self._resolve(within.withColumn("item", F.col("item").cast("string")), k, "hot").withColumn("item", F.col("item").cast("bigint")))
+        covered = covered.withColumnRenamed("item", "doc")
+        self.covered = ws.save(covered, "covered")
 
-        def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, rows = [], 0
-            for batch in batches:
-                for doc, raw, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                    x, body = anchor_rows(found, False), memoryview(raw.as_buffer())
-                    for i in range(0, x.shape[1], 20_000):
-                        key, a, lo, hi = x[:, i : i + 20_000]
-                        around = pa.array([body[i:j].tobytes() for i, j in zip(lo.tolist(), (hi + length).tolist(), strict=True)], pa.binary())
-                        held.append(pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), doc)), pa.array(a), pa.array((a - lo).astype(np.int32)), around], names=["key", "doc", "a", "o", "around"]))
-                        rows += len(key)
-                        if rows >= 20_000:
-                            yield pa.concat_batches(held)
-                            held, rows = [], 0
-            if held:
-                yield pa.concat_batches(held)
-
-        def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            key, docs, at, offsets, around = None, [], [], [], []
-            out: list[tuple[int, int, int, int]] = []
-
-            def close() -> None:
-                if len(docs) > 1:
-                    for n, found in zip(lengths, repeated_windows(around, offsets, lengths, k), strict=True):
-                        out.extend((doc, a - x[0], a + x[1], n) for doc, a, x in zip(docs, at, found, strict=True) if x is not None)
-
-            def batch_of() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["doc", "s", "e", "n"])
+    def _compare(self, rows: DataFrame, k: int, kind: str) -> DataFrame:
+        """``item, s, e, n``: what of each context is repeated in its group, a group in one task."""
+        near = rows.select("key", "item", "start", "o", "around").repartition(F.col("key")).sortWithinPartitions("key")
+        return near.mapInArrow(_cover(self.lengths, k), f"item {kind}, s bigint, e bigint, n bigint")
 
-            for batch in batches:
-                for now, doc, a, o, text in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
-                    if now != key:
-                        close()
-                        key, docs, at, offsets, around = now, [], [], [], []
-                    docs.append(doc)
-                    at.append(a)
-                    offsets.append(o)
-                    around.append(text)
-                if out:
-                    yield batch_of()
-                    out.clear()
-            close()
-            if out:
-                yield batch_of()
+    def _resolve(self, rows: DataFrame, k: int, name: str) -> DataFrame:
+        """As :meth:`_compare` with groups of any size, from ``key, item, start, o, last, around``, where windows start at 0 to ``last``.
 
-        def window_batch(held: list[np.ndarray]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(held, axis=1)], names=["one", "two", "doc", "s", "n"])
-
-        def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, rows = [], 0
-            for batch in batches:
-                for doc, raw, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                    body, (_, _, begins, ends) = np.frombuffer(raw.as_buffer(), dtype=np.uint8), anchor_rows(found, True)
-                    for lo, hi, n in ((lo, hi, n) for lo, hi in zip(begins.tolist(), ends.tolist(), strict=True) for n in lengths):
-                        part = body[lo : hi + n]
-                        if len(part) >= n:
-                            one, two = window_hashes(part, n), window_hashes(part ^ np.uint8(0x5A), n)
-                            starts = np.arange(lo, lo + len(one))
-                            held.append(np.stack([one.view(np.int64), two.view(np.int64), np.full(len(starts), doc), starts, np.full(len(starts), n)]))
-                            rows += len(starts)
-                            if rows >= 20_000:
-                                yield window_batch(held)
-                                held, rows = [], 0
-            if held:
-                yield window_batch(held)
-
-        near = self.searched.mapInArrow(contexts, "key bigint, doc bigint, a bigint, o int, around binary").repartition(F.col("key")).sortWithinPartitions("key")
-        covered = near.mapInArrow(cover, "doc bigint, s bigint, e bigint, n bigint")
-        if not hot.isEmpty():
-            windows = ws.save(self.searched.where(F.exists("anchors", lambda x: x["hot"])).mapInArrow(window_rows, "one bigint, two bigint, doc bigint, s bigint, n bigint"), "windows")
-            twice = windows.groupBy("one", "two", "n").count().where("count > 1")
-            covered = covered.union(windows.join(twice, ["one", "two", "n"]).select("doc", "s", (F.col("s") + F.col("n")).alias("e"), "n"))
-        self.covered = ws.save(covered, "covered")
+        A class is one ``key, o, last`` and one string of bytes, which Spark's grouping compares. Only classes go on, and what is found in
+        them comes back to their members; a class of very many members is salted in that join.
+        """
+        ws, (least, length) = self.ws, (self.lengths[0], self.lengths[-1])
+        cls = F.sha2(F.concat_ws(":", "key", "o", "last", F.hex("around")), 256).alias("cls")
+        rows = ws.save(rows, f"{name}-rows")
+        classes = ws.save(rows.groupBy("key", "o", "last", "around").agg(F.count(F.lit(1)).alias("members")).select("*", cls), f"{name}-classes")
+        whole = [classes.where((F.col("members") > 1) & (F.octet_length("around") >= n)).select(F.col("cls").alias("item"), F.lit(0).cast("bigint").alias("s"), F.octet_length("around").cast("bigint").alias("e"), F.lit(n).cast("bigint").alias("n")) for n in self.lengths]
+        large = ws.save(classes.groupBy("key").count().where(F.col("count") > self.bound).select(F.col("key").alias("large_key")), f"{name}-large")
+        inner = classes.select("key", F.col("cls").alias("item"), F.lit(0).cast("bigint").alias("start"), "o", "last", "around")
+        found = self._compare(inner.join(large, inner["key"] == large["large_key"], "left_anti"), k, "string")
+        for df in whole:
+            found = found.union(df)
+        if not large.isEmpty():
+            rest = inner.join(large, inner["key"] == large["large_key"], "left_semi")
+            if k < least:
+                longer = min(2 * k, least)
+                parts = rest.mapInArrow(_split(least, length, longer), "key string, item string, start bigint, o int, last int, around binary")
+                found = found.union(self._resolve(parts, longer, f"{name}-{longer}"))
+            else:  # each is one window of the greatest length, and only shorter ones are open
+                for n in self.lengths[:-1]:
+                    short = rest.withColumn("around", F.substring("around", 1, n))
+                    twice = short.groupBy("key", "around").count().where("count > 1").withColumnsRenamed({"key": "_key", "around": "_around"})
+                    twice = short.join(twice, (F.col("key") == F.col("_key")) & (F.col("around") == F.col("_around")), "left_semi")
+                    found = found.union(twice.select("item", F.lit(0).cast("bigint").alias("s"), F.octet_length("around").cast("bigint").alias("e"), F.lit(n).cast("bigint").alias("n")))
+        salts = F.when(F.col("members") > self.bound, 32).otherwise(1)
+        sizes = classes.select("cls", salts.alias("salts"))
+        found = found.join(sizes, found["item"] == sizes["cls"]).select("cls", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "s", "e", "n")
+        members = rows.select("item", "start", cls)
+        crowded = classes.where(F.col("members") > self.bound).select(F.col("cls").alias("_cls"))
+        members = members.join(crowded, members["cls"] == crowded["_cls"], "left")
+        members = members.select("item", "start", "cls", F.when(F.col("_cls").isNotNull(), F.pmod(F.xxhash64("item", "start"), F.lit(32))).otherwise(0).cast("int").alias("salt"))
+        return members.join(found, ["cls", "salt"]).select("item", (F.col("start") + F.col("s")).alias("s"), (F.col("start") + F.col("e")).alias("e"), "n")
 
     def _cut(self, texts: DataFrame) -> DataFrame:
         """``doc_id, spans, kept, text, passage_words`` from ``doc_id, raw, found``."""

@@ -227,3 +227,37 @@ def test_anchors_cover_every_start():
     starts = [s for lo, hi in zip(rows[2], rows[3], strict=True) for s in range(lo, hi + 1)]
     assert starts == list(range(len(raw) - 399))
     assert all(lo <= a and a + 32 <= lo + 400 and hi <= a for a, lo, hi in zip(rows[1], rows[2], rows[3], strict=True))
+
+
+def test_suffix_dedup_of_groups_of_any_size(spark):
+    """Groups split down to whole windows: one passage of 220 and one of 700 bytes with a byte changed here and there, periods, copies."""
+    rng = random.Random(31)
+    text = lambda letters, n: "".join(rng.choices(letters, k=n))
+    short, long = text("abcd", 220), text("efgh", 700)
+    docs = [(i, text("0123456789", rng.randrange(60)) + short + text("0123456789", 300)) for i in range(20)]
+    docs += [(100 + i, text("ijklmnop", 90) + long[: 35 * i] + "XY"[i % 2] + long[35 * i + 1 :] + text("ijklmnop", 90)) for i in range(20)]
+    docs += [(200 + i, "xyz" * (140 + i)) for i in range(6)] + [(300 + i, text("qrst", 30) + "uv" * 250 + text("qrst", 40)) for i in range(6)]
+    docs += [(400 + i, docs[i % 2][1]) for i in range(8)] + [(500, long * 2), (501, None), (502, "")]
+    found = suffix_dedup.RepeatedPassages(spark, frame(spark, docs), passages=(200, 1), group_bound=2)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found.digests().collect()} == brute.repeats(docs)
+    again = suffix_dedup.RepeatedPassages(spark, frame(spark, docs), length=200, group_bound=2)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in again.digests().collect()} == brute.repeats(docs, 200)
+
+
+@pytest.mark.parametrize("n", [3, 16, 60])
+def test_repeated_windows_compares_bytes(n):
+    """Contexts whose anchors have other bytes are apart though they came under one key; few and many contexts agree with a direct search."""
+    rng = random.Random(n)
+    gram, other = bytes(range(97, 105)), bytes(range(98, 106))
+    contexts, offsets = [], []
+    for i in range(n):
+        offsets.append(rng.randrange(13))
+        contexts.append(bytes(rng.choices(b"ab", [9, 1], k=offsets[-1])) + (other if i % 3 == 0 else gram) + bytes(rng.choices(b"ab", [9, 1], k=rng.randrange(16))))
+    for length, got in zip((12, 20), suffix_dedup.repeated_windows(contexts, offsets, (12, 20), 8), strict=True):
+        for i, (c, o) in enumerate(zip(contexts, offsets, strict=True)):
+            twins = [(d, offsets[j] - o) for j, d in enumerate(contexts) if j != i and d[offsets[j] : offsets[j] + 8] == c[o : o + 8]]
+            same = lambda s: any(s + x >= 0 and d[s + x :][:length] == c[s : s + length] for d, x in twins)  # noqa: B023,E731
+            spans = [s for s in range(len(c) - length + 1) if same(s)]
+            must = {x for s in spans if o + 8 - length <= s <= o for x in range(s, s + length)}
+            shown = set(range(o - got[i][0], o + got[i][1])) if got[i] else set()
+            assert must <= shown <= {x for s in spans for x in range(s, s + length)}
