@@ -2,8 +2,8 @@
 
 Archives are written by Spark's own text writer (a record is a line whose separator is the blank line that ends it), so they go to
 any file system Spark knows. Each file is one run, sorted by URL key and time. Reading back parses records by their
-``Content-Length``. The index is cut into ranges of (URL key, time, page), so a URL with very many captures spans
-several; in each range a loser tree merges the runs.
+``Content-Length``, and each revisit is held against the response it refers to. The index is cut into ranges of (URL key, time, page,
+place), so a URL with very many captures spans several; in each range a loser tree merges the runs as they were written.
 """
 
 from __future__ import annotations
@@ -11,9 +11,10 @@ from __future__ import annotations
 import gzip
 import hashlib
 from base64 import b32encode
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -48,6 +49,7 @@ def records(pages: DataFrame, *, least_bytes: int = 0) -> DataFrame:
     df = df.join(kept, df["digest"] == kept["_digest"], "left").withColumn("refers_to", F.when(F.col("page_id") < F.col("kept"), F.col("kept")))
     revisit = F.col("refers_to").isNotNull()
     uri = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
+    written_key = F.regexp_replace(url_key(F.col("url")), r"[\x00-\x20]", "%20")  # runs are sorted by what is read back
     header = F.concat_ws(
         "\r\n",
         F.lit("WARC/1.0"),
@@ -57,14 +59,14 @@ def records(pages: DataFrame, *, least_bytes: int = 0) -> DataFrame:
         F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("url", r"[\x00-\x20]", "%20")),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")),
         F.concat(F.lit("X-Payload-Length: "), F.col("size").cast("string")),
-        F.concat(F.lit("X-Capture-Key: "), F.regexp_replace(url_key(F.col("url")), r"[\x00-\x20]", "%20")),
+        F.concat(F.lit("X-Capture-Key: "), written_key),
         F.concat(F.lit("X-Capture-Time: "), F.col("fetched_at").cast("string")),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), uri(F.col("refers_to")))),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest")),
         F.lit("Content-Type: text/html; charset=utf-8"),
         F.concat(F.lit("Content-Length: "), F.when(revisit, "0").otherwise(F.col("size").cast("string"))),
     )
-    return df.select(url_key(F.col("url")).alias("url_key"), "fetched_at", "page_id", F.concat(header, F.lit(BREAK), F.when(revisit, "").otherwise(F.col("html"))).alias("value"))
+    return df.select(written_key.alias("url_key"), "fetched_at", "page_id", F.concat(header, F.lit(BREAK), F.when(revisit, "").otherwise(F.col("html"))).alias("value"))
 
 
 def write_archives(pages: DataFrame, folder: str, *, records_per_file: int = 1000, least_bytes: int = 0) -> None:
@@ -114,19 +116,37 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
     return files.where("length > 0").select("path", "content").mapInArrow(parse, INDEX)
 
 
+def check_revisits(index: DataFrame) -> None:
+    """Raises unless each revisit's size and digest are those of a response that was read back under the id it refers to.
+
+    Revisits that claim the same are one row before the shuffle, however many there are.
+    """
+    named = {"refers_to": "_id", "payload_bytes": "_bytes", "payload_digest": "_digest"}
+    claims = index.where("record_type = 'revisit'").select([F.col(c).alias(x) for c, x in named.items()]).distinct()
+    shown = index.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest").distinct()
+    same = (F.col("_id") == F.col("page_id")) & (F.col("_bytes") == F.col("payload_bytes")) & (F.col("_digest") == F.col("payload_digest"))
+    wrong = claims.join(shown, same, "left_anti").limit(5).collect()
+    if wrong:
+        raise ValueError(f"revisits without their response: {[tuple(r) for r in wrong]}")
+
+
 class LoserTree:
-    """Merges sorted runs of ``(key, row)``: each step replays one path of a tree that holds the losers of its matches."""
+    """Merges sorted runs of ``(key, row)``, any iterators: each step replays one path of a tree that holds the losers of its matches.
+
+    One head of each run is held. A run that is not sorted raises.
+    """
 
-    def __init__(self, runs: list[list[tuple]]) -> None:
-        self.runs, self.at = runs, [0] * len(runs)
-        self.size = max(1, len(runs))
+    def __init__(self, runs: Iterable[Iterable[tuple]]) -> None:
+        self.runs = [iter(r) for r in runs]
+        self.heads = [next(r, None) for r in self.runs]
+        self.size = max(1, len(self.runs))
         self.losers = [-1] * self.size
         self.winner = self._build(1)
 
     def _less(self, a: int, b: int) -> bool:
         """Whether run ``a``'s head goes before ``b``'s; ended runs and places without a run lose, ties go to the earlier run."""
-        x = self.runs[a][self.at[a]] if a < len(self.runs) and self.at[a] < len(self.runs[a]) else None
-        y = self.runs[b][self.at[b]] if b < len(self.runs) and self.at[b] < len(self.runs[b]) else None
+        x = self.heads[a] if a < len(self.heads) else None
+        y = self.heads[b] if b < len(self.heads) else None
         if x is None or y is None:
             return y is None and (x is not None or a < b)
         return (x[0], a) < (y[0], b)
@@ -140,10 +160,13 @@ class LoserTree:
         return won
 
     def __iter__(self) -> Iterator[tuple]:
-        for _ in range(sum(map(len, self.runs))):
+        while self.winner < len(self.heads) and self.heads[self.winner] is not None:
             run = self.winner
-            yield self.runs[run][self.at[run]]
-            self.at[run] += 1
+            head = self.heads[run]
+            yield head
+            self.heads[run] = next(self.runs[run], None)
+            if self.heads[run] is not None and self.heads[run][0] < head[0]:
+                raise ValueError(f"run {run} is not sorted at {self.heads[run][0]}")
             node = (run + self.size) // 2
             while node:
                 if self._less(self.losers[node], self.winner):
@@ -151,24 +174,36 @@ class LoserTree:
                 node //= 2
 
 
+def _run_rows(parts: list[pa.RecordBatch]) -> Iterator[tuple]:
+    """``(key, row)`` of one run's rows in the order they come; 256 rows at a time are Python objects."""
+    low = -(1 << 63)
+    for part in parts:
+        for i in range(0, part.num_rows, 256):
+            for row in zip(*[c.to_pylist() for c in part.slice(i, 256).columns], strict=True):
+                yield (row[2] or "", low if row[3] is None else row[3], low if row[4] is None else row[4]), row
+
+
 def merge_index(index: DataFrame, *, rows_per_range: int = 100_000) -> DataFrame:
     """The index in global order: ``range_id`` (ascending) and ``range_position`` order all captures by key, time and page.
 
-    A task holds the runs' parts of one range. Their number grows with the index, so a range has about ``rows_per_range`` captures at
-    any size (the cuts come from Spark's sample of the keys; a URL with more captures spans several). Nulls go first in each column.
-    Equal rows of two runs keep the runs' order.
+    A run is one archive, in the order of its records: it was sorted when it was written, and the merge raises if it was not. Spark
+    brings the runs' parts of one range together, each as it was, and a loser tree makes one order of them. A task holds the parts as
+    Arrow columns and a few rows of each run. A range has about ``rows_per_range`` captures at any size (the cuts come from Spark's
+    sample), also where one URL, or one row, is there more often. Nulls go first in each column. Equal rows of two runs keep the
+    runs' order.
     """
     names = [x.split()[0] for x in INDEX.split(", ")]
     kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64())
-    low = -(1 << 63)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[str, list[tuple]] = {}
+        runs: dict[str, list[pa.RecordBatch]] = {}
         for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                runs.setdefault(row[0], []).append(((row[2] or "", low if row[3] is None else row[3], low if row[4] is None else row[4], row[1]), row))
+            begins = [0, *[i + 1 for i, same in enumerate(pc.equal(batch.column(0)[1:], batch.column(0)[:-1]).to_pylist()) if not same], batch.num_rows]
+            for i, j in zip(begins, begins[1:], strict=False):
+                if j > i:
+                    runs.setdefault(batch.column(0)[i].as_py(), []).append(batch.slice(i, j - i))
         here, rows = TaskContext.get().partitionId(), []
-        for n, (_, row) in enumerate(LoserTree([runs[k] for k in sorted(runs)])):
+        for n, (_, row) in enumerate(LoserTree(_run_rows(runs[k]) for k in sorted(runs))):
             rows.append((*row, here, n))
             if len(rows) == 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[*names, "range_id", "range_position"])
@@ -177,7 +212,7 @@ def merge_index(index: DataFrame, *, rows_per_range: int = 100_000) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[*names, "range_id", "range_position"])
 
     ranges = max(1, -(-index.count() // rows_per_range))
-    ranged = index.repartitionByRange(ranges, "url_key", "fetched_at", "page_id").sortWithinPartitions("run", "url_key", "fetched_at", "page_id", "at")
+    ranged = index.repartitionByRange(ranges, "url_key", "fetched_at", "page_id", "run", "at").sortWithinPartitions("run", "at")
     return ranged.mapInArrow(merge, f"{INDEX}, range_id int, range_position bigint")
 
 
@@ -190,4 +225,6 @@ def archive_and_index(spark: SparkSession, pages: DataFrame, *, least_bytes: int
     ws = workspace or Workspace(spark, "warc")
     folder = ws.folder("archives")
     write_archives(pages, folder, least_bytes=least_bytes)
-    return merge_index(ws.save(read_index(spark, folder), "index"))
+    index = ws.save(read_index(spark, folder), "index")
+    check_revisits(index)
+    return merge_index(index)

@@ -5,7 +5,11 @@ import hashlib
 import random
 from datetime import date
 
+import pytest
+from pyspark.sql import functions as F
+
 from panelwright.llm import html_extraction as H, url_filters, warc
+from panelwright.llm.shared import Workspace
 from tests.llm import brute
 
 COLUMNS = "page_id bigint, url string, html string"
@@ -99,6 +103,46 @@ def test_loser_tree_merges():
         assert [x for _, x in got] == sorted(x for run in runs for x in run)
 
 
+def test_loser_tree_wants_sorted_runs_and_holds_one_head_each():
+    pulled = []
+
+    def run(name, keys):
+        for k in keys:
+            pulled.append(name)
+            yield k, (k, name)
+
+    tree = iter(warc.LoserTree([run("a", [1, 2, 9]), run("b", [3, 4]), run("c", [])]))
+    assert [next(tree)[0] for _ in range(3)] == [1, 2, 3] and pulled.count("b") == 1
+    with pytest.raises(ValueError, match="not sorted"):
+        list(warc.LoserTree([run("a", [1, 5, 2]), run("b", [3])]))
+
+
+def test_merge_of_runs_with_one_url_and_repeated_rows(spark):
+    """Ranges far smaller than a URL's captures, of which many are equal rows; names sort like what is read back."""
+    rows = [(i // 3, "http://one.example/a b\tc", f"text {i // 3}", 7) for i in range(600)] + [(1000 + i, f"http://one.example/a{chr(32 + i % 9)}x", "t", i % 4) for i in range(90)]
+    ws = Workspace(spark, "t")
+    folder = ws.folder("archives")
+    warc.write_archives(pages(spark, rows).repartition(3), folder, records_per_file=20)
+    index = ws.save(warc.read_index(spark, folder), "index")
+    warc.check_revisits(index)
+    got = sorted(warc.merge_index(index, rows_per_range=50).collect(), key=lambda r: (r.range_id, r.range_position))
+    order = [(r.url_key, r.fetched_at, r.page_id) for r in got]
+    assert len(got) == 690 and order == sorted(order) and len({r.range_id for r in got}) > 8
+    assert {(r.run, r.at) for r in got} == {(r.run, r.at) for r in index.collect()} and len({(r.run, r.at) for r in got}) == 690
+
+
+def test_revisits_are_held_against_their_response(spark):
+    rows = [(1, "a", "xy", 1), (2, "b", "xy", 1), (3, "c", "z", 1)]
+    ws = Workspace(spark, "t")
+    folder = ws.folder("archives")
+    warc.write_archives(pages(spark, rows), folder)
+    index = ws.save(warc.read_index(spark, folder), "index")
+    warc.check_revisits(index)
+    for wrong in (index.where("page_id != 2"), index.withColumn("payload_bytes", F.when(F.col("page_id") == 1, 9).otherwise(F.col("payload_bytes")))):
+        with pytest.raises(ValueError, match="without their response"):
+            warc.check_revisits(wrong)
+
+
 def test_lists_count_as_of_the_fetch(spark):
     d = lambda n: date(2024, 1, n)
     entries = [("domain", "b.example", "block", d(5)), ("domain", "b.example", "allow", d(10)), ("domain", "b.example", "allow", d(5)), ("domain", "example", "block", d(8)), ("prefix", "b.example/x/", "block", d(12)), ("domain", None, "block", d(1)), ("prefix", "b.example/x/", "block", d(12))]
