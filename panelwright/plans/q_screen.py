@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelwright.operators import audit as U, metrics as M, screen as S, universe as V, windows as W
+from panelwright.operators import audit as U, metrics as M, scan, screen as S, universe as V, windows as W
 from panelwright.plans import q_metrics
 from panelwright.plans.registry import query
 from panelwright.sources import adapters as A
@@ -299,10 +299,29 @@ def series_fingerprint(spark, sf):
     return U.series_fingerprint(A.monthly_levels(spark, sf))
 
 
-@query("symbol n_obs n_pairs status", "cagr sortino max_drawdown coverage", sql=f"SELECT s.symbol, n_obs, n_pairs, status, cagr, sortino, max_drawdown, coverage FROM ({_SCORED}) s JOIN ({_DAYS}) d ON s.symbol = d.symbol")
+_ALIGNED = "SELECT symbol, count(*) AS n_shared, sha256(string_agg(strftime(m.dt, '%Y-%m-%d') || '=' || CAST(CAST(floor(m.value * 10000 + 0.5) AS BIGINT) AS VARCHAR) || '=' || CAST(CAST(floor(b.value * 10000 + 0.5) AS BIGINT) AS VARCHAR), '|' ORDER BY m.dt)) AS aligned_fingerprint, min(m.dt) AS data_start, max(m.dt) AS data_end FROM x_monthly m JOIN x_bm b ON m.dt = b.dt GROUP BY symbol HAVING count(*) >= 2"
+_PRICES = "SELECT symbol, sha256(string_agg(strftime(dt, '%Y-%m-%d') || '=' || CAST(CAST(floor(value * 10000 + 0.5) AS BIGINT) AS VARCHAR), '|' ORDER BY dt)) AS price_fingerprint FROM x_monthly GROUP BY symbol"
+_ASKED = "SELECT DISTINCT p_brand AS symbol, 'download' AS stage, 'requested history was not returned' AS detail, true AS again FROM part UNION ALL SELECT r_name, CASE WHEN r_regionkey > 0 THEN 'fx' ELSE 'download' END, CASE WHEN r_regionkey > 0 THEN 'no rate' ELSE 'requested history was not returned' END, r_regionkey = 0 FROM region UNION ALL SELECT n_name, 'calendar', 'fewer than two shared valuation dates', false FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer JOIN orders ON o_custkey = c_custkey) UNION ALL SELECT n_name, 'download', 'requested history was not returned', true FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer JOIN orders ON o_custkey = c_custkey)"
+_COVERED = "SELECT symbol, least(1.0, count(*) * 1.0 / (SELECT count(*) FROM x_bd)) AS data_coverage FROM x_daily WHERE dt IN (SELECT dt FROM x_bd) GROUP BY symbol"
+
+
+@query(
+    "symbol status retryable error_code error n_obs n_pairs score_status data_start data_end n_shared n_dividends n_splits n_factor_jump n_distribution_gap n_split_like n_large_move first_warning audit_status price_fingerprint aligned_fingerprint",
+    "total_return cagr max_drawdown volatility sharpe sortino beta alpha score_a score_b score_c data_coverage",
+    sql=f"""
+SELECT q.symbol, CASE WHEN a.symbol IS NOT NULL THEN 'ok' ELSE 'failed' END AS status, a.symbol IS NULL AND again AS retryable, CASE WHEN a.symbol IS NULL THEN stage || '_unavailable' END AS error_code, CASE WHEN a.symbol IS NULL THEN detail END AS error,
+  n_obs, n_pairs, s.status AS score_status, data_start, data_end, n_shared, n_dividends, n_splits, n_factor_jump, n_distribution_gap, n_split_like, n_large_move, first_warning, u.status AS audit_status, price_fingerprint, aligned_fingerprint,
+  total_return, cagr, max_drawdown, volatility, sharpe, sortino, beta, alpha, score_a, score_b, score_c, data_coverage
+FROM ({_ASKED}) q LEFT JOIN ({_ALIGNED}) a ON q.symbol = a.symbol LEFT JOIN ({_SCORED.replace("o.*, n_pairs", "o.*, p.symbol AS symbol_1, n_pairs")}) s ON a.symbol = s.symbol LEFT JOIN ({_PRICES}) f ON a.symbol = f.symbol LEFT JOIN ({_AUDIT}) u ON a.symbol = u.symbol LEFT JOIN ({_COVERED}) c ON a.symbol = c.symbol""",
+)
 def scan_rows(spark, sf):
-    days = M.relative_coverage(A.daily_levels(spark, sf).groupBy("symbol").agg(F.count(F.lit(1)).alias("trading_days"))).select("symbol", "coverage")
-    return S.scan_scores(report(spark, sf)).join(days, "symbol", "left")
+    """All brands are asked for, and names without a usable history: regions have no levels, nations one date, that of their first order."""
+    orders, customer, nation, region = (A.table(spark, sf, t) for t in ("orders", "customer", "nation", "region"))
+    first = orders.join(customer, orders["o_custkey"] == customer["c_custkey"]).groupBy("c_nationkey").agg(F.last_day(F.to_date(F.min("o_orderdate"))).alias("dt"))
+    short = first.join(nation, first["c_nationkey"] == nation["n_nationkey"]).select(F.col("n_name").alias("symbol"), "dt", F.lit(1.0).alias("value"))
+    asked = A.table(spark, sf, "part").select(F.col("p_brand").alias("symbol")).union(region.select("r_name")).union(nation.select("n_name"))
+    failures = region.where("r_regionkey > 0").select(F.col("r_name").alias("symbol"), F.lit("fx").alias("stage"), F.lit("no rate").alias("detail"), F.lit(False).alias("retryable"))
+    return scan.scan_rows(asked, A.monthly_levels(spark, sf).union(short), A.benchmark_monthly(spark, sf), bars=adjusted_bars(spark, sf), raw=A.daily_levels(spark, sf), raw_benchmark=A.benchmark_daily(spark, sf), failures=failures, rf=0.02)
 
 
 @query("symbol", "beta cagr", sql=f"SELECT symbol, beta, cagr FROM ({_REPORT})")

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelwright.functions import scalars as S
-from panelwright.operators import align, audit, clean, combos, matrix, metrics, nav, regress, walk, windows
+from panelwright.operators import align, audit, clean, combos, matrix, metrics, nav, regress, scan, walk, windows
 
 D0 = date(2020, 1, 1)
 
@@ -225,3 +225,26 @@ def test_entry_without_the_corpus_operators(spark):
 
     assert __spark_entry__.entry(spark).count() == 25
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_scan_rows_settle_every_request(spark):
+    series = {"A": [10, 11, 12, 9], "B": [5, None, None, None], "C": [3, None, 4, 5], "unasked": [1, 2, 3, 4]}
+    lv, bench = levels(spark, series), levels(spark, {"X": [1, 2, 3, 2]}).select("dt", "value")
+    bars = lv.select("symbol", "dt", F.col("value").alias("close"), F.col("value").alias("adj_close"), F.lit(0.0).alias("dividends"), F.lit(0.0).alias("splits"))
+    asked = spark.createDataFrame([("A",), ("A",), ("B",), ("C",), ("D",), ("E",), (None,)], "symbol string")
+    failed = spark.createDataFrame([("E", "fx", "no rate", False), ("E", "load", "later", True), ("A", "fx", "not so", True)], "symbol string, stage string, detail string, retryable boolean")
+    run = lambda lv: {r.symbol: r for r in scan.scan_rows(asked, lv, bench, bars=bars, raw=lv, raw_benchmark=bench, failures=failed).collect()}
+    got = run(lv)
+    assert {k: (r.status, r.error_code, r.retryable) for k, r in got.items()} == {
+        "A": ("ok", None, False),
+        "B": ("failed", "calendar_unavailable", False),
+        "C": ("ok", None, False),
+        "D": ("failed", "download_unavailable", True),
+        "E": ("failed", "fx_unavailable", False),
+    }
+    assert (got["A"].n_shared, got["A"].data_coverage, got["C"].n_shared, got["C"].data_coverage) == (4, 1.0, 3, 0.75)
+    assert got["B"].cagr is None and got["B"].price_fingerprint is None and got["A"].total_return == pytest.approx(-0.1)
+    moved = run(lv.withColumn("value", F.when((F.col("symbol") == "A") & (F.col("dt") == D0), 10.001).otherwise(F.col("value"))))
+    assert moved["A"].price_fingerprint != got["A"].price_fingerprint and moved["A"].aligned_fingerprint != got["A"].aligned_fingerprint
+    assert moved["C"].price_fingerprint == got["C"].price_fingerprint
+    assert run(lv.limit(0))["A"].error_code == "fx_unavailable"

@@ -16,7 +16,7 @@ CHOSEN = (
     "coverage_diagnostics outcome_accounting macro_asof_ffill sample_covariance risk_contributions nav_buy_hold nav_periodic_cost twr_from_flows allocation_drift income_split "
     "screen_universe score_rank membership_churn pit_snapshot_asof corporate_action_audit bar_repair native_components combination_count enumerate_combos trailing_momentum dual_momentum "
     "slice_panel validate_schedule read_holdings_csv read_macro_series ingest_snapshots inflation_regime execution_delay experiment_variants "
-    "normalize_sector normalize_universe_ticker"
+    "normalize_sector normalize_universe_ticker scan_rows"
 ).split()
 KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN"}
 
