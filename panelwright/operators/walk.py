@@ -135,6 +135,6 @@ def decision_hash(decisions: DataFrame) -> DataFrame:
 
 def param_grid(spark, lookbacks: list[int], ks: list[int], thresholds: list[float]) -> DataFrame:
     """``lookback, k, threshold, param_hash`` in canonical order of a cartesian grid."""
-    one = lambda name, xs: spark.createDataFrame([(x,) for x in sorted(set(xs))], f"{name} {'double' if name == 'threshold' else 'int'}")
-    g = one("lookback", lookbacks).crossJoin(one("k", ks)).crossJoin(one("threshold", thresholds))
+    each = lambda name, xs, kind: F.explode(F.array(*[F.lit(x).cast(kind) for x in sorted(set(xs))])).alias(name)
+    g = spark.range(1).select(each("lookback", lookbacks, "int")).select("*", each("k", ks, "int")).select("*", each("threshold", thresholds, "double"))
     return g.withColumn("param_hash", F.sha2(F.concat_ws("|", "lookback", "k", F.floor(F.col("threshold") * 1_000_000 + 0.5).cast("string")), 256))

@@ -99,7 +99,7 @@ def write_snapshot_archive(spark, sf):
     return spark.read.parquet(at)
 
 
-@query("symbol first_warning warnings", sql=None)
+@query("symbol first_warning warnings", sql=f"SELECT symbol, min(dt) FILTER ({q_screen._WARN}) AS first_warning, coalesce(array_to_string(list_transform(list_slice(list(dt ORDER BY dt) FILTER ({q_screen._WARN}), 1, 20), lambda x: strftime(x, '%Y-%m-%d')), ' | '), '') AS warnings FROM ({q_screen._EVENTS}) GROUP BY symbol")
 def export_scan_csv(spark, sf):
     from panelwright.operators.audit import corporate_action_audit
 
@@ -148,7 +148,7 @@ def ingest_snapshots(spark, sf):
     return spark.read.parquet(f"{at}/archive")
 
 
-@query("lookback k param_hash", "threshold")
+@query("lookback k param_hash", "threshold", sql="SELECT CAST(3 * i AS INTEGER) AS lookback, k, threshold, sha256(concat_ws('|', 3 * i, k, CAST(floor(threshold * 1000000 + 0.5) AS BIGINT))) AS param_hash FROM (SELECT unnest(generate_series(1, (SELECT year(max(dt)) - year(min(dt)) FROM x_bd))) AS i), (VALUES (2), (4)) ks(k), (VALUES (CAST(0 AS DOUBLE)), (CAST(0.1 AS DOUBLE))) ts(threshold)")
 def param_grid(spark, sf):
     """Look-backs up to the panel's years, so the grid follows the data's span."""
     years = A.benchmark_daily(spark, sf).agg((F.year(F.max("dt")) - F.year(F.min("dt"))).alias("n")).first().n

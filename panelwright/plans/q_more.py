@@ -147,12 +147,15 @@ def snapshot(spark, sf):
     return X.structural_snapshot(q_matrix.returns(spark, sf), X.experiment_variants(*_sets(spark, sf)))
 
 
-@query("variant_id n", "participation_ratio mean_rho")
+_SNAPSHOT = f"SELECT v.variant_id, count(*) FILTER (m.a = m.b) AS n, pow(sum(m.cov) FILTER (m.a = m.b), 2) / sum(m.cov * m.cov) AS participation_ratio, avg(m.cov / sqrt(x.cov * y.cov)) FILTER (m.a <> m.b) AS mean_rho FROM ({_VARIANTS}) v JOIN ({_VARIANTS}) w ON v.variant_id = w.variant_id JOIN ({q_matrix._FULL}) m ON m.a = v.symbol AND m.b = w.symbol JOIN ({q_matrix._FULL}) x ON x.a = m.a AND x.b = m.a JOIN ({q_matrix._FULL}) y ON y.a = m.b AND y.b = m.b GROUP BY 1"
+
+
+@query("variant_id n", "participation_ratio mean_rho", sql=_SNAPSHOT)
 def structural_snapshot(spark, sf):
     return snapshot(spark, sf)
 
 
-@query("variant_id n", "d_participation d_rho")
+@query("variant_id n", "d_participation d_rho", sql=f"WITH snapshots AS ({_SNAPSHOT}) SELECT s.variant_id, s.n, s.participation_ratio - b.participation_ratio AS d_participation, s.mean_rho - b.mean_rho AS d_rho FROM snapshots s JOIN snapshots b ON b.variant_id = 'base' WHERE s.variant_id <> 'base'")
 def marginal_experiments(spark, sf):
     return X.marginal_experiments(snapshot(spark, sf))
 

@@ -261,7 +261,7 @@ def factor_join(spark, sf):
     return r.join(F.broadcast(m), "dt").select("symbol", F.col("dt").alias("month_end"), "ret", "mkt")
 
 
-@query("portfolio_id status", "rate")
+@query("portfolio_id status", "rate", sql="SELECT portfolio_id, 'unique' AS status, pow(arg_max(nav, dt) / arg_min(nav, dt), 365.2425 / date_diff('day', min(dt), max(dt))) - 1 AS rate FROM x_hold GROUP BY 1")
 def xirr_batch(spark, sf):
     h = q_nav.hold(spark, sf)
     w = h.groupBy("portfolio_id").agg(F.min("dt").alias("a"), F.max("dt").alias("b"), F.min_by("nav", "dt").alias("x"), F.max_by("nav", "dt").alias("y"))

@@ -16,7 +16,7 @@ CHOSEN = (
     "coverage_diagnostics outcome_accounting macro_asof_ffill sample_covariance risk_contributions nav_buy_hold nav_periodic_cost twr_from_flows allocation_drift income_split "
     "screen_universe score_rank membership_churn pit_snapshot_asof corporate_action_audit bar_repair native_components combination_count enumerate_combos trailing_momentum dual_momentum "
     "slice_panel validate_schedule read_holdings_csv read_macro_series ingest_snapshots inflation_regime execution_delay experiment_variants "
-    "normalize_sector normalize_universe_ticker scan_rows"
+    "normalize_sector normalize_universe_ticker scan_rows param_grid export_scan_csv xirr_batch structural_snapshot marginal_experiments"
 ).split()
 KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN"}
 
@@ -87,6 +87,6 @@ def test_combinations_of_all_symbols(spark):
     assert n > 12 and QUERIES["enumerate_combos"](spark, DENSER).count() == n * (n - 1) * (n - 2) // 6
 
 
-@pytest.mark.parametrize("name", ["hierarchical_clusters", "factor_ols", "xirr_batch"])
+@pytest.mark.parametrize("name", ["hierarchical_clusters", "factor_ols"])
 def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, DENSER).count() > 0
