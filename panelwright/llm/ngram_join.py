@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from panelwright.llm.decontamination import small
 from panelwright.llm.graph import components
-from panelwright.llm.shared import Workspace
+from panelwright.llm.shared import Workspace, in_small_batches
 
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -39,7 +39,7 @@ class _WordHashes(dict):
     """64-bit hash of a word, kept while the table is small."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -271,6 +271,39 @@ def _within_families(ws: Workspace, searched: DataFrame, labels: DataFrame, perc
     return x.where(~F.col("linked_x")).join(y, on & may).select(F.col("doc_x").alias("pivot"), F.col("doc_y").alias("doc")).distinct()
 
 
+def _prefix_rows(batches: Iterator[pa.RecordBatch], often: np.ndarray, skip: dict[bytes, int], n: int, percent: int, size: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """``key, doc, sig, n`` of the prefixes of ``(doc, text)`` rows, sent on as soon as ``size`` rows are there.
+
+    A text of 2,000 bytes has about a hundred, so those of a whole batch of texts are several times its memory.
+    """
+    rows, held = ([], [], [], []), 0
+
+    def sent() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in rows], names=["key", "doc", "sig", "n"])
+        for x in rows:
+            x.clear()
+        return out
+
+    for batch in batches:
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            own = shingles(text.as_py(), n)
+            if not len(own):
+                continue
+            sig = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+            if skip.get(sig, doc) != doc:
+                continue
+            head = prefix(own, often, percent)
+            for to, x in zip(rows, (head.view(np.int64), doc, int.from_bytes(sig[:8], "little", signed=True), len(own)), strict=True):
+                to.append(x.copy() if to is rows[0] else np.full(len(head), x, dtype=np.int64))  # a view would hold the whole set
+            held += len(head)
+            if held >= size:
+                yield sent()
+                held = 0
+    if held:
+        yield sent()
+
+
+@in_small_batches
 def ngram_classes(spark: SparkSession, docs: DataFrame, *, words: int = 5, percent: int = 80, frequent: int = 50_000, one_in: int = 16, ids_at_once: int = 1_000_000, long_list: int = 512, workspace: Workspace | None = None) -> DataFrame:
     """``doc_id, n_shingles, component_id``: one row per row of ``docs(doc_id, text)``.
 
@@ -299,20 +332,7 @@ def ngram_classes(spark: SparkSession, docs: DataFrame, *, words: int = 5, perce
     skip = spark.sparkContext.broadcast({bytes(r.sig): r.rep for r in large})  # large groups of copies: only the first goes on
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = shingles(text.as_py(), words)
-                if not len(own):
-                    continue
-                sig = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
-                if skip.value.get(sig, doc) != doc:
-                    continue
-                head = prefix(own, often.value, percent)
-                for to, x in zip(rows, (head.view(np.int64), doc, int.from_bytes(sig[:8], "little", signed=True), len(own)), strict=True):
-                    to.append(x if to is rows[0] else np.full(len(head), x, dtype=np.int64))
-            if rows[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in rows], names=["key", "doc", "sig", "n"])
+        return _prefix_rows(batches, often.value, skip.value, words, percent)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of lists with two sets at least, one row per set."""

@@ -7,8 +7,10 @@ setting is absent in local mode, as in tests; a cluster without the setting is a
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +51,22 @@ class Workspace:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def in_small_batches(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``operator(spark, ...)`` with Arrow batches of at most 4 MB in what it runs itself; the session's setting is put back.
+
+    By default 10,000 texts go to a worker at once, and both it and the executor beside it hold them more than once.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    @functools.wraps(operator)
+    def run(spark: SparkSession, *args, **kwargs) -> DataFrame:
+        before = spark.conf.get(name)
+        spark.conf.set(name, f"{min(int(before.rstrip('b')), 4 << 20)}b" if before.rstrip("b").isdigit() else f"{4 << 20}b")
+        try:
+            return operator(spark, *args, **kwargs)
+        finally:
+            spark.conf.set(name, before)
+
+    return run

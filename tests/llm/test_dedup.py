@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from panelwright.llm import graph, ngram_join, suffix_dedup
@@ -91,6 +92,31 @@ def test_ngram_classes_of_rows_without_id_and_small_batches(spark):
     assert sorted(str(r.component_id) for r in rows if r.doc_id is None) == sorted([str(copies[0]), "None", "None"]) and len(rows) == len(docs) + 3
 
 
+def test_ngram_prefixes_leave_a_worker_in_bounded_batches():
+    """A batch of many texts is not answered by one of all their prefixes; the rows are those of each text alone."""
+    rng = random.Random(8)
+    texts = [brute.prose(rng, rng.randrange(0, 400)).encode() for _ in range(300)] + [None, b""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.binary())], names=["doc_id", "text"])
+    often = ngram_join.shingles(texts[0])
+    skip = {hashlib.blake2b(ngram_join.shingles(texts[3]).tobytes(), digest_size=16).digest(): 2}
+    out = list(ngram_join._prefix_rows(iter([batch, batch]), often, skip, 5, 80, size=500))
+    assert len(out) > 10 and max(b.num_rows for b in out) < 500 + 400
+    want = []
+    for d, own in enumerate(map(ngram_join.shingles, texts)):
+        if d != 3:
+            want += [(int(k), d, len(own)) for k in ngram_join.prefix(own, often, 80).view(np.int64)]
+    assert [(r["key"], r["doc"], r["n"]) for b in out for r in b.to_pylist()] == want * 2
+    assert len(ngram_join._HASHES) <= 100_000
+
+
+def test_ngram_classes_take_texts_in_small_batches_and_put_the_setting_back(spark, monkeypatch):
+    name, seen, save = "spark.sql.execution.arrow.maxBytesPerBatch", set(), Workspace.save
+    before = spark.conf.get(name)
+    monkeypatch.setattr(Workspace, "save", lambda self, *a: (seen.add(spark.conf.get(name)), save(self, *a))[1])
+    assert ngram_join.ngram_classes(spark, frame(spark, [(1, "a b c"), (2, "a b c")])).count() == 2
+    assert {int(x.rstrip("b")) for x in seen} == {4 << 20} and spark.conf.get(name) == before
+
+
 def test_ngram_edge_cases(spark):
     assert ngram_join.ngram_classes(spark, frame(spark, [])).count() == 0
     rows = [(1, None, "a"), (2, "", "b"), (3, "Same words", "c"), (4, "same  WORDS", "d"), (4, "same  WORDS", "d")]
