@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelwright.llm import decontamination, key_filter, ngram_join, packing, quality_rules, suffix_dedup, tokens
 from panelwright.llm.queries import table
-from panelwright.llm.shared import Workspace
+from panelwright.llm.shared import Workspace, in_small_batches
 
 #: The analysis of several stages (identical ids, hash order) can't be put as SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
@@ -58,6 +58,7 @@ def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return _without(docs if rows == ids else docs.dropDuplicates(["doc_id", "text"]), classes.where("doc_id <> component_id"))
 
 
+@in_small_batches
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of over 50 words (and 200 bytes) that occur elsewhere are cut out; a document that loses all its text stays, empty."""
     ws = _workspace(spark, docs, "stage-suffix")
@@ -77,11 +78,13 @@ def reject_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return _without(docs, ws.save(leaks, "leaks"))
 
 
+@in_small_batches
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
-    _workspace(spark, docs, "stage-packing")
+    """The pieces of the packed sequences, written here since the batches are small only inside the stage."""
+    ws = _workspace(spark, docs, "stage-packing")
     df = packing.pack_documents(docs, tokens.public_vocabulary())
-    return df.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens", "step_group")
+    df = df.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens", "step_group")
+    return ws.save(df, "packed")
 
 
 STAGES = [

@@ -33,11 +33,12 @@ _INDEX = np.uint64((1 << 21) - 1)
 _powers: list[np.ndarray] = []
 
 
-def _power_tables() -> list[np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2**64."""
-    if not _powers:
+def _power_tables(n: int) -> list[np.ndarray]:
+    """At least ``n`` powers of an odd base and of its inverse, modulo 2**64. A worker keeps no more than its longest text took."""
+    if not _powers or len(_powers[0]) < n:
+        _powers.clear()
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            table = np.full(_SEGMENT + 4096, np.uint64(base))
+            table = np.full(max(n, min(1 << max(12, (n - 1).bit_length()), _SEGMENT + 4096)), np.uint64(base))
             table[0] = 1
             _powers.append(np.multiply.accumulate(table))
     return _powers
@@ -45,7 +46,7 @@ def _power_tables() -> list[np.ndarray]:
 
 def window_hashes(raw: np.ndarray, k: int) -> np.ndarray:
     """64-bit hashes of all ``k``-byte windows of at most a segment of bytes."""
-    up, down = _power_tables()
+    up, down = _power_tables(len(raw))
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
     h = (sums[k:] - sums[:-k]) * down[: len(raw) - k + 1]

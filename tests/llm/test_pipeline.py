@@ -2,7 +2,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
+from panelwright.llm import suffix_dedup
+from panelwright.llm.shared import Workspace
 from tests.llm import brute
 from tests.llm.test_text_operators import leak_segments
 
@@ -86,3 +90,25 @@ def test_stages_on_odd_rows(spark, tmp_path):
         assert all(passage[9:-9] not in cut[k].text and cut[k]._text == f"t{k}" and cut[k].n_chars == len(cut[k].text) for k in (11, 12)) and cut[14].text == rows[14][1]
         assert set(left["decontamination"]) == once - {13}
         assert {r.doc_id for r in now.collect()} == {r.doc_id for r in left["decontamination"].values()}
+
+
+def test_workers_get_small_batches_and_keep_small_tables(spark, tmp_path, monkeypatch):
+    """What runs Python in these two stages is written inside them, with batches of 4 MB; the setting is put back."""
+    name, seen, save = "spark.sql.execution.arrow.maxBytesPerBatch", {}, Workspace.save
+    before = spark.conf.get(name)
+    monkeypatch.setattr(Workspace, "save", lambda self, df, to: (seen.__setitem__(to, spark.conf.get(name)), save(self, df, to))[1])
+    docs = spark.createDataFrame([(i, brute.prose(random.Random(i % 2), 90), "en", "s", 1) for i in range(4)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for stage in (corpus_pipeline.remove_repeated_passages, corpus_pipeline.pack):
+        seen.clear()
+        out = stage(spark, docs, str(tmp_path))
+        assert seen and {int(x.rstrip("b")) for x in seen.values()} == {4 << 20} and spark.conf.get(name) == before
+        assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString() and out.count() >= 4
+
+    suffix_dedup._powers.clear()
+    rng = np.random.default_rng(3)
+    for size in (3_000, 700, 9_000, 1 << 20):
+        raw = rng.integers(0, 256, size, dtype=np.uint8)
+        raw[-300:] = raw[:300]
+        h = suffix_dedup.window_hashes(raw, 32)
+        assert len(np.unique(h)) == len(h) - 269 and (h[-269:] == h[:269]).all()
+        assert sum(x.nbytes for x in suffix_dedup._powers) <= 2 * 8 * max(1 << 14, size)
